@@ -7,9 +7,12 @@ import importlib
 #: query -> module of this subpackage that holds query() and, where SQL can tell the result, ORACLE_SQL.
 MODULES = {
     "op1_bpe_codec": "bpe",
+    "op2_toxicity": "toxicity",
+    "op3_html_text": "html_text",
     "op7_benchmark_decontamination": "benchmark_filter",
     "op8_fertility_quality": "quality",
     "op9_token_store": "token_store",
+    "op10_label_sharding": "sharding",
 }
 
 
