@@ -1,10 +1,10 @@
 """BPE encoding and decoding through a distinct-word table and an id-to-piece table.
 
 White space never lies inside a token of the word-ended vocabulary, so a text's ids are those of its white-space
-separated words in order. Each task splits its block of texts, encodes every distinct word of the block once with the
-tokenizers library, and joins the ids back by position; decoding joins ids to pieces. Nothing is shuffled: the word table
-of invented or multilingual prose grows with the input (half of the words occur once), and moving it between tasks costs
-more than encoding a word again in another block.
+separated words in order. Each worker splits its blocks of texts, encodes every distinct word once with the tokenizers library (its
+table lives from task to task, up to a bound), and joins the ids back by position; decoding joins ids to pieces. Nothing
+is shuffled: the words of open-ended prose grow with the input (half of them occur once), and moving texts and words
+between tasks costs more than encoding a word once in each worker.
 
 Nulls and empty texts have no tokens; repeated rows are encoded like any other; extra columns are carried through.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import TokenTable, blocks, bounds, documents, map_arrow, raw_texts
+from .common import TokenTable, blocks, bounds, documents, map_arrow, raw_texts, worker_object
 
 
 def load_tokenizer(path: str):
@@ -66,7 +66,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     keep = [f.name for f in schema][:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = worker_object(("bpe", path), lambda: Codec(path))
         for b in batches:
             texts = raw_texts(b.column(text))
             for i, j in blocks([len(t) for t in texts]):
@@ -83,7 +83,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", out: str =
     schema = T.StructType([*[f for f in df.schema if f.name != out], T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = worker_object(("bpe", path), lambda: Codec(path))
         for b in batches:
             texts = [codec.decode(np.asarray(x or [], np.int64)) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, out])
@@ -96,7 +96,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = worker_object(("bpe", path), lambda: Codec(path))
         for b in batches:
             texts, keys = raw_texts(b.column("text")), b.column("doc_id")
             for i, j in blocks([len(t) for t in texts]):

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a task; bounds the Python objects alive whatever the Arrow batch holds.
 BLOCK_BYTES = 2 << 20
-#: Entries of a worker's word index before it starts anew.
+#: Entries of a worker's word hashes before they start anew.
 MAX_WORDS = 300_000
+#: Entries of a worker's table of encoded words before it starts anew (about 200 bytes each).
+MAX_ENCODED = 800_000
 
 U64 = np.uint64
 
@@ -132,6 +134,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_kept: dict = {}
+
+
+def worker_object(key: tuple, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps from task to task, one at a time: tables of encoded words gain from every task."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 class WordHashes:
     """64-bit hash of every word, computed once per distinct word and worker."""
 
@@ -144,7 +157,7 @@ class WordHashes:
         if len(self.index) > MAX_WORDS:
             self.index, self.values = WordIndex(), np.zeros(0, U64)
         index = self.index
-        at = np.fromiter((index[w] for w in words), np.int64, len(words))
+        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         if index.fresh:
             self.values = np.concatenate([self.values, np.fromiter(map(xxh64_intdigest, index.fresh), U64, len(index.fresh))])
             index.fresh = []
@@ -164,10 +177,10 @@ class TokenTable:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Row of the table for each word, new words included."""
-        if len(self.index) > MAX_WORDS:
+        if len(self.index) > MAX_ENCODED:
             self._clear()
         index = self.index
-        at = np.fromiter((index[w] for w in words), np.int64, len(words))
+        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         if index.fresh:
             rows = self.encode(index.fresh)
             n = np.fromiter(map(len, rows), np.int64, len(rows))

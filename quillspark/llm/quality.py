@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TokenTable, blocks, bounds, documents, map_arrow, raw_texts
+from .common import TokenTable, blocks, bounds, documents, map_arrow, raw_texts, worker_object
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -148,7 +148,7 @@ def measures(docs: DataFrame, path: str | None = None) -> DataFrame:
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meter = Meter(path)
+        meter = worker_object(("meter", path), lambda: Meter(path))
         for b in batches:
             texts = raw_texts(b.column("text"))
             for i, j in blocks([len(t) for t in texts]):

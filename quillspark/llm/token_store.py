@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import load_tokenizer
-from .common import TokenTable, blocks, bounds, documents, fanout, map_arrow, mix64, new_path, raw_texts, ship_code
+from .common import TokenTable, blocks, bounds, documents, fanout, map_arrow, mix64, new_path, ship_code, worker_object
 
 MAGIC = b"QUILLTK1"
 END_ID = 2
@@ -205,7 +205,7 @@ def write_store(docs: DataFrame, root: str, path: str | None = None, end_id: int
         encoder, ctx = None, TaskContext.get()
         keys, counts, payload, nulls = [], [], [], 0
         for b in batches:
-            encoder = encoder or Encoder(path)
+            encoder = encoder or worker_object(("byte-bpe", path), lambda: Encoder(path))
             nulls += b.column(0).null_count
             keys.append(b.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False).astype(np.int64))
             texts = [x or "" for x in b.column(1).to_pylist()]
