@@ -1,4 +1,5 @@
-"""Text-pair metrics. Token overlap is native; LCS and character n-grams run as Arrow UDFs over statistics that sum."""
+"""Text-pair metrics. Overlaps, subsequences and n-grams are Arrow UDFs of linear or bit-parallel cost; all statistics sum, so
+corpus scores are partial aggregates and a last formula."""
 
 from __future__ import annotations
 
@@ -15,8 +16,14 @@ CHRF_ORDER, CHRF_BETA = 6, 2
 BLEU_ORDER = 4
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
+@F.pandas_udf(T.LongType())
+def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Size of the multiset intersection of two arrays, in linear time."""
+    return pd.Series([sum((Counter(x) & Counter(y)).values()) if x is not None and y is not None else 0 for x, y in zip(a, b)], dtype="int64")
+
+
+def overlap_native(a: Column, b: Column) -> Column:
+    """The same as a fold; quadratic, for short arrays and as a cross-check."""
     count = lambda c, t: F.size(F.filter(c, lambda x: x == t))
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import queries_corpus, queries_metrics, queries_retrieval, queries_rules
+
+_MODULES = (queries_retrieval, queries_corpus, queries_metrics, queries_rules)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, (f, _) in m.FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _MODULES for k, (_, s) in m.FOUND.items() if s}
