@@ -15,13 +15,13 @@ from quillspark.llm.common import write_table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.judged(quality.measures(docs)).filter("kept").select(*docs.columns)
+    return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of least doc_id."""
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    """One document of each group of near copies: the one of least doc_id. Rows that repeat it whole stay with it."""
+    gone = near_dedup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone"), "tkey").distinct()
+    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("_gone")) & (F.xxhash64(docs.text) == gone.tkey), "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

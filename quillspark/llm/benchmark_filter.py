@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_arrow, raw_texts
+from .common import documents, map_arrow, raw_texts, set_aside
 
 WINDOW = 10
 #: Bytes of item text in one automaton; the driver reads one part of the items at a time.
@@ -169,7 +169,8 @@ MINE = {"n_words": T.LongType(), "n_hit": T.LongType(), "spans": T.ArrayType(T.L
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with n_words, n_hit, spans (begin and end of each hit run of words, flat) and items (sorted ids)."""
+    """docs with n_words, n_hit, spans (begin and end of each hit run of words, flat) and items (sorted ids); own columns of these
+    names give way."""
     keep = [f for f in docs.schema if f.name not in MINE]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, *[T.StructField(k, t) for k, t in MINE.items()]])
@@ -202,6 +203,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_length: int = 1, max_coverage: float = 1.0) -> DataFrame:
     """docs with their texts without the hit spans of `min_length` words or more; over a hit share of `max_coverage` the whole
     text goes. The columns are those of docs."""
+    docs, named_back = set_aside(docs, MINE)
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +218,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 clean.append("" if hit > max_coverage * n else cut(raw, pairs).decode())
             yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
 
-    return map_arrow(find_items(docs, benchmark, window), run, schema)
+    return named_back(map_arrow(find_items(docs, benchmark, window), run, schema))
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:

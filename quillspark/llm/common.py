@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -109,6 +109,23 @@ def map_arrow(df: DataFrame, func: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(func, schema)
 
 
+def text_key(raw: bytes) -> int:
+    """What Spark's xxhash64 gives for a string, so that rows are found again in a plan."""
+    from xxhash import xxh64_intdigest
+
+    k = xxh64_intdigest(raw, 42)
+    return k - (1 << 64) if k >= 1 << 63 else k
+
+
+def set_aside(docs: DataFrame, taken: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with own columns of taken names renamed, and what names them back."""
+    low = {t.lower() for t in taken}
+    clash = [c for c in docs.columns if c.lower() in low]
+    if not clash:
+        return docs, lambda df: df
+    return docs.withColumnsRenamed({c: f"__own_{c}" for c in clash}), lambda df: df.withColumnsRenamed({f"__own_{c}": c for c in clash})
+
+
 # --------------------------------------------------------------------------- words
 class WordIndex(dict):
     """word -> dense number, assigned at first sight. `fresh` holds the words not yet taken up by the owner."""

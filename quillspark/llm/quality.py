@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TokenTable, blocks, bounds, documents, map_arrow, raw_texts, worker_object
+from .common import TokenTable, blocks, bounds, documents, map_arrow, raw_texts, set_aside, worker_object
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -141,7 +141,7 @@ _SPARK = {"long": T.LongType(), "double": T.DoubleType(), "string": T.StringType
 
 
 def measures(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs with the columns of MEASURES."""
+    """docs with the columns of MEASURES; own columns of these names give way."""
     path = path or default_path()
     mine = [k for k, _ in MEASURES]
     keep = [f for f in docs.schema if f.name not in mine]
@@ -167,6 +167,12 @@ def judged(measured: DataFrame, bands: dict[str, Band] = BANDS) -> DataFrame:
     return measured.withColumn("base_failed", low).withColumn("kept", ~F.col("base_failed") & inside)
 
 
+def keep(docs: DataFrame, bands: dict[str, Band] = BANDS) -> DataFrame:
+    """The rows of docs that pass, with their own columns."""
+    docs, named_back = set_aside(docs, [*[k for k, _ in MEASURES], "base_failed", "kept"])
+    return named_back(judged(measures(docs), bands).filter("kept").select(*docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judged(measures(documents(spark, sf_dir).select("doc_id", "text")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "script")

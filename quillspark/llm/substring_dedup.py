@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import U64, WordHashes, blocks, bounds, documents, drop_tables, fanout, map_arrow, mix64, raw_texts, release, write_table
+from .common import U64, WordHashes, blocks, bounds, documents, drop_tables, fanout, map_arrow, mix64, raw_texts, release, set_aside, text_key, write_table
 from .fm_index import FMIndex
 
 WINDOW = 50
@@ -87,14 +86,6 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U64 else x, pa.int64())
 
 
-def text_key(raw: bytes) -> int:
-    """What Spark's xxhash64 gives for a string, so that rows are found again in a plan."""
-    from xxhash import xxh64_intdigest
-
-    k = xxh64_intdigest(raw, 42)
-    return k - (1 << 64) if k >= 1 << 63 else k
-
-
 def runs(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, start, n, anchor, content of every run."""
 
@@ -211,8 +202,8 @@ def with_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     spans = removals(docs)
     few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS
-    own = [c for c in docs.columns if c not in ("spans", "tkey")]
-    keyed = docs.select(*own, F.xxhash64("text").alias("tkey"))
+    own = docs.columns
+    keyed = docs.withColumn("tkey", F.xxhash64("text"))
     return keyed.join(F.broadcast(spans) if few else spans, ["doc_id", "tkey"], "left").select(*own, "spans")
 
 
@@ -237,7 +228,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame) -> DataFrame:
     """docs with their texts without the repeated words; what stands between kept words stays as it is."""
-    names, schema = [c for c in docs.columns if c not in ("spans", "tkey")], T.StructType([f for f in docs.schema if f.name not in ("spans", "tkey")])
+    docs, named_back = set_aside(docs, ("spans", "tkey"))
+    names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,7 +250,7 @@ def remove(docs: DataFrame) -> DataFrame:
                 texts.append(b"".join(out).decode())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
 
-    return map_arrow(with_spans(docs), run, schema)
+    return named_back(map_arrow(with_spans(docs), run, schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
