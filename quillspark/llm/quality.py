@@ -43,7 +43,7 @@ class Band:
 #: Production bands. Wide on purpose: they reject what no running text of the script shows (symbol soup, a few
 #: tokens over and over, bytes that no word of the vocabulary covers), not unusual prose.
 BANDS: dict[str, Band] = {
-    "latin": Band(1.35, 9.0, 0.25, 4.0),
+    "latin": Band(1.1, 9.0, 0.25, 4.0),
     "cyrillic": Band(1.0, 8.0, 0.25, 4.0),
     "greek": Band(0.7, 6.0, 0.35, 3.5),
     "arabic": Band(0.7, 6.0, 0.35, 3.5),
@@ -69,7 +69,7 @@ def default_path() -> str:
 
 def script_of(raw: bytes, text: str) -> str:
     """The script with the most letters; texts of mostly one-byte characters are Latin without a count."""
-    if len(raw) < 1.4 * len(text):
+    if len(raw) <= 1.4 * len(text):
         return "latin"
     n = {k: sum(map(len, p.findall(text))) for k, p in _SCRIPT.items()}
     best = max(n, key=lambda k: n[k])
