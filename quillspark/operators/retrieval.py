@@ -27,14 +27,15 @@ def bounded_k(k: int | None, default: int = DEFAULT_K, most: int = MAX_K) -> int
 
 
 # --------------------------------------------------------------------------- sparse
-def terms(texts: DataFrame, key: str, text: str, bigrams: bool = True, strip: bool = True) -> DataFrame:
+def terms(texts: DataFrame, key: str | list[str], text: str, bigrams: bool = True, strip: bool = True) -> DataFrame:
     """key, term, tf: term counts of each text."""
+    keys = [key] if isinstance(key, str) else key
     tokens = folded_tokens(text, 2) if strip else F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    df = texts.select(key, tokens.alias("t"))
+    df = texts.select(*keys, tokens.alias("t"))
     if bigrams:
         pairs = F.when(F.size("t") >= 2, F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-        df = df.select(key, F.concat("t", pairs).alias("t"))
-    return df.select(key, F.explode("t").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        df = df.select(*keys, F.concat("t", pairs).alias("t"))
+    return df.select(*keys, F.explode("t").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def idf(index_terms: DataFrame, n_docs: DataFrame, max_df: float | None = 0.95) -> DataFrame:
@@ -45,12 +46,12 @@ def idf(index_terms: DataFrame, n_docs: DataFrame, max_df: float | None = 0.95)
     return df.select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def weights(counted: DataFrame, idf_table: DataFrame, key: str, sublinear: bool = True) -> DataFrame:
-    """key, term, w: unit-length weights over the index vocabulary."""
+def weights(counted: DataFrame, idf_table: DataFrame, key: str | list[str], sublinear: bool = True) -> DataFrame:
+    """key, term, w: unit-length weights over the index vocabulary. The length is a window sum over one text's terms."""
+    keys = [key] if isinstance(key, str) else key
     tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
-    raw = counted.join(idf_table, "term").select(key, "term", (tf * F.col("idf")).alias("w"))
-    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return raw.join(length, key).select(key, "term", (F.col("w") / F.col("len")).alias("w"))
+    raw = counted.join(idf_table.select("term", "idf"), "term").select(*keys, "term", (tf * F.col("idf")).alias("w"))
+    return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys))))
 
 
 def sparse_scores(queries: DataFrame, index: DataFrame, query: str, doc: str) -> DataFrame:
@@ -74,9 +75,11 @@ def with_fallback(best: DataFrame, queries: DataFrame, index: DataFrame, query:
 
 def tfidf_search(queries: DataFrame, index: DataFrame, query: str, doc: str, text: str, k: int = 1, bigrams: bool = True, sublinear: bool = True, max_df: float | None = 0.95, strip: bool = True, exclude: Column | None = None) -> DataFrame:
     """query, doc, score, rank of the k best index texts; weights come from the index alone. exclude: pairs to leave out."""
-    counted = terms(index, doc, text, bigrams, strip)
-    table = idf(counted, index.agg(F.count(F.lit(1)).alias("n")), max_df)
-    scores = sparse_scores(weights(terms(queries, query, text, bigrams, strip), table, query, sublinear), weights(counted, table, doc, sublinear), query, doc)
+    both = index.select(F.lit(True).alias("_index"), F.col(doc).alias("_id"), F.col(text).alias("_text")).unionByName(queries.select(F.lit(False).alias("_index"), F.col(query).alias("_id"), F.col(text).alias("_text")))
+    counted = terms(both, ["_index", "_id"], "_text", bigrams, strip)
+    table = idf(counted.filter("_index"), index.agg(F.count(F.lit(1)).alias("n")), max_df)
+    weighted = weights(counted, table, ["_index", "_id"], sublinear)
+    scores = sparse_scores(weighted.filter("not _index").select(F.col("_id").alias(query), "term", "w"), weighted.filter("_index").select(F.col("_id").alias(doc), "term", "w"), query, doc)
     if exclude is not None:
         scores = scores.filter(~exclude)
     return top_k(scores, query, doc, k)

@@ -27,10 +27,10 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, split, question, answer (the longest)."""
+    """conv_id, split, question, answer (the longest). Index, queries and counts all read it, so it is kept (memory, then disk)."""
     from quillspark.operators.corpus import with_longest_answer
 
-    return with_longest_answer(cases(spark, sf_dir)).select("conv_id", "split", "question", "answer")
+    return with_longest_answer(cases(spark, sf_dir)).select("conv_id", "split", "question", "answer").persist()
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
