@@ -30,8 +30,6 @@ WINDOW = 50
 ANCHOR = 8
 #: Words of the runs in one index; an anchor is never split.
 SHARD_WORDS = 500_000
-#: Rows (of about 40 bytes) that may be broadcast; beyond that a shuffled join is used.
-BROADCAST_ROWS = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -171,9 +169,8 @@ def removals(docs: DataFrame) -> DataFrame:
     distinct = shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "tkey", "start", "n")).alias("f"))
     wanted = distinct.groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.tkey").alias("tkey")).agg(F.collect_list(F.struct("anchor", "content", F.col("f.doc_id").alias("least"), F.col("f.start").alias("start"), F.col("f.n").alias("n"))).alias("wanted"))
     wanted = write_table(spark, wanted, "wanted-runs")
-    few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_ROWS
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-    words = run_words(keyed.join(F.broadcast(wanted) if few else wanted, ["doc_id", "tkey"]).select("text", "wanted"))
+    words = run_words(keyed.join(wanted, ["doc_id", "tkey"]).select("text", "wanted"))
     parts = fanout(spark, shared)
     # repeated rows give a run twice
     dealt = words.repartition(parts, "anchor").sortWithinPartitions("anchor", "content")
@@ -201,10 +198,9 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """docs with `spans` (null where nothing is removed)."""
     spark = docs.sparkSession
     spans = removals(docs)
-    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS
     own = docs.columns
     keyed = docs.withColumn("tkey", F.xxhash64("text"))
-    return keyed.join(F.broadcast(spans) if few else spans, ["doc_id", "tkey"], "left").select(*own, "spans")
+    return keyed.join(spans, ["doc_id", "tkey"], "left").select(*own, "spans")
 
 
 def digests(docs: DataFrame) -> DataFrame:
