@@ -28,6 +28,8 @@ THRESHOLD = 0.3
 #: Bound of the sample that the driver learns from.
 TRAIN_ROWS = 12_000
 LEXICON_WORDS = 256
+#: Inflected and compounded insults share a stem: the first STEM bytes of longer words.
+STEM = 5
 MIN_LEXICON_DOCS = 3
 PROXIMITY = 5
 
@@ -36,10 +38,10 @@ YOU = frozenset("you your yours yourself u ur du dich dir dein deine deinen dein
 FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 LEET = str.maketrans("013457@$!", "oieastasi")
 OBFUSCATED = re.compile(r"(?<![^\W_])[a-z]+(?:[0-9@$!*._+-]+[a-z]+)+(?![^\W_])")
-FEATURES = ["hits", "hit_rate", "distinct", "weight", "weight_rate", "strongest", "near_you", "near_you_rate", "capitals", "shouted", "exclaims", "questions", "punctuation", "obfuscated", "obfuscated_hits", "words"]
+FEATURES = ["hits", "hit_rate", "distinct", "weight", "weight_rate", "strongest", "stem_hits", "stem_rate", "stem_distinct", "stem_weight_rate", "near_you", "near_you_rate", "capitals", "shouted", "exclaims", "questions", "punctuation", "obfuscated", "obfuscated_hits", "words"]
 
 
-def features_of(raw: bytes, lexicon: dict[bytes, float]) -> tuple[float, ...]:
+def features_of(raw: bytes, lexicon: dict[bytes, float], stems: dict[bytes, float]) -> tuple[float, ...]:
     text = raw.decode()
     low = text.lower()
     folded = low.encode()
@@ -49,13 +51,15 @@ def features_of(raw: bytes, lexicon: dict[bytes, float]) -> tuple[float, ...]:
         return (0.0,) * len(FEATURES)
     hits = [i for i, w in enumerate(words) if w in lexicon]
     weights = [lexicon[words[i]] for i in hits]
-    near = sum(1 for i in hits if not YOU.isdisjoint(words[max(0, i - PROXIMITY) : i + PROXIMITY + 1]))
+    stemmed = [(i, w[:STEM]) for i, w in enumerate(words) if w[:STEM] in stems and len(w) > STEM]
+    near = sum(1 for i in {*hits, *(i for i, _ in stemmed)} if not YOU.isdisjoint(words[max(0, i - PROXIMITY) : i + PROXIMITY + 1]))
     size = len(raw)
     capitals = size - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     odd = OBFUSCATED.findall(low)
     odd_hits = sum(1 for w in odd if re.sub(r"[^a-z]", "", w.translate(LEET)).encode() in lexicon)
     return (
-        len(hits), 100 * len(hits) / n, len({words[i] for i in hits}), sum(weights), 100 * sum(weights) / n, max(weights, default=0.0), near, 100 * near / n,
+        len(hits), 100 * len(hits) / n, len({words[i] for i in hits}), sum(weights), 100 * sum(weights) / n, max(weights, default=0.0),
+        len(stemmed), 100 * len(stemmed) / n, len({words[i] for i, _ in stemmed}), 100 * sum(stems[t] for _, t in stemmed) / n, near, 100 * near / n,
         capitals / size, float(low != text and text.upper() == text), 100 * raw.count(b"!") / n, 100 * raw.count(b"?") / n,
         (size - len(raw.translate(None, b".,;:!?\"'()-"))) / size, 100 * len(odd) / n, odd_hits, min(n, 5000),
     )
@@ -137,13 +141,14 @@ def fit_isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndar
 @dataclass
 class Model:
     lexicon: dict[bytes, float]
+    stems: dict[bytes, float]
     booster: Booster
     calibration: tuple[np.ndarray, np.ndarray]
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        x = np.array([features_of(t, self.lexicon) for t in texts], np.float64)
+        x = np.array([features_of(t, self.lexicon, self.stems) for t in texts], np.float64)
         margin = self.booster.margin(x)
         xs, ys = self.calibration
         p = np.interp(margin, xs, ys) if len(xs) else 1 / (1 + np.exp(-margin))
@@ -161,14 +166,18 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")  # `rows` rows at most
 
 
-def learn_lexicon(train: DataFrame, positive: int, negative: int) -> dict[bytes, float]:
-    words = train.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).filter(F.length("word").between(3, 40))
+def learn_lexicon(train: DataFrame, positive: int, negative: int, by_stem: bool = False) -> dict[bytes, float]:
+    """Words (or stems of longer words) that toxic texts hold far more often, with the log ratio of their document shares."""
+    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
+    words = train.select("doc_id", "toxic", word).filter(F.length("word").between(3, 40)).withColumn("word", F.col("word").cast("binary"))
+    if by_stem:
+        words = words.filter(F.octet_length("word") > STEM).withColumn("word", F.substring("word", 1, STEM)).distinct()
     counts = words.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).filter(F.col("p") >= MIN_LEXICON_DOCS)
     weight = F.log((F.col("p") + 0.5) / (positive + 1)) - F.log((F.col("q") + 0.5) / (negative + 1))
     # one that stands out by more than chance: weight against its standard error
     error = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
     best = counts.select("word", weight.alias("weight"), (weight / error).alias("z"), "p").filter("z > 2.5 and weight > 1").withColumn("rank", F.col("z") * F.sqrt("p")).orderBy(F.desc("rank"), "word").limit(LEXICON_WORDS)
-    return {r.word.encode(): float(r.weight) for r in best.collect()}
+    return {bytes(r.word): float(r.weight) for r in best.collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -176,12 +185,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     positive, total = train.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     if not total or not positive or positive == total:
         p = float(positive or 0) / total if total else 0.0
-        return Model({}, Booster(0.0), (np.array([0.0]), np.array([p])))
-    lexicon = learn_lexicon(train, positive, total - positive)
+        return Model({}, {}, Booster(0.0), (np.array([0.0]), np.array([p])))
+    lexicon, stems = (learn_lexicon(train, positive, total - positive, by_stem) for by_stem in (False, True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [list(map(float, features_of(t, lexicon))) for t in raw_texts(b.column("text"))]
+            x = [list(map(float, features_of(t, lexicon, stems))) for t in raw_texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
     found = map_arrow(train, run, "doc_id long, toxic int, x array<double>").toPandas().sort_values("doc_id", kind="stable")  # `rows` rows of numbers
@@ -189,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     part = np.random.default_rng(7).permutation(len(y)) % 10 < 3
     if min(y[part].sum(), y[~part].sum()) < 3:
         part = np.zeros(len(y), bool)
-    model = Model(lexicon, fit_booster(x[~part], y[~part]), (np.zeros(0), np.zeros(0)))
+    model = Model(lexicon, stems, fit_booster(x[~part], y[~part]), (np.zeros(0), np.zeros(0)))
     if part.any():
         model.calibration = fit_isotonic(model.booster.margin(x[part]), y[part])
     return model
