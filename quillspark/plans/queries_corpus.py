@@ -106,11 +106,11 @@ def answer_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.answer_counters(cases(spark, sf_dir))
 
 
-@query(f"""WITH {CASES_SQL}, k AS (SELECT conv_id, a, p, left({_NTEXT.format(c='a')}, 12) AS key FROM answers WHERE trim(a) <> ''),
+@query(f"""WITH {CASES_SQL}, k AS (SELECT conv_id, a, p, {_NTEXT.format(c='a')} AS key FROM answers WHERE trim(a) <> ''),
 g AS (SELECT conv_id, key, count(*) AS n, min(p) AS p FROM k GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id) AS total, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, p) AS r FROM g)
-SELECT conv_id, left(a, 12) AS majority_answer, round(CAST(n AS DOUBLE) / total, 6) AS agreement FROM r JOIN answers USING (conv_id, p) WHERE r = 1""".replace(f"left({_NTEXT.format(c='a')}, 12)", _NTEXT.format(c="left(a, 12)")))
+SELECT conv_id, a AS majority_answer, round(CAST(n AS DOUBLE) / total, 6) AS agreement FROM r JOIN answers USING (conv_id, p) WHERE r = 1""")
 def majority_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cases(spark, sf_dir).select("conv_id", F.posexplode("responses").alias("p", "a")).filter(F.trim("a") != "").withColumn("a", F.substring("a", 1, 12))
+    rows = cases(spark, sf_dir).select("conv_id", F.posexplode("responses").alias("p", "a")).filter(F.trim("a") != "")
     out = corpus.majority_answer(rows, "conv_id", "p", "a")
     return out.select("conv_id", "majority_answer", F.round("agreement", 6).alias("agreement"))
 

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from quillspark.shipping import ship_code
+
 from . import queries_corpus, queries_metrics, queries_retrieval, queries_rules
 
 _MODULES = (queries_retrieval, queries_corpus, queries_metrics, queries_rules)
 
 
+def _shipped(f):
+    @wraps(f)
+    def run(spark, sf_dir):
+        ship_code(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {k: f for m in _MODULES for k, (f, _) in m.FOUND.items()}
+    return {k: _shipped(f) for m in _MODULES for k, (f, _) in m.FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
