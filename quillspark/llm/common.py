@@ -18,8 +18,8 @@ from quillspark.shipping import ship_code
 BLOCK_BYTES = 2 << 20
 #: Entries of a worker's word hashes before they start anew.
 MAX_WORDS = 300_000
-#: Entries of a worker's table of encoded words before it starts anew (about 200 bytes each).
-MAX_ENCODED = 800_000
+#: Entries of a worker's table of encoded words before it starts anew (about 250 bytes each; an executor may hold several workers).
+MAX_ENCODED = 250_000
 
 U64 = np.uint64
 

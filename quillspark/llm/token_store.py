@@ -179,17 +179,39 @@ class Shard:
 
 
 # --------------------------------------------------------------------------- operators
+#: Letters of the common Latin ranges.
+LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01bf"
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: printable ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of one worker's texts. A token never goes on from a character into white space, so a text is cut before each run of
-    white space and every distinct piece is encoded once."""
+    white space, plain words besides before the mark that ends them, and every distinct piece is encoded once: plain words
+    by the library's BPE model, for they are one pre-token, any other piece by its whole pipeline."""
 
     def __init__(self, path: str) -> None:
         import re
 
         tok = load_tokenizer(path)
         self.vocab = tok.get_vocab_size(with_added_tokens=True)
-        self.table = TokenTable(lambda words: [e.ids for e in tok.encode_batch(words, add_special_tokens=False)])
-        self.pieces = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        model, written = tok.model, {chr(b): c for b, c in byte_characters().items()}
+        plain, table = re.compile(f" ?[{LATIN}]+").fullmatch, str.maketrans(written)
+
+        def encode(pieces: list[str]) -> list[list[int]]:
+            out: list = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(table))] if plain(p) else None for p in pieces]
+            rest = [i for i, ids in enumerate(out) if ids is None]
+            for i, e in zip(rest, tok.encode_batch([pieces[i] for i in rest], add_special_tokens=False)):
+                out[i] = e.ids
+            return out
+
+        self.table = TokenTable(encode)
+        self.pieces = re.compile(f" ?[{LATIN}]+(?=[.,;:]?(?:[ \n]|$))|[.,;:](?=[ \n]|$)|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [self.pieces(t) for t in texts]
