@@ -259,3 +259,10 @@ def test_pipeline(spark, docs, tmp_path):
         ids = tok.encode(" ".join(x for i, x in enumerate(w) if i not in hit), add_special_tokens=False).ids
         want.append((k, len(ids), sha(" ".join(map(str, ids)))))
     assert want and plain((r.doc_id, r.n_tokens, r.ids_sha256) for r in got) == plain(want)
+
+
+def test_large_run_gives_bounded_regions(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION_MEMBERS", 50)
+    rows = spark.range(400).select(F.lit(7).cast("long").alias("key"), (F.col("id") % 20).alias("s1"), F.lit(0).cast("long").alias("s2"), F.col("id").alias("nid"), F.lit(3).cast("long").alias("n_shingles"))
+    got = near_dedup.regions(rows.coalesce(1).sortWithinPartitions("key", "s1", "s2", "nid")).groupBy("region").agg(F.count("nid").alias("n"), F.count("prev").alias("p")).collect()
+    assert sum(r.n for r in got) == 400 and all(r.p == r.n - 1 for r in got)
