@@ -5,7 +5,9 @@ dealt to index shards by content: the least hash among the ANCHOR-word grams of
 maximal row of windows of one anchor. Equal windows have equal anchors, so they meet in one shard, and anchors of one
 document alone (most of all text) leave before anything is indexed. Each shard indexes the distinct runs of its anchors
 (see fm_index) and streams them through by backward steps; the interval of rows that share WINDOW words gives the least
-doc_id that holds the window. Copies of a run, thousands of them or a third of the corpus, are one indexed run.
+doc_id that holds the window. Copies of a run, thousands of them or a third of the corpus, are one indexed run. Where a
+passage was edited in so many ways that its anchor has over HEAVY_RUNS distinct runs, no index takes them: their windows
+are dealt by their own hashes and the least doc_id of each is a grouped minimum.
 
 Null and empty texts have no words; documents with a null doc_id have no order among others, so nothing is removed from
 or because of them; rows of equal doc_id don't remove from each other; repeated rows are treated alike. Extra columns are
@@ -28,8 +30,10 @@ from .fm_index import FMIndex
 
 WINDOW = 50
 ANCHOR = 8
-#: Words of the runs in one index; an anchor is never split.
+#: Words of the runs in one index; an anchor's runs are never split.
 SHARD_WORDS = 500_000
+#: Distinct runs of one anchor that an index takes; the windows of anchors with more meet one by one instead.
+HEAVY_RUNS = 5_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -166,7 +170,11 @@ def removals(docs: DataFrame) -> DataFrame:
     drop_tables(spark, every)
     release(spark)
     # one row for each distinct run, of its least document
-    distinct = shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "tkey", "start", "n")).alias("f"))
+    distinct = write_table(spark, shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "tkey", "start", "n")).alias("f")), "distinct-runs")
+    heavy = write_table(spark, distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HEAVY_RUNS).select("anchor"), "heavy-anchors")
+    any_heavy = not heavy.isEmpty()
+    if any_heavy:
+        distinct = distinct.join(heavy, "anchor", "left_anti")
     wanted = distinct.groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.tkey").alias("tkey")).agg(F.collect_list(F.struct("anchor", "content", F.col("f.doc_id").alias("least"), F.col("f.start").alias("start"), F.col("f.n").alias("n"))).alias("wanted"))
     wanted = write_table(spark, wanted, "wanted-runs")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
@@ -180,12 +188,35 @@ def removals(docs: DataFrame) -> DataFrame:
     part = F.transform(F.filter(F.sequence(F.lit(0), F.size("mins") - 1), lambda k: F.get("mins", k) < F.col("doc_id")), lambda k: F.struct((F.col("start") + k).alias("start"), F.lit(1).alias("n")))
     whole = F.array(F.struct(F.col("start").alias("start"), F.col("n").alias("n")))
     spans = met.select("doc_id", "tkey", F.when(F.array_max("mins") < F.col("doc_id"), whole).otherwise(part).alias("s"))
+    if any_heavy:
+        spans = spans.unionByName(heavy_spans(docs, shared.join(heavy, "anchor", "left_semi")))
     out = write_table(spark, spans.groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
     drop_tables(spark, shared, wanted)
     release(spark)
     return out
 
 
+def heavy_spans(docs: DataFrame, heavy: DataFrame) -> DataFrame:
+    """doc_id, tkey, s array<struct<start, n>>: windows of the heavy runs that a document of smaller doc_id has."""
+    spark = docs.sparkSession
+    lists = heavy.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey")).join(lists, ["doc_id", "tkey"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            for k, raw in enumerate(raw_texts(b.column("text"))):
+                words, wanted = hashes(raw.split()), b.column("wanted")[k].as_py()
+                at = np.concatenate([np.arange(w["start"], w["start"] + w["n"]) for w in wanted])
+                h = Sums(words)(at, at + WINDOW)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(c)[k].as_py()] * len(at), pa.int64()) for c in ("doc_id", "tkey")] + [pa.array(at, pa.int32()), _signed(h)], names=["doc_id", "tkey", "start", "h"])
+
+    windows = write_table(spark, map_arrow(keyed, run, "doc_id long, tkey long, start int, h long"), "heavy-windows")
+    least = windows.groupBy("h").agg(F.min("doc_id").alias("lo"))
+    met = windows.join(least, "h").filter(F.col("lo") < F.col("doc_id"))
+    return met.select("doc_id", "tkey", F.array(F.struct("start", F.lit(1).alias("n"))).alias("s"))
+
+
 def _removed(n: int, spans: list[dict]) -> np.ndarray:
     edge = np.zeros(n + 1, np.int32)
     for s in spans:

@@ -100,6 +100,12 @@ def test_substring_dedup(docs, no_docs):
     assert kept == Counter((k, tuple(w for w, x in zip(brute.words(t), g) if not x)) for (k, t), g in zip(ROWS, gone))
 
 
+def test_heavy_anchors_give_the_same(docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HEAVY_RUNS", 1)
+    want = [(k, sum(g)) for (k, _), g in zip(ROWS, brute.repeated(ROWS))]
+    assert plain(substring_dedup.digests(docs).select("doc_id", "n_removed").collect()) == plain(want)
+
+
 def test_fm_index_matches_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(25):
