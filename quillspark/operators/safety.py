@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +21,31 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def has_term(folded: Column, term: str) -> Column:
-    """Whole-term match by word boundaries; stems don't match longer words."""
-    return folded.rlike(rf"(?U)\b{re.escape(term)}\b")
+#: Stands on both sides of every word of a marked text, so that a term is a whole-word match where its marked form is contained.
+EDGE = "\x01"
+
+
+def marked(folded: Column) -> Column:
+    return F.regexp_replace(folded, r"([\p{L}\p{N}_]+)", f"{EDGE}$1{EDGE}")
+
+
+def _mark(term: str) -> str:
+    return re.sub(r"(\w+)", rf"{EDGE}\1{EDGE}", term)
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _terms_in(text: Column, terms: list[str]) -> Column:
+    table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_mark(t)).alias("m")) for t in terms])
+    return F.transform(F.filter(table, lambda r: text.contains(r["m"])), lambda r: r["t"])
 
 
 def terms_in(folded: Column, terms: list[str]) -> Column:
-    """Terms that the text has, in list order."""
-    return F.array_compact(F.array(*[F.when(has_term(folded, t), F.lit(t)) for t in terms]))
+    """Terms that the text has as whole words, in list order; stems don't match longer words."""
+    return _let(marked(folded), lambda x: _terms_in(x, terms))
 
 
 def draft_flags(text: Column | str, min_words: int = MIN_WORDS) -> Column:
@@ -38,35 +56,47 @@ def draft_flags(text: Column | str, min_words: int = MIN_WORDS) -> Column:
     return F.when(t == "", F.array(F.lit("vacio"))).otherwise(F.array_compact(F.array(F.when(few, F.lit("muy_corto")), F.when(again, F.lit("repetitivo")))))
 
 
+def _joined(evidence: Column | str) -> Column:
+    """All evidence texts, folded and marked, one a line."""
+    return F.array_join(F.transform(_col(evidence), lambda e: marked(fold(e))), "\n")
+
+
+def _unsupported(draft: Column, evidence: Column, terms: list[str]) -> Column:
+    return F.array_sort(F.array_except(_terms_in(draft, terms), _terms_in(evidence, terms)))
+
+
 def unsupported(draft: Column | str, evidence: Column | str, terms: list[str]) -> Column:
     """Terms of the draft that no evidence text has, sorted. evidence: array of texts."""
-    joined = F.array_join(F.transform(_col(evidence), lambda e: fold(e)), "\n")
-    return F.array_sort(F.array_except(terms_in(fold(draft), terms), terms_in(joined, terms)))
+    return _let(F.struct(marked(fold(draft)).alias("d"), _joined(evidence).alias("e")), lambda x: _unsupported(x["d"], x["e"], terms))
+
+
+def _risk_terms(draft: Column, table: dict[str, list[str]]) -> Column:
+    rows = F.array(*[F.struct(F.lit(t).alias("termino"), F.lit(c).alias("categoria"), F.lit(_mark(t)).alias("m")) for c, ts in table.items() for t in ts])
+    return F.transform(F.filter(rows, lambda r: draft.contains(r["m"])), lambda r: F.struct(r["termino"].alias("termino"), r["categoria"].alias("categoria")))
 
 
 def risk_terms(draft: Column | str, table: dict[str, list[str]] = lexicon.RISK_TERMS) -> Column:
-    d = fold(draft)
-    return F.array_compact(F.array(*[F.when(has_term(d, t), F.struct(F.lit(t).alias("termino"), F.lit(c).alias("categoria"))) for c, ts in table.items() for t in ts]))
+    return _let(marked(fold(draft)), lambda x: _risk_terms(x, table))
+
+
+def _entity_changed(draft: Column, first: Column, terms: list[str]) -> Column:
+    a, b = _terms_in(draft, terms), _terms_in(first, terms)
+    return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
 
 
 def entity_changed(draft: Column | str, evidence: Column | str, terms: list[str] = lexicon.CONDITIONS) -> Column:
     """Draft and first evidence both name diagnoses and share none."""
-    a, b = terms_in(fold(draft), terms), terms_in(fold(F.get(_col(evidence), F.lit(0))), terms)
-    return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
+    return _let(F.struct(marked(fold(draft)).alias("d"), marked(fold(F.get(_col(evidence), F.lit(0)))).alias("e")), lambda x: _entity_changed(x["d"], x["e"], terms))
+
+
+def _red_flags(query: Column, rules: list) -> Column:
+    rows = F.array(*[F.struct(F.lit(sign).alias("sign"), F.lit([[_mark(t) for t in g] for g in groups]).alias("groups")) for sign, groups in rules])
+    met = F.filter(rows, lambda r: F.exists(r["groups"], lambda g: F.forall(g, lambda t: query.contains(t))))
+    return F.transform(met, lambda r: r["sign"])
 
 
 def red_flags(query: Column | str, rules: list = lexicon.RED_FLAGS) -> Column:
-    q = fold(query)
-    met = []
-    for sign, groups in rules:
-        any_of = F.lit(False)
-        for group in groups:
-            all_of = F.lit(True)
-            for t in group:
-                all_of = all_of & has_term(q, t)
-            any_of = any_of | all_of
-        met.append(F.when(any_of, F.lit(sign)))
-    return F.array_compact(F.array(*met))
+    return _let(marked(fold(query)), lambda x: _red_flags(x, rules))
 
 
 def reassures(draft: Column | str, phrases: list[str] = lexicon.REASSURING) -> Column:
@@ -76,18 +106,21 @@ def reassures(draft: Column | str, phrases: list[str] = lexicon.REASSURING) -> C
 def analyze(df: DataFrame, draft: str, evidence: str, query: str | None = None, similarity: str | None = None, confidence: float = CONFIDENCE) -> DataFrame:
     """df with `verdict`: level, flags and findings. Levels: alto, medio, bajo."""
     sim = F.col(similarity).cast("double") if similarity else F.lit(None).cast("double")
+    # texts are folded and marked once, in a projection of their own
+    texts = df.withColumns({"_d": marked(fold(draft)), "_e": _joined(evidence), "_e1": marked(fold(F.get(evidence, F.lit(0)))), "_q": marked(fold(query)) if query else F.lit("")})
+    d, e, q = F.col("_d"), F.col("_e"), F.col("_q")
     parts = {
         "flags": draft_flags(draft),
-        "diagnosticos_no_sustentados": unsupported(draft, evidence, lexicon.CONDITIONS),
-        "recomendaciones_no_sustentadas": unsupported(draft, evidence, lexicon.RECOMMENDATIONS),
-        "cambio_de_entidad": F.coalesce(entity_changed(draft, evidence), F.lit(False)),
-        "banderas_rojas": red_flags(query) if query else F.array().cast("array<string>"),
-        "terminos_riesgo": risk_terms(draft),
+        "diagnosticos_no_sustentados": _unsupported(d, e, lexicon.CONDITIONS),
+        "recomendaciones_no_sustentadas": _unsupported(d, e, lexicon.RECOMMENDATIONS),
+        "cambio_de_entidad": F.coalesce(_entity_changed(d, F.col("_e1"), lexicon.CONDITIONS), F.lit(False)),
+        "banderas_rojas": _red_flags(q, lexicon.RED_FLAGS),
+        "terminos_riesgo": _risk_terms(d, lexicon.RISK_TERMS),
         "evidencia_debil": F.coalesce(sim < confidence, F.lit(False)),
         "similitud_max": F.round(sim, 4),
     }
-    found = df.withColumns({f"_{k}": c for k, c in parts.items()})
-    found = found.withColumn("_falsa_tranquilizacion", (F.size("_banderas_rojas") > 0) & reassures(draft))
+    found = texts.withColumns({f"_{k}": c for k, c in parts.items()})
+    found = found.withColumn("_falsa_tranquilizacion", (F.size("_banderas_rojas") > 0) & (F.size(_terms_in(d, lexicon.REASSURING)) > 0))
     some = lambda c: F.size(f"_{c}") > 0
     high = F.array_contains("_flags", "vacio") | some("diagnosticos_no_sustentados") | F.col("_cambio_de_entidad") | some("banderas_rojas") | F.col("_falsa_tranquilizacion") | F.exists("_terminos_riesgo", lambda r: r["categoria"].isin(*lexicon.HIGH_RISK))
     level = F.when(high, "alto").when(some("flags") | some("terminos_riesgo") | some("recomendaciones_no_sustentadas") | F.col("_evidencia_debil"), "medio").otherwise("bajo")
