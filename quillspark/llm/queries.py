@@ -10,6 +10,7 @@ MODULES = {
     "op2_toxicity": "toxicity",
     "op3_html_text": "html_text",
     "op4_near_dedup": "near_dedup",
+    "op5_lang_id": "lang_id",
     "op6_substring_dedup": "substring_dedup",
     "op7_benchmark_decontamination": "benchmark_filter",
     "op8_fertility_quality": "quality",
