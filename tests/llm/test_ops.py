@@ -272,3 +272,22 @@ def test_large_run_gives_bounded_regions(spark, monkeypatch):
     rows = spark.range(400).select(F.lit(7).cast("long").alias("key"), (F.col("id") % 20).alias("s1"), F.lit(0).cast("long").alias("s2"), F.col("id").alias("nid"), F.lit(3).cast("long").alias("n_shingles"))
     got = near_dedup.regions(rows.coalesce(1).sortWithinPartitions("key", "s1", "s2", "nid")).groupBy("region").agg(F.count("nid").alias("n"), F.count("prev").alias("p")).collect()
     assert sum(r.n for r in got) == 400 and all(r.p == r.n - 1 for r in got)
+
+
+def test_language_identification(spark):
+    from quillspark.llm import lang_id
+
+    words = {"en": "the of and to in is that for", "de": "der die und das nicht mit ist von"}
+    docs = spark.createDataFrame([(i, " ".join(np.random.default_rng(i).permutation(words[k].split())), k) for i, k in enumerate(["en", "de"] * 30)] + [(99, None, "en"), (None, "x", None)], "doc_id long, text string, lang string")
+    page = lambda t, d: f'<html lang="{d}"><script>der die das</script><body><p>{t}</p></body></html>'
+    rows = [(k, f"http://a{k % 3}.example.de/x", page("der und die von das ist nicht mit", "de"), "x") for k in range(12)]
+    rows += [(k, f"http://b{k % 3}.example.org/x", page("the and that is of for in to", "en"), "x") for k in range(20, 32)]
+    rows += [(40, "http://b1.example.org/y", page("der die und das ist nicht von mit", "en"), "x"), (41, "http://a0.example.de/", None, "x"), (42, None, "", "x"), (43, "http://a1.example.de/", "<p>zzz qqq</p>", "x"), (None, "u", page("the of", "en"), "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, lang string")
+    got = lang_id.identify(pages, docs).collect()
+    by = {r.page_id: r for r in got}
+    assert len(got) == len(rows)
+    assert all(by[k].lang == "de" for k in (*range(12), 40, 41, 43)) and all(by[k].lang == "en" for k in range(20, 32)) and by[None].lang == "en"
+    assert by[41].text_lang is None and by[42].lang in ("en", "de") and all(0 <= r.confidence <= 1 for r in got)
+    assert lang_id.identify(pages.limit(0), docs).count() == 0
+    assert {r.lang for r in lang_id.identify(pages, docs.limit(0)).collect()} == {None}
