@@ -63,13 +63,13 @@ def draft_prompt(query: Column | str, evidence: Column | str) -> Column:
     return F.array_join(F.concat(F.array(F.lit(INSTRUCTION), F.lit(""), F.concat(F.lit("CONSULTA DEL PACIENTE:\n"), F.trim(q)), F.lit("")), middle, F.array(F.lit(""), F.lit(CLOSING))), "\n")
 
 
-def stub_draft(evidence: Column | str, images: Column | None = None) -> Column:
-    """Deterministic draft from the first evidence; stands in for a model."""
+def stub_draft(evidence: Column | str, images: Column | None = None, how: str = "elegí un generador con modelo") -> Column:
+    """Deterministic draft from the first evidence; stands in for a model. `how` tells the reader how to get one."""
     e = F.col(evidence) if isinstance(evidence, str) else evidence
     head = F.lit("[BORRADOR DE PRUEBA — sin VLM]\n")
     shown = F.when(images > 0, F.concat(F.lit(" Se recibieron "), images.cast("string"), F.lit(" imagen(es)."))).otherwise("") if images is not None else F.lit("")
-    some = F.concat(head, F.lit("Basado en "), F.size(e).cast("string"), F.lit(" caso(s) similar(es)."), shown, F.lit("\n\nEl caso más parecido sugiere:\n"), F.trim(F.coalesce(F.get(e, F.lit(0))["answer"], F.lit(""))), F.lit("\n\n⚠️ Borrador automático preliminar — requiere revisión y aprobación médica. Para generar texto real con el modelo, configurá DERMA_GENERATOR=vlm."))
-    none = F.concat(head, F.lit("No se encontraron casos similares para fundamentar un borrador. Configurá DERMA_GENERATOR=vlm para usar el modelo real."))
+    some = F.concat(head, F.lit("Basado en "), F.size(e).cast("string"), F.lit(" caso(s) similar(es)."), shown, F.lit("\n\nEl caso más parecido sugiere:\n"), F.trim(F.coalesce(F.get(e, F.lit(0))["answer"], F.lit(""))), F.lit("\n\n⚠️ Borrador automático preliminar — requiere revisión y aprobación médica. Para generar texto real con el modelo, "), F.lit(f"{how}."))
+    none = F.concat(head, F.lit("No se encontraron casos similares para fundamentar un borrador. Para usar el modelo real, "), F.lit(f"{how}."))
     return F.when(F.size(e) > 0, some).otherwise(none)
 
 
