@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +40,35 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters whose lower case and composed form are plain: ASCII and Latin-1.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: printable ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Codec:
     """Encoder and decoder of one worker."""
 
     def __init__(self, path: str) -> None:
         tok = load_tokenizer(path)
-        self.table = TokenTable(lambda words: [e.ids for e in tok.encode_batch([w.decode() for w in words], add_special_tokens=False)])
+        model, table, plain = tok.model, str.maketrans({chr(b): c for b, c in byte_characters().items()}), re.compile(f"[{LETTERS}]+").fullmatch
+
+        def encode(words: list[bytes]) -> list[list[int]]:
+            """Words of letters alone are one pre-token, so the library's BPE model takes them as they are, in lower case; all others go
+            through its whole pipeline."""
+            texts = [w.decode() for w in words]
+            out: list = [[t.id for t in model.tokenize(x.lower().encode().decode("latin-1").translate(table))] if plain(x) else None for x in texts]
+            rest = [i for i, ids in enumerate(out) if ids is None]
+            for i, e in zip(rest, tok.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
+                out[i] = e.ids
+            return out
+
+        self.table = TokenTable(encode)
         size = max(tok.get_vocab(with_added_tokens=True).values()) + 1
         self.pieces = np.array([tok.id_to_token(i) or "" for i in range(size)], object)
         self.numerals = np.array([str(i) for i in range(size)], object)

@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 from quillspark.shipping import ship_code
 
 #: Text handled at once inside a task; bounds the Python objects alive whatever the Arrow batch holds.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 #: Entries of a worker's word hashes before they start anew.
 MAX_WORDS = 300_000
 #: Entries of a worker's table of encoded words before it starts anew (about 250 bytes each; an executor may hold several workers).
-MAX_ENCODED = 250_000
+MAX_ENCODED = 150_000
+
+#: Rows of one Arrow batch, where the session keeps Spark's default of 10,000: rows here are whole texts.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 U64 = np.uint64
 
@@ -90,7 +94,10 @@ def blocks(sizes: list[int], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
 
 
 def map_arrow(df: DataFrame, func: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    ship_code(df.sparkSession)
+    spark = df.sparkSession
+    ship_code(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return df.mapInArrow(func, schema)
 
 

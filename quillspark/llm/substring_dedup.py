@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, blocks, bounds, documents, drop_tables, fanout, map_arrow, mix64, raw_texts, release, set_aside, text_key, write_table
+from .common import U64, WordHashes, blocks, bounds, documents, drop_tables, fanout, map_arrow, mix64, raw_texts, release, set_aside, text_key, worker_object, write_table
 from .fm_index import FMIndex
 
 WINDOW = 50
@@ -92,10 +92,10 @@ def runs(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, start, n, anchor, content of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = worker_object(("hashes",), WordHashes)
         for b in batches:
             texts, keys = raw_texts(b.column("text")), b.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, j in blocks([len(t) for t in texts], 1 << 20):
+            for i, j in blocks([len(t) for t in texts]):
                 split = [t.split() for t in texts[i:j]]
                 owner, start, n, anchor, content = runs_of(hashes([w for words in split for w in words]), [len(w) for w in split])
                 if len(owner):
@@ -109,7 +109,7 @@ def run_words(docs: DataFrame) -> DataFrame:
     """docs(text, wanted array<struct<anchor, content, least, start, n>>) -> anchor, content, least, words of each wanted run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = worker_object(("hashes",), WordHashes)
         for b in batches:
             found: list[tuple] = []
             texts, size = raw_texts(b.column("text")), 0
@@ -203,7 +203,7 @@ def heavy_spans(docs: DataFrame, heavy: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey")).join(lists, ["doc_id", "tkey"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = worker_object(("hashes",), WordHashes)
         for b in batches:
             for k, raw in enumerate(raw_texts(b.column("text"))):
                 words, wanted = hashes(raw.split()), b.column("wanted")[k].as_py()

@@ -26,7 +26,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import load_tokenizer
+from .bpe import byte_characters, load_tokenizer
 from .common import TokenTable, blocks, bounds, documents, fanout, map_arrow, mix64, new_path, ship_code, worker_object
 
 MAGIC = b"QUILLTK1"
@@ -183,13 +183,6 @@ class Shard:
 LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01bf"
 
 
-def byte_characters() -> dict[int, str]:
-    """The character that byte-level vocabularies write for each byte: printable ones for themselves, the others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class Encoder:
     """Ids of one worker's texts. A token never goes on from a character into white space, so a text is cut before each run of
     white space, plain words besides before the mark that ends them, and every distinct piece is encoded once: plain words
