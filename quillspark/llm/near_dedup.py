@@ -11,6 +11,9 @@ most orders, which joins most copies. Then the members of a region that are not
 together with their sets, once for equal regions, and compared by a product of their shingle incidence; only the links
 that join components leave the task. So a group of m near copies costs m rows an order, not m * m pairs.
 
+Pairs of one key that a cut or a border of range partitions parts are settled exactly (see settled): the classes of such
+keys that still are of several components meet through their rarest shingles, without a limit on how many they are.
+
 Empty and null texts have empty sets and are linked with nothing; texts of fewer words than a shingle are one shingle;
 equal texts and repeated rows are one class; equal doc_ids of different texts are separate members; rows with a null doc_id
 take part, but never name a component that has another member. Extra columns aren't read.
@@ -24,7 +27,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, blocks, bounds, documents, drop_tables, fanout, map_arrow, mix64, raw_texts, release, text_key, worker_object, write_table
@@ -142,14 +145,14 @@ def orders(classes: DataFrame) -> DataFrame:
     return map_arrow(classes.select("nid", "n_shingles", "sig"), run, "key long, s1 long, s2 long, nid long, n_shingles long")
 
 
-def _cuts(s1: np.ndarray, s2: np.ndarray, size: np.ndarray) -> list[int]:
+def _cuts(s1: np.ndarray, s2: np.ndarray, size: np.ndarray, members: int = REGION_MEMBERS, shingles: int = REGION_SHINGLES) -> list[int]:
     """Where to cut a run of equal keys into regions: nowhere if it is small; else at changes of the next values, deeper ones
     only where that isn't enough, and by count where even those are equal."""
     out, begin = [], 0
     n = len(s1)
     total = bounds(size)
-    while n - begin > REGION_MEMBERS or total[n] - total[begin] > REGION_SHINGLES and n - begin > 2:
-        end = min(begin + REGION_MEMBERS, int(np.searchsorted(total, total[begin] + REGION_SHINGLES, side="right")) - 1)
+    while n - begin > members or total[n] - total[begin] > shingles and n - begin > 2:
+        end = min(begin + members, int(np.searchsorted(total, total[begin] + shingles, side="right")) - 1)
         end = min(max(end, begin + 2), n)
         if end >= n:
             break
@@ -165,34 +168,43 @@ def _cuts(s1: np.ndarray, s2: np.ndarray, size: np.ndarray) -> list[int]:
 
 
 def regions(sorted_rows: DataFrame) -> DataFrame:
-    """region, nid, prev (the neighbour before it in the region): the members of all regions of two or more."""
+    """region, nid, prev (the neighbour before it in the region), run: the members of all regions of two or more, and all of
+    keys that may have more than one region. Those have their key as `run`: it was cut, or is the first or last here."""
+    limits = REGION_MEMBERS, REGION_SHINGLES  # workers take them from the driver
+    run_rows = RUN_ROWS
 
-    def emit(part: int, names: Iterator[int], s1: np.ndarray, s2: np.ndarray, nid: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    def emit(part: int, names: Iterator[int], edge: bool, key: np.ndarray, s1: np.ndarray, s2: np.ndarray, nid: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, ...]]:
         out = []
-        edges = [0, *_cuts(s1, s2, size), len(nid)]
+        edges = [0, *_cuts(s1, s2, size, *limits), len(nid)]
+        parted = edge or len(edges) > 2
         for a, b in zip(edges[:-1], edges[1:]):
-            if b - a >= 2:
-                out.append((np.full(b - a, (part << 40) + next(names), np.int64), nid[a:b], np.concatenate([[0], nid[a : b - 1]]), np.arange(b - a) > 0))
+            if b - a >= 2 or parted:
+                out.append((np.full(b - a, (part << 40) + next(names), np.int64), nid[a:b], np.concatenate([[0], nid[a : b - 1]]), np.arange(b - a) > 0, key[a:b], np.full(b - a, parted)))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, names = TaskContext.get().partitionId(), count()
         rest: list[np.ndarray] | None = None
+        first = True  # the next run may have begun in another partition or before the last flush
 
         def flush(cols: list[np.ndarray], last: bool) -> tuple[list, list[np.ndarray] | None]:
+            nonlocal first
             key = cols[0]
             starts = np.concatenate([[0], 1 + np.flatnonzero(key[1:] != key[:-1]), [len(key)]])
             runs = np.diff(starts)
             upto = len(runs) if last else len(runs) - 1  # the last run may go on in the next batch
             out = []
-            for k in np.flatnonzero(runs[:upto] >= 2).tolist():
+            edge = np.zeros(len(runs), bool)
+            edge[0], edge[-1] = first, last
+            for k in np.flatnonzero((runs[:upto] >= 2) | edge[:upto]).tolist():
                 a, b = starts[k], starts[k + 1]
-                out += emit(part, names, *(c[a:b] for c in cols[1:]))
+                out += emit(part, names, bool(edge[k]), *(c[a:b] for c in cols))
+            first = last or first and upto == 0
             return out, None if last else [c[starts[-2] :] for c in cols]
 
         def batch(found: list) -> pa.RecordBatch:
-            region, nid, prev, has = (np.concatenate(x) for x in zip(*found))
-            return pa.RecordBatch.from_arrays([pa.array(region), pa.array(nid), pa.array(prev, pa.int64(), mask=~has)], names=["region", "nid", "prev"])
+            region, nid, prev, has, key, parted = (np.concatenate(x) for x in zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(region), pa.array(nid), pa.array(prev, pa.int64(), mask=~has), pa.array(key, pa.int64(), mask=~parted)], names=["region", "nid", "prev", "run"])
 
         for b in batches:
             cols = [b.column(c).to_numpy() for c in ("key", "s1", "s2", "nid", "n_shingles")]
@@ -201,7 +213,7 @@ def regions(sorted_rows: DataFrame) -> DataFrame:
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             found, rest = flush(cols, False)
-            if len(rest[0]) > RUN_ROWS:
+            if len(rest[0]) > run_rows:
                 more, _ = flush(rest, True)
                 found, rest = found + more, None
             if found:
@@ -211,7 +223,7 @@ def regions(sorted_rows: DataFrame) -> DataFrame:
             if found:
                 yield batch(found)
 
-    return map_arrow(sorted_rows, run, "region long, nid long, prev long")
+    return map_arrow(sorted_rows, run, "region long, nid long, prev long, run long")
 
 
 # --------------------------------------------------------------------------- links
@@ -286,6 +298,46 @@ def region_links(members: DataFrame) -> DataFrame:
     return map_arrow(members, run, "a long, b long")
 
 
+def settled(parted: DataFrame, sets: DataFrame) -> DataFrame:
+    """parted(nid, comp), sets(nid, shingles) -> (a, b): components to join, so that no pair of parted is left out.
+
+    Shingles are put into one order: those of a single component first, then the rarer ones. Two linked sets have their first
+    common shingle among the first (100 - PERCENT) / (100 + PERCENT) of the smaller set and (100 - PERCENT) / 100 of the
+    larger one, with enough behind it in both; so what all members of a template share brings only those together whose
+    own part is small enough. Pairs that meet are compared on full sets, by blocks of two buckets of members.
+    """
+    spark = sets.sparkSession
+    own = write_table(spark, parted.join(sets, "nid"), "parted-sets")
+    tokens = own.select("nid", "comp", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
+    often = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s", "c")
+    turn = Window.partitionBy("nid").orderBy("c", "s")
+    ranked = tokens.join(often, "s", "left").withColumn("c", F.coalesce("c", F.lit(0))).withColumn("at", F.row_number().over(turn) - 1)
+    heads = write_table(spark, ranked.filter((F.col("c") > 0) & (100 * F.col("at") <= (100 - PERCENT) * F.col("n"))).select("s", "nid", "comp", "n", "at"), "heads")
+    n_own, n_shingles = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("shingles").cast("long")), F.lit(0))).first()
+    buckets = max(1, -(-4 * n_own // REGION_MEMBERS), -(-4 * n_shingles // REGION_SHINGLES))
+
+    def side(k: str) -> DataFrame:
+        # a long set is a bucket of its own
+        bucket = F.when(32 * F.col("n") > REGION_SHINGLES, F.xxhash64("nid")).otherwise(F.pmod(F.xxhash64("nid"), F.lit(buckets)))
+        return heads.select("s", F.struct("n", "nid").alias(f"o{k}"), F.col("nid").alias(k), F.col("comp").alias(f"c{k}"), F.col("n").alias(f"n{k}"), (F.col("n") - F.col("at")).alias(f"left{k}"), bucket.alias(f"b{k}"))
+
+    small = side("x").filter((100 + PERCENT) * (F.col("nx") - F.col("leftx")) <= (100 - PERCENT) * F.col("nx"))
+    enough = (100 + PERCENT) * F.least("leftx", "lefty") >= PERCENT * (F.col("nx") + F.col("ny"))
+    met = small.join(side("y"), "s").filter((F.col("cx") != F.col("cy")) & (F.col("ox") < F.col("oy")) & (100 * F.col("nx") >= PERCENT * F.col("ny")) & enough)
+    block = F.xxhash64(F.least("bx", "by"), F.greatest("bx", "by"))
+    members = met.select(block.alias("region"), F.explode(F.array(F.col("x"), F.col("y"))).alias("nid")).distinct().join(own, "nid").select("region", "nid", "comp", "shingles")
+    out = write_table(spark, region_links(members.repartition(fanout(spark, own), "region").sortWithinPartitions("region")).distinct(), "joins")
+    drop_tables(spark, own, heads)
+    release(spark)
+    return out
+
+
+def joined_up(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(node, root) of `first` after `second` has joined its roots, with those nodes that only `second` has."""
+    up = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return first.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(second.join(first.select("node"), "node", "left_anti"))
+
+
 def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root) of the classes that are linked with another."""
     spark = docs.sparkSession
@@ -316,11 +368,17 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     joins = write_table(spark, region_links(members.repartition(parts, "region").sortWithinPartitions("region")).distinct(), "joins")
     release(spark)
     second = components(joins)
-    up = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
     # classes of the first components, with those that only the second step joined
-    merged = first.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(second.join(first.select("node"), "node", "left_anti"))
-    out = write_table(spark, merged, "class-roots")
-    drop_tables(spark, member, wanted, sets, named, joins)
+    out = write_table(spark, joined_up(first, second), "class-roots")
+    # keys of several regions that still hold several components
+    runs = member.filter("run is not null").select("run", "region", "nid").join(out.withColumnRenamed("node", "nid"), "nid", "left").select("run", "region", "nid", F.coalesce("root", "nid").alias("comp"))
+    split = runs.groupBy("run").agg(F.min("region").alias("r1"), F.max("region").alias("r2"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("r1 <> r2 and c1 <> c2").select("run")
+    parted = write_table(spark, runs.join(split, "run", "left_semi").select("nid", "comp").distinct(), "parted")
+    if not parted.isEmpty():
+        across = settled(parted, sets)
+        before, out = out, write_table(spark, joined_up(out, components(across)), "class-roots")
+        drop_tables(spark, before, across)
+    drop_tables(spark, member, wanted, sets, named, joins, parted)
     release(spark)
     return out
 

@@ -291,3 +291,31 @@ def test_language_identification(spark):
     assert by[41].text_lang is None and by[42].lang in ("en", "de") and all(0 <= r.confidence <= 1 for r in got)
     assert lang_id.identify(pages.limit(0), docs).count() == 0
     assert {r.lang for r in lang_id.identify(pages, docs.limit(0)).collect()} == {None}
+
+
+def brute_kept(rows):
+    return plain((r[0], r[2], r[3]) for r in brute.near(rows))
+
+
+def near_kept(spark, rows):
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    return plain((r.doc_id, r.component_id, r.kept) for r in got)
+
+
+def templated(n, seed, own=18):
+    """Texts of one template with own words (similarity 0.745), every third one with a copy of similarity 0.757."""
+    rng = np.random.default_rng(seed)
+    word = lambda: f"w{rng.integers(1 << 40)}"
+    shared, rows = [word() for _ in range(109)], []
+    for k in range(n):
+        mine = [word() for _ in range(own)]
+        rows.append((k, " ".join(shared + mine)))
+        if k % 3 == 0:
+            rows.append((n + k, " ".join(shared + mine[:1] + [word() for _ in range(own - 1)])))
+    return rows
+
+
+def test_pairs_parted_by_cuts_are_found(spark, monkeypatch):
+    rows = templated(300, 3)
+    monkeypatch.setattr(near_dedup, "REGION_MEMBERS", 2)
+    assert near_kept(spark, rows) == brute_kept(rows)
