@@ -168,7 +168,7 @@ def _cuts(s1: np.ndarray, s2: np.ndarray, size: np.ndarray, members: int = REGIO
 
 
 def regions(sorted_rows: DataFrame) -> DataFrame:
-    """region, nid, prev (the neighbour before it in the region), run: the members of all regions of two or more, and all of
+    """region, nid, prev (the neighbour before it in the region), across (the one before a cut), run: the members of all regions of two or more, and all of
     keys that may have more than one region. Those have their key as `run`: it was cut, or is the first or last here."""
     limits = REGION_MEMBERS, REGION_SHINGLES  # workers take them from the driver
     run_rows = RUN_ROWS
@@ -179,7 +179,7 @@ def regions(sorted_rows: DataFrame) -> DataFrame:
         parted = edge or len(edges) > 2
         for a, b in zip(edges[:-1], edges[1:]):
             if b - a >= 2 or parted:
-                out.append((np.full(b - a, (part << 40) + next(names), np.int64), nid[a:b], np.concatenate([[0], nid[a : b - 1]]), np.arange(b - a) > 0, key[a:b], np.full(b - a, parted)))
+                out.append((np.full(b - a, (part << 40) + next(names), np.int64), nid[a:b], np.concatenate([[0], nid[a : b - 1]]), np.arange(b - a) > 0, np.full(b - a, nid[a - 1]), (np.arange(b - a) == 0) & (a > 0), key[a:b], np.full(b - a, parted)))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +203,8 @@ def regions(sorted_rows: DataFrame) -> DataFrame:
             return out, None if last else [c[starts[-2] :] for c in cols]
 
         def batch(found: list) -> pa.RecordBatch:
-            region, nid, prev, has, key, parted = (np.concatenate(x) for x in zip(*found))
-            return pa.RecordBatch.from_arrays([pa.array(region), pa.array(nid), pa.array(prev, pa.int64(), mask=~has), pa.array(key, pa.int64(), mask=~parted)], names=["region", "nid", "prev", "run"])
+            region, nid, prev, has, across, cut, key, parted = (np.concatenate(x) for x in zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(region), pa.array(nid), pa.array(prev, pa.int64(), mask=~has), pa.array(across, pa.int64(), mask=~cut), pa.array(key, pa.int64(), mask=~parted)], names=["region", "nid", "prev", "across", "run"])
 
         for b in batches:
             cols = [b.column(c).to_numpy() for c in ("key", "s1", "s2", "nid", "n_shingles")]
@@ -223,7 +223,7 @@ def regions(sorted_rows: DataFrame) -> DataFrame:
             if found:
                 yield batch(found)
 
-    return map_arrow(sorted_rows, run, "region long, nid long, prev long, run long")
+    return map_arrow(sorted_rows, run, "region long, nid long, prev long, across long, run long")
 
 
 # --------------------------------------------------------------------------- links
@@ -341,7 +341,8 @@ def joined_up(first: DataFrame, second: DataFrame) -> DataFrame:
 def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root) of the classes that are linked with another."""
     spark = docs.sparkSession
-    order = ["key", "s1", "s2", "nid"]
+    # ties in another order for each key, so that cuts by count don't fall between the same classes every time
+    order = ["key", "s1", "s2", F.xxhash64("key", "nid")]
     dealt = orders(classes).repartitionByRange(fanout(spark, classes), *order).sortWithinPartitions(*order)
     member = write_table(spark, regions(dealt), "regions")
     release(spark)
@@ -352,7 +353,8 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     text = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, docs.doc_id.eqNullSafe(wanted.doc_id), "left_semi")
     sets = write_table(spark, sets_of(text).dropDuplicates(["nid"]), "sets")
     # each class and the neighbour it has in most orders
-    seen = member.filter("prev is not null").groupBy(F.col("nid").alias("x"), F.col("prev").alias("y")).agg(F.count(F.lit(1)).alias("c"))
+    prev = F.coalesce("prev", "across")
+    seen = member.filter(prev.isNotNull()).groupBy(F.col("nid").alias("x"), prev.alias("y")).agg(F.count(F.lit(1)).alias("c"))
     either = seen.unionByName(seen.select(F.col("y").alias("x"), F.col("x").alias("y"), "c"))
     best = either.groupBy("x").agg(F.max(F.struct("c", "y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).filter("a <> b").distinct()
     pairs = best.join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb")), "b")

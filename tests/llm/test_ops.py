@@ -319,3 +319,22 @@ def test_pairs_parted_by_cuts_are_found(spark, monkeypatch):
     rows = templated(300, 3)
     monkeypatch.setattr(near_dedup, "REGION_MEMBERS", 2)
     assert near_kept(spark, rows) == brute_kept(rows)
+
+
+def test_long_near_copies_stay_together(spark):
+    # three sets of 800,000 shingles are more than a region may hold
+    rng = np.random.default_rng(5)
+    text = rng.integers(0, 1 << 30, 800_000)
+    rows = []
+    for k in range(3):
+        text[rng.integers(0, len(text), 3)] = rng.integers(0, 1 << 30, 3)
+        rows.append((k, " ".join(map(str, text.tolist()))))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(0, 0, True), (1, 0, False), (2, 0, False)}
+
+
+def test_cuts_keep_every_member_and_the_link_before(spark):
+    rows = spark.range(3).select(F.lit(7).cast("long").alias("key"), F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2"), F.col("id").alias("nid"), F.lit(800_000).cast("long").alias("n_shingles"))
+    got = near_dedup.regions(rows.coalesce(1)).collect()
+    assert sorted(r.nid for r in got) == [0, 1, 2] and {r.run for r in got} == {7}
+    assert [r.across for r in got if r.across is not None] == [1]
