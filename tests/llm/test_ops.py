@@ -338,3 +338,22 @@ def test_cuts_keep_every_member_and_the_link_before(spark):
     got = near_dedup.regions(rows.coalesce(1)).collect()
     assert sorted(r.nid for r in got) == [0, 1, 2] and {r.run for r in got} == {7}
     assert [r.across for r in got if r.across is not None] == [1]
+
+
+def test_text_that_is_no_prose_is_rejected(spark):
+    import base64
+    import string
+
+    rng = np.random.default_rng(1)
+    soup = lambda letters, low=2, high=9: " ".join("".join(rng.choice(list(letters), rng.integers(low, high + 1))) for _ in range(300))
+    rows = [(1, soup(string.ascii_lowercase)), (2, soup(string.ascii_lowercase + string.digits)), (3, soup(string.punctuation)), (4, "\n".join(base64.b64encode(rng.bytes(57)).decode() for _ in range(80)))]
+    prose = """The committee met on Thursday to discuss the annual budget, and most of the members agreed that spending on roads should rise while
+    other costs are held level for another year. A smaller group wanted new schools first, because the old ones near the river have been too
+    small since the mill was turned into flats. They will vote again in spring, once the figures for winter are known."""
+    german = """Der Ausschuss trat am Donnerstag zusammen, um den jährlichen Haushalt zu besprechen, und die meisten Mitglieder waren sich einig, dass
+    die Ausgaben für Straßen steigen sollten, während andere Kosten gleich bleiben. Eine kleinere Gruppe wollte zuerst neue Schulen bauen, weil
+    die alten am Fluss zu klein sind, seit in der Mühle Wohnungen entstanden. Im Frühjahr wird noch einmal abgestimmt."""
+    rows += [(5, prose), (6, german)]
+    got = {r.doc_id: r for r in quality.judged(quality.measures(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {k for k, r in got.items() if r.kept} == {5, 6}
