@@ -4,27 +4,33 @@ The normalised words of all benchmark items build one suffix automaton; document
 keeping the longest match that ends at the word. A match of `window` words is an occurrence of a window, and an item
 shorter than that matches as a whole. The spans so hit are removed where they pass a length or coverage limit.
 
-The automaton's size is linear in the items' words. A benchmark suite is a set of bounded size: over MAX_ITEM_BYTES of text
-the items are dealt into parts by a hash of their id, and the documents meet one part's automaton after the other.
+The automaton's size is linear in the items' words. Over MAX_ITEM_BYTES of text the items are dealt into parts by a hash of
+their id, and the documents meet one part's automaton after the other, with a written table between. Each automaton is
+built once, in a task, and read from the shared folder; items never pass through the driver.
+
 Nulls and empty texts have no words; an item without words is ignored; items with equal texts are all reported; repeated
-rows and extra columns of documents are carried through.
+rows and extra columns of documents are carried through; a very long text is streamed in parts, whole; an empty table of
+documents or of items gives no hits.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_arrow, raw_texts, set_aside
+from .common import documents, drop_tables, map_arrow, new_path, open_folder, raw_texts, set_aside, text_blocks, worker_object, write_table
 
 WINDOW = 10
-#: Bytes of item text in one automaton; the driver reads one part of the items at a time.
-MAX_ITEM_BYTES = 16 << 20
+#: Bytes of item text in one automaton (about 100 MB of a worker).
+MAX_ITEM_BYTES = 1 << 20
+#: Over this share of hit words a document holds little else, and its whole text goes.
+MAX_COVERAGE = 0.8
 #: A-Z to a-z; bytes that are no part of a word to a space. Every byte stays one byte, so positions are kept.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -47,19 +53,21 @@ class ItemAutomaton:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
-        #: State of a window's words -> the items that hold the window.
-        self.window_at: dict[int, frozenset[str]] = {}
-        #: State of a short item's words -> its length and the items; other lengths of the state don't count.
-        self.short_at: dict[int, list[tuple[int, frozenset[str]]]] = {}
-        for key, ids in split:
+        self.keys = [key for key, _ in split]
+        #: State of a window's words -> numbers of the items that hold the window.
+        self.window_at: dict[int, list[int]] = {}
+        #: State of a short item's words -> lengths and numbers of items; other lengths of the state don't count.
+        self.short_at: dict[int, list[tuple[int, int]]] = {}
+        for number, (_, ids) in enumerate(split):
             v = size = 0
             for c in ids:
                 v, size = self._step(v, size, c)
                 if size >= window:
-                    s = self._at(v, window)
-                    self.window_at[s] = self.window_at.get(s, frozenset()) | {key}
+                    held = self.window_at.setdefault(self._at(v, window), [])
+                    if not held or held[-1] != number:
+                        held.append(number)
             if len(ids) < window:
-                self.short_at.setdefault(v, []).append((len(ids), frozenset([key])))
+                self.short_at.setdefault(v, []).append((len(ids), number))
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -112,7 +120,8 @@ class ItemAutomaton:
         """(hit spans [begin, end) merged and in order, items with an occurring window)."""
         get, nxt, link, length, window, short = self.vocab.get, self.next, self.link, self.length, self.window, self.short_at
         spans: list[list[int]] = []
-        items: set[str] = set()
+        met: set[int] = set()  # states of windows; their items are looked up once
+        few: set[int] = set()
         v = size = 0
         for i, w in enumerate(words):
             c = get(w)
@@ -129,14 +138,14 @@ class ItemAutomaton:
             v, size = to, size + 1
             reach = 0
             if size >= window:
-                items |= self.window_at[self._at(v, window)]
+                met.add(self._at(v, window))
                 reach = window
             if short:
                 u = v
                 while u > 0:
-                    for n, keys in short.get(u, ()):
+                    for n, number in short.get(u, ()):
                         if n <= size:
-                            items |= keys
+                            few.add(number)
                             reach = max(reach, n)
                     u = link[u]
             if reach:
@@ -145,14 +154,49 @@ class ItemAutomaton:
                     while spans and begin <= spans[-1][1]:
                         begin = min(begin, spans.pop()[0])
                 spans.append([begin, i + 1])
-        return [(a, b) for a, b in spans], items
+        for state in met:
+            few.update(self.window_at[state])
+        return [(a, b) for a, b in spans], {self.keys[k] for k in few}
 
 
-def item_parts(benchmark: DataFrame) -> list[DataFrame]:
-    """The items in parts of about MAX_ITEM_BYTES of text at most."""
+def write_automata(benchmark: DataFrame, window: int = WINDOW) -> tuple[str, list[int]]:
+    """(folder, parts): one automaton for each part of the items, built in a task of its own."""
+    spark = benchmark.sparkSession
+    root = new_path(spark, "automata")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // MAX_ITEM_BYTES) + 1
-    return [benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)] if n > 1 else [benchmark]
+    part = F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text", part.alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, attempt = None, [], TaskContext.get().taskAttemptId()
+
+        def close() -> pa.RecordBatch:
+            fs, folder = open_folder(root)
+            fs.create_dir(folder, recursive=True)
+            with fs.open_output_stream(f"{folder}/{now}.{attempt}") as f:
+                f.write(pickle.dumps(ItemAutomaton(held, window), pickle.HIGHEST_PROTOCOL))
+            fs.move(f"{folder}/{now}.{attempt}", f"{folder}/{now}")
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32())], names=["part"])
+
+        for b in batches:
+            for key, text, k in zip(b.column("item_id").to_pylist(), raw_texts(b.column("text")), b.column("part").to_pylist()):
+                if k != now and held:
+                    yield close()
+                    held = []
+                now = k
+                held.append((key, text))
+        if held:
+            yield close()
+
+    parts = map_arrow(items.repartition(n, "part").sortWithinPartitions("part", "item_id"), run, "part int").collect()  # a number a part
+    return root, sorted(r.part for r in parts)
+
+
+def read_automaton(root: str, part: int) -> ItemAutomaton:
+    fs, folder = open_folder(root)
+    with fs.open_input_file(f"{folder}/{part}") as f:
+        return pickle.loads(f.read())
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -168,57 +212,76 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 MINE = {"n_words": T.LongType(), "n_hit": T.LongType(), "spans": T.ArrayType(T.LongType()), "items": T.ArrayType(T.StringType())}
 
 
+Told = Callable[[pa.RecordBatch, list[bytes], list[int], list[list[tuple[int, int]]], list[list[str]]], list[pa.Array]]
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, window: int, schema: T.StructType, told: Told) -> DataFrame:
+    """docs through every part's automaton; told(rows, texts, n_words, spans, items) gives the columns of `schema` at the end."""
+    spark = docs.sparkSession
+    root, parts = write_automata(benchmark, window)
+    names = docs.columns
+    between = T.StructType([*docs.schema, *[T.StructField(k, t) for k, t in MINE.items()]])
+    for at, part in enumerate(parts or [None]):
+        final = at == max(len(parts) - 1, 0)
+
+        def run(batches: Iterator[pa.RecordBatch], part: int | None = part, first: bool = at == 0, final: bool = final) -> Iterator[pa.RecordBatch]:
+            auto = ItemAutomaton([], window) if part is None else worker_object(("items", root, part), lambda: read_automaton(root, part))
+            for b in batches:
+                for rows, texts in text_blocks(b):
+                    before = [((), ())] * len(texts) if first else zip(rows.column("spans").to_pylist(), rows.column("items").to_pylist())
+                    n_words, runs, ids = [], [], []
+                    for text, (old_spans, old_items) in zip(texts, before):
+                        words = words_of(text)
+                        spans, found = auto.matches(words)
+                        if old_spans:
+                            spans = _merged([*spans, *zip(old_spans[::2], old_spans[1::2])])
+                        n_words.append(len(words))
+                        runs.append(spans)
+                        ids.append(sorted(found.union(old_items)))
+                    if final:
+                        yield pa.RecordBatch.from_arrays(told(rows, texts, n_words, runs, ids), names=schema.names)
+                    else:
+                        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *_columns(n_words, runs, ids)], names=between.names)
+
+        out = map_arrow(docs, run, schema if final else between)
+        if not final:
+            last, docs = docs, write_table(spark, out, "scanned")
+            if at:
+                drop_tables(spark, last)
+    return out
+
+
+def _columns(n_words: list[int], spans: list, items: list[list[str]]) -> list[pa.Array]:
+    return [pa.array(n_words, pa.int64()), pa.array([sum(q - p for p, q in s) for s in spans], pa.int64()), pa.array([[x for pq in s for x in pq] for s in spans], pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_hit, spans (begin and end of each hit run of words, flat) and items (sorted ids); own columns of these
     names give way."""
     keep = [f for f in docs.schema if f.name not in MINE]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, *[T.StructField(k, t) for k, t in MINE.items()]])
-    docs = docs.select(*names)
-    for k, part in enumerate(item_parts(benchmark)):
-        rows = part.select(F.col("item_id").cast("string"), F.col("text")).collect()
-        items = [(k if k is not None else "", (t or "").encode()) for k, t in rows]
+    return _scan(docs.select(*names), benchmark, window, schema, lambda rows, texts, n, spans, items: [*(rows.column(c) for c in names), *_columns(n, spans, items)])
 
-        def run(batches: Iterator[pa.RecordBatch], items: list = items, first: bool = k == 0) -> Iterator[pa.RecordBatch]:
-            auto = ItemAutomaton(items, window)
-            for b in batches:
-                texts = raw_texts(b.column("text"))
-                before = [((), ())] * len(texts) if first else zip(b.column("spans").to_pylist(), b.column("items").to_pylist())
-                n_words, n_hit, runs, ids = [], [], [], []
-                for text, (old_spans, old_items) in zip(texts, before):
-                    words = words_of(text)
-                    spans, found = auto.matches(words)
-                    if old_spans:
-                        spans = _merged([*spans, *zip(old_spans[::2], old_spans[1::2])])
-                    n_words.append(len(words))
-                    n_hit.append(sum(q - p for p, q in spans))
-                    runs.append([x for s in spans for x in s])
-                    ids.append(sorted(found.union(old_items)))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], names=[*names, *MINE])
-
-        docs = map_arrow(docs, run, schema)
-    return docs
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_length: int = 1, max_coverage: float = 1.0) -> DataFrame:
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_length: int = 1, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs with their texts without the hit spans of `min_length` words or more; over a hit share of `max_coverage` the whole
     text goes. The columns are those of docs."""
     docs, named_back = set_aside(docs, MINE)
-    names, schema = docs.columns, docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            clean = []
-            texts = b.column("text")
-            for old, raw, hit, n, spans in zip(texts, raw_texts(texts), b.column("n_hit").to_pylist(), b.column("n_words").to_pylist(), b.column("spans").to_pylist()):
-                if not spans:
-                    clean.append(old.as_py())
-                    continue
-                pairs = [(p, q) for p, q in zip(spans[::2], spans[1::2]) if q - p >= min_length]
-                clean.append("" if hit > max_coverage * n else cut(raw, pairs).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
-
-    return named_back(map_arrow(find_items(docs, benchmark, window), run, schema))
+    names = docs.columns
+
+    def clean(rows: pa.RecordBatch, texts: list[bytes], n_words: list[int], spans: list, items: list) -> list[pa.Array]:
+        old, out = rows.column("text"), []
+        for k, (raw, n, found) in enumerate(zip(texts, n_words, spans)):
+            if not found:
+                out.append(old[k].as_py())
+            elif sum(q - p for p, q in found) > max_coverage * n:
+                out.append("")
+            else:
+                out.append(cut(raw, [(p, q) for p, q in found if q - p >= min_length]).decode())
+        return [pa.array(out, pa.string()) if c == "text" else rows.column(c) for c in names]
+
+    return named_back(_scan(docs, benchmark, window, docs.schema, clean))
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:

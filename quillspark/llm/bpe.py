@@ -1,12 +1,14 @@
 """BPE encoding and decoding through a distinct-word table and an id-to-piece table.
 
 White space never lies inside a token of the word-ended vocabulary, so a text's ids are those of its white-space
-separated words in order. Each worker splits its blocks of texts, encodes every distinct word once with the tokenizers library (its
-table lives from task to task, up to a bound), and joins the ids back by position; decoding joins ids to pieces. Nothing
-is shuffled: the words of open-ended prose grow with the input (half of them occur once), and moving texts and words
-between tasks costs more than encoding a word once in each worker.
-
-Nulls and empty texts have no tokens; repeated rows are encoded like any other; extra columns are carried through.
+separated words in order; the mark that ends a word is a word of its own. Each worker splits its blocks of texts, encodes every distinct
+word once with the tokenizers library (its table lives from task to task, up to a bound), and joins the ids back by
+position; decoding joins ids to pieces. Nothing is shuffled: the words of open-ended prose grow with the input (half of
+them occur once), and moving texts and words between tasks costs more than encoding a word once in each worker.
+
+Nulls and empty texts have no tokens; repeated rows are encoded like any other; extra columns are carried through, and an
+own column named like the result gives way; a very long text is looked up in parts, so that the table keeps its bound; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import TokenTable, blocks, bounds, documents, map_arrow, raw_texts, worker_object
+from .common import Block, TokenTable, bounds, documents, map_arrow, marks_apart, text_blocks, worker_object
 
 
 def load_tokenizer(path: str):
@@ -57,31 +59,47 @@ class Codec:
     def __init__(self, path: str) -> None:
         tok = load_tokenizer(path)
         model, table, plain = tok.model, str.maketrans({chr(b): c for b, c in byte_characters().items()}), re.compile(f"[{LETTERS}]+").fullmatch
+        size = max(tok.get_vocab(with_added_tokens=True).values()) + 1
+        self.pieces = [tok.id_to_token(i) or "" for i in range(size)]
 
         def encode(words: list[bytes]) -> list[list[int]]:
             """Words of letters alone are one pre-token, so the library's BPE model takes them as they are, in lower case; all others go
             through its whole pipeline."""
             texts = [w.decode() for w in words]
-            out: list = [[t.id for t in model.tokenize(x.lower().encode().decode("latin-1").translate(table))] if plain(x) else None for x in texts]
+            out: list = [None] * len(texts)
+            for i, x in enumerate(texts):
+                if plain(x):
+                    low = x.lower()
+                    out[i] = [t.id for t in model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(table))]
             rest = [i for i, ids in enumerate(out) if ids is None]
             for i, e in zip(rest, tok.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
                 out[i] = e.ids
             return out
 
-        self.table = TokenTable(encode)
-        size = max(tok.get_vocab(with_added_tokens=True).values()) + 1
-        self.pieces = np.array([tok.id_to_token(i) or "" for i in range(size)], object)
-        self.numerals = np.array([str(i) for i in range(size)], object)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, bounds of each text's ids)."""
-        split = [t.split() for t in texts]
-        ids, n = self.table.gather(self.table.numbers([w for words in split for w in words]))
-        return ids, bounds(n)[bounds([len(w) for w in split])]
+        def told(lists: list[list[int]]) -> list[tuple[str, str]]:
+            """Ids and pieces of each word, written out."""
+            get = self.pieces.__getitem__
+            return [(" ".join(map(str, ids)), " ".join(map(get, ids))) for ids in lists]
 
-    def decode(self, ids: np.ndarray) -> str:
+        self.table = TokenTable(encode)
+        self.told = TokenTable(encode, describe=told)
+
+    def encode(self, texts: list[bytes], told: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
+        """(all ids, bounds of each text's ids, (ids, pieces) of each text if told)."""
+        words = Block(texts)
+        begin, end, at = marks_apart(words.raw, words.begin, words.end)
+        ids, n, notes = (self.told if told else self.table)(words.raw, begin, end)
+        first = at[words.first]
+        out = []
+        if told:
+            for p, q in zip(first[:-1].tolist(), first[1:].tolist()):
+                found = [x for x in notes[p:q] if x[0]]  # a word may have no ids: white space beyond ASCII
+                out.append((" ".join([x[0] for x in found]), " ".join([x[1] for x in found])))
+        return ids, bounds(n)[first], out
+
+    def decode(self, ids: list[int]) -> str:
         """This vocabulary names no decoder, so pieces are joined by one space."""
-        return " ".join(self.pieces[ids])
+        return " ".join(map(self.pieces.__getitem__, ids))
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -92,10 +110,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_object(("bpe", path), lambda: Codec(path))
         for b in batches:
-            texts = raw_texts(b.column(text))
-            for i, j in blocks([len(t) for t in texts]):
-                flat, at = codec.encode(texts[i:j])
-                part = b.slice(i, j - i)
+            for part, texts in text_blocks(b, text):
+                flat, at, _ = codec.encode(texts)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))], names=[*keep, ids])
 
     return map_arrow(docs, run, schema)
@@ -109,7 +125,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_object(("bpe", path), lambda: Codec(path))
         for b in batches:
-            texts = [codec.decode(np.asarray(x or [], np.int64)) for x in b.column(ids).to_pylist()]
+            texts = [codec.decode(x or []) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, out])
 
     return map_arrow(df, run, schema)
@@ -121,16 +137,11 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_object(("bpe", path), lambda: Codec(path))
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for b in batches:
-            texts, keys = raw_texts(b.column("text")), b.column("doc_id")
-            for i, j in blocks([len(t) for t in texts]):
-                flat, at = codec.encode(texts[i:j])
-                sums, back = [], []
-                for p, q in zip(at[:-1].tolist(), at[1:].tolist()):
-                    ids = flat[p:q]
-                    sums.append(hashlib.sha256(" ".join(codec.numerals[ids]).encode()).hexdigest())
-                    back.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part, texts in text_blocks(b):
+                _, at, told = codec.encode(texts, told=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array([digest(x) for x, _ in told], pa.string()), pa.array([digest(x) for _, x in told], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

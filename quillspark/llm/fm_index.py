@@ -1,10 +1,15 @@
-"""FM-index over word sequences: suffix array by prefix doubling, BWT in a wavelet matrix of packed bits, backward search."""
+"""FM-index over word sequences: suffix array by prefix doubling, BWT in a wavelet matrix of packed bits, and matching
+statistics of streamed sequences by backward search."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 U64 = np.uint64
+#: Value of a window that no indexed sequence holds.
+NOWHERE = np.iinfo(np.int64).max
 
 
 class Bits:
@@ -24,9 +29,6 @@ class Bits:
         low = (U64(1) << (i & 63).astype(U64)) - U64(1)
         return self.before[at] + np.bitwise_count(self.words[at] & low).astype(np.int64)
 
-    def get(self, i: np.ndarray) -> np.ndarray:
-        return (self.words[i >> 6] >> (i & 63).astype(U64)) & U64(1) == 1
-
 
 class WaveletMatrix:
     """Wavelet tree in matrix form, one bit vector a level."""
@@ -43,15 +45,6 @@ class WaveletMatrix:
         self.first = np.zeros(top + 2, np.int64)
         self.first[now[change]] = change
 
-    def step(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbol at i, number of the same symbol before i)."""
-        symbol, at = np.zeros(len(i), np.int64), i.astype(np.int64)
-        for b, bits, zeros in self.levels:
-            one, rank = bits.get(at), bits.rank(at)
-            symbol |= one.astype(np.int64) << b
-            at = np.where(one, zeros + rank, at - rank)
-        return symbol, at - self.first[symbol]
-
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Number of `symbol` before position i."""
         at = i.astype(np.int64)
@@ -62,139 +55,145 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of sequences of 64-bit words with a value each; `window` is the length that shared intervals must reach."""
+    """Index of sequences of 64-bit words with a value each; `window` is the length from which matches are reported."""
 
     def __init__(self, sequences: list[np.ndarray], values: np.ndarray, window: int) -> None:
         self.window = window
         sizes = np.array([len(s) for s in sequences], np.int64)
-        self.sizes = sizes
         self.alphabet, ids = np.unique(np.concatenate(sequences), return_inverse=True)
-        # each sequence is followed by separator 0, the whole by one more that sorts by position
+        # each sequence is followed by separator 0
         ends = np.cumsum(sizes + 1) - 1
-        n = int(ends[-1]) + 1
+        self.n = n = int(ends[-1]) + 1
         text = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
         inside[ends] = False
         text[inside] = ids + 1
-        sa, same = self._suffixes(text, window)
-        bwt = text[sa - 1]
+        sa, self.lcp = self._suffixes(text, window)
         self.top = len(self.alphabet)
-        self.wavelet = WaveletMatrix(bwt, self.top)
+        self.wavelet = WaveletMatrix(text[sa - 1], self.top)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.top + 1))]).astype(np.int64)
-        row = np.empty(n, np.int64)
-        row[sa] = np.arange(n)
-        self.end_rows = row[ends]
-        # intervals of rows that share `window` words, and the least value in each
-        left = np.zeros(n, np.int64)
-        left[ends] = 0
+        # intervals of rows that share `window` words with the least value in each, and of rows that share one word less
         owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-        left = ends[owner] - np.arange(n)
-        whole = (left >= window)[sa]
-        new = ~same | ~whole
-        new[0] = True
-        starts = np.flatnonzero(new)
-        least = np.minimum.reduceat(values[owner[sa]], starts)
-        self.opens = Bits(new)
-        self.least = least
-        self.n = n
+        opens = self.lcp < window
+        self.opens, self.least = Bits(opens), np.minimum.reduceat(values[owner[sa]], np.flatnonzero(opens))
+        wider = self.lcp < window - 1
+        self.wider, self.wider_at = Bits(wider), np.append(np.flatnonzero(wider), n)
+        self._mins: list[np.ndarray] = []
 
     @staticmethod
     def _suffixes(text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """(suffix array, whether each suffix shares `window` symbols with the one before). The text's end counts as a symbol under all."""
+        """(suffix array, length of the common prefix of each suffix with the one before, up to window). The text's end sorts first."""
         n = len(text)
-        rank, size = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
-        parts, at, equal = [], 0, None
-        todo = window
-
-        def shifted(r: np.ndarray, by: int) -> np.ndarray:
-            out = np.full(n, -1, np.int64)
-            if by < n:
-                out[: n - by] = r[by:]
-            return out
-
-        # ranks of the lengths that make up the window, kept as the doubling passes them
+        rank, size, kept = np.unique(text, return_inverse=True)[1].astype(np.int64), 1, []
         while True:
-            if todo & size:
-                parts.append((at, rank))
-                at += size
-            top = int(rank.max())
-            if top == n - 1 and size * 2 > todo:
+            if size <= window:
+                kept.append((size, rank.astype(np.int32)))
+            if int(rank.max()) == n - 1 and size >= window:
                 break
-            key = (rank + 1) * (n + 1) + shifted(rank, size) + 1
+            shifted = np.zeros(n, np.int64)
+            if size < n:
+                shifted[: n - size] = rank[size:] + 1
+            key = (rank + 1) * (n + 1) + shifted
             order = np.argsort(key, kind="stable")
             k = key[order]
-            fresh = np.zeros(n, np.int64)
-            fresh[order] = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]).astype(np.int64)]))
-            rank, size = fresh, size * 2
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]).astype(np.int64)]))
+            size *= 2
         sa = np.empty(n, np.int64)
         sa[rank] = np.arange(n)
-        equal = np.ones(n, bool)
-        for by, r in parts:
-            v = shifted(r, by)[sa] if by else r[sa]
-            equal[1:] &= v[1:] == v[:-1]
-        equal[0] = False
-        return sa, equal
+        lcp = np.zeros(n, np.int64)
+        for size, r in reversed(kept):  # lengths in binary
+            r = np.append(r, np.int32(-1))
+            x, y = np.minimum(sa[1:] + lcp[1:], n), np.minimum(sa[:-1] + lcp[1:], n)
+            lcp[1:] += np.where((r[x] == r[y]) & (x < n), size, 0)
+        return sa, np.minimum(lcp, window).astype(np.uint8 if window < 256 else np.int32)
 
     # ----------------------------------------------------------------------- search
     def _ids(self, words: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.alphabet, words)
-        at = np.minimum(at, len(self.alphabet) - 1)
+        at = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
         return np.where(self.alphabet[at] == words, at + 1, -1)
 
     def backward(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the matches extended to the left by `symbol` (empty for symbols that aren't there)."""
         known = symbol > 0
         s = np.where(known, symbol, 0)
-        a, b = self.before[s] + self.wavelet.rank(s, lo), self.before[s] + self.wavelet.rank(s, hi)
+        both = self.wavelet.rank(np.concatenate([s, s]), np.concatenate([lo, hi]))
+        a, b = self.before[s] + both[: len(s)], self.before[s] + both[len(s) :]
         return np.where(known, a, 0), np.where(known, b, 0)
 
-    def count(self, words: np.ndarray) -> int:
-        lo, hi = np.array([0]), np.array([self.n])
-        for s in self._ids(words)[::-1]:
-            lo, hi = self.backward(np.array([s]), lo, hi)
-            if lo[0] >= hi[0]:
-                return 0
-        return int(hi[0] - lo[0])
-
-    def match_lengths(self, words: np.ndarray) -> np.ndarray:
-        """Matching statistics of any sequence: for each position the length of the longest match that begins there."""
-        ids = self._ids(words)
-        out, size = np.zeros(len(words), np.int64), 0
-        lo, hi = np.array([0]), np.array([self.n])
-        for i in range(len(words) - 1, -1, -1):
-            a, b = self.backward(ids[i : i + 1], lo, hi)
-            if a[0] < b[0]:
-                lo, hi, size = a, b, size + 1
-            else:  # the longest shorter context that the word extends
-                while size > 0:
-                    size -= 1
-                    lo, hi = np.array([0]), np.array([self.n])
-                    for k in range(i + size, i - 1, -1):
-                        lo, hi = self.backward(ids[k : k + 1], lo, hi)
-                        if lo[0] >= hi[0]:
-                            break
-                    if lo[0] < hi[0]:
-                        size += 1
-                        break
-                else:
-                    lo, hi = np.array([0]), np.array([self.n])
-            out[i] = size
-        return out
-
-    def least_values(self) -> list[np.ndarray]:
-        """For each indexed sequence, streamed from its end by backward steps: the least value among the sequences that hold
-        each of its windows."""
-        longest = int(self.sizes.max())
-        rows, left = self.end_rows.copy(), self.sizes.copy()
-        out = [np.zeros(max(0, int(s) - self.window + 1), np.int64) for s in self.sizes]
-        flat = np.concatenate(out) if len(out) else np.zeros(0, np.int64)
-        base = np.cumsum([len(o) for o in out]) - [len(o) for o in out]
-        live = np.arange(len(rows))
-        for t in range(1, longest + 1):
-            live = live[left[live] >= 1]
-            symbol, before = self.wavelet.step(rows[live])
-            rows[live] = self.before[symbol] + before
-            left[live] -= 1
-            if t >= self.window:
-                flat[base[live] + left[live]] = self.least[self.opens.rank(rows[live] + 1) - 1]
-        return [flat[b : b + len(o)] for b, o in zip(base, out)]
+    def _at_depth(self, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the rows that share `depth` words with those of [lo, hi)."""
+        if not self._mins:  # least common prefix of each power-of-two run of rows
+            now, step = self.lcp, 1
+            while step <= self.n:
+                self._mins.append(now)
+                now, step = np.minimum(now[:-step], now[step:]) if step < len(now) else now[:0], step * 2
+        lo, hi = lo.copy(), hi.copy()
+        for k in range(len(self._mins) - 1, -1, -1):
+            step, m = 1 << k, self._mins[k]
+            if not len(m):
+                continue
+            p = lo - step + 1
+            lo -= step * ((p >= 0) & (m[np.clip(p, 0, len(m) - 1)] >= depth))
+            hi += step * ((hi + step <= self.n) & (m[np.clip(hi, 0, len(m) - 1)] >= depth))
+        return lo, hi
+
+    def _extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The longest matches, `window` words at most, that begin one word further left. A match that the word doesn't extend
+        gives up words at its right end, as few as it can."""
+        full = np.flatnonzero(size >= self.window)
+        if len(full):
+            k = self.wider.rank(lo[full] + 1) - 1
+            lo[full], hi[full], size[full] = self.wider_at[k], self.wider_at[k + 1], self.window - 1
+        a, b = self.backward(symbol, lo, hi)
+        bad = np.flatnonzero(a >= b)
+        while len(bad):
+            l, h = lo[bad], hi[bad]
+            depth = np.maximum(self.lcp[l], np.where(h < self.n, self.lcp[np.minimum(h, self.n - 1)], 0)).astype(np.int64)
+            none = size[bad] == 0
+            some = bad[~none]
+            a[bad[none]], b[bad[none]], size[bad[none]] = 0, self.n, -1  # the word isn't there
+            if not len(some):
+                break
+            depth = depth[~none]
+            lo[some], hi[some] = self._at_depth(lo[some], hi[some], depth)
+            lo[some[depth == 0]], hi[some[depth == 0]] = 0, self.n
+            size[some] = depth
+            a[some], b[some] = self.backward(symbol[some], lo[some], hi[some])
+            bad = some[a[some] >= b[some]]
+        return a, b, size + 1
+
+    def _stream(self, queries: list[np.ndarray], told: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> list[int]:
+        """Stream all queries side by side from their ends; told(places in the queries laid end to end, row, match length). Returns
+        where each query begins."""
+        sizes = np.array([len(q) for q in queries], np.int64)
+        base = np.cumsum(sizes) - sizes
+        ids = self._ids(np.concatenate(queries)) if len(queries) else np.zeros(0, np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        long_first, begin = sizes[order], base[order]
+        lo, hi, size = np.zeros(len(order), np.int64), np.full(len(order), self.n, np.int64), np.zeros(len(order), np.int64)
+        for t in range(1, int(sizes.max(initial=0)) + 1):
+            m = int(np.searchsorted(-long_first, -t, side="right"))
+            at = begin[:m] + long_first[:m] - t
+            lo, hi, size = self._extend(ids[at], lo[:m], hi[:m], size[:m])
+            told(at, lo, size)
+        return base.tolist()
+
+    def match_lengths(self, queries: list[np.ndarray]) -> list[np.ndarray]:
+        """Matching statistics: for each place of each query the length of the longest match that begins there, `window` at most."""
+        out = np.zeros(sum(map(len, queries)), np.int64)
+
+        def told(at: np.ndarray, row: np.ndarray, size: np.ndarray) -> None:
+            out[at] = size
+
+        return [out[b : b + len(q)] for b, q in zip(self._stream(queries, told), queries)]
+
+    def least_values(self, queries: list[np.ndarray]) -> list[np.ndarray]:
+        """For each window of each query the least value among the indexed sequences that hold it; NOWHERE if none does."""
+        out = np.full(sum(map(len, queries)), NOWHERE, np.int64)
+
+        def told(at: np.ndarray, row: np.ndarray, size: np.ndarray) -> None:
+            whole = size >= self.window
+            out[at[whole]] = self.least[self.opens.rank(row[whole] + 1) - 1]
+
+        return [out[b : b + max(0, len(q) - self.window + 1)] for b, q in zip(self._stream(queries, told), queries)]

@@ -2,27 +2,30 @@
 
 Every text gets its set of distinct word shingles, 128 minimum hashes, and the number of its set; texts of equal sets are one
 class from then on. The forest is ORDERS sorted orders of the classes: order t sorts by the signature rotated by 4*t values.
-Neighbours in an order whose common prefix has DEPTH values or more form a region; regions of too many members are cut
-where the common prefix is shortest (at the next values, so the depth adapts to the region). A pair of similarity 0.75
-shares a region in at least one of 32 orders but for 5 in a million.
+Neighbours in an order are candidates, and so are all members of a region, a range of rows with a common prefix. The depth
+of a region adapts to how crowded its part of the order is: SPARSE_DEPTH values where that gives few members, DEPTH where it
+gives a bearable number, more where it doesn't. A pair of similarity 0.75 shares DEPTH values in at least one of 32 orders
+but for 5 in a million.
 
-Links come from regions in two steps, both exact on full shingle sets. First each class meets the neighbour that it has in
-most orders, which joins most copies. Then the members of a region that are not yet in one component are brought
-together with their sets, once for equal regions, and compared by a product of their shingle incidence; only the links
-that join components leave the task. So a group of m near copies costs m rows an order, not m * m pairs.
+Links come from the forest in two steps, both exact on full shingle sets. First each class meets the neighbour with which
+its common prefixes over all orders are longest, which joins most copies. Then the members of a region that are not yet
+in one component are brought together with their sets, once for equal regions, and compared by a product of their
+shingle incidence; only the links that join components leave the task. So a group of m near copies costs m rows an
+order, not m * m pairs.
 
-Pairs of one key that a cut or a border of range partitions parts are settled exactly (see settled): the classes of such
-keys that still are of several components meet through their rarest shingles, without a limit on how many they are.
+Pairs with a common prefix of DEPTH values that a deeper region, a cut by count or a border of range partitions parts are
+settled exactly (see settled): the classes of such prefixes that still are of several components meet through their
+rarest shingles, without a limit on how many they are.
 
 Empty and null texts have empty sets and are linked with nothing; texts of fewer words than a shingle are one shingle;
 equal texts and repeated rows are one class; equal doc_ids of different texts are separate members; rows with a null doc_id
-take part, but never name a component that has another member. Extra columns aren't read.
+take part, but never name a component that has another member. Extra columns aren't read. A very long text is one set; a
+region of a few such sets is cut by its number of shingles. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, blocks, bounds, documents, drop_tables, fanout, map_arrow, mix64, raw_texts, release, text_key, worker_object, write_table
+from .common import U64, Block, bounds, documents, drop_tables, fanout, map_arrow, mix64, release, text_blocks, text_key, write_table
 from .components import components
 
 SHINGLE = 5
@@ -38,6 +41,8 @@ SHINGLE = 5
 PERCENT = 75
 HASHES, DEPTH = 128, 4
 ORDERS = HASHES // DEPTH
+#: Depth of regions of SPARSE_MEMBERS at most, and the greatest depth.
+SPARSE_DEPTH, SPARSE_MEMBERS, MOST_DEPTH = 3, 64, 7
 #: Members and shingles of a region at most; larger ones are cut at greater depth.
 REGION_MEMBERS, REGION_SHINGLES = 4096, 1 << 21
 #: Rows of one run of equal keys that a task holds before it cuts them into regions.
@@ -46,32 +51,30 @@ RUN_ROWS = 1 << 16
 BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
-_MUL = _rng.integers(1, 2**64, HASHES, dtype=U64) | U64(1)
-_ADD = _rng.integers(0, 2**64, HASHES, dtype=U64)
+_MUL = _rng.integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 _POS = _rng.integers(1, 2**64, SHINGLE, dtype=U64) | U64(1)
 
 
 # --------------------------------------------------------------------------- sets
-def shingle_sets(texts: list[bytes], hashes: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    split = [t.lower().split() for t in texts]  # bytes: A-Z only, and the six white characters
-    sizes = [len(w) for w in split]
-    flat = hashes([w for words in split for w in words])
-    n = len(flat)
+    words = Block(texts, lower=True)
+    flat, n = words.hashes, len(words.begin)
     rolled = np.zeros(n, U64)
     if n >= SHINGLE:
         rolled[: n - SHINGLE + 1] = sum(flat[k : n - SHINGLE + 1 + k] * _POS[k] for k in range(SHINGLE))
     rolled = mix64(rolled)
-    out, at = [], 0
-    for size in sizes:
+    out = []
+    for at, end in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+        size = end - at
         if size >= SHINGLE:
-            out.append(np.unique(rolled[at : at + size - SHINGLE + 1]))
+            out.append(np.unique(rolled[at : end - SHINGLE + 1]))
         elif size:
-            short = np.append(flat[at : at + size] * _POS[:size], np.array([size], U64) * _POS[:1]).sum(dtype=U64)
+            short = np.append(flat[at:end] * _POS[:size], np.array([size], U64) * _POS[:1]).sum(dtype=U64)
             out.append(mix64(np.array([short], U64)))
         else:
             out.append(np.zeros(0, U64))
-        at += size
     return out
 
 
@@ -89,10 +92,10 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     out = np.full((len(sets), HASHES), 0xFFFFFFFF, np.uint32)
     full = np.flatnonzero(sizes)
     if len(full):
-        flat = np.concatenate([sets[i] for i in full])
+        flat = (np.concatenate([sets[i] for i in full]) >> U64(32)).astype(np.uint32)
         starts = bounds(sizes[full])[:-1]
         for k in range(HASHES):
-            out[full, k] = np.minimum.reduceat(((flat * _MUL[k]) + _ADD[k]) >> U64(32), starts).astype(np.uint32)
+            out[full, k] = np.minimum.reduceat(flat * _MUL[k] + _ADD[k], starts)
     return out
 
 
@@ -100,13 +103,11 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, n_shingles, nid (number of the set, null if empty), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_object(("hashes",), WordHashes)
         for b in batches:
-            texts, keys = raw_texts(b.column("text")), b.column("doc_id")
-            for i, j in blocks([len(t) for t in texts]):
-                sets = shingle_sets(texts[i:j], hashes)
+            for part, texts in text_blocks(b):
+                sets = shingle_sets(texts)
                 sig = signatures(sets)
-                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array([text_key(t) for t in texts[i:j]], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_number(s) for s in sets], pa.int64()), pa.array([r.tobytes() if len(s) else None for r, s in zip(sig, sets)], pa.binary())], names=["doc_id", "tkey", "n_shingles", "nid", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([text_key(t) for t in texts], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_number(s) for s in sets], pa.int64()), pa.array([r.tobytes() if len(s) else None for r, s in zip(sig, sets)], pa.binary())], names=["doc_id", "tkey", "n_shingles", "nid", "sig"])
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, tkey long, n_shingles long, nid long, sig binary")
 
@@ -115,11 +116,9 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """nid and shingle set of docs, one row a document with a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_object(("hashes",), WordHashes)
         for b in batches:
-            texts = raw_texts(b.column("text"))
-            for i, j in blocks([len(t) for t in texts]):
-                sets = [s for s in shingle_sets(texts[i:j], hashes) if len(s)]
+            for _, texts in text_blocks(b):
+                sets = [s for s in shingle_sets(texts) if len(s)]
                 at = pa.array(bounds([len(s) for s in sets]), pa.int32())
                 flat = np.concatenate(sets) if sets else np.zeros(0, U64)
                 yield pa.RecordBatch.from_arrays([pa.array([set_number(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat.view(np.int64), pa.int64()))], names=["nid", "shingles"])
@@ -129,7 +128,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- forest
 def orders(classes: DataFrame) -> DataFrame:
-    """A row for each class and order: the first DEPTH values as `key`, the next eight as two sort columns."""
+    """A row for each class and order: the first SPARSE_DEPTH values as `key`, the next four as two sort columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,74 +136,88 @@ def orders(classes: DataFrame) -> DataFrame:
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(n, HASHES).astype(U64)
             nid, size = b.column("nid").to_numpy(), b.column("n_shingles").to_numpy()
             for t in range(ORDERS):
-                v = np.roll(sig, -DEPTH * t, axis=1)
+                v = np.roll(sig, -DEPTH * t, axis=1)[:, :MOST_DEPTH]
                 pair = lambda k: (v[:, k] << U64(32)) | v[:, k + 1]  # noqa: E731,B023
-                key = mix64(pair(0) * U64(0x9E3779B97F4A7C15) + mix64(pair(2) + U64(t)))
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == U64 else x, pa.int64()) for x in (key, pair(4), pair(6), nid, size)], names=["key", "s1", "s2", "nid", "n_shingles"])
+                key = mix64(pair(0) * U64(0x9E3779B97F4A7C15) + mix64(v[:, 2] + U64(t << 32)))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == U64 else x, pa.int64()) for x in (key, pair(3), pair(5), nid, size)], names=["key", "s1", "s2", "nid", "n_shingles"])
 
     return map_arrow(classes.select("nid", "n_shingles", "sig"), run, "key long, s1 long, s2 long, nid long, n_shingles long")
 
 
-def _cuts(s1: np.ndarray, s2: np.ndarray, size: np.ndarray, members: int = REGION_MEMBERS, shingles: int = REGION_SHINGLES) -> list[int]:
-    """Where to cut a run of equal keys into regions: nowhere if it is small; else at changes of the next values, deeper ones
-    only where that isn't enough, and by count where even those are equal."""
-    out, begin = [], 0
-    n = len(s1)
-    total = bounds(size)
-    while n - begin > members or total[n] - total[begin] > shingles and n - begin > 2:
-        end = min(begin + members, int(np.searchsorted(total, total[begin] + shingles, side="right")) - 1)
-        end = min(max(end, begin + 2), n)
-        if end >= n:
-            break
-        half = begin + (end - begin) // 2
-        for s in (s1, s2):
-            change = np.flatnonzero(s[half + 1 : end + 1] != s[half:end])
-            if len(change):
-                end = half + 1 + int(change[-1])
-                break
-        out.append(end)
-        begin = end
+def prefix_lengths(key: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each row with the row before it: 0, or SPARSE_DEPTH to MOST_DEPTH."""
+    high = lambda s: s.view(U64) >> U64(32)
+    out, same = np.zeros(len(key), np.int64), np.ones(len(key), bool)
+    same[:1] = False
+    for depth, v in enumerate((key, high(s1), s1, high(s2), s2), SPARSE_DEPTH):
+        same[1:] &= v[1:] == v[:-1]
+        out[same] = depth
     return out
 
 
+def cut_regions(prefix: np.ndarray, size: np.ndarray, sparse: int = SPARSE_MEMBERS, members: int = REGION_MEMBERS, shingles: int = REGION_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each row begins a region, whether its prefix of DEPTH values is in several regions) for sorted rows. Groups of
+    equal prefixes that are too large are parted at the next value, and by count where prefixes end."""
+    n = len(prefix)
+    begins, parted = np.zeros(n, bool), np.zeros(n, bool)
+    left = np.arange(n)  # rows whose region isn't settled; whole groups, in order
+    for depth in range(SPARSE_DEPTH, MOST_DEPTH + 1):
+        opens = (prefix[left] < depth) | np.append(True, np.diff(left) > 1)[: len(left)]
+        begins[left[opens]] = True
+        group = np.cumsum(opens) - 1
+        count = np.bincount(group)
+        total = np.bincount(group, size[left])
+        fits = (count <= (sparse if depth < DEPTH else members)) & ((total <= shingles) | (count <= 2))
+        left = left[~fits[group]] if len(left) else left
+        if depth >= DEPTH:
+            parted[left] = True
+        if not len(left):
+            return begins, parted
+    starts = np.flatnonzero(begins[left])
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(left)]):
+        rows = left[a:b]
+        total, at = bounds(size[rows]), 0
+        while True:
+            at = max(at + 2, min(at + members, int(np.searchsorted(total, total[at] + shingles, side="right")) - 1))
+            if at >= len(rows):
+                break
+            begins[rows[at]] = True
+    return begins, parted
+
+
 def regions(sorted_rows: DataFrame) -> DataFrame:
-    """region, nid, prev (the neighbour before it in the region), across (the one before a cut), run: the members of all regions of two or more, and all of
-    keys that may have more than one region. Those have their key as `run`: it was cut, or is the first or last here."""
-    limits = REGION_MEMBERS, REGION_SHINGLES  # workers take them from the driver
+    """region, nid, prev (the neighbour before it), shared (values of their common prefix), run: the members of all regions of
+    two or more, and all whose prefix of DEPTH values may be in several regions: it was parted, or is the first or last
+    here. Those have that prefix as `run`."""
+    limits = SPARSE_MEMBERS, REGION_MEMBERS, REGION_SHINGLES  # workers take them from the driver
     run_rows = RUN_ROWS
 
-    def emit(part: int, names: Iterator[int], edge: bool, key: np.ndarray, s1: np.ndarray, s2: np.ndarray, nid: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-        out = []
-        edges = [0, *_cuts(s1, s2, size, *limits), len(nid)]
-        parted = edge or len(edges) > 2
-        for a, b in zip(edges[:-1], edges[1:]):
-            if b - a >= 2 or parted:
-                out.append((np.full(b - a, (part << 40) + next(names), np.int64), nid[a:b], np.concatenate([[0], nid[a : b - 1]]), np.arange(b - a) > 0, np.full(b - a, nid[a - 1]), (np.arange(b - a) == 0) & (a > 0), key[a:b], np.full(b - a, parted)))
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, names = TaskContext.get().partitionId(), count()
+        part, names = TaskContext.get().partitionId(), 0
         rest: list[np.ndarray] | None = None
-        first = True  # the next run may have begun in another partition or before the last flush
-
-        def flush(cols: list[np.ndarray], last: bool) -> tuple[list, list[np.ndarray] | None]:
-            nonlocal first
-            key = cols[0]
-            starts = np.concatenate([[0], 1 + np.flatnonzero(key[1:] != key[:-1]), [len(key)]])
-            runs = np.diff(starts)
-            upto = len(runs) if last else len(runs) - 1  # the last run may go on in the next batch
-            out = []
-            edge = np.zeros(len(runs), bool)
-            edge[0], edge[-1] = first, last
-            for k in np.flatnonzero((runs[:upto] >= 2) | edge[:upto]).tolist():
-                a, b = starts[k], starts[k + 1]
-                out += emit(part, names, bool(edge[k]), *(c[a:b] for c in cols))
-            first = last or first and upto == 0
-            return out, None if last else [c[starts[-2] :] for c in cols]
-
-        def batch(found: list) -> pa.RecordBatch:
-            region, nid, prev, has, across, cut, key, parted = (np.concatenate(x) for x in zip(*found))
-            return pa.RecordBatch.from_arrays([pa.array(region), pa.array(nid), pa.array(prev, pa.int64(), mask=~has), pa.array(across, pa.int64(), mask=~cut), pa.array(key, pa.int64(), mask=~parted)], names=["region", "nid", "prev", "across", "run"])
+        first = True  # the next prefix may have begun in another partition or before the last cut
+
+        def close(cols: list[np.ndarray], last: bool) -> pa.RecordBatch:
+            """Rows of whole keys, but for the first and, if it is the `last` of a task or cut, the last."""
+            nonlocal names, first
+            key, s1, s2, nid, size = cols
+            prefix = prefix_lengths(key, s1, s2)
+            begins, parted = cut_regions(prefix, size, *limits)
+            deep = np.flatnonzero(prefix < DEPTH)  # where prefixes of DEPTH values begin
+            if first:
+                parted[: deep[1] if len(deep) > 1 else None] = True
+            if last:
+                parted[deep[-1] :] = True
+            first = last
+            region = np.cumsum(begins) - 1
+            wanted = (np.bincount(region)[region] > 1) | parted
+            has = np.flatnonzero((prefix >= DEPTH) | ~begins)
+            prev, known = np.zeros(len(nid), np.int64), np.zeros(len(nid), bool)
+            prev[has], known[has] = nid[has - 1], True
+            run = mix64(key.view(U64) + mix64(s1.view(U64) >> U64(32))).view(np.int64)
+            out = pa.RecordBatch.from_arrays([pa.array((part << 40) + names + region), pa.array(nid), pa.array(prev, mask=~known), pa.array(prefix), pa.array(run, mask=~parted)], names=["region", "nid", "prev", "shared", "run"])
+            names += int(region[-1]) + 1
+            return out.filter(pa.array(wanted))
 
         for b in batches:
             cols = [b.column(c).to_numpy() for c in ("key", "s1", "s2", "nid", "n_shingles")]
@@ -212,18 +225,18 @@ def regions(sorted_rows: DataFrame) -> DataFrame:
                 continue
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
-            found, rest = flush(cols, False)
+            key = cols[0]
+            end = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            if end:
+                yield close([c[:end] for c in cols], False)
+            rest = [c[end:] for c in cols]
             if len(rest[0]) > run_rows:
-                more, _ = flush(rest, True)
-                found, rest = found + more, None
-            if found:
-                yield batch(found)
+                yield close(rest, True)
+                rest = None
         if rest is not None:
-            found, _ = flush(rest, True)
-            if found:
-                yield batch(found)
+            yield close(rest, True)
 
-    return map_arrow(sorted_rows, run, "region long, nid long, prev long, across long, run long")
+    return map_arrow(sorted_rows, run, "region long, nid long, prev long, shared long, run long")
 
 
 # --------------------------------------------------------------------------- links
@@ -352,9 +365,8 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     few = wanted.count() <= BROADCAST_ROWS
     text = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, docs.doc_id.eqNullSafe(wanted.doc_id), "left_semi")
     sets = write_table(spark, sets_of(text).dropDuplicates(["nid"]), "sets")
-    # each class and the neighbour it has in most orders
-    prev = F.coalesce("prev", "across")
-    seen = member.filter(prev.isNotNull()).groupBy(F.col("nid").alias("x"), prev.alias("y")).agg(F.count(F.lit(1)).alias("c"))
+    # each class and the neighbour with the longest common prefixes
+    seen = member.filter("prev is not null").groupBy(F.col("nid").alias("x"), F.col("prev").alias("y")).agg(F.sum("shared").alias("c"))
     either = seen.unionByName(seen.select(F.col("y").alias("x"), F.col("x").alias("y"), "c"))
     best = either.groupBy("x").agg(F.max(F.struct("c", "y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).filter("a <> b").distinct()
     pairs = best.join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb")), "b")

@@ -2,19 +2,21 @@
 
 A public vocabulary with byte fallback encodes the words of each text. Three measures say how well the text is made of
 words the vocabulary has seen: characters per token, the share of byte-fallback tokens, and the entropy of the tokens.
-Bands per script decide; texts of fewer words than a band can judge stay with the base rules. Each distinct word of a
-block is encoded once (see common.TokenTable), so the pass is narrow and needs no shuffle.
+Bands per script decide; the script of a text is counted over all its letters. Each distinct word is encoded once (see
+common.TokenTable), so the pass is narrow and needs no shuffle.
 
 Null texts have no words and fail the base rule, as empty ones do; repeated rows get equal verdicts; extra columns are
-carried through.
+carried through, own columns of the measures' names give way in measures() and are kept by keep(); a very long text is
+measured whole, looked up in parts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TokenTable, blocks, bounds, documents, map_arrow, raw_texts, set_aside, worker_object
+from .common import U64, Block, TokenTable, bounds, documents, map_arrow, mix64, set_aside, text_blocks, worker_object
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -52,19 +54,43 @@ BANDS: dict[str, Band] = {
     "arabic": Band(0.7, 6.0, 0.35, 3.5),
     "cjk": Band(0.3, 4.0, 0.8, 3.5),
     "other": Band(0.2, 9.0, 0.95, 3.0),
+    "none": Band(1.6, 6.0, 0.1, 4.5),
 }
-#: Scripts by code point ranges.
+#: Scripts by code point ranges; letters of none of them are of script "other", texts without letters of script "none".
 SCRIPTS = {
-    "latin": "A-Za-zª-ɏḀ-ỿ",
-    "cyrillic": "Ѐ-ԯ",
-    "greek": "Ͱ-Ͽἀ-῿",
-    "arabic": "؀-ۿݐ-ݿ",
-    "cjk": "぀-ヿ㐀-䶿一-鿿가-힯",
+    "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xB5, 0xB5), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x1E00, 0x1EFF)],
+    "cyrillic": [(0x400, 0x52F)],
+    "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
+    "arabic": [(0x600, 0x6FF), (0x750, 0x77F)],
+    "cjk": [(0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0x20000, 0x3FFFF)],
 }
+_NAMES = [*SCRIPTS, "other"]
 #: Accented Latin letters and combining marks; a text has few if they are ACCENTED_PERCENT of its characters at most (measured: 16.7).
-_ACCENTED = re.compile("[À-ÖØ-öø-ɏḀ-ỿ\u0300-\u036f]")
+ACCENTED = [(0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x1E00, 0x1EFF), (0x300, 0x36F)]
 ACCENTED_PERCENT = 20
-_SCRIPT = {k: re.compile(f"[{v}]+") for k, v in SCRIPTS.items()}
+
+
+@cache
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Number of the script (from 1; 0: no letter), and whether accented, of every code point."""
+    script, accented = np.zeros(0x110000, np.uint8), np.zeros(0x110000, bool)
+    for c in range(0x110000):
+        if unicodedata.category(chr(c))[0] == "L":
+            script[c] = len(_NAMES)
+    for k, name in enumerate(SCRIPTS, 1):
+        for p, q in SCRIPTS[name]:
+            script[p : q + 1][script[p : q + 1] > 0] = k
+    for p, q in ACCENTED:
+        accented[p : q + 1] = True
+    return script, accented
+
+
+def letters(text: str) -> tuple[str, int]:
+    """(the script with the most letters, the first of SCRIPTS on a tie; number of accented letters)."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    script, accented = _classes()
+    n = np.bincount(script[points], minlength=len(_NAMES) + 1)[1:]
+    return (_NAMES[int(n.argmax())] if n.any() else "none"), int(accented[points].sum())
 
 
 def default_path() -> str:
@@ -73,15 +99,6 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def script_of(raw: bytes, text: str) -> str:
-    """The script with the most letters; texts of mostly one-byte characters are Latin without a count."""
-    if len(raw) <= 1.4 * len(text):
-        return "latin"
-    n = {k: sum(map(len, p.findall(text))) for k, p in _SCRIPT.items()}
-    best = max(n, key=lambda k: n[k])
-    return best if n[best] else "other"
-
-
 class Meter:
     """Measures of one worker."""
 
@@ -93,26 +110,26 @@ class Meter:
         self.is_byte = np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
 
     def measure(self, texts: list[bytes]) -> list[tuple]:
-        split = [t.split() for t in texts]
-        at = self.table.numbers([w for words in split for w in words])
-        ids, n = self.table.gather(at)
-        word_at = bounds([len(w) for w in split])
-        token_at = bounds(n)[word_at]
+        words = Block(texts)
+        hashes = words.hashes
+        ids, n, _ = self.table(words.raw, words.begin, words.end)
+        token_at = bounds(n)[words.first]
         n_bytes = bounds(self.is_byte[ids])
         out = []
         for k, raw in enumerate(texts):
             text = raw.decode()
-            words, (p, q), (a, b) = split[k], word_at[k : k + 2].tolist(), token_at[k : k + 2].tolist()
+            (p, q), (a, b) = words.first[k : k + 2].tolist(), token_at[k : k + 2].tolist()
             chars = len(text) - (len(raw) - len(raw.translate(None, SPACE)))
             symbols = len(raw) - len(raw.translate(None, SYMBOLS))
             tokens = b - a
             entropy = 0.0
             if tokens:
-                c = np.unique(ids[a:b], return_counts=True)[1]
+                c = np.bincount(ids[a:b]) if tokens > 5000 else np.unique(ids[a:b], return_counts=True)[1]
+                c = c[c > 0]
                 entropy = math.log2(tokens) - float((c * np.log2(c)).sum()) / tokens
             share = int(n_bytes[b] - n_bytes[a]) / tokens if tokens else 0.0
-            accented = len(_ACCENTED.findall(text)) if len(raw) > len(text) else 0
-            out.append((len(words), chars, symbols, duplicate_lines(raw), repeated_words(at[p:q]), tokens, chars / tokens if tokens else 0.0, share, entropy, script_of(raw, text), accented))
+            script, accented = letters(text)
+            out.append((q - p, chars, symbols, duplicate_lines(raw), repeated_words(hashes[p:q]), tokens, chars / tokens if tokens else 0.0, share, entropy, script, accented))
         return out
 
 
@@ -121,11 +138,11 @@ def duplicate_lines(raw: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def repeated_words(at: np.ndarray) -> int:
-    """Words inside three-word windows that occur twice or more."""
-    if len(at) < 4:
+def repeated_words(words: np.ndarray) -> int:
+    """Words inside three-word windows that occur twice or more, of a text's word hashes."""
+    if len(words) < 4:
         return 0
-    key = (at[:-2] << 42) | (at[1:-1] << 21) | at[2:]  # a block's word numbers stay under 2**21
+    key = mix64(mix64(words[:-2] * U64(3) + words[1:-1]) + words[2:])
     order = np.argsort(key, kind="stable")
     run = key[order]
     same = run[1:] == run[:-1]
@@ -157,9 +174,8 @@ def measures(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meter = worker_object(("meter", path), lambda: Meter(path))
         for b in batches:
-            texts = raw_texts(b.column("text"))
-            for i, j in blocks([len(t) for t in texts]):
-                part, found = b.slice(i, j - i), list(zip(*meter.measure(texts[i:j])))
+            for part, texts in text_blocks(b):
+                found = list(zip(*meter.measure(texts)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(x, _ARROW[t]) for x, (_, t) in zip(found, MEASURES))], names=[*names, *mine])
 
     return map_arrow(docs, run, T.StructType([*keep, *[T.StructField(k, _SPARK[t]) for k, t in MEASURES]]))

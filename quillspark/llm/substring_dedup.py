@@ -1,23 +1,25 @@
 """Removal of passages that repeat across documents, found with compressed FM-indexes.
 
 A window is WINDOW consecutive words; every word of a window that also starts in a document of smaller doc_id goes. Text is
-dealt to index shards by content: the least hash among the ANCHOR-word grams of a window is its anchor, and a run is a
+dealt to index shards by content: the least hash among the grams of a window (of GRAMS[0] words) is its anchor, and a run is a
 maximal row of windows of one anchor. Equal windows have equal anchors, so they meet in one shard, and anchors of one
 document alone (most of all text) leave before anything is indexed. Each shard indexes the distinct runs of its anchors
-(see fm_index) and streams them through by backward steps; the interval of rows that share WINDOW words gives the least
-doc_id that holds the window. Copies of a run, thousands of them or a third of the corpus, are one indexed run. Where a
-passage was edited in so many ways that its anchor has over HEAVY_RUNS distinct runs, no index takes them: their windows
-are dealt by their own hashes and the least doc_id of each is a grouped minimum.
+(see fm_index) and streams the runs of the documents through by backward search: the matching statistics say where a
+match reaches WINDOW words, and its interval of rows gives the least doc_id that holds the window. Copies of a run,
+thousands of them or a third of the corpus, are one run.
+
+An index takes a bounded number of words. Where an anchor has more (a passage edited in ever so many ways, one word
+repeated for ever), its windows are dealt anew by longer grams, at last by themselves: then an anchor is one window.
 
 Null and empty texts have no words; documents with a null doc_id have no order among others, so nothing is removed from
 or because of them; rows of equal doc_id don't remove from each other; repeated rows are treated alike. Extra columns are
-carried through by remove().
+carried through by remove(), those with names that are used here too. A very long text is many runs, and is hashed in
+segments; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,41 +27,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, blocks, bounds, documents, drop_tables, fanout, map_arrow, mix64, raw_texts, release, set_aside, text_key, worker_object, write_table
+from .common import U64, Block, bounds, documents, drop_tables, fanout, join_hot, map_arrow, mix64, powers, release, set_aside, text_blocks, text_key, write_table
 from .fm_index import FMIndex
 
 WINDOW = 50
-ANCHOR = 8
-#: Words of the runs in one index; an anchor's runs are never split.
-SHARD_WORDS = 500_000
-#: Distinct runs of one anchor that an index takes; the windows of anchors with more meet one by one instead.
-HEAVY_RUNS = 5_000
+#: Words of the grams that anchors are chosen from: each length but the last for the anchors of too many words at the one before.
+GRAMS = (8, 24, WINDOW)
+#: Words of the runs in one index; distinct runs, their words and the windows of one run that an anchor may have.
+SHARD_WORDS = 300_000
+HEAVY_RUNS, HEAVY_WORDS, LONG_RUN = 5_000, 300_000, 2_000
+#: Copies of a run from which on they are dealt to several tasks, and the share of all runs that says the same.
+HOT_RUNS, HOT_SHARE = 2_000, 5_000
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 class Sums:
     """Hash of any range of a word array, the same wherever the range lies."""
 
     def __init__(self, words: np.ndarray) -> None:
-        n = len(words)
-        power = np.full(n + 1, _BASE, U64)
-        power[0] = 1
-        back = np.full(n + 1, _INVERSE, U64)
-        back[0] = 1
-        np.multiply.accumulate(power, out=power)
-        np.multiply.accumulate(back, out=back)
-        self.back = back
-        self.total = np.concatenate([np.zeros(1, U64), np.cumsum(mix64(words) * power[:n], dtype=U64)])
+        power, self.back = powers(len(words))
+        self.total = np.zeros(len(words) + 1, U64)
+        np.cumsum(mix64(words) * power[: len(words)], out=self.total[1:])
 
     def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.total[end] - self.total[begin]) * self.back[begin] + (end - begin).astype(U64) * U64(0xD1B54A32D192ED03))
 
 
-def runs_of(words: np.ndarray, sizes: list[int], window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(text, first word within it, number of windows, anchor, content) of every run of the texts laid end to end."""
+def runs_of(words: np.ndarray, sizes: np.ndarray, gram: int = GRAMS[0], window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(text, first word within it, number of windows, anchor, content) of every run of the texts laid end to end. With grams as
+    long as a window, every window is a run."""
     n = len(words)
     at = bounds(sizes)
     left = np.repeat(at[1:], sizes) - np.arange(n)
@@ -67,8 +63,8 @@ def runs_of(words: np.ndarray, sizes: list[int], window: int = WINDOW, anchor: i
     if not len(valid):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2
     sums = Sums(words)
-    g = sums(np.arange(n - anchor + 1), np.arange(anchor, n + 1))
-    span, size = window - anchor + 1, 1
+    g = sums(np.arange(n - gram + 1), np.arange(gram, n + 1))
+    span, size = window - gram + 1, 1
     low = g
     while size * 2 <= span:
         low, size = np.minimum(low[:-size], low[size:]), size * 2
@@ -77,7 +73,8 @@ def runs_of(words: np.ndarray, sizes: list[int], window: int = WINDOW, anchor: i
     low = low[valid]
     owner = np.repeat(np.arange(len(sizes)), sizes)[valid]
     new = np.ones(len(valid), bool)
-    new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
+    if gram < window:
+        new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(valid)))
     begin = valid[first]
@@ -88,43 +85,70 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U64 else x, pa.int64())
 
 
+RUN = "doc_id long, tkey long, start int, n int, anchor long, content long"
+
+
+def _run_batch(doc_id: np.ndarray, tkey: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray, content: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_signed(doc_id), _signed(tkey), pa.array(start, pa.int32()), pa.array(n, pa.int32()), _signed(anchor), _signed(content)], names=["doc_id", "tkey", "start", "n", "anchor", "content"])
+
+
 def runs(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, start, n, anchor, content of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_object(("hashes",), WordHashes)
         for b in batches:
-            texts, keys = raw_texts(b.column("text")), b.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, j in blocks([len(t) for t in texts]):
-                split = [t.split() for t in texts[i:j]]
-                owner, start, n, anchor, content = runs_of(hashes([w for words in split for w in words]), [len(w) for w in split])
+            for part, texts in text_blocks(b):
+                words = Block(texts)
+                owner, start, n, anchor, content = runs_of(words.hashes, np.diff(words.first))
                 if len(owner):
-                    tkeys = np.array([text_key(t) for t in texts[i:j]], np.int64)
-                    yield pa.RecordBatch.from_arrays([_signed(keys[i:j][owner].astype(np.int64)), _signed(tkeys[owner]), pa.array(start, pa.int32()), pa.array(n, pa.int32()), _signed(anchor), _signed(content)], names=["doc_id", "tkey", "start", "n", "anchor", "content"])
+                    keys = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                    yield _run_batch(keys[owner], np.array([text_key(t) for t in texts], np.int64)[owner], start, n, anchor, content)
+
+    return map_arrow(docs.filter("doc_id is not null").select("doc_id", "text"), run, RUN)
+
+
+def finer_runs(docs: DataFrame, coarse: DataFrame, gram: int) -> DataFrame:
+    """The windows of the coarse runs as runs of anchors from longer grams."""
+    lists = coarse.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey")).join(lists, ["doc_id", "tkey"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, texts in text_blocks(b):
+                for key, tkey, text, wanted in zip(part.column("doc_id").to_pylist(), part.column("tkey").to_pylist(), texts, part.column("wanted").to_pylist()):
+                    words = Block([text]).hashes
+                    for w in wanted:
+                        for p in range(0, w["n"], PIECE):
+                            begin = w["start"] + p
+                            cut = words[begin : begin + min(PIECE, w["n"] - p) + WINDOW - 1]
+                            _, start, n, anchor, content = runs_of(cut, np.array([len(cut)]), gram)
+                            yield _run_batch(np.full(len(n), key), np.full(len(n), tkey), begin + start, n, anchor, content)
+
+    return map_arrow(keyed, run, RUN)
+
 
-    return map_arrow(docs.filter("doc_id is not null").select("doc_id", "text"), run, "doc_id long, tkey long, start int, n int, anchor long, content long")
+#: Windows of a run that are dealt anew at once.
+PIECE = 100_000
 
 
 def run_words(docs: DataFrame) -> DataFrame:
     """docs(text, wanted array<struct<anchor, content, least, start, n>>) -> anchor, content, least, words of each wanted run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_object(("hashes",), WordHashes)
         for b in batches:
-            found: list[tuple] = []
-            texts, size = raw_texts(b.column("text")), 0
-            for raw, wanted in zip(texts, b.column("wanted").to_pylist()):
-                words = hashes(raw.split())
-                for w in wanted:
-                    end = w["start"] + w["n"] + WINDOW - 1
-                    part = words[w["start"] : end]
-                    found.append((w["anchor"], w["content"], w["least"], part.tobytes()))
-                    size += len(part)
-                if size > 200_000:
+            for part, texts in text_blocks(b):
+                block = Block(texts)
+                hashes, found, size = block.hashes, [], 0
+                for first, wanted in zip(block.first.tolist(), part.column("wanted").to_pylist()):
+                    for w in wanted:
+                        words = hashes[first + w["start"] : first + w["start"] + w["n"] + WINDOW - 1]
+                        found.append((w["anchor"], w["content"], w["least"], words.tobytes()))
+                        size += len(words)
+                        if size > 200_000:
+                            yield batch(found)
+                            found, size = [], 0
+                if found:
                     yield batch(found)
-                    found, size = [], 0
-            if found:
-                yield batch(found)
 
     def batch(found: list[tuple]) -> pa.RecordBatch:
         a, c, v, w = zip(*found)
@@ -141,8 +165,8 @@ def search(contents: DataFrame) -> DataFrame:
         size, last = 0, None
 
         def close() -> pa.RecordBatch:
-            index = FMIndex([h[3] for h in held], np.array([h[2] for h in held], np.int64), WINDOW)
-            mins = index.least_values()
+            streams = [h[3] for h in held]
+            mins = FMIndex(streams, np.array([h[2] for h in held], np.int64), WINDOW).least_values(streams)
             flat = np.concatenate(mins)
             lists = pa.ListArray.from_arrays(pa.array(bounds([len(m) for m in mins]), pa.int32()), pa.array(flat, pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), lists], names=["anchor", "content", "mins"])
@@ -164,59 +188,62 @@ def search(contents: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, spans array<struct<start, n>>: the windows to remove, for the documents that have some."""
     spark = docs.sparkSession
-    every = write_table(spark, runs(docs), "runs")
-    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    shared = write_table(spark, every.join(shared, "anchor", "left_semi"), "shared-runs")
-    drop_tables(spark, every)
-    release(spark)
-    # one row for each distinct run, of its least document
-    distinct = write_table(spark, shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "tkey", "start", "n")).alias("f")), "distinct-runs")
-    heavy = write_table(spark, distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HEAVY_RUNS).select("anchor"), "heavy-anchors")
-    any_heavy = not heavy.isEmpty()
-    if any_heavy:
-        distinct = distinct.join(heavy, "anchor", "left_anti")
+    limits = HEAVY_RUNS, HEAVY_WORDS, LONG_RUN
+    every, found = write_table(spark, runs(docs), "runs"), []
+    for gram, finer in zip(GRAMS, [*GRAMS[1:], None]):
+        shared = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
+        shared = write_table(spark, every.join(shared, "anchor", "left_semi"), "shared-runs")
+        drop_tables(spark, every)
+        release(spark)
+        # one row for each distinct run, of its least document
+        distinct = write_table(spark, shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "tkey", "start", "n")).alias("f"), F.count(F.lit(1)).alias("copies")), "distinct-runs")
+        heavy = None
+        if finer:
+            words = F.sum(F.col("f.n").cast("long") + WINDOW - 1)
+            heavy = write_table(spark, distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), words.alias("w"), F.max("f.n").alias("longest")).filter((F.col("c") > limits[0]) | (F.col("w") > limits[1]) | (F.col("longest") > limits[2])).select("anchor"), "heavy-anchors")
+            if heavy.isEmpty():
+                drop_tables(spark, heavy)
+                heavy = None
+        light = (distinct, shared) if heavy is None else tuple(x.join(heavy, "anchor", "left_anti") for x in (distinct, shared))
+        found.append(found_spans(docs, *light))
+        if heavy is not None:
+            every = write_table(spark, finer_runs(docs, shared.join(heavy, "anchor", "left_semi"), finer), "runs")
+            drop_tables(spark, heavy)
+        drop_tables(spark, shared, distinct)
+        release(spark)
+        if heavy is None:
+            break
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionByName(more)
+    out = write_table(spark, spans.groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("s")).alias("spans")), "removals")
+    drop_tables(spark, *found)
+    return out
+
+
+def found_spans(docs: DataFrame, distinct: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id, tkey, s array<struct<start, n>>: windows of the shared runs that a document of smaller doc_id has."""
+    spark = docs.sparkSession
     wanted = distinct.groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.tkey").alias("tkey")).agg(F.collect_list(F.struct("anchor", "content", F.col("f.doc_id").alias("least"), F.col("f.start").alias("start"), F.col("f.n").alias("n"))).alias("wanted"))
-    wanted = write_table(spark, wanted, "wanted-runs")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
     words = run_words(keyed.join(wanted, ["doc_id", "tkey"]).select("text", "wanted"))
-    parts = fanout(spark, shared)
     # repeated rows give a run twice
-    dealt = words.repartition(parts, "anchor").sortWithinPartitions("anchor", "content")
-    found = write_table(spark, search(dealt), "least-documents").dropDuplicates(["anchor", "content"])
+    dealt = words.repartition(fanout(spark, shared), "anchor").sortWithinPartitions("anchor", "content")
+    table = write_table(spark, search(dealt), "least-documents")
+    least = table.dropDuplicates(["anchor", "content"])
     release(spark)
-    met = shared.join(found, ["anchor", "content"]).filter(F.array_min("mins") < F.col("doc_id"))
+    # copies of a run that many documents hold are dealt to several tasks; at most HOT_SHARE runs are
+    total = distinct.agg(F.sum("copies")).first()[0] or 0
+    per = max(HOT_RUNS, total // HOT_SHARE)
+    hot = distinct.filter(F.col("copies") > per).select("anchor", "content", F.ceil(F.col("copies") / per).cast("int").alias("parts"))
+    met = join_hot(shared, least, ["anchor", "content"], hot, ["doc_id", "start"]).filter(F.array_min("mins") < F.col("doc_id"))
     part = F.transform(F.filter(F.sequence(F.lit(0), F.size("mins") - 1), lambda k: F.get("mins", k) < F.col("doc_id")), lambda k: F.struct((F.col("start") + k).alias("start"), F.lit(1).alias("n")))
     whole = F.array(F.struct(F.col("start").alias("start"), F.col("n").alias("n")))
-    spans = met.select("doc_id", "tkey", F.when(F.array_max("mins") < F.col("doc_id"), whole).otherwise(part).alias("s"))
-    if any_heavy:
-        spans = spans.unionByName(heavy_spans(docs, shared.join(heavy, "anchor", "left_semi")))
-    out = write_table(spark, spans.groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
-    drop_tables(spark, shared, wanted)
-    release(spark)
+    out = write_table(spark, met.select("doc_id", "tkey", F.when(F.array_max("mins") < F.col("doc_id"), whole).otherwise(part).alias("s")), "spans")
+    drop_tables(spark, table)
     return out
 
 
-def heavy_spans(docs: DataFrame, heavy: DataFrame) -> DataFrame:
-    """doc_id, tkey, s array<struct<start, n>>: windows of the heavy runs that a document of smaller doc_id has."""
-    spark = docs.sparkSession
-    lists = heavy.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey")).join(lists, ["doc_id", "tkey"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_object(("hashes",), WordHashes)
-        for b in batches:
-            for k, raw in enumerate(raw_texts(b.column("text"))):
-                words, wanted = hashes(raw.split()), b.column("wanted")[k].as_py()
-                at = np.concatenate([np.arange(w["start"], w["start"] + w["n"]) for w in wanted])
-                h = Sums(words)(at, at + WINDOW)
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(c)[k].as_py()] * len(at), pa.int64()) for c in ("doc_id", "tkey")] + [pa.array(at, pa.int32()), _signed(h)], names=["doc_id", "tkey", "start", "h"])
-
-    windows = write_table(spark, map_arrow(keyed, run, "doc_id long, tkey long, start int, h long"), "heavy-windows")
-    least = windows.groupBy("h").agg(F.min("doc_id").alias("lo"))
-    met = windows.join(least, "h").filter(F.col("lo") < F.col("doc_id"))
-    return met.select("doc_id", "tkey", F.array(F.struct("start", F.lit(1).alias("n"))).alias("s"))
-
-
 def _removed(n: int, spans: list[dict]) -> np.ndarray:
     edge = np.zeros(n + 1, np.int32)
     for s in spans:
@@ -239,16 +266,17 @@ def digests(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, n_removed, sums = [], [], []
-            for raw, spans in zip(raw_texts(b.column("text")), b.column("spans").to_pylist()):
-                words = raw.split()
-                n_words.append(len(words))
-                if spans:
-                    gone = _removed(len(words), spans)
-                    words = [w for w, g in zip(words, gone.tolist()) if not g]
-                n_removed.append(n_words[-1] - len(words))
-                sums.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sums, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            for rows, texts in text_blocks(b):
+                n_words, n_removed, sums = [], [], []
+                for raw, spans in zip(texts, rows.column("spans").to_pylist()):
+                    words = raw.split()
+                    n_words.append(len(words))
+                    if spans:
+                        gone = _removed(len(words), spans)
+                        words = [w for w, g in zip(words, gone.tolist()) if not g]
+                    n_removed.append(n_words[-1] - len(words))
+                    sums.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sums, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return map_arrow(with_spans(docs.select("doc_id", "text")), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -260,22 +288,20 @@ def remove(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            column = b.column("text")
-            for old, raw, spans in zip(column, raw_texts(column), b.column("spans").to_pylist()):
-                if not spans:
-                    texts.append(old.as_py())
-                    continue
-                places = [m.span() for m in WORD.finditer(raw)]
-                gone, out, last = _removed(len(places), spans).tolist(), [], 0
-                for k, (p, q) in enumerate(places):
-                    if gone[k]:
-                        if k == 0 or not gone[k - 1]:
-                            out.append(raw[last:p])
+            for rows, texts in text_blocks(b):
+                column, out = rows.column("text"), []
+                for k, (raw, spans) in enumerate(zip(texts, rows.column("spans").to_pylist())):
+                    if not spans:
+                        out.append(column[k].as_py())
+                        continue
+                    words = Block([raw])
+                    gone = np.flatnonzero(np.diff(_removed(len(words.begin), spans).astype(np.int8), prepend=0, append=0))
+                    kept, last = [], 0
+                    for p, q in zip(words.begin[gone[::2]].tolist(), words.end[gone[1::2] - 1].tolist()):
+                        kept.append(raw[last:p])
                         last = q
-                out.append(raw[last:])
-                texts.append(b"".join(out).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
+                    out.append(b"".join([*kept, raw[last:]]).decode())
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else rows.column(c) for c in names], names=names)
 
     return named_back(map_arrow(with_spans(docs), run, schema))
 
