@@ -4,9 +4,12 @@ Each page is parsed into a tree that tolerates unclosed tags. Blocks (paragraph-
 length and commas to their parent and, less with each step, to its ancestors; a container's points are discounted by
 its link density. The best container is kept together with siblings that score like it, and its text is told block by
 block. Elements that never hold main text (menus, headers, footers, sidebars, forms, scripts, styles, notices, adverts,
-reader comments) are left out of scoring and telling alike, by tag or by the words of class, id and role.
+reader comments) are left out of scoring and telling alike, by tag or by the words of class, id and role. Such a word says
+nothing in a name that tells a state of a page ("has-sidebar") or a part of an article ("entry-header"), and a layout
+word on an element that holds most of the page's text only halves its points.
 
-Null and empty pages have an empty text; repeated pages get equal rows; extra columns aren't read. Row-local: no shuffle.
+Null and empty pages have an empty text; repeated pages get equal rows; extra columns aren't read; a very long page is
+parsed whole, without recursion; an empty table gives an empty result. Row-local: no shuffle.
 """
 
 from __future__ import annotations
@@ -28,17 +31,28 @@ RAW = frozenset("script style textarea title noscript iframe template svg math x
 DROPPED = frozenset("nav footer aside form script style noscript iframe template svg math head title button select textarea input dialog object canvas audio video menu xmp noembed noframes".split())
 #: Elements that make blocks.
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul br caption".split())
-#: Words of class, id or role that name what isn't main text.
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed|s)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|newsletter|subscribe|signup|popup|modal|overlay|comments?|respond|disqus|replies|discussion|sidebar|side-?bar|widgets?|related|recommend(?:ed|ations?)?|share|sharing|social|breadcrumbs?|nav|navigation|navbar|menus?|footer|header|masthead|pagination|pager|toolbar|skip|hidden|login|search|complementary|contentinfo)(?=$|[\s_-])"
-)
+#: Words of class, id or role that name what isn't main text, whatever it holds.
+UNWANTED = frozenset("ad ads advert adverts advertisement advertisements adsense sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr newsletter subscribe signup comment comments respond disqus replies discussion related recommend recommended recommendation recommendations".split())
+#: Words that name a part of the page's layout.
+LAYOUT = frozenset("banner notice notices popup modal overlay sidebar widget widgets share sharing social breadcrumb breadcrumbs nav navigation navbar menu menus footer header masthead pagination pager toolbar skip hidden login search complementary contentinfo".split())
+#: Words beside them that tell a state, and words of an article's own parts.
+STATES = frozenset("has with no without is not show js on off".split())
+ARTICLE_PARTS = frozenset("entry article post story content title headline section body text main".split())
+#: A layout element with more than this share of the page's text is no sidebar or the like.
+MOST_TEXT = 0.5
+DISCOUNT = 0.5
+_PARTS = re.compile(r"[-_]+")
 #: Elements whose end an opening block implies.
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SCOPE = frozenset("table ul ol dl article section div body html main aside nav footer header form blockquote".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: One attribute: a value in quotes that end, or up to white space or the tag's end; quotes inside a bare value are part of it.
+ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+TAG_END = re.compile(r"[\s/]*>|[\s/]*$")
+#: Where markup goes on after a raw element that isn't closed.
+MARKUP = re.compile(r"</?(?:p|div|article|section|main|body|html|h[1-6]|ul|ol|table|nav|footer|header|aside|form|blockquote)\b", re.I)
 
 #: Points of a block: one, one a comma, one for each 100 characters up to three; shares by steps up.
 CHARS_PER_POINT, MOST_LENGTH_POINTS = 100, 3
@@ -47,32 +61,57 @@ SIBLING_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "score", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "children", "drop", "layout", "score", "chars", "link_chars")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool) -> None:
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool, layout: bool) -> None:
+        self.tag, self.parent, self.drop, self.layout = tag, parent, drop, layout
         self.children: list[Node | str] = []
         self.score, self.chars, self.link_chars = 0.0, 0, 0
 
 
-def unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
+def named(value: str, words: frozenset[str]) -> bool:
+    """Whether one of the names in an attribute's value tells what `words` tell."""
+    for name in value.split():
+        parts = _PARTS.split(name)
+        found = words.intersection(parts)
+        if found and not STATES.intersection(parts) and not (found <= {"header", "title"} and ARTICLE_PARTS.intersection(parts)):
+            return True
+    return False
+
+
+def unwanted(tag: str, attributes: dict[str, str], inside_article: bool) -> tuple[bool, bool]:
+    """(whether an element is left out, whether only for a layout word)."""
     if tag in DROPPED:
-        return True
+        return True, False
     if tag == "header":
-        return not inside_article  # an article's own header holds its headline
+        return not inside_article, False  # an article's own header holds its headline
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and UNWANTED.search(value):
-            return True
-    return False
+        return False, False
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
+        return True, False
+    values = [attributes[k] for k in ("class", "id", "role") if k in attributes]
+    if any(named(v, UNWANTED) for v in values):
+        return True, False
+    layout = any(named(v, LAYOUT) for v in values)
+    return layout, layout
+
+
+def read_tag(html: str, pos: int) -> tuple[dict[str, str], bool, int]:
+    """(attributes, whether the tag closes itself, where it ends) of a tag whose name ends at pos."""
+    attributes: dict[str, str] = {}
+    while True:
+        m = TAG_END.match(html, pos)
+        if m:
+            return attributes, "/" in m[0], m.end()
+        m = ATTRIBUTE.match(html, pos)
+        if m is None:  # nothing but slashes and an odd character
+            return attributes, False, len(html)
+        attributes.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+        pos = m.end()
 
 
 def parse(html: str) -> Node:
-    root = at = Node("#root", None, False)
+    root = at = Node("#root", None, False, False)
     last = 0
     pos, end = 0, len(html)
     while pos < end:
@@ -86,6 +125,8 @@ def parse(html: str) -> Node:
         if tag is None:
             continue
         tag = tag.lower()
+        attributes, closed, pos = read_tag(html, pos)
+        last = pos
         if m[1]:  # an end tag closes up to its element; one that matches nothing is ignored, </p> makes an empty block
             up = at
             while up.parent is not None and up.tag != tag:
@@ -112,18 +153,38 @@ def parse(html: str) -> Node:
         articles = False
         while up is not None and not articles:
             articles, up = up.tag in ("article", "main"), up.parent
-        node = Node(tag, at, unwanted(tag, m[3], articles))
+        node = Node(tag, at, *unwanted(tag, attributes, articles))
         at.children.append(node)
         if tag in RAW:
-            close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(html, pos)
-            last = pos = close.end() if close else end
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+            if not (closed and tag in ("svg", "math")):
+                close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(html, pos)
+                if close is None:  # never closed: only up to where markup goes on
+                    close = MARKUP.search(html, pos)
+                    last = pos = close.start() if close else end
+                else:
+                    last = pos = close.end()
+        elif tag not in VOID and not closed:
             at = node
     if last < end:
         at.children.append(html[last:])
     return root
 
 
+def restore(root: Node) -> None:
+    """Take back layout elements that hold most of the page's text."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack += [c for c in n.children if not isinstance(c, str) and (not c.drop or c.layout)]
+    chars: dict[int, int] = {}
+    for n in reversed(order):  # children before parents
+        chars[id(n)] = sum(len(c) - c.count(" ") if isinstance(c, str) else chars.get(id(c), 0) for c in n.children)
+    for n in order:
+        if n.drop and chars[id(n)] > MOST_TEXT * chars[id(root)]:
+            n.drop = False
+
+
 def _blocks(node: Node, out: list, linked: bool, owner: Node) -> None:
     """(owner of the block, text, characters within links) of every block below node, in page order. Iterative: pages nest deep."""
     stack: list = [(node, linked, owner, iter(node.children))]
@@ -168,6 +229,7 @@ def main_text(html: str) -> str:
     if not html or html.isspace():
         return ""
     root = parse(html)
+    restore(root)
     found: list[tuple[Node, str, int]] = []
     _blocks(root, found, False, root)
     if not found:
@@ -188,6 +250,9 @@ def main_text(html: str) -> str:
             up.score += points * share
             scored[id(up)] = up
             up = up.parent
+    for n in scored.values():
+        if n.layout:
+            n.score *= DISCOUNT
     density = lambda n: n.link_chars / n.chars if n.chars else 0.0
     # nested paragraphs of broken pages: inline and paragraph elements are no containers
     holders = [n for n in scored.values() if n.tag not in ("p", "b", "i", "em", "strong", "span", "a", "u", "font", "li", "br", "#root")] or list(scored.values())
