@@ -8,7 +8,8 @@ all pages, and a page's own share is taken out of its host's counts.
 
 Null and empty pages have no words and are told by the other evidence; an unknown declaration or suffix is a value of its
 own; repeated pages are rows of their own; null addresses share an empty host; without labelled documents the result is
-null. Extra columns aren't read. An empty table gives no rows.
+null. Extra columns aren't read; a very long page is read whole. An empty table gives no rows. Pages of a host that many
+pages have are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, release, write_table
+from .common import documents, join_hot, map_arrow, release, write_table
 
 #: Bounds of the sample learnt from and of the features kept.
 TRAIN_ROWS, FEATURES = 4_000, 40_000
 MIN_COUNT = 5
 #: Words are no independent witnesses: a page's text counts as this many at most.
 EFFECTIVE_WORDS = 40
+#: Pages of a host from which on they are dealt to several tasks, and the share of all pages that says the same.
+HOT_PAGES, HOT_SHARE = 2_000, 5_000
 SMOOTH, HOST_WEIGHT, DOMAIN_WEIGHT = 0.5, 5.0, 20.0
 
 _CUT = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)|<[^>]*>", re.S | re.I)
@@ -81,7 +84,7 @@ def evidence(pages: DataFrame, langs: list[str], number: dict[str, int], table:
 
     found = map_arrow(pages.select("page_id", "url", "html"), run, "page_id long, url string, declared string, n_words long, ll array<double>")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?([^/:?#]*)", 1))
-    suffix = F.regexp_extract("host", r"\.([a-z]{2,3})$", 1)  # two or three letters: a bounded set
+    suffix = F.regexp_extract("host", r"\.([^.]+)$", 1)
     return found.withColumn("host", host).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", suffix)
 
 
@@ -105,7 +108,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("dn"), *[F.sum(f"s{i}").alias(f"d{i}") for i in k])
     smooth = lambda c, n, up, weight: (c + weight * up) / (n + weight)
     share = lambda i: (F.col(f"g{i}") + SMOOTH) / (F.col("gn") + SMOOTH * len(langs))
-    # shares of a value among the pages of each language; suffixes and declarations are at most 18,279 values each
+    # shares of a value among the pages of each language; declarations are at most 18,279 values
     suffixes = hosts.groupBy("suffix").agg(*again)
 
     def likely(values: DataFrame, to: str) -> DataFrame:
@@ -116,8 +119,10 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     by_suffix = likely(suffixes, "by_suffix")
     by_declared = likely(rows.groupBy("declared").agg(*sums("p")), "by_declared")
     prior = hosts.join(domains, "domain").crossJoin(F.broadcast(total)).select("host", "n", F.array(*[f"s{i}" for i in k]).alias("hs"), F.array(*[smooth(F.col(f"d{i}"), F.col("dn"), share(i), DOMAIN_WEIGHT) for i in k]).alias("up"), "suffix")
-    prior = write_table(spark, prior.join(F.broadcast(by_suffix), "suffix").drop("suffix"), "host-priors")
-    joined = rows.join(prior, "host").join(F.broadcast(by_declared), "declared")
+    prior = write_table(spark, prior.join(by_suffix, "suffix").drop("suffix"), "host-priors")
+    per = max(HOT_PAGES, (total.first().gn or 0) // HOT_SHARE)
+    hot = hosts.filter(F.col("n") > per).select("host", F.ceil(F.col("n") / per).cast("int").alias("parts"))
+    joined = join_hot(rows, prior, ["host"], hot, ["page_id", "url"]).join(F.broadcast(by_declared), "declared")
     at = lambda c, i: F.get(c, F.lit(i))
     scores = F.array(*[at("ll", i) + at("by_declared", i) + at("by_suffix", i) + F.log(F.greatest(smooth(at("hs", i) - at("p", i), F.col("n") - 1, at("up", i), HOST_WEIGHT), F.lit(1e-9))) for i in k])
     named = F.array(*[F.lit(x) for x in langs])

@@ -3,16 +3,17 @@
 Links join documents with equal keys (here: equal texts). All members of a group stand for each other, so the graph is held
 as cells, (group, slice of doc_id hashes, size), and never as pairs: a group of a third of all rows is SLICES cells, not
 one row and not a square. Labels start from a hash; each round sums the cells of a group by shard, which is what a cell
-sees of its neighbours, and cells move to the shard that holds most of their group as long as that shard has room. The
-room of a shard is dealt to LANES lanes by hash, so that the running sums which decide who still fits are over one lane
-each. After the last round rows are counted out exactly: shards over their quota hand on their last rows, unlinked rows
-first, and shards under it take them, so counts differ by one at most (law "rows").
+sees of its neighbours, and a group's cells move to the shard that holds most of it among those with room, until no cell
+moves any more. The room of a shard, its quota less what it holds when the round begins, is dealt to LANES lanes by hash, so
+that the running sums which decide who still fits are over one lane each, and no shard passes its quota by moves. After
+the last round rows are counted out exactly: shards over their quota hand on their last rows, unlinked rows first, and
+shards under it take them, so counts differ by one at most (law "rows").
 
 Ranks within a shard come from counts by (shard, lane) and a window over one lane; lanes grow with the input.
 
 A null text is a text of its own kind with size 1, as is an empty one; repeated rows (equal doc_id and text) are separate
-rows with slots of their own; null doc_ids are dealt like others; an empty table gives an empty result. Only doc_id and
-text are read, so extra columns don't matter.
+rows with slots of their own; null doc_ids are dealt like others; an empty table gives an empty result; a very long text
+is read for its digest alone. Only doc_id and text are read, so extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from .common import documents, drop_tables, release, write_table
 
 SHARDS = 16
 SLICES = 4096
-ROUNDS = 3
+#: Rounds at most; propagation ends before where nothing moves.
+ROUNDS = 12
 ROWS_PER_LANE = 20_000
 
 
@@ -44,32 +46,44 @@ def _slot_of(cells: DataFrame, lanes: int) -> DataFrame:
 
 
 def propagate(cells: DataFrame, shards: int, total: int, rounds: int = ROUNDS) -> DataFrame:
-    """cells(group, slice, n) with their shard after the given rounds; no shard takes more than its quota by moves."""
+    """cells(group, slice, n) with their shard once nothing moves, or after the given rounds; no shard passes its quota by moves."""
     spark = cells.sparkSession
-    quota = -(-total // shards)
+    quota = total // shards
     lanes = max(1, total // (ROWS_PER_LANE * shards))
-    state = write_table(spark, _slot_of(cells, lanes).withColumn("shard", F.pmod(F.xxhash64(F.lit(17), "group", "slice"), F.lit(shards)).cast("int")), "labels")
+    names = ["group", "slice", "n", "lane", "shard"]
+    state = write_table(spark, _slot_of(cells, lanes).withColumn("shard", F.pmod(F.xxhash64(F.lit(17), "group", "slice"), F.lit(shards)).cast("int")).select(*names), "labels")
+    every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
     for r in range(rounds):
-        room = state.groupBy("shard").agg(F.sum("n").alias("held"))
-        # what each group holds in each shard: at most `shards` rows a group
-        held = state.groupBy("group", "shard").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("cells"))
-        best = held.groupBy("group").agg(F.max(F.struct(F.col("w"), F.xxhash64("group", "shard").alias("tie"), F.col("shard"))).alias("b"), F.sum("cells").alias("cells")).filter("cells > 1").select("group", F.col("b.shard").alias("to"), F.col("b.w").alias("pull"))
-        # the join's right side has one row a group; a large group's cells are SLICES at most
-        asked = state.join(best, "group", "left").withColumn("moves", F.col("to").isNotNull() & (F.col("to") != F.col("shard")))
+        held = state.groupBy("shard").agg(F.sum("n").alias("held"))
+        room = F.broadcast(every.join(held, "shard", "left").select("shard", (F.lit(quota) - F.coalesce("held", F.lit(0))).alias("free")))  # one row a shard
+        # what each group holds in each shard, at most `shards` rows a group, as a cell sees its neighbours: ties by a hash that turns
+        # from round to round, so that a group whose first choice is full finds another
+        pull = F.struct(F.col("w"), F.xxhash64(F.lit(r), "group", "shard").alias("tie"), F.col("shard"))
+        seen = state.groupBy("group", "shard").agg(F.sum("n").alias("w")).join(room, "shard").withColumn("pull", pull)
+        best = seen.groupBy("group").agg(F.max(F.when(F.col("free") > 0, F.col("pull"))).alias("b"), F.count(F.lit(1)).alias("parts")).filter("parts > 1 and b is not null").select("group", F.col("b.shard").alias("to"), F.col("b.w").alias("pull"))
+        # cells of smaller shares follow the larger one; the join's right side has one row a group
+        asked = state.join(best, "group").filter(F.col("to") != F.col("shard")).join(seen.select("group", "shard", "w"), ["group", "shard"]).filter(F.col("pull") >= F.col("w"))
         # movers of a lane fill the lane's share of the target's room, large groups first
-        turn = Window.partitionBy("moves", "to", "lane").orderBy(F.desc("pull"), "group", "slice").rowsBetween(Window.unboundedPreceding, 0)
-        free = room.select(F.col("shard").alias("to"), (F.lit(quota) - F.col("held")).alias("free"))
-        out = state.join(best, "group").filter(F.col("to") != F.col("shard")).groupBy(F.col("shard").alias("to")).agg(F.sum("n").alias("leaving"))
-        share = free.join(out, "to", "left").select("to", (F.greatest(F.col("free") + F.coalesce("leaving", F.lit(0)), F.lit(0)) / lanes).alias("share"))
-        ranked = asked.filter("moves").withColumn("upto", F.sum("n").over(turn)).join(F.broadcast(share), "to", "left")  # share: one row a shard
-        moved = ranked.withColumn("shard", F.when(F.col("upto") <= F.coalesce("share", F.lit(quota / lanes)), F.col("to")).otherwise(F.col("shard")))
-        names = ["group", "slice", "n", "lane", "shard"]
-        new = write_table(spark, asked.filter("not moves").select(*names).unionByName(moved.select(*names)), "labels")
-        drop_tables(spark, state)
+        turn = Window.partitionBy("to", "lane").orderBy(F.desc("pull"), "group", "slice").rowsBetween(Window.unboundedPreceding, 0)
+        share = room.select(F.col("shard").alias("to"), (F.col("free") / lanes).alias("share"))
+        moves = asked.withColumn("upto", F.sum("n").over(turn)).join(share, "to").filter("upto <= share").select("group", "slice", "to")
+        moves = write_table(spark, moves, "moves")
+        if moves.isEmpty():
+            drop_tables(spark, moves)
+            break
+        new = write_table(spark, state.join(moves, ["group", "slice"], "left").withColumn("shard", F.coalesce("to", "shard")).select(*names), "labels")
+        drop_tables(spark, state, moves)
         state = new
     return state
 
 
+def cut_edges(placed: DataFrame, group: str, shard: str = "shard", n: str | None = None) -> DataFrame:
+    """One row (links, cut): pairs of equal `group`, and those of them in different shards. n: rows that a row stands for."""
+    w = placed.groupBy(group, shard).agg(F.sum(F.col(n) if n else F.lit(1)).cast("double").alias("w"))
+    by = w.groupBy(group).agg(F.sum("w").alias("m"), F.sum(F.col("w") * F.col("w")).alias("q"), F.sum("w").alias("s"))
+    return by.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.lit(0.0)).alias("links"), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0)).alias("cut"))
+
+
 def _numbered(rows: DataFrame, lanes: int, order: list, by: str = "shard") -> DataFrame:
     """rows with `rank`, gapless from 0 within `by`, in the order of (band, lane, order)."""
     spread = rows.withColumn("lane", F.pmod("spread", F.lit(lanes)))

@@ -3,15 +3,18 @@
 The lexicon is learnt from labelled rows by a grouped count of words; the features of a text are lexicon densities, lexicon
 words near second-person words, capitals, punctuation and obfuscation rates, all rates of the whole text. A booster of
 histogram trees is fitted on the driver on a bounded sample of TRAIN_ROWS labelled rows (the rows of least hash, so the
-sample is the same at every run), and isotonic regression on a held-back part of that sample turns margins into
-probabilities. Scoring is row-local over all documents.
+sample is the same at every run), and isotonic regression on a held-back part of that sample, which neither the lexicon nor
+the booster has seen, turns margins into probabilities. Scoring is row-local over all documents.
 
 Rows whose crc32(doc_id) mod 4 is 2 are never learnt from. Null and empty texts are scored by their all-zero features;
-without labels of both kinds the score is the share of toxic labels (0 without labels); repeated labels count as rows.
+without labels of both kinds the score is the share of toxic labels (0 without labels); repeated labels count as rows, and
+so do labelled rows of a repeated doc_id; a very long text is scored whole. Only doc_id, text and toxic are read, so extra
+columns don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, raw_texts
+from .common import documents, map_arrow, raw_texts, text_blocks
 
 HELD_OUT = 2
 THRESHOLD = 0.3
 #: Bound of the sample that the driver learns from.
 TRAIN_ROWS = 12_000
 LEXICON_WORDS = 256
+#: One in so many sampled rows, by a hash, calibrates; the others teach the lexicon and the booster.
+CALIBRATION = 4
 #: Inflected and compounded insults share a stem: the first STEM bytes of longer words.
 STEM = 5
 MIN_LEXICON_DOCS = 3
@@ -38,7 +43,7 @@ YOU = frozenset("you your yours yourself u ur du dich dir dein deine deinen dein
 FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 LEET = str.maketrans("013457@$!", "oieastasi")
 OBFUSCATED = re.compile(r"(?<![^\W_])[a-z]+(?:[0-9@$!*._+-]+[a-z]+)+(?![^\W_])")
-FEATURES = ["hits", "hit_rate", "distinct", "weight", "weight_rate", "strongest", "stem_hits", "stem_rate", "stem_distinct", "stem_weight_rate", "near_you", "near_you_rate", "capitals", "shouted", "exclaims", "questions", "punctuation", "obfuscated", "obfuscated_hits", "words"]
+FEATURES = ["hits", "hit_rate", "distinct", "weight", "weight_rate", "strongest", "stem_hits", "stem_rate", "stem_distinct", "stem_weight_rate", "near_you", "near_you_rate", "capitals", "shouted", "exclaims", "questions", "punctuation", "obfuscated", "obfuscated_hits", "log_words"]
 
 
 def features_of(raw: bytes, lexicon: dict[bytes, float], stems: dict[bytes, float]) -> tuple[float, ...]:
@@ -61,7 +66,7 @@ def features_of(raw: bytes, lexicon: dict[bytes, float], stems: dict[bytes, floa
         len(hits), 100 * len(hits) / n, len({words[i] for i in hits}), sum(weights), 100 * sum(weights) / n, max(weights, default=0.0),
         len(stemmed), 100 * len(stemmed) / n, len({words[i] for i, _ in stemmed}), 100 * sum(stems[t] for _, t in stemmed) / n, near, 100 * near / n,
         capitals / size, float(low != text and text.upper() == text), 100 * raw.count(b"!") / n, 100 * raw.count(b"?") / n,
-        (size - len(raw.translate(None, b".,;:!?\"'()-"))) / size, 100 * len(odd) / n, odd_hits, min(n, 5000),
+        (size - len(raw.translate(None, b".,;:!?\"'()-"))) / size, 100 * len(odd) / n, odd_hits, math.log1p(n),
     )
 
 
@@ -161,9 +166,10 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """text and toxic of the labelled rows to learn from: at most `rows`, those of least hash."""
+    """text and toxic of the labelled rows to learn from: at most `rows`, those of least hash; `calibrates` holds some back."""
     picked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")  # `rows` rows at most
+    apart = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(CALIBRATION)) == 0
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic", apart.alias("calibrates"))  # `rows` rows at most
 
 
 def learn_lexicon(train: DataFrame, positive: int, negative: int, by_stem: bool = False) -> dict[bytes, float]:
@@ -181,23 +187,26 @@ def learn_lexicon(train: DataFrame, positive: int, negative: int, by_stem: bool
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    train = sample(docs, labels, rows)
-    positive, total = train.agg(F.sum("toxic"), F.count(F.lit(1))).first()
+    every = sample(docs, labels, rows)
+    kinds = {(r.calibrates, r.toxic): r.n for r in every.groupBy("calibrates", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
+    total, positive = sum(kinds.values()), sum(n for (_, t), n in kinds.items() if t)
     if not total or not positive or positive == total:
         p = float(positive or 0) / total if total else 0.0
         return Model({}, {}, Booster(0.0), (np.array([0.0]), np.array([p])))
-    lexicon, stems = (learn_lexicon(train, positive, total - positive, by_stem) for by_stem in (False, True))
+    # with too few of a kind on either side nothing is held back, and margins stay uncalibrated
+    apart = min(kinds.get((c, t), 0) for c in (False, True) for t in (0, 1)) >= 3
+    train = every.filter("not calibrates") if apart else every
+    lexicon, stems = (learn_lexicon(train, *(sum(n for (c, t), n in kinds.items() if t == k and not (apart and c)) for k in (1, 0)), by_stem) for by_stem in (False, True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [list(map(float, features_of(t, lexicon, stems))) for t in raw_texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("calibrates"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "calibrates", "x"])
 
-    found = map_arrow(train, run, "doc_id long, toxic int, x array<double>").toPandas().sort_values("doc_id", kind="stable")  # `rows` rows of numbers
+    found = map_arrow(every, run, "doc_id long, toxic int, calibrates boolean, x array<double>").toPandas()  # `rows` rows of numbers
+    found = found.sort_values("doc_id", kind="stable")
     x, y = np.array(found.x.tolist()), found.toxic.to_numpy(float)
-    part = np.random.default_rng(7).permutation(len(y)) % 10 < 3
-    if min(y[part].sum(), y[~part].sum()) < 3:
-        part = np.zeros(len(y), bool)
+    part = found.calibrates.to_numpy(bool) & apart
     model = Model(lexicon, stems, fit_booster(x[~part], y[~part]), (np.zeros(0), np.zeros(0)))
     if part.any():
         model.calibration = fit_isotonic(model.booster.margin(x[part]), y[part])
@@ -209,7 +218,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(raw_texts(b.column("text"))), pa.float64())], names=["doc_id", "score"])
+            for part, texts in text_blocks(b):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(texts), pa.float64())], names=["doc_id", "score"])
 
     out = map_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
