@@ -10,9 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import benchmark_filter, bpe, html_text, near_dedup, quality, sharding, substring_dedup, token_store, toxicity
+from quillspark.llm import benchmark_filter, bpe, common, html_text, near_dedup, quality, sharding, substring_dedup, token_store, toxicity
 from quillspark.llm.common import new_path
-from quillspark.llm.fm_index import FMIndex
+from quillspark.llm.fm_index import NOWHERE, FMIndex
 
 from . import brute
 from .conftest import ITEMS, ROWS
@@ -44,13 +44,13 @@ def test_special_strings_and_odd_spaces(spark):
     got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert [r.ids for r in got] == [tok.encode(r.text, add_special_tokens=False).ids for r in got]
     byte = token_store.load_tokenizer(token_store.default_path())
-    ids, at = token_store.Encoder(token_store.default_path()).encode(texts)
+    ids, at = token_store.Encoder(token_store.default_path()).encode([t.encode() for t in texts])
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [byte.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_token_store(spark, docs, no_docs):
     root = new_path(spark, "store")
-    manifest = [(r.shard, r.rows, r.ids) for r in token_store.write_store(docs, root).collect()]
+    manifest = [tuple(r) for r in token_store.write_store(docs, root).collect()]
     got = token_store.read_store(spark, root, manifest).collect()
     tok = token_store.load_tokenizer(token_store.default_path())
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
@@ -60,14 +60,62 @@ def test_token_store(spark, docs, no_docs):
         want.append((k, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert plain(got) == plain(want)
-    found = [x for s, _, _ in manifest for x in token_store.lookup(root, s, 7)]
+    store = token_store.Store(root, manifest)
+    found = store.get(7)
     assert len(found) == 1 and found[0].tolist()[:-1] == tok.encode(ROWS[6][1], add_special_tokens=False).ids
-    assert not [x for s, _, _ in manifest for x in token_store.lookup(root, s, 99999)]
-    assert len([x for s, _, _ in manifest for x in token_store.lookup(root, s, None)]) == 2
+    assert not store.get(99999) and len(store.get(None)) == 2 and len(store.get(71)) == 2
     empty = new_path(spark, "store")
     assert token_store.read_store(spark, empty, [tuple(r) for r in token_store.write_store(no_docs, empty).collect()]).count() == 0
 
 
+def test_keyed_reads_dont_grow_with_the_shard(tmp_path):
+    taken = []
+    for shard, n in enumerate((10, 50_000)):
+        counts = np.full(n, 5)
+        token_store.write_shard(str(tmp_path), shard, np.arange(n) * 3, counts, [np.arange(5 * n) % 1000], 0, 1000, 1)
+        reader = token_store.Shard(str(tmp_path), shard)
+        assert reader.get(9)[0].tolist() == [15, 16, 17, 18, 19] and reader.get(10) == []
+        taken.append(reader.read)
+    assert taken[0] == taken[1] < 200
+
+
+def test_rows_of_one_doc_id_go_over_several_shards(spark):
+    rows = spark.range(300).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    root = new_path(spark, "store")
+    manifest = [tuple(r) for r in token_store.write_store(rows.repartition(4), root).collect()]
+    assert len(manifest) > 1 and len(token_store.Store(root, manifest).get(5)) == 300
+
+
+ODD = ["a", "Bc", "é", "ñz", "×", "÷", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u0085", "\u2003", "\u3000", "\x1c", ".", ",", "!!", "#", "'s", "'ll", "'", "<|endoftext|>", "<|startoftext|>", "|>", "12", "٣", "привет", "你好", "Σ", "ς", "ẞ", "\u0301", "ª", "½", "ﬁ", ";", "_", "-", "&", "?", "$", "İ", "😀", "\x00", "\u200b"]
+
+
+def test_pieces_of_odd_texts_give_the_librarys_ids():
+    rng = np.random.default_rng(4)
+    byte, word = token_store.Encoder(token_store.default_path()), bpe.Codec(bpe.default_path())
+    plain_byte, plain_word = bpe.load_tokenizer(token_store.default_path()), bpe.load_tokenizer(bpe.default_path())
+    for _ in range(400):
+        texts = ["".join(rng.choice(ODD, rng.integers(0, 14))) for _ in range(rng.integers(1, 6))]
+        raw = [t.encode() for t in texts]
+        ids, at = byte.encode(raw)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [plain_byte.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, at, told = word.encode(raw, told=True)
+        want = [plain_word.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+        assert told == [(" ".join(map(str, w)), plain_word.decode(w, skip_special_tokens=False)) for w in want]
+
+
+def test_table_keeps_its_bound_and_its_ids():
+    rng = np.random.default_rng(8)
+    table = common.TokenTable(lambda words: [list(w) for w in words], limit=50, describe=lambda lists: [len(x) for x in lists])
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice(list("abc"), rng.integers(1, 5))) for _ in range(rng.integers(0, 40))).encode() for _ in range(3)]
+        block = common.Block(texts)
+        ids, n, notes = table(block.raw, block.begin, block.end)
+        assert bytes(ids.tolist()) == b"".join(b"".join(texts[k].split()) for k in range(3)) and n.tolist() == notes == [len(w) for t in texts for w in t.split()]
+        assert np.diff(block.first).tolist() == [len(t.split()) for t in texts]
+    assert table.size <= 50
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 2000])
 def test_perfect_hash(n):
     keys = np.random.default_rng(n).choice(10**9, n, replace=False).astype(np.int64)
@@ -82,11 +130,18 @@ def test_near_duplicates(docs, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
 
 
-def test_regions_are_cut_where_prefixes_are_short():
-    s1 = np.repeat(np.arange(4), 3000)
-    cuts = near_dedup._cuts(s1, s1, np.ones(len(s1), np.int64))
-    assert cuts and all(s1[c] != s1[c - 1] for c in cuts) and max(np.diff([0, *cuts, len(s1)])) <= near_dedup.REGION_MEMBERS
-    assert near_dedup._cuts(np.zeros(9000), np.zeros(9000), np.ones(9000, np.int64))
+def cut(prefix, **limits):
+    begins, parted = near_dedup.cut_regions(np.array(prefix), np.ones(len(prefix), np.int64), **limits)
+    return np.flatnonzero(begins).tolist(), parted.tolist()
+
+
+def test_depth_of_a_region_follows_how_crowded_it_is():
+    # few rows: three shared values do; more: four; more still: as many as part them, and by count at last
+    assert cut([0, 3, 3, 0, 4]) == ([0, 3], [False] * 5)
+    assert cut([0, 3, 4, 4], sparse=3) == ([0, 1], [False] * 4)
+    assert cut([0, 4, 5, 4, 6], sparse=2, members=2) == ([0, 1, 3], [True] * 5)
+    begins, parted = cut([0, *[7] * 8], sparse=2, members=4)
+    assert begins == [0, 4, 8] and all(parted)
 
 
 def test_substring_dedup(docs, no_docs):
@@ -100,24 +155,48 @@ def test_substring_dedup(docs, no_docs):
     assert kept == Counter((k, tuple(w for w, x in zip(brute.words(t), g) if not x)) for (k, t), g in zip(ROWS, gone))
 
 
-def test_heavy_anchors_give_the_same(docs, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HEAVY_RUNS", 1)
+@pytest.mark.parametrize("name", ["HEAVY_RUNS", "HEAVY_WORDS", "LONG_RUN"])
+def test_heavy_anchors_give_the_same(docs, monkeypatch, name):
+    monkeypatch.setattr(substring_dedup, name, 1)
+    want = [(k, sum(g)) for (k, _), g in zip(ROWS, brute.repeated(ROWS))]
+    assert plain(substring_dedup.digests(docs).select("doc_id", "n_removed").collect()) == plain(want)
+
+
+def test_hot_runs_are_dealt_out(docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_RUNS", 2)
     want = [(k, sum(g)) for (k, _), g in zip(ROWS, brute.repeated(ROWS))]
     assert plain(substring_dedup.digests(docs).select("doc_id", "n_removed").collect()) == plain(want)
 
 
+def test_passage_edited_in_many_ways(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HEAVY_RUNS", 4)
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 30, 60)]
+    rows = []
+    for k in range(40):
+        w = [f"a{x}" for x in rng.integers(0, 1 << 30, 30)] + base + [f"b{x}" for x in rng.integers(0, 1 << 30, 30)]
+        if k % 2:
+            w[30 + int(rng.integers(0, 60))] = "edited"
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, "word " * (200 + k)) for k in range(9)]
+    want = [(k, sum(g)) for (k, _), g in zip(rows, brute.repeated(rows))]
+    assert plain(substring_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed").collect()) == plain(want)
+
+
 def test_fm_index_matches_brute_force():
     rng = np.random.default_rng(5)
-    for _ in range(25):
+    for _ in range(40):
         w = int(rng.integers(2, 6))
         seqs = [rng.integers(0, 3, rng.integers(w, 14)).astype(np.uint64) for _ in range(rng.integers(1, 7))]
         values = rng.integers(0, 50, len(seqs))
         index = FMIndex(seqs, values, w)
         holds = lambda p: [v for s, v in zip(seqs, values) if any(s[k : k + len(p)].tolist() == p for k in range(len(s) - len(p) + 1))]  # noqa: B023, E731
-        for s, got in zip(seqs, index.least_values()):
-            assert got.tolist() == [min(holds(s[i : i + w].tolist())) for i in range(len(s) - w + 1)]
-        p = rng.integers(0, 4, 10).astype(np.uint64)
-        assert index.match_lengths(p).tolist() == [max([n for n in range(1, 11 - i) if holds(p[i : i + n].tolist())], default=0) for i in range(10)]
+        queries = seqs + [rng.integers(0, 4, rng.integers(1, 12)).astype(np.uint64) for _ in range(4)]
+        for q, got in zip(queries, index.least_values(queries)):
+            assert got.tolist() == [min(holds(q[i : i + w].tolist()), default=NOWHERE) for i in range(len(q) - w + 1)]
+        for q, got in zip(queries, index.match_lengths(queries)):
+            n = len(q)
+            assert got.tolist() == [min(w, max([m for m in range(1, n + 1 - i) if holds(q[i : i + m].tolist())], default=0)) for i in range(n)]
 
 
 def test_benchmark_filter(docs, no_docs, benchmark, spark):
@@ -134,9 +213,20 @@ def test_benchmark_filter(docs, no_docs, benchmark, spark):
 
 def test_item_parts_give_one_result(docs, benchmark, monkeypatch):
     whole = plain(benchmark_filter.find_items(docs, benchmark).select("doc_id", "n_hit", F.array_join("items", ",")).collect())
+    texts = plain(benchmark_filter.decontaminate(docs, benchmark).select("doc_id", "text").collect())
     monkeypatch.setattr(benchmark_filter, "MAX_ITEM_BYTES", 60)
-    assert len(benchmark_filter.item_parts(benchmark)) > 1
+    assert len(benchmark_filter.write_automata(benchmark)[1]) > 1
     assert plain(benchmark_filter.find_items(docs, benchmark).select("doc_id", "n_hit", F.array_join("items", ",")).collect()) == whole
+    assert plain(benchmark_filter.decontaminate(docs, benchmark).select("doc_id", "text").collect()) == texts
+
+
+def test_coverage_limit(docs, benchmark):
+    words = dict(ROWS)[20].split()
+    rows = docs.filter("doc_id = 20").limit(1)
+    item = lambda n: rows.sparkSession.createDataFrame([(1, " ".join(words[:n]))], "item_id long, text string")
+    n = len(words)
+    assert benchmark_filter.decontaminate(rows, item(int(0.9 * n))).first().text == ""
+    assert benchmark_filter.decontaminate(rows, item(int(0.9 * n)), max_coverage=1.0).first().text.split() == words[int(0.9 * n) :]
 
 
 def test_quality(docs, no_docs):
@@ -156,8 +246,16 @@ def test_quality(docs, no_docs):
 
 
 def test_scripts():
-    for text, script in [("plain words", "latin"), ("привет мир как дела", "cyrillic"), ("これは日本語です", "cjk"), ("καλημέρα κόσμε", "greek"), ("", "latin")]:
-        assert quality.script_of(text.encode(), text) == script
+    for text, script in [("plain words", "latin"), ("привет мир как дела", "cyrillic"), ("これは日本語です", "cjk"), ("καλημέρα κόσμε", "greek"), ("", "none"), ("привет мир 12345678901234567890", "cyrillic"), ("12 34 !!", "none"), ("עברית", "other"), ("𠀀𠀁", "cjk")]:
+        assert quality.letters(text)[0] == script
+    assert quality.letters("éa\u0301ñ")[1] == 3
+
+
+def test_word_numbers_dont_meet(spark):
+    # many distinct words in one text, and three-word windows that only packed numbers would confuse
+    text = " ".join(f"w{k}" for k in range(300_000)) + " x y z x y z"
+    got = quality.measures(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_words == 300_006 and got.n_repeat_words == 6
 
 
 def test_sharding(docs, no_docs):
@@ -173,6 +271,29 @@ def test_sharding(docs, no_docs):
     assert sharding.assign(no_docs).count() == 0
 
 
+def test_cut_edges_fall_and_quotas_hold(spark):
+    rng = np.random.default_rng(3)
+    text = [f"t{x}" for x in rng.zipf(1.6, 3000) % 400]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(text)], "doc_id long, text string")
+    cells = rows.groupBy(F.col("text").alias("group"), F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+    cuts = []
+    for rounds in (0, 1, sharding.ROUNDS):
+        state = sharding.propagate(cells, 4, 3000, rounds)
+        by: dict = {}
+        for r in state.collect():
+            by.setdefault(r.group, Counter())[r.shard] += r.n
+        links = sum(sum(c.values()) * (sum(c.values()) - 1) // 2 for c in by.values())
+        cut = sum(a * b for c in by.values() for i, a in enumerate(c.values()) for b in list(c.values())[:i])
+        told = sharding.cut_edges(state, "group", n="n").first()
+        assert (told.links, told.cut) == (links, cut)
+        cuts.append(cut)
+        held = state.groupBy("shard").agg(F.sum("n").alias("n")).collect()
+        if rounds == 0:
+            most = max(750, *(r.n for r in held))
+        assert all(r.n <= most for r in held)
+    assert cuts[2] <= cuts[1] < cuts[0]
+
+
 def test_group_larger_than_a_shard_is_split_evenly(spark):
     rows = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 150, "same").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
     got = sharding.assign(rows, 4).collect()
@@ -197,6 +318,70 @@ def test_html_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+ARTICLE = "<p>First paragraph, with commas, and enough text to count as the main text of this page, surely.</p><p>Second one, also long enough, to be told, with more words in it.</p>"
+TOLD = "Head First paragraph, with commas, and enough text to count as the main text of this page, surely. Second one, also long enough, to be told, with more words in it."
+
+
+@pytest.mark.parametrize("page", [
+    "<body><nav>Home</nav><div class='container has-sidebar'><div><h1>Head</h1>{}</div></div><div class=sidebar><p>Side</p></div></body>",
+    "<body><div class='content-area'><div class='entry-header'><h1>Head</h1></div>{}</div></body>",
+    "<body><svg class='i'/><nav>Home</nav><div id=c><h1>Head</h1>{}</div></body>",
+    "<body><div id=c title=Bob's><h1>Head</h1>{}</div><div class='ad'>Buy</div></body>",
+    "<body><script>var a=1;<div id=c><h1>Head</h1>{}</div></body>",
+    "<body><div class='sidebar-layout sidebar'><div><h1>Head</h1>{}</div></div><div class='sidebar'>Side</div></body>",
+    "<body><div id=c title=\"a>b\"><h1>Head</h1>{}</div><div id=comments><p>" + "Reader comment, long. " * 60 + "</p></div></body>",
+    "<div a = 'x' b= \"y\" c =z/ ><h1>Head</h1>{}",
+    "<div id=c data-x='><h1>Head</h1>{}</div>",
+])
+def test_html_of_many_kinds(page):
+    assert html_text.main_text(page.format(ARTICLE)) == TOLD
+
+
+def test_long_flat_html(spark):
+    text = "long text, " * 60_000
+    assert html_text.main_text(f"<body><div><p>{text}</p></div></body>") == " ".join(text.split())
+    for odd in ("<p title='", "<p", "<a / b>x", "<div =x>a", "</", "<svg", "<script"):
+        html_text.main_text(odd * 500)
+
+
+def stump(x, y):
+    """Best single split of logistic loss from the mean, by trying all."""
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    best = (0.0, -1, 0.0)
+    for f in range(x.shape[1]):
+        for c in np.unique(x[:, f])[:-1]:
+            left = x[:, f] <= c
+            if min(left.sum(), (~left).sum()) >= 5:
+                gain = sum(g[s].sum() ** 2 / (h[s].sum() + 1.0) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1.0)
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, c)
+    return best
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(9)
+    for _ in range(10):
+        x = rng.integers(0, 6, (80, 4)).astype(float)
+        y = (rng.random(80) < 1 / (1 + np.exp(-(x[:, 1] - 2.5)))).astype(float)
+        feature, cut_at, *_, value = toxicity.fit_booster(x, y, trees=1, depth=1).trees[0]
+        _, f, c = stump(x, y)
+        assert feature[0] == f and ((x[:, f] <= cut_at[0]) == (x[:, f] <= c)).all()
+        left = x[:, f] <= c
+        p = y.mean()
+        for at, rows in ((1, left), (2, ~left)):
+            assert value[at] == pytest.approx(0.15 * (y[rows] - p).sum() / (rows.sum() * p * (1 - p) + 1.0))
+
+
+def test_toxicity_of_long_and_repeated_texts(spark):
+    long = "calm words " * 60_000
+    docs = spark.createDataFrame([(1, long), (1, long), (2, "vile rat you"), (2, "vile rat you"), (3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, t) for k in (1, 3) for t in (0, 0)] + [(4, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(got) == 5 and len({(r.doc_id, r.score) for r in got}) == 3
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(2)
     vocab = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
@@ -218,6 +403,9 @@ def test_toxicity(spark):
     held = [(got[k].predicted, t) for k, _, t in labels if zlib.crc32(str(k).encode()) % 4 == 2]
     assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k, _, _ in labels)
     assert sum(p == t for p, t in held) / len(held) > 0.97
+    # the lexicon doesn't see what calibrates
+    apart = gold.withColumn("toxic", F.when(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(toxicity.CALIBRATION)) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.fit(docs, apart).lexicon == model.lexicon
     # labels of held-out rows change nothing
     flipped = gold.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert toxicity.fit(docs, flipped).lexicon == model.lexicon
@@ -267,11 +455,21 @@ def test_pipeline(spark, docs, tmp_path):
     assert want and plain((r.doc_id, r.n_tokens, r.ids_sha256) for r in got) == plain(want)
 
 
+def test_pipeline_of_an_empty_table(spark, no_docs, benchmark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    no_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_large_run_gives_bounded_regions(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "REGION_MEMBERS", 50)
-    rows = spark.range(400).select(F.lit(7).cast("long").alias("key"), (F.col("id") % 20).alias("s1"), F.lit(0).cast("long").alias("s2"), F.col("id").alias("nid"), F.lit(3).cast("long").alias("n_shingles"))
-    got = near_dedup.regions(rows.coalesce(1).sortWithinPartitions("key", "s1", "s2", "nid")).groupBy("region").agg(F.count("nid").alias("n"), F.count("prev").alias("p")).collect()
-    assert sum(r.n for r in got) == 400 and all(r.p == r.n - 1 for r in got)
+    monkeypatch.setattr(near_dedup, "SPARSE_MEMBERS", 20)
+    rows = spark.range(400).select(F.lit(7).cast("long").alias("key"), (F.col("id") % 20 + (F.lit(9) * (1 << 32))).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2"), F.col("id").alias("nid"), F.lit(3).cast("long").alias("n_shingles"))
+    every = near_dedup.regions(rows.coalesce(1).sortWithinPartitions("key", "s1", "s2", "nid")).collect()
+    assert sorted(r.nid for r in every) == list(range(400)) and len({r.run for r in every}) == 1 and sum(r.prev is None for r in every) == 1
+    assert max(Counter(r.region for r in every).values()) <= 50
 
 
 def test_language_identification(spark):
@@ -293,6 +491,66 @@ def test_language_identification(spark):
     assert {r.lang for r in lang_id.identify(pages, docs.limit(0)).collect()} == {None}
 
 
+def plain_languages(rows, learnt):
+    """Languages of pages(page_id, url, html) by plain loops."""
+    from quillspark.llm import lang_id as L
+
+    langs, number, table = learnt
+    found = []
+    for key, url, html in rows:
+        html = html or ""
+        m = L._DECLARED.search(html) or L._META.search(html)
+        words = L._WORD.findall(L.unescape(L._CUT.sub(" ", html)).lower())
+        ids = [number.get(w) or number.get("~" + w[-3:], 0) for w in words]
+        ll = sum((table[i] for i in ids), np.zeros(len(langs))) * min(1.0, L.EFFECTIVE_WORDS / max(1, len(ids)))
+        p = np.exp(ll - ll.max())
+        host = (url or "").split("//")[-1].split("/")[0].lower()
+        parts = host.split(".")
+        found.append((key, host, ".".join(parts[-2:]) if len(parts) > 1 else "", parts[-1] if len(parts) > 1 else "", m[1].lower() if m else "", ll, p / p.sum()))
+
+    def shares(at):
+        sums: dict = {}
+        for f in found:
+            sums[f[at]] = sums.get(f[at], 0) + f[6]
+        total = sum(sums.values())
+        return {k: np.log((v + L.SMOOTH) / (total + L.SMOOTH * len(sums))) for k, v in sums.items()}
+
+    suffix, declared, out = shares(3), shares(4), {}
+    g, n = sum(f[6] for f in found), len(found)
+    top = (g + L.SMOOTH) / (n + L.SMOOTH * len(langs))
+    for f in found:
+        domain, host = ([x for x in found if x[k] == f[k]] for k in (2, 1))
+        up = (sum(x[6] for x in domain) + L.DOMAIN_WEIGHT * top) / (len(domain) + L.DOMAIN_WEIGHT)
+        prior = (sum(x[6] for x in host) - f[6] + L.HOST_WEIGHT * up) / (len(host) - 1 + L.HOST_WEIGHT)
+        score = f[5] + declared[f[4]] + suffix[f[3]] + np.log(np.maximum(prior, 1e-9))
+        post = np.exp(score - score.max())
+        out[f[0]] = (langs[int(post.argmax())], float((post / post.sum()).max()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_evidence_against_plain_loops(spark, monkeypatch, hot):
+    from quillspark.llm import lang_id
+
+    monkeypatch.setattr(lang_id, "HOT_PAGES", hot)
+    rng = np.random.default_rng(1)
+    words = {"en": "the of and to in is that for", "de": "der die und das nicht mit ist von"}
+    docs = spark.createDataFrame([(i, words[k], k) for i, k in enumerate(["en", "de"] * 20)], "doc_id long, text string, lang string")
+    rows = []
+    for k in range(60):
+        lang = "de" if rng.random() < 0.5 else "en"
+        text = " ".join(rng.choice(words[lang].split(), rng.integers(0, 6)))
+        host = f"a{rng.integers(3)}.{rng.choice(['x.de', 'y.info', 'z.museum', 'localhost'])}"
+        rows.append((k, f"http://{host}/p", f'<html lang="{rng.choice(["de", "en", "fr"])}"><p>{text}</p></html>' if k % 7 else f"<p>{text}</p>"))
+    rows.append((99, "http://a0.x.de/", "<p>" + "der die das " * 40_000 + "</p>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = plain_languages(rows, lang_id.learn(docs))
+    got = lang_id.identify(pages.unionByName(pages.filter("page_id < 0")), docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.lang == want[r.page_id][0] and r.confidence == pytest.approx(want[r.page_id][1], abs=1e-9)
+
+
 def brute_kept(rows):
     return plain((r[0], r[2], r[3]) for r in brute.near(rows))
 
@@ -336,8 +594,31 @@ def test_long_near_copies_stay_together(spark):
 def test_cuts_keep_every_member_and_the_link_before(spark):
     rows = spark.range(3).select(F.lit(7).cast("long").alias("key"), F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2"), F.col("id").alias("nid"), F.lit(800_000).cast("long").alias("n_shingles"))
     got = near_dedup.regions(rows.coalesce(1)).collect()
-    assert sorted(r.nid for r in got) == [0, 1, 2] and {r.run for r in got} == {7}
-    assert [r.across for r in got if r.across is not None] == [1]
+    assert sorted(r.nid for r in got) == [0, 1, 2] and len({r.run for r in got}) == 1 and len({r.region for r in got}) == 2
+    assert sorted(r.prev for r in got if r.prev is not None) == [0, 1]
+
+
+@pytest.mark.parametrize("name, to", [("RUN_ROWS", 3), ("SPARSE_MEMBERS", 2), ("REGION_MEMBERS", 3)])
+def test_runs_and_borders_part_no_link(spark, monkeypatch, name, to):
+    monkeypatch.setattr(near_dedup, name, to)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        rows = templated(60, 4)
+        assert near_kept(spark, rows) == brute_kept(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_signatures_agree_as_often_as_sets(spark):
+    rng = np.random.default_rng(12)
+    same = []
+    for _ in range(60):
+        shared, a, b = (rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64) for n in (300, 50, 50))
+        sig = near_dedup.signatures([np.unique(np.concatenate([shared, x])) for x in (a, b)])
+        same.append(sig[0] == sig[1])
+    same = np.array(same)
+    assert abs(same.mean() - 0.75) < 0.02
+    assert abs(same.reshape(60, -1, 4).all(2).mean() - 0.75**4) < 0.04
 
 
 def test_text_that_is_no_prose_is_rejected(spark):
