@@ -1,7 +1,9 @@
 """Corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
 quality rules -> MinHash near-duplicates -> repeated passages -> benchmark passages -> BPE ids. Each stage works on all its
-predecessor kept and returns the columns of documents, but the last, which returns the encoded documents.
+predecessor kept and returns the columns of documents, but the last, which returns the encoded documents. Null and empty
+texts and those under 50 words end in the first stage; texts that later stages empty stay as rows without words; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import benchmark_filter, bpe, near_dedup, quality, substring_dedup
-from quillspark.llm.common import write_table
+from quillspark.llm.common import drop_tables, write_table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoded documents that are left; of the tables written on the way only the last stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = write_table(spark, stage(spark, docs, sf_dir), name)
+        before = set(written(spark))
+        out = write_table(spark, stage(spark, docs, sf_dir), name)
+        drop_tables(spark, *[t for t in written(spark) if t not in before and t != out._quill_path], *([docs] if hasattr(docs, "_quill_path") else []))
+        docs = out
     return docs
