@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Block, bounds, documents, drop_tables, fanout, map_arrow, mix64, release, text_blocks, text_key, write_table
+from .common import U64, Block, bounds, documents, drop_tables, fanout, join_hot, map_arrow, mix64, release, text_blocks, text_key, write_table
 from .components import components
 
 SHINGLE = 5
@@ -47,6 +47,8 @@ SPARSE_DEPTH, SPARSE_MEMBERS, MOST_DEPTH = 3, 64, 7
 REGION_MEMBERS, REGION_SHINGLES = 4096, 1 << 21
 #: Rows of one run of equal keys that a task holds before it cuts them into regions.
 RUN_ROWS = 1 << 16
+#: Classes of a component from which on they are dealt to several tasks, and the share of all classes that says the same.
+HOT_CLASSES, HOT_SHARE = 2_000, 5_000
 #: Ids that may be broadcast, 16 bytes each; beyond that a shuffled join is used.
 BROADCAST_ROWS = 1_000_000
 
@@ -405,8 +407,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     release(spark)
     roots = class_roots(docs, classes)
     named = classes.select("nid", "doc_id").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(least, "root").select("nid", "component_id")
+    named = write_table(spark, named, "named-classes")
+    drop_tables(spark, classes)
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    # classes of large components are dealt to several tasks; at most HOT_SHARE components are
+    per = max(HOT_CLASSES, named.count() // HOT_SHARE)
+    hot = least.filter(F.col("n") > per).select("root", F.ceil(F.col("n") / per).cast("int").alias("parts"))
+    of_class = join_hot(named, least.select("root", "component_id"), ["root"], hot, ["nid"]).select("nid", "component_id")
     out = every.select("doc_id", "tkey", "n_shingles", "nid").join(of_class, "nid", "left")
     component = F.when(F.col("nid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "tkey")
