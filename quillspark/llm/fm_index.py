@@ -94,7 +94,7 @@ class FMIndex:
             if size < n:
                 shifted[: n - size] = rank[size:] + 1
             key = (rank + 1) * (n + 1) + shifted
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             k = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]).astype(np.int64)]))

@@ -191,8 +191,9 @@ def removals(docs: DataFrame) -> DataFrame:
     limits = HEAVY_RUNS, HEAVY_WORDS, LONG_RUN
     every, found = write_table(spark, runs(docs), "runs"), []
     for gram, finer in zip(GRAMS, [*GRAMS[1:], None]):
-        shared = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-        shared = write_table(spark, every.join(shared, "anchor", "left_semi"), "shared-runs")
+        anchors = write_table(spark, every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("copies")).filter("lo < hi").select("anchor", "copies"), "anchors")
+        shared = write_table(spark, join_hot(every, anchors.select("anchor"), ["anchor"], hot_keys(anchors, ["anchor"]), ["doc_id", "start"]), "shared-runs")
+        drop_tables(spark, anchors)
         drop_tables(spark, every)
         release(spark)
         # one row for each distinct run, of its least document
@@ -221,6 +222,14 @@ def removals(docs: DataFrame) -> DataFrame:
     return out
 
 
+def hot_keys(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with more than HOT_RUNS copies and more than 1 in HOT_SHARE of all, so at most HOT_SHARE of them, with the tasks they are
+    dealt to."""
+    total = counted.agg(F.sum("copies")).first()[0] or 0
+    per = max(HOT_RUNS, total // HOT_SHARE)
+    return counted.filter(F.col("copies") > per).select(*keys, F.ceil(F.col("copies") / per).cast("int").alias("parts"))
+
+
 def found_spans(docs: DataFrame, distinct: DataFrame, shared: DataFrame) -> DataFrame:
     """doc_id, tkey, s array<struct<start, n>>: windows of the shared runs that a document of smaller doc_id has."""
     spark = docs.sparkSession
@@ -232,11 +241,7 @@ def found_spans(docs: DataFrame, distinct: DataFrame, shared: DataFrame) -> Data
     table = write_table(spark, search(dealt), "least-documents")
     least = table.dropDuplicates(["anchor", "content"])
     release(spark)
-    # copies of a run that many documents hold are dealt to several tasks; at most HOT_SHARE runs are
-    total = distinct.agg(F.sum("copies")).first()[0] or 0
-    per = max(HOT_RUNS, total // HOT_SHARE)
-    hot = distinct.filter(F.col("copies") > per).select("anchor", "content", F.ceil(F.col("copies") / per).cast("int").alias("parts"))
-    met = join_hot(shared, least, ["anchor", "content"], hot, ["doc_id", "start"]).filter(F.array_min("mins") < F.col("doc_id"))
+    met = join_hot(shared, least, ["anchor", "content"], hot_keys(distinct, ["anchor", "content"]), ["doc_id", "start"]).filter(F.array_min("mins") < F.col("doc_id"))
     part = F.transform(F.filter(F.sequence(F.lit(0), F.size("mins") - 1), lambda k: F.get("mins", k) < F.col("doc_id")), lambda k: F.struct((F.col("start") + k).alias("start"), F.lit(1).alias("n")))
     whole = F.array(F.struct(F.col("start").alias("start"), F.col("n").alias("n")))
     out = write_table(spark, met.select("doc_id", "tkey", F.when(F.array_max("mins") < F.col("doc_id"), whole).otherwise(part).alias("s")), "spans")
