@@ -50,7 +50,7 @@ RUN_ROWS = 1 << 16
 #: Classes of a component from which on they are dealt to several tasks, and the share of all classes that says the same.
 HOT_CLASSES, HOT_SHARE = 2_000, 5_000
 #: Ids that may be broadcast, 16 bytes each; beyond that a shuffled join is used.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
