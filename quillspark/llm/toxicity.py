@@ -32,7 +32,7 @@ THRESHOLD = 0.3
 TRAIN_ROWS = 12_000
 LEXICON_WORDS = 256
 #: One in so many sampled rows, by a hash, calibrates; the others teach the lexicon and the booster.
-CALIBRATION = 4
+CALIBRATION = 8
 #: Inflected and compounded insults share a stem: the first STEM bytes of longer words.
 STEM = 5
 MIN_LEXICON_DOCS = 3
