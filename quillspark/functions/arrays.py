@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_answer
+from .text import is_blank, normalize_answer
 
 
 def valid_answers(responses: Column | str, field: str | None = None) -> Column:
@@ -13,7 +13,7 @@ def valid_answers(responses: Column | str, field: str | None = None) -> Column:
     c = F.col(responses) if isinstance(responses, str) else responses
     if field:
         c = F.transform(c, lambda r: r[field])
-    return F.filter(c, lambda a: a.isNotNull() & (F.trim(a) != ""))
+    return F.filter(c, lambda a: ~is_blank(a))
 
 
 def dedupe_answers(answers: Column | str) -> Column:
@@ -31,7 +31,7 @@ def longest_answer(answers: Column | str) -> Column:
 
 def string_list(c: Column) -> Column:
     """A scalar as a list of itself, blanks dropped."""
-    return F.filter(F.array(c), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    return F.filter(F.array(c), lambda x: ~is_blank(x))
 
 
 def ordered_unique(c: Column | str) -> Column:

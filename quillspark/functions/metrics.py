@@ -122,18 +122,40 @@ def chrf_score(stats: Column | str) -> Column:
     return F.when((used == 0) | (p + r == 0), 0.0).otherwise(100 * (1 + beta) * p * r / (beta * p + r))
 
 
-_BLEU_TOKENS = r"[\p{L}\p{N}]+(?:[.,](?=\p{N})[\p{N}]+)*|[^\s\p{L}\p{N}]"
+# The mteval 13a rules, as pattern and replacement.
+TOKENS_13A = [
+    (r"<skipped>", ""),
+    (r"-\n", ""),
+    (r"\n", " "),
+    (r"&quot;", '"'),
+    (r"&amp;", "&"),
+    (r"&lt;", "<"),
+    (r"&gt;", ">"),
+    (r"([{-~\[-` -&(-+:-@/])", r" $1 "),
+    (r"([^0-9])([.,])", r"$1 $2 "),
+    (r"([.,])([^0-9])", r" $1 $2"),
+    (r"([0-9])(-)", r"$1 $2 "),
+]
+
+
+def tokens_13a(c: Column | str) -> Column:
+    """Tokens of a text by the mteval 13a rules."""
+    t = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    for k, (pattern, to) in enumerate(TOKENS_13A):
+        t = F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")) if k == 7 else t, pattern, to)
+    return words(t)
+
+
+def bleu_stats(pred: Column | str, ref: Column | str) -> Column:
+    """Lengths of prediction and reference, then for each order matches and n-grams of the prediction."""
+    return _bleu_stats(tokens_13a(pred), tokens_13a(ref))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def bleu_stats(pred: pd.Series, ref: pd.Series) -> pd.Series:
-    """Lengths of prediction and reference, then for each order matches and n-grams of the prediction; words and single marks."""
-    import regex
-
-    split = regex.compile(_BLEU_TOKENS).findall
+def _bleu_stats(pred: pd.Series, ref: pd.Series) -> pd.Series:
     out = []
-    for p, r in zip(pred.fillna(""), ref.fillna("")):
-        p, r = split(p), split(r)
+    for p, r in zip(pred, ref):
+        p, r = list(p), list(r)
         row = [len(p), len(r)]
         for n in range(1, BLEU_ORDER + 1):
             a = _grams(p, n)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +43,24 @@ def synthesis(c: Column | str) -> Column:
     return F.when(long_enough & pick("has_conflict").isNotNull() & level.isNotNull(), found)
 
 
+def valid_synthesis(raw: str | None) -> bool:
+    """Whether a client's answer is a synthesis, told on the spot: the rules of synthesis() for one text."""
+    for text in (raw or "", re.sub(r"\s*```$", "", re.sub(r"(?i)^```(?:json)?\s*", "", (raw or "").strip())), "".join(re.findall(r"(?s)\{.*\}", raw or ""))):
+        try:
+            found = json.loads(text)
+        except ValueError:
+            continue
+        if not isinstance(found, dict):
+            continue
+        for k in ("final", "output", "result"):
+            if isinstance(found.get(k), dict):
+                found = found | found[k]
+                break
+        words = re.findall(r"\w+", str(found.get("synthesized_answer_es") or ""))
+        return len(words) >= MIN_SYNTHESIS_WORDS and isinstance(found.get("has_conflict"), bool) and found.get("source_support_level") is not None
+    return False
+
+
 def contexts(c: Column | str) -> Column:
     """Retrieved contexts of a JSON string, none where it is malformed."""
     return F.coalesce(F.from_json(c, CONTEXTS), F.array().cast(CONTEXTS))

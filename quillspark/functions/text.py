@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import cache
 
@@ -41,9 +42,23 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: White space of Unicode, and the four separators that Python's strip and split take for it too.
+BLANK = r"\s\x1c-\x1f"
+
+
+def strip(c: Column | str) -> Column:
+    """Text without white space of any kind at its ends; null stays null."""
+    return F.regexp_replace(_col(c), rf"(?U)\A[{BLANK}]+|[{BLANK}]+\z", "")
+
+
+def is_blank(c: Column | str) -> Column:
+    """Whether a text is null, empty or nothing but white space."""
+    return ~F.coalesce(_col(c), F.lit("")).rlike(rf"(?U)[^{BLANK}]")
+
+
 def clean_text(c: Column | str) -> Column:
     """White space of any kind to one space, trimmed; null to empty."""
-    return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), rf"(?U)[{BLANK}]+", " "))
 
 
 def normalize(c: Column | str) -> Column:
@@ -59,17 +74,43 @@ def normalize_text(c: Column | str) -> Column:
     return clean_text(F.regexp_replace(F.lower(_col(c)), "[.,;:]", ""))
 
 
+def _class(points: list[int]) -> str:
+    """Regular expression class of code points, by ranges."""
+    out, begin = [], None
+    for k, p in enumerate(points):
+        begin = p if begin is None else begin
+        if k + 1 == len(points) or points[k + 1] != p + 1:
+            out.append(f"\\x{{{begin:x}}}" if begin == p else f"\\x{{{begin:x}}}-\\x{{{p:x}}}")
+            begin = None
+    return f"[{''.join(out)}]"
+
+
 @cache
-def _accents() -> tuple[str, str]:
-    """Accented Latin letters and their bases, by decomposition."""
-    pairs = [(chr(p), "".join(x for x in unicodedata.normalize("NFKD", chr(p)) if not unicodedata.combining(x))) for p in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]]
-    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _decompositions() -> tuple[str, str, str, str, str]:
+    """Compatibility decompositions without combining marks, of the first two planes but for Hangul: letters with one base and those
+    bases, the class of letters of several, these as JSON, and the class of combining marks."""
+    single, several, marks = {}, {}, []
+    for p in range(0x80, 0x20000):
+        if 0xAC00 <= p <= 0xD7A3 or 0xD800 <= p < 0xE000:
+            continue
+        c = chr(p)
+        if unicodedata.combining(c):
+            marks.append(p)
+            continue
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if base != c:
+            (single if len(base) == 1 else several)[c] = base
+    return "".join(single), "".join(single.values()), _class(sorted(map(ord, several))), json.dumps(several), _class(marks)
 
 
 def fold(c: Column | str) -> Column:
-    """Lower case without accents: Latin letters by table, loose combining marks dropped."""
-    return F.regexp_replace(F.translate(F.lower(F.coalesce(_col(c), F.lit(""))), *_accents()), r"\p{Mn}+", "")
+    """Lower case, compatibility-decomposed, without combining marks. Most letters have one base and go by a table; the few that have
+    several are replaced where a text has any. Hangul stays composed."""
+    single, bases, several, table, marks = _decompositions()
+    low = F.translate(F.lower(F.coalesce(_col(c), F.lit(""))), single, bases)
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(several), F.lit(0)))
+    spelled = F.aggregate(found, low, lambda t, x: F.replace(t, x, F.element_at(F.from_json(F.lit(table), "map<string,string>"), x)))
+    return F.regexp_replace(F.when(low.rlike(several), spelled).otherwise(low), f"{marks}+", "")
 
 
 def words(c: Column | str) -> Column:
@@ -91,8 +132,8 @@ def question_text(title: Column | str, content: Column | str, separator: str = "
     """Title and content without blank parts; the space form is cleaned as a whole, the newline form part by part."""
     if separator == " ":
         return clean_text(F.concat_ws(" ", title, content))
-    blank = lambda c: F.when(F.trim(_col(c)) != "", F.trim(_col(c)))
-    return F.concat_ws(separator, blank(title), blank(content))
+    there = lambda c: F.when(~is_blank(c), strip(c))
+    return F.concat_ws(separator, there(title), there(content))
 
 
 def length_bucket(n: Column) -> Column:
@@ -112,7 +153,7 @@ def is_generic(c: Column | str, markers: list[str] = GENERIC_MARKERS) -> Column:
 
 
 def quality_flags(c: Column | str) -> dict[str, Column]:
-    return {"auto_empty": F.trim(F.coalesce(_col(c), F.lit(""))) == "", "auto_short": word_count(c) < 8, "auto_generic": is_generic(c)}
+    return {"auto_empty": is_blank(c), "auto_short": word_count(c) < 8, "auto_generic": is_generic(c)}
 
 
 def safe_number(c: Column | str) -> Column:
@@ -138,7 +179,7 @@ def mapped(c: Column | str, table: dict[str, str]) -> Column:
 
 
 def dataset_variant(value: Column | str, path: Column | str, default: str = "dataset_longest_answer") -> Column:
-    v, p = F.trim(F.coalesce(_col(value), F.lit(""))), F.replace(_col(path), F.lit("\\"), F.lit("/"))
+    v, p = strip(F.coalesce(_col(value), F.lit(""))), F.replace(_col(path), F.lit("\\"), F.lit("/"))
     by_path = F.when(p.contains("dataset_enriched"), "dataset_enriched").when(p.contains("dataset_longest_answer"), "dataset_longest_answer").otherwise(default)
     return F.when(v == "", by_path).otherwise(mapped(v, VARIANT_ALIASES))
 
@@ -147,6 +188,11 @@ def method_label(c: Column | str) -> Column:
     return mapped(c, METHOD_LABELS)
 
 
+def short_name(c: Column | str) -> Column:
+    """Method label for narrow tables: "VLM " left out, white space as in clean_text."""
+    return clean_text(F.replace(method_label(c), F.lit("VLM "), F.lit("")))
+
+
 def split_label(c: Column | str) -> Column:
     return mapped(c, SPLIT_LABELS)
 
@@ -172,9 +218,9 @@ def safe_file_name(c: Column | str) -> Column:
 
 def image_count(c: Column | str) -> Column:
     """Number of images of a list literal or of ;-separated names."""
-    t = F.trim(F.coalesce(_col(c), F.lit("")))
-    listed = F.size(F.filter(F.split(F.regexp_replace(t, r"^\[|\]$", ""), ","), lambda x: F.trim(x) != ""))
-    split = F.size(F.filter(F.split(t, ";"), lambda x: F.trim(x) != ""))
+    t = strip(F.coalesce(_col(c), F.lit("")))
+    listed = F.size(F.filter(F.split(F.regexp_replace(t, r"^\[|\]$", ""), ","), lambda x: ~is_blank(x)))
+    split = F.size(F.filter(F.split(t, ";"), lambda x: ~is_blank(x)))
     return F.when(t == "", 0).when(t.startswith("["), listed).otherwise(split)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.arrays import dedupe_answers, longest_answer, valid_answers
-from quillspark.functions.text import clean_text, normalize_text
+from quillspark.functions.text import clean_text, is_blank, normalize_text
 
 
 def with_longest_answer(cases: DataFrame, responses: str = "responses", field: str | None = None, out: str = "answer") -> DataFrame:
@@ -29,7 +29,7 @@ def with_distinct_answers(cases: DataFrame, responses: str = "responses", field:
 
 def majority_answer(answers: DataFrame, case: str, position: str, text: str) -> DataFrame:
     """Per case the answer whose normalised text is most frequent (the first seen among equals) and its share."""
-    keyed = answers.filter(F.trim(text) != "").withColumn("key", normalize_text(text))
+    keyed = answers.filter(~is_blank(text)).withColumn("key", normalize_text(text))
     groups = keyed.groupBy(case, "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(position).alias("p"), F.col(text).alias("t"))).alias("f"))
     ranked = groups.withColumn("total", F.sum("n").over(Window.partitionBy(case))).withColumn("r", F.row_number().over(Window.partitionBy(case).orderBy(F.desc("n"), "f.p")))
     return ranked.filter("r = 1").select(case, F.col("f.t").alias("majority_answer"), (F.col("n") / F.col("total")).alias("agreement"))
@@ -76,7 +76,7 @@ def require_split(df: DataFrame, split: str) -> DataFrame:
 
 
 def trainable(rows: DataFrame, image: str = "image_path", answer: str = "answer") -> DataFrame:
-    return rows.filter((F.coalesce(F.trim(image), F.lit("")) != "") & (clean_text(answer) != ""))
+    return rows.filter(~is_blank(image) & ~is_blank(answer))
 
 
 def cached_and_missing(cases: DataFrame, cache: DataFrame, keys: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -85,8 +85,31 @@ def cached_and_missing(cases: DataFrame, cache: DataFrame, keys: list[str], colu
     return hits, cases.join(cache.select(*keys).distinct(), keys, "left_anti")
 
 
+def scorable(pairs: DataFrame, prediction: str, reference: str) -> DataFrame:
+    """Pairs of which neither side is blank."""
+    return pairs.filter(~is_blank(prediction) & ~is_blank(reference))
+
+
+def failed_rows(cases: DataFrame, results: DataFrame, keys: list[str], failed: Column) -> DataFrame:
+    """Cases whose result failed, to run again."""
+    return cases.join(results.filter(failed).select(*keys).distinct(), keys, "left_semi")
+
+
+def attach(rows: DataFrame, other: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """rows with columns of another table under new names, null where it has no such key; a key that it has twice raises."""
+    once = other.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(new) for c, new in columns.items()])
+    one = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"rows aren't unique by {keys}"))).otherwise(F.lit(True))
+    return rows.join(once, keys, "left").filter(F.coalesce(one.cast("boolean"), F.lit(True))).drop("_n")
+
+
+def context_histogram(rows: DataFrame, contexts: str) -> DataFrame:
+    """contexts, rows: how many rows have how many contexts."""
+    return rows.groupBy(F.size(F.coalesce(contexts, F.array())).cast("long").alias("contexts")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def merge_reruns(old: DataFrame, rerun: DataFrame, keys: list[str]) -> DataFrame:
-    """old with the rows that the rerun replaces."""
+    """old with the rows that the rerun replaces; a rerun that has a key twice raises."""
+    assert_unique(rerun, keys)
     values = [c for c in old.columns if c not in keys]
     joined = old.alias("o").join(rerun.select(*keys, F.struct(*values).alias("_new")), keys, "left")
     return joined.select(*keys, *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in values])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.functions.text import clean_text
+from quillspark.functions.payloads import valid_synthesis
+from quillspark.functions.text import clean_text, strip
 
 # The texts of the prompts.
 INSTRUCTION = (
@@ -36,16 +37,62 @@ def encoded(df: DataFrame, make: Callable[[], Encoder], column: str, out: str, p
     """df with vectors of an injected encoder, made once a worker."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(frames):  # noqa: ANN001, ANN202
+    def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make()
         for s in frames:
             rows = [prefix + (x or "") if isinstance(x, str) or x is None else x for x in s]
             yield pd.Series([v for i in range(0, len(rows), batch) for v in encoder(rows[i : i + batch])])
 
-    run = F.pandas_udf(run.func, T.ArrayType(T.FloatType()), F.PandasUDFType.SCALAR_ITER)
     return df.withColumn(out, run(column))
 
 
+class Transient(Exception):
+    """What a client raises when the same call may work later."""
+
+
+#: Attempts of a synthesis in order: name, response format, what is added to the prompt.
+LADDER = (
+    ("structured", "json_schema", ""),
+    ("json_retry", "json_object", "La respuesta no era JSON válido. Devolvé solo el objeto JSON con las claves pedidas."),
+    ("plain_retry", None, "Devolvé solo el objeto JSON con las claves pedidas, sin formato ni texto alrededor."),
+    ("compact_retry", None, "Si el caso es ambiguo, respondé en forma breve y prudente con lo que dicen las respuestas originales, en el mismo JSON."),
+)
+MOST_CALLS = 5
+Client = Callable[[str, str | None], str]
+
+
+def synthesized(df: DataFrame, make: Callable[[], Client], prompt: str, wait: Callable[[int], None] | None = None) -> DataFrame:
+    """df with `payload` (the first valid answer of the ladder, null if there is none), `attempt` (its number) and `calls`. The client
+    is injected and made once a worker; a transient error is tried again up to MOST_CALLS times, any other error ends the row."""
+    names = df.columns
+    schema = T.StructType([*df.schema, T.StructField("payload", T.StringType()), T.StructField("attempt", T.LongType()), T.StructField("calls", T.LongType())])
+
+    def one(client: Client, text: str) -> tuple[str | None, int | None, int]:
+        calls = 0
+        for number, (_, form, more) in enumerate(LADDER, 1):
+            for again in range(MOST_CALLS):
+                calls += 1
+                try:
+                    raw = client(f"{text}\n{more}" if more else text, form)
+                    break
+                except Transient:
+                    if again == MOST_CALLS - 1:
+                        return None, None, calls
+                    if wait:
+                        wait(again)
+            if valid_synthesis(raw):
+                return raw, number, calls
+        return None, None, calls
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make()
+        for f in frames:
+            found = [one(client, t or "") for t in f[prompt]]
+            yield f[names].assign(payload=[x[0] for x in found], attempt=pd.array([x[1] for x in found], "Int64"), calls=[x[2] for x in found])
+
+    return df.mapInPandas(run, schema)
+
+
 def case_prompt(question: Column | str, contexts: Column | str, no_meta: bool = False) -> Column:
     """Prompt of a question and array<struct<question_es, answer_es>>."""
     c = F.col(contexts) if isinstance(contexts, str) else contexts
@@ -58,9 +105,9 @@ def case_prompt(question: Column | str, contexts: Column | str, no_meta: bool =
 def draft_prompt(query: Column | str, evidence: Column | str) -> Column:
     """Prompt of the service: array<struct<answer, similitud>>."""
     q, e = (F.col(x) if isinstance(x, str) else x for x in (query, evidence))
-    cases = F.transform(e, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]"), F.when(x["similitud"].isNotNull(), F.format_string(" (similitud %.2f)", x["similitud"])).otherwise(""), F.lit(" "), F.trim(F.coalesce(x["answer"], F.lit("")))))
+    cases = F.transform(e, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]"), F.when(x["similitud"].isNotNull(), F.format_string(" (similitud %.2f)", x["similitud"])).otherwise(""), F.lit(" "), strip(F.coalesce(x["answer"], F.lit("")))))
     middle = F.when(F.size(e) > 0, F.concat(F.array(F.lit("CASOS SIMILARES DE REFERENCIA:")), cases)).otherwise(F.array(F.lit("(No se encontraron casos similares de referencia.)")))
-    return F.array_join(F.concat(F.array(F.lit(INSTRUCTION), F.lit(""), F.concat(F.lit("CONSULTA DEL PACIENTE:\n"), F.trim(q)), F.lit("")), middle, F.array(F.lit(""), F.lit(CLOSING))), "\n")
+    return F.array_join(F.concat(F.array(F.lit(INSTRUCTION), F.lit(""), F.concat(F.lit("CONSULTA DEL PACIENTE:\n"), strip(q)), F.lit("")), middle, F.array(F.lit(""), F.lit(CLOSING))), "\n")
 
 
 def stub_draft(evidence: Column | str, images: Column | None = None, how: str = "elegí un generador con modelo") -> Column:
@@ -68,7 +115,7 @@ def stub_draft(evidence: Column | str, images: Column | None = None, how: str =
     e = F.col(evidence) if isinstance(evidence, str) else evidence
     head = F.lit("[BORRADOR DE PRUEBA — sin VLM]\n")
     shown = F.when(images > 0, F.concat(F.lit(" Se recibieron "), images.cast("string"), F.lit(" imagen(es)."))).otherwise("") if images is not None else F.lit("")
-    some = F.concat(head, F.lit("Basado en "), F.size(e).cast("string"), F.lit(" caso(s) similar(es)."), shown, F.lit("\n\nEl caso más parecido sugiere:\n"), F.trim(F.coalesce(F.get(e, F.lit(0))["answer"], F.lit(""))), F.lit("\n\n⚠️ Borrador automático preliminar — requiere revisión y aprobación médica. Para generar texto real con el modelo, "), F.lit(f"{how}."))
+    some = F.concat(head, F.lit("Basado en "), F.size(e).cast("string"), F.lit(" caso(s) similar(es)."), shown, F.lit("\n\nEl caso más parecido sugiere:\n"), strip(F.coalesce(F.get(e, F.lit(0))["answer"], F.lit(""))), F.lit("\n\n⚠️ Borrador automático preliminar — requiere revisión y aprobación médica. Para generar texto real con el modelo, "), F.lit(f"{how}."))
     none = F.concat(head, F.lit("No se encontraron casos similares para fundamentar un borrador. Para usar el modelo real, "), F.lit(f"{how}."))
     return F.when(F.size(e) > 0, some).otherwise(none)
 

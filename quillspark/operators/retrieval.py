@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.text import folded_tokens
+from quillspark.functions.vectors import dot
 
-#: Queries of one block of a dense search: what a task holds, whatever the number of queries.
-QUERY_BLOCK = 4096
+#: Queries and index rows of one block of a dense search: what a task holds, whatever their numbers.
+QUERY_BLOCK, INDEX_BLOCK = 2048, 16_384
 #: Service bounds of k.
 DEFAULT_K, MAX_K = 5, 50
 
@@ -66,62 +65,82 @@ def top_k(scores: DataFrame, query: str, doc: str, k: int, score: str = "score",
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), doc))).filter(F.col("rank") <= k)
 
 
-def with_fallback(best: DataFrame, queries: DataFrame, index: DataFrame, query: str, doc: str) -> DataFrame:
-    """Top-1 rows, and for queries without a shared term the least index row with score 0."""
-    first = index.agg(F.min(doc).alias("_first"))
+def with_fallback(best: DataFrame, queries: DataFrame, index: DataFrame, query: str, doc: str, exclude_same: bool = False) -> DataFrame:
+    """Top-1 rows, and for queries without a shared term the least index row (other than the query's own id) with score 0."""
+    least = index.select(doc).distinct().orderBy(doc).limit(2)  # two rows
+    first = least.agg(F.array_sort(F.collect_list(doc)).alias("_first"))
     joined = queries.select(query).join(best.select(query, doc, "score"), query, "left").crossJoin(F.broadcast(first))  # one row
-    return joined.select(query, F.coalesce(doc, "_first").alias(doc), F.coalesce("score", F.lit(0.0)).alias("score"))
+    other = F.get(F.filter("_first", lambda d: d != F.col(query)) if exclude_same else F.col("_first"), F.lit(0))
+    return joined.select(query, F.coalesce(doc, other).alias(doc), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def fill_up(hits: DataFrame, queries: DataFrame, index: DataFrame, query: str, doc: str, k: int, exclude_same: bool = False) -> DataFrame:
+    """Hits of every query filled up to k rows: index rows without a shared term score 0, so the least ids come next."""
+    least = index.select(doc).distinct().orderBy(doc).limit(2 * k + 1).agg(F.array_sort(F.collect_list(doc)).alias("_least"))  # one row of few ids
+    held = hits.groupBy(query).agg(F.collect_list(doc).alias("_held"))  # k ids a query
+    short = queries.select(query).distinct().join(held, query, "left").withColumn("_held", F.coalesce("_held", F.slice(F.array(F.lit(None).cast(dict(index.dtypes)[doc])), 2, 1)))
+    free = F.array_except("_least", "_held")
+    if exclude_same:
+        free = F.filter(free, lambda d: d != F.col(query))
+    more = short.filter(F.size("_held") < k).crossJoin(F.broadcast(least)).select(query, F.size("_held").alias("_n"), F.posexplode(F.slice(free, F.lit(1), F.lit(k) - F.size("_held"))).alias("_at", doc))  # one row
+    return hits.unionByName(more.select(query, doc, F.lit(0.0).alias("score"), (F.col("_n") + F.col("_at") + 1).cast(dict(hits.dtypes)["rank"]).alias("rank")))
 
 
-def tfidf_search(queries: DataFrame, index: DataFrame, query: str, doc: str, text: str, k: int = 1, bigrams: bool = True, sublinear: bool = True, max_df: float | None = 0.95, strip: bool = True, exclude: Column | None = None) -> DataFrame:
-    """query, doc, score, rank of the k best index texts; weights come from the index alone. exclude: pairs to leave out."""
+def tfidf_search(queries: DataFrame, index: DataFrame, query: str, doc: str, text: str, k: int = 1, bigrams: bool = True, sublinear: bool = True, max_df: float | None = 0.95, strip: bool = True, exclude_same: bool = False, fill: bool = False) -> DataFrame:
+    """query, doc, score, rank of the k best index texts; weights come from the index alone. exclude_same: no pairs of equal ids. fill:
+    every query gets k rows, those without a shared term with score 0."""
     both = index.select(F.lit(True).alias("_index"), F.col(doc).alias("_id"), F.col(text).alias("_text")).unionByName(queries.select(F.lit(False).alias("_index"), F.col(query).alias("_id"), F.col(text).alias("_text")))
     counted = terms(both, ["_index", "_id"], "_text", bigrams, strip)
     table = idf(counted.filter("_index"), index.agg(F.count(F.lit(1)).alias("n")), max_df)
     weighted = weights(counted, table, ["_index", "_id"], sublinear)
     scores = sparse_scores(weighted.filter("not _index").select(F.col("_id").alias(query), "term", "w"), weighted.filter("_index").select(F.col("_id").alias(doc), "term", "w"), query, doc)
-    if exclude is not None:
-        scores = scores.filter(~exclude)
-    return top_k(scores, query, doc, k)
+    if exclude_same:
+        scores = scores.filter(F.col(query) != F.col(doc))
+    hits = top_k(scores, query, doc, k).select(query, doc, "score", "rank")
+    return fill_up(hits, queries, index, query, doc, k, exclude_same) if fill else hits
 
 
 # --------------------------------------------------------------------------- dense
 def dense_search(queries: DataFrame, index: DataFrame, query: str, doc: str, vector: str, k: int, exclude_same: bool = False, digits: int | None = 6) -> DataFrame:
-    """query, doc, score, rank by inner product. Queries go to the index partitions in blocks of QUERY_BLOCK vectors; every partition
-    answers with its own k best, so what is shuffled is k rows a query and partition."""
-    spark = queries.sparkSession
-    numbered = queries.select(query, vector).withColumn("_b", F.pmod(F.xxhash64(query), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
-    n_blocks = numbered.agg(F.max("_b")).first()[0]
+    """query, doc, score, rank by inner product: a block join. Queries and index rows are dealt to blocks by hash, each pair of blocks is
+    one task's product, and a task answers with its k best a query; nothing passes through the driver."""
+    parallel = index.sparkSession.sparkContext.defaultParallelism
+    n_queries, n_docs = queries.count(), index.count()
+    rows, columns = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_docs // INDEX_BLOCK), min(parallel, n_docs // 500))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(query, F.col(vector).alias("_v"), block(query, rows).alias("_r"), every(columns).alias("_c"))
+    right = index.select(doc, F.col(vector).alias("_v"), every(rows).alias("_r"), block(doc, columns).alias("_c"))
     schema = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField(doc, index.schema[doc].dataType), T.StructField("score", T.DoubleType())])
-    if n_blocks is None:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    parts = []
-    for b in range(n_blocks + 1):
-        rows = numbered.filter(F.col("_b") == b).select(query, vector).collect()  # QUERY_BLOCK rows or so
-        if not rows:
-            continue
-        ids, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
-
-        def run(frames: Iterator[pd.DataFrame], ids: list = ids, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
-            names = np.array(ids, object)
-            for pdf in frames:
-                if not len(pdf):
-                    continue
-                score = matrix @ np.stack(pdf[vector].to_numpy()).astype(np.float64).T
-                docs = pdf[doc].to_numpy()
-                if exclude_same:
-                    score[names[:, None] == docs[None, :].astype(object)] = -np.inf
-                keep = score if digits is None else np.round(score, digits)
-                order = np.lexsort((np.broadcast_to(docs, keep.shape), -keep), axis=1)[:, :k]
-                picked = np.take_along_axis(score, order, 1)
-                out = pd.DataFrame({query: np.repeat(names, order.shape[1]), doc: docs[order].ravel(), "score": picked.ravel()})
-                yield out[np.isfinite(out.score)].astype({query: "int64"}) if pd.api.types.is_integer_dtype(type(ids[0])) or isinstance(ids[0], int) else out[np.isfinite(out.score)]
-
-        parts.append(index.select(doc, vector).mapInPandas(run, schema))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return top_k(every, query, doc, k, digits=digits)
+
+    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(d):
+            return pd.DataFrame({query: q[query][:0], doc: d[doc][:0], "score": np.zeros(0)})
+        score = np.stack(q["_v"].to_numpy()).astype(np.float64) @ np.stack(d["_v"].to_numpy()).astype(np.float64).T
+        names, docs = q[query].to_numpy(), d[doc].to_numpy()
+        if exclude_same:
+            score[names[:, None] == docs[None, :]] = -np.inf
+        keep = score if digits is None else np.round(score, digits)
+        order = np.lexsort((np.broadcast_to(docs, keep.shape), -keep), axis=1)[:, :k]
+        out = pd.DataFrame({query: np.repeat(names, order.shape[1]), doc: docs[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+        return out[np.isfinite(out.score)]
+
+    best = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInPandas(run, schema)
+    return top_k(best, query, doc, k, digits=digits)
+
+
+def dense_scores(queries: DataFrame, index: DataFrame, query: str, doc: str, vector: str, pairs: DataFrame) -> DataFrame:
+    """pairs(query, doc) with the inner product of their vectors, null where one has none."""
+    q, d = queries.select(query, F.col(vector).alias("_q")), index.select(doc, F.col(vector).alias("_d"))
+    return pairs.join(q, query, "left").join(d, doc, "left").withColumn("score", F.when(F.col("_q").isNotNull() & F.col("_d").isNotNull(), dot("_q", "_d"))).drop("_q", "_d")
+
+
+def case_mean_vectors(images: DataFrame, case: str, vector: str, size: int) -> DataFrame:
+    """case, has_image, vector: the mean of its images' vectors; a case whose images have none gets zeros. Sums by place, so a case of
+    ever so many images is no row of its own."""
+    sums = [F.avg(F.get(vector, F.lit(i))).alias(f"_{i}") for i in range(size)]
+    per = images.groupBy(case).agg(F.count(vector).alias("_n"), *sums)
+    return per.select(case, (F.col("_n") > 0).alias("has_image"), F.array(*[F.coalesce(f"_{i}", F.lit(0.0)) for i in range(size)]).alias(vector))
 
 
 # --------------------------------------------------------------------------- fusion
@@ -158,6 +177,12 @@ def ranking_quality(hits: DataFrame, relevant: DataFrame, query: str, doc: str,
     return n.join(found, query, "left").agg(*[F.avg(F.coalesce(F.col(f"h{k}"), F.lit(0)) / F.col("n")).alias(f"recall_{k}") for k in ks], F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
 
 
+def enriched_hits(hits: DataFrame, cases: DataFrame, query: str, doc: str, fields: list[str], images: str | None = None) -> DataFrame:
+    """Hits with fields of their cases, the number of images, and the similarity to four digits."""
+    found = cases.select(doc, *fields, *([F.coalesce(F.size(images), F.lit(0)).cast("long").alias("n_images")] if images else []))
+    return hits.join(found, doc).select(query, "rank", doc, F.round("score", 4).alias("similitud"), *fields, *(["n_images"] if images else []))
+
+
 def point_lookup(cases: DataFrame, key: str, value: object, order: str) -> DataFrame:
     """The case of the id, the last one of several."""
     return cases.filter(F.col(key) == F.lit(value)).orderBy(F.desc(order)).limit(1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.metrics import token_f1
+from quillspark.functions.text import strip
 
 ENTRY = "id string, timestamp string, job_id string, accion string, revisor string, nota string, consulta string, borrador_original string, texto_final string, seguridad_nivel string"
 ACTIONS = ("aprobar", "editar", "rechazar")
@@ -13,7 +14,7 @@ ACTIONS = ("aprobar", "editar", "rechazar")
 
 def resolved(reviews: DataFrame) -> DataFrame:
     """Valid reviews with their final text: approval keeps the draft, an edit needs a text, a rejection has none."""
-    edited = F.trim(F.coalesce("texto_final", F.lit("")))
+    edited = strip(F.coalesce("texto_final", F.lit("")))
     valid = F.col("accion").isin(*ACTIONS) & ((F.col("accion") != "editar") | (edited != ""))
     final = F.when(F.col("accion") == "aprobar", F.col("borrador_original")).when(F.col("accion") == "editar", edited)
     return reviews.filter(valid).withColumn("texto_final", final)
@@ -44,6 +45,12 @@ def approved_cases(entries: DataFrame) -> DataFrame:
     return entries.filter(F.col("accion").isin("aprobar", "editar")).select(F.concat(F.lit("APR-"), F.substring(F.sha2(F.concat_ws("|", "job_id", "id"), 256), 1, 10)).alias("encounter_id"), "timestamp", "consulta", F.col("texto_final").alias("respuesta"), "revisor", "job_id")
 
 
+def health(cases: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row: cases, reviews, and the approved ones among them."""
+    n = F.count(F.lit(1))
+    return cases.agg(n.alias("cases")).crossJoin(entries.agg(n.alias("reviews"), F.count_if(F.col("accion").isin("aprobar", "editar")).alias("approved")))  # one row each
+
+
 def export_stats(cases: DataFrame, images: str = "image_ids") -> DataFrame:
     has = F.coalesce(F.size(images), F.lit(0)) > 0
     return cases.agg(F.count(F.lit(1)).alias("total"), F.count_if(has).alias("with_image"), F.count_if(~has).alias("text_only"))

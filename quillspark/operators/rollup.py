@@ -52,12 +52,17 @@ def row_mean(columns: list[str]) -> Column:
 
 
 def wide_methods(frames: dict[str, DataFrame], keys: list[str], metrics: list[str]) -> DataFrame:
-    """Per-method metric rows joined one to one on the keys, with a mean score for each method."""
-    for name, df in frames.items():
-        if not df.groupBy(*keys).count().filter("count > 1").isEmpty():
-            raise ValueError(f"{name} isn't unique by {keys}")
-    renamed = [df.select(*keys, *[F.col(m).alias(f"{name}_{m}") for m in metrics], row_mean(metrics).alias(f"{name}_mean_score")) for name, df in frames.items()]
-    return reduce(lambda a, b: a.join(b, keys), renamed)
+    """Per-method metric rows joined one to one on the keys, with a mean score for each method; a key that a method has twice raises
+    when the row is computed."""
+
+    def once(name: str, df: DataFrame) -> DataFrame:
+        # the groups are dealt as the join needs them, so counting them costs no shuffle of its own
+        rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(m).alias(m) for m in metrics])
+        one = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"{name} isn't unique by {keys}")).cast("double"))
+        mean = F.when(F.col("_n") > 1, one).otherwise(row_mean(metrics))
+        return rows.select(*keys, *[F.col(m).alias(f"{name}_{m}") for m in metrics], mean.alias(f"{name}_mean_score"))
+
+    return reduce(lambda a, b: a.join(b, keys), [once(name, df) for name, df in frames.items()])
 
 
 def deltas(wide: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
@@ -86,15 +91,26 @@ def stratified(rows: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
 def strata_means(wide: DataFrame, dimensions: dict[str, Column], methods: list[str], metrics: list[str]) -> DataFrame:
     """dimension, stratum, method, n, mean of each metric and of the mean score."""
     names = [*metrics, "mean_score"]
-    long = stratified(wide, dimensions).withColumn("_m", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), *[F.col(f"{m}_{x}").alias(x) for x in names]) for m in methods])))
-    return long.groupBy("dimension", "stratum", "_m.method").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"_m.{x}").alias(x) for x in names])
+    out = []
+    for k, c in dimensions.items():  # one aggregate a dimension, a column for each method and metric, turned into rows after it
+        per = wide.groupBy(c.cast("string").alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"{m}_{x}").alias(f"{m}_{x}") for m in methods for x in names])
+        rows = F.array(*[F.struct(F.lit(m).alias("method"), *[F.col(f"{m}_{x}").alias(x) for x in names]) for m in methods])
+        out.append(per.select(F.lit(k).alias("dimension"), "stratum", "n", F.explode(rows).alias("_m")).select("dimension", "stratum", "_m.method", "n", *[f"_m.{x}" for x in names]))
+    return reduce(DataFrame.unionByName, out)
 
 
 def effects(wide: DataFrame, columns: dict[str, str], dimensions: dict[str, Column]) -> DataFrame:
     """effect, dimension, stratum, n, mean, median and positive rate of each paired difference; overall rows besides."""
-    dims = {"overall": F.lit("all")} | dimensions
-    long = stratified(wide, dims).withColumn("_e", F.explode(F.array(*[F.struct(F.lit(k).alias("effect"), F.col(c).alias("d")) for k, c in columns.items()])))
-    return long.groupBy("_e.effect", "dimension", "stratum").agg(F.count(F.lit(1)).alias("n"), F.avg("_e.d").alias("mean_delta"), F.median("_e.d").alias("median_delta"), F.avg((F.col("_e.d") > 0).cast("double")).alias("positive_rate"))
+    parts = F.array(*[F.struct(F.lit(k).alias("effect"), F.col(c).cast("double").alias("d")) for k, c in columns.items()])
+    # differences repeat, so counts of (strata, difference) are few; every dimension is summed from them
+    cells = wide.select(*[c.cast("string").alias(f"_{k}") for k, c in dimensions.items()], F.explode(parts).alias("_e")).groupBy(*[f"_{k}" for k in dimensions], F.col("_e.effect").alias("effect"), F.col("_e.d").alias("d")).agg(F.count(F.lit(1)).alias("c"))
+    long = stratified(cells, {"overall": F.lit("all")} | {k: F.col(f"_{k}") for k in dimensions}).groupBy("effect", "dimension", "stratum", "d").agg(F.sum("c").alias("c"))
+    by = ["effect", "dimension", "stratum"]
+    n = F.sum("c")
+    known = F.sum(F.when(F.col("d").isNotNull(), F.col("c")))
+    sums = long.groupBy(*by).agg(n.alias("n"), (F.sum(F.col("d") * F.col("c")) / known).alias("mean_delta"), (F.sum(F.when(F.col("d") > 0, F.col("c")).when(F.col("d").isNotNull(), F.lit(0))) / known).alias("positive_rate"))
+    middle = quantiles(long, by, "d", [0.5], count="c").select(*by, F.get("q", F.lit(0)).alias("median_delta"))
+    return sums.join(middle, by, "left").select(*by, "n", "mean_delta", "median_delta", "positive_rate")
 
 
 def image_count_stratum(n: Column) -> Column:
@@ -105,14 +121,47 @@ def length_stratum(n: Column) -> Column:
     return length_bucket(n)
 
 
+#: Bins of values that ranks are counted in, and how closely their bounds are told.
+RANK_BINS, RANK_ACCURACY = 64, 1000
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], how: str = "linear", count: str | None = None) -> DataFrame:
+    """by, q: exact quantiles of a group's values (nulls and not-a-numbers left out), interpolated ("linear") or the value of the upper
+    rank ("higher"). `count`: rows that a row stands for.
+
+    No task holds a group's values: equal values are counted first, values go to bins with about as many of them each, the
+    counts of the bins give the rank at which each begins, and only the values at the ranks asked for are kept.
+    """
+    there = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counted = there.groupBy(*by, F.col(value).cast("double").alias("_v")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("_c"))
+    cuts = counted.agg(F.percentile_approx("_v", [k / RANK_BINS for k in range(1, RANK_BINS)], RANK_ACCURACY)).first()[0] or []  # RANK_BINS numbers
+    bounds = sorted(set(cuts))
+    placed = counted.withColumn("_bin", F.size(F.filter(F.lit(bounds), lambda c: c < F.col("_v"))) if bounds else F.lit(0))
+    bins = placed.groupBy(*by, "_bin").agg(F.sum("_c").alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))  # RANK_BINS rows a group
+    starts = bins.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_n", F.sum("_s").over(Window.partitionBy(*by))).drop("_s")
+    inside = F.sum("_c").over(Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.withColumn("_upto", inside).join(starts, [*by, "_bin"]).withColumn("_last", F.col("_before") + F.col("_upto") - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    place = (lambda s: F.lit(s) * (F.col("_n") - 1)) if how == "linear" else (lambda s: F.floor(F.lit(s) * F.col("_n")).cast("double"))
+    at = lambda rank: (F.col("_first") <= rank) & (rank <= F.col("_last"))
+    picked = []
+    for i, s in enumerate(shares):
+        low, high = F.floor(place(s)), F.ceil(place(s))
+        picked += [F.max(F.when(at(low), F.col("_v"))).alias(f"_l{i}"), F.max(F.when(at(high), F.col("_v"))).alias(f"_h{i}"), F.max(place(s) - low).alias(f"_f{i}")]
+    q = F.array(*[F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}") for i in range(len(shares))])
+    return ranked.groupBy(*by).agg(*picked).select(*by, q.alias("q"))
+
+
 def five_numbers(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """min, q1, median, q3, max with linear interpolation."""
-    q = F.percentile(value, [0.0, 0.25, 0.5, 0.75, 1.0])
-    return rows.groupBy(*by).agg(q.alias("q")).select(*by, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("minimum", "q1", "median", "q3", "maximum"))])
+    return quantiles(rows, by, value, [0.0, 0.25, 0.5, 0.75, 1.0]).select(*by, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("minimum", "q1", "median", "q3", "maximum"))])
 
 
 def score_stats(rows: DataFrame, value: str) -> DataFrame:
-    return rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("pstdev"), F.min(value).alias("minimum"), F.max(value).alias("maximum"))
+    """One row: n, mean, median, pstdev, minimum, maximum."""
+    middle = quantiles(rows, [], value, [0.5]).select(F.get("q", F.lit(0)).alias("median"))  # one row
+    sums = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("pstdev"), F.min(value).alias("minimum"), F.max(value).alias("maximum"))
+    return sums.crossJoin(F.broadcast(middle)).select("n", "mean", "median", "pstdev", "minimum", "maximum")
 
 
 def histogram(rows: DataFrame, value: str) -> DataFrame:
@@ -149,5 +198,5 @@ def winner(rows: DataFrame, split: str, metric: str, tie: str) -> DataFrame:
 
 
 def latency(rows: DataFrame, by: list[str], seconds: str) -> DataFrame:
-    q = F.percentile(seconds, [0.5, 0.95])
-    return rows.groupBy(*by).agg(F.avg(seconds).alias("mean_s"), F.sum(seconds).alias("total_s"), q.alias("q")).select(*by, "mean_s", "total_s", F.get("q", F.lit(0)).alias("p50_s"), F.get("q", F.lit(1)).alias("p95_s"))
+    q = quantiles(rows, by, seconds, [0.5, 0.95])
+    return rows.groupBy(*by).agg(F.avg(seconds).alias("mean_s"), F.sum(seconds).alias("total_s")).join(q, by, "left").select(*by, "mean_s", "total_s", F.get("q", F.lit(0)).alias("p50_s"), F.get("q", F.lit(1)).alias("p95_s"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import fold
+from quillspark.functions.text import fold, strip
 
 from . import lexicon
 
@@ -39,8 +39,14 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def _terms_in(text: Column, terms: list[str]) -> Column:
-    table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_mark(t)).alias("m")) for t in terms])
-    return F.transform(F.filter(table, lambda r: text.contains(r["m"])), lambda r: r["t"])
+    """One-word terms by their place among the text's words, the others by containment; in list order."""
+    single, several = [t for t in terms if re.fullmatch(r"\w+", t)], [t for t in terms if not re.fullmatch(r"\w+", t)]
+    words = F.array_intersect(F.lit(single), F.split(text, EDGE)) if single else F.array().cast("array<string>")
+    if not several:
+        return words
+    table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_mark(t)).alias("m")) for t in several])
+    found = F.concat(words, F.transform(F.filter(table, lambda r: text.contains(r["m"])), lambda r: r["t"]))
+    return F.when(F.size(found) < 2, found).otherwise(F.array_intersect(F.lit(terms), found))
 
 
 def terms_in(folded: Column, terms: list[str]) -> Column:
@@ -49,9 +55,9 @@ def terms_in(folded: Column, terms: list[str]) -> Column:
 
 
 def draft_flags(text: Column | str, min_words: int = MIN_WORDS) -> Column:
-    t = F.trim(F.coalesce(_col(text), F.lit("")))
+    t = strip(F.coalesce(_col(text), F.lit("")))
     few = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")) < min_words
-    sentences = F.transform(F.filter(F.split(t, r"[.\n]"), lambda s: F.length(F.trim(s)) > MIN_SENTENCE), lambda s: F.lower(F.trim(s)))
+    sentences = F.transform(F.filter(F.split(t, r"[.\n]"), lambda s: F.length(strip(s)) > MIN_SENTENCE), lambda s: F.lower(strip(s)))
     again = F.exists(F.array_distinct(sentences), lambda s: F.size(F.filter(sentences, lambda x: x == s)) >= REPEATS)
     return F.when(t == "", F.array(F.lit("vacio"))).otherwise(F.array_compact(F.array(F.when(few, F.lit("muy_corto")), F.when(again, F.lit("repetitivo")))))
 
@@ -71,8 +77,9 @@ def unsupported(draft: Column | str, evidence: Column | str, terms: list[str]) -
 
 
 def _risk_terms(draft: Column, table: dict[str, list[str]]) -> Column:
-    rows = F.array(*[F.struct(F.lit(t).alias("termino"), F.lit(c).alias("categoria"), F.lit(_mark(t)).alias("m")) for c, ts in table.items() for t in ts])
-    return F.transform(F.filter(rows, lambda r: draft.contains(r["m"])), lambda r: F.struct(r["termino"].alias("termino"), r["categoria"].alias("categoria")))
+    rows = F.array(*[F.struct(F.lit(t).alias("termino"), F.lit(c).alias("categoria")) for c, ts in table.items() for t in ts])
+    found = _terms_in(draft, list(dict.fromkeys(t for ts in table.values() for t in ts)))
+    return F.filter(rows, lambda r: F.array_contains(found, r["termino"]))
 
 
 def risk_terms(draft: Column | str, table: dict[str, list[str]] = lexicon.RISK_TERMS) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rollup import quantiles
+
 
 def ranked(rows: DataFrame, bucket: str, order: int, score: str, n: int, largest: bool, ties: list[str]) -> DataFrame:
     """The n first rows by score (ties by the given columns), with bucket, its order and the reason. A top-k, not a total sort."""
@@ -49,8 +51,7 @@ def low_and_high(rows: DataFrame, value: str, key: str, n: int) -> DataFrame:
 
 def review_sample(cases: DataFrame, value: str, key: str, named: list, n: int = 20, ends: int = 7) -> DataFrame:
     """n cases: named ones, lowest, highest, then those nearest to the upper median; a case keeps its first bucket."""
-    total = cases.count()
-    middle = cases.orderBy(value, key).limit(total // 2 + 1).agg(F.max(value).alias("_m"))
+    middle = quantiles(cases, [], value, [0.5], "higher").select(F.get("q", F.lit(0)).alias("_m"))
     parts = [
         cases.filter(F.col(key).isin(named)).withColumn("_o", F.array_position(F.array(*[F.lit(x) for x in named]), F.col(key)).cast("double")) if named else cases.limit(0).withColumn("_o", F.lit(0.0)),
         cases.orderBy(value, key).limit(ends).withColumn("_o", F.col(value).cast("double")),
@@ -64,7 +65,8 @@ def review_sample(cases: DataFrame, value: str, key: str, named: list, n: int =
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows of least hash of seed and key."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 #: Order of the main report's rows: fixed values.

@@ -110,7 +110,7 @@ def answer_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT conv_id, key, count(*) AS n, min(p) AS p FROM k GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id) AS total, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, p) AS r FROM g)
 SELECT conv_id, a AS majority_answer, round(CAST(n AS DOUBLE) / total, 6) AS agreement FROM r JOIN answers USING (conv_id, p) WHERE r = 1""")
 def majority_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cases(spark, sf_dir).select("conv_id", F.posexplode("responses").alias("p", "a")).filter(F.trim("a") != "")
+    rows = cases(spark, sf_dir).select("conv_id", F.posexplode("responses").alias("p", "a"))
     out = corpus.majority_answer(rows, "conv_id", "p", "a")
     return out.select("conv_id", "majority_answer", F.round("agreement", 6).alias("agreement"))
 
@@ -263,4 +263,4 @@ def export_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id, score FROM (SELECT event_id AS vec_id, coalesce(CASE WHEN event_id % 2 = 0 THEN value END, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS score FROM events) WHERE score IS NOT NULL")
 def first_present_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("similarity_score"), F.get_json_object("props", "$.k").alias("score"))
-    return e.select(F.col("event_id").alias("vec_id"), F.coalesce(*[F.col(c).try_cast("double") for c in readers.SCORE_COLUMNS if c in e.columns]).alias("score")).filter("score is not null")
+    return readers.read_scores(e, keep=("event_id",)).select(F.col("event_id").alias("vec_id"), "score")

@@ -59,21 +59,31 @@ def token_f1_notebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _f1(spark, sf_dir, "notebook")
 
 
+def _rouge_sql(tokens: str, empty: str) -> str:
+    """The subsequence table row by row: with each word of a, a place of b holds the greatest of what the places up to it can reach."""
+    return f"""WITH RECURSIVE {_PAIRS_SQL}, s AS MATERIALIZED (SELECT conv_id, turn, {tokens.format(c='p')} AS a, {tokens.format(c='r')} AS b FROM pairs),
+l AS (SELECT conv_id, turn, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda x: 0) AS v FROM s WHERE len(a) > 0 AND len(b) > 0
+  UNION ALL SELECT conv_id, turn, a, b, i + 1, list_concat([0], list_transform(range(1, len(b) + 1), lambda j: list_max(c[1:j]))) FROM
+  (SELECT *, list_transform(range(1, len(b) + 1), lambda j: CASE WHEN b[j] = a[i + 1] THEN v[j] + 1 ELSE v[j + 1] END) AS c FROM l WHERE i < len(a))),
+o AS (SELECT s.*, CAST(coalesce(v[len(s.b) + 1], 0) AS DOUBLE) AS c FROM s LEFT JOIN l ON l.conv_id = s.conv_id AND l.turn = s.turn AND l.i = len(s.a))
+SELECT conv_id, turn, round({F1_SQL.format(e=empty)}, 6) AS rouge_l FROM o"""
+
+
 def _rouge(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.rouge_l("p", "r", variant), 6).alias("rouge_l"))
 
 
-@query(None)
+@query(_rouge_sql(_WORDS_SQL, "0.0::DOUBLE"))
 def rouge_l_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rouge(spark, sf_dir, "whitespace")
 
 
-@query(None)
+@query(_rouge_sql("regexp_extract_all(lower({c}), '[a-z0-9]+')", "0.0::DOUBLE"))
 def rouge_l_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rouge(spark, sf_dir, "ascii")
 
 
-@query(None)
+@query(_rouge_sql(_WORDS_SQL, "1.0::DOUBLE"))
 def rouge_l_notebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rouge(spark, sf_dir, "notebook")
 
@@ -99,7 +109,25 @@ def chrf_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.groupBy("part").agg(metrics.sum_arrays("s", 18).alias("s")).select("part", F.round(metrics.chrf_score("s"), 4).alias("chrf"))
 
 
-@query(None)
+def _13a_sql(c: str) -> str:
+    for k, (pattern, to) in enumerate(metrics.TOKENS_13A):
+        of = f"(' ' || {c} || ' ')" if k == 7 else c
+        c = f"regexp_replace({of}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> '')"
+
+
+_BLEU_SQL = f"""WITH {_PAIRS_SQL}, s AS MATERIALIZED (SELECT conv_id, turn, {_13a_sql('p')} AS a, {_13a_sql('r')} AS b FROM pairs), k AS (SELECT unnest(range(1, 5)) AS n),
+pg AS (SELECT conv_id, turn, n, g, count(*) AS c FROM (SELECT conv_id, turn, n, a[i:i+n-1] AS g FROM (SELECT conv_id, turn, n, a, unnest(range(1, len(a) - n + 2)) AS i FROM s, k WHERE len(a) >= n)) GROUP BY ALL),
+rg AS (SELECT conv_id, turn, n, g, count(*) AS c FROM (SELECT conv_id, turn, n, b[i:i+n-1] AS g FROM (SELECT conv_id, turn, n, b, unnest(range(1, len(b) - n + 2)) AS i FROM s, k WHERE len(b) >= n)) GROUP BY ALL),
+m AS (SELECT conv_id % 2 AS part, n, sum(least(pg.c, rg.c)) AS m FROM pg JOIN rg USING (conv_id, turn, n, g) GROUP BY ALL),
+t AS (SELECT conv_id % 2 AS part, n, sum(greatest(len(a) - n + 1, 0)) AS t FROM s, k GROUP BY ALL),
+o AS (SELECT part, n, CAST(coalesce(m, 0) AS DOUBLE) AS m, CAST(t AS DOUBLE) AS t, sum(CASE WHEN coalesce(m, 0) = 0 AND t > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY part ORDER BY n) AS zeros FROM t LEFT JOIN m USING (part, n)),
+e AS (SELECT part, sum(ln(CASE WHEN m > 0 THEN 100 * m / t ELSE 100 / (pow(2, zeros) * t) END)) / 4 AS p, min(t) AS least FROM o WHERE t > 0 GROUP BY part),
+z AS (SELECT conv_id % 2 AS part, CAST(sum(len(a)) AS DOUBLE) AS a, CAST(sum(len(b)) AS DOUBLE) AS b, min(CASE WHEN len(a) >= 4 THEN 1 END) AS whole FROM s GROUP BY 1)
+SELECT part, round(CASE WHEN whole IS NULL OR a = 0 THEN 0 ELSE CASE WHEN a >= b THEN 1 ELSE exp(1 - b / a) END * exp(p) END, 4) AS bleu FROM z JOIN e USING (part)"""
+
+
+@query(_BLEU_SQL)
 def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = _pairs(spark, sf_dir).select((F.col("conv_id") % 2).alias("part"), metrics.bleu_stats("p", "r").alias("s"))
     return stats.groupBy("part").agg(metrics.sum_arrays("s", 10).alias("s")).select("part", F.round(metrics.bleu_score("s"), 4).alias("bleu"))
@@ -287,7 +315,7 @@ def first_row_per_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.first_rows(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"]).select("conv_id", "text")
 
 
-@query(None)
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 20")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling operator: 20 documents by a seeded hash."""
     return selection.seeded_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 20)

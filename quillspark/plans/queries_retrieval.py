@@ -86,23 +86,25 @@ def heldout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CASES_SQL}, {_tfidf_sql('answered', 'answered', 'conv_id', 'question')},
-r AS (SELECT q, d AS doc, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM scores WHERE q <> d) SELECT q, doc, score FROM r WHERE rank = 1""")
+e AS (SELECT a.conv_id AS q, b.conv_id AS d, coalesce(score, 0.0::DOUBLE) AS score FROM answered a JOIN answered b ON a.conv_id <> b.conv_id LEFT JOIN scores ON scores.q = a.conv_id AND scores.d = b.conv_id),
+r AS (SELECT q, d AS doc, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM e) SELECT q, doc, score FROM r WHERE rank = 1""")
 def tfidf_top1_self(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All-corpus top-1 without the row itself."""
+    """All-corpus top-1 without the row itself; every row gets an answer."""
     rows = answered(spark, sf_dir)
     q, d = rows.select(F.col("conv_id").alias("q"), "question"), rows.select(F.col("conv_id").alias("doc"), "question")
-    return retrieval.tfidf_search(q, d, "q", "doc", "question", 1, exclude=F.col("q") == F.col("doc")).select("q", "doc", "score")
+    return retrieval.tfidf_search(q, d, "q", "doc", "question", 1, exclude_same=True, fill=True).select("q", "doc", "score")
 
 
 @query(f"""WITH {CASES_SQL},
 train AS (SELECT conv_id, question FROM answered WHERE split = 'train'), ask AS (SELECT conv_id, question FROM answered WHERE split <> 'train'),
 {_tfidf_sql('train', 'ask', 'conv_id', 'question', bigrams=False, sublinear=False, max_df=False)},
-r AS (SELECT q, d AS doc, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM scores) SELECT q, doc, score, rank FROM r WHERE rank <= 5""".replace("strip_accents(lower(coalesce(question, '')))", "lower(coalesce(question, ''))"))
+e AS (SELECT a.conv_id AS q, b.conv_id AS d, coalesce(score, 0.0::DOUBLE) AS score FROM ask a CROSS JOIN train b LEFT JOIN scores ON scores.q = a.conv_id AND scores.d = b.conv_id),
+r AS (SELECT q, d AS doc, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM e) SELECT q, doc, score, rank FROM r WHERE rank <= 5""".replace("strip_accents(lower(coalesce(question, '')))", "lower(coalesce(question, ''))"))
 def tfidf_service_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Service form: unigrams, raw counts, accents kept, k of 5."""
+    """Service form: unigrams, raw counts, accents kept, always k of 5 hits."""
     rows = answered(spark, sf_dir)
     q, d = rows.filter("split <> 'train'").select(F.col("conv_id").alias("q"), "question"), rows.filter("split = 'train'").select(F.col("conv_id").alias("doc"), "question")
-    out = retrieval.tfidf_search(q, d, "q", "doc", "question", retrieval.bounded_k(None), bigrams=False, sublinear=False, max_df=None, strip=False)
+    out = retrieval.tfidf_search(q, d, "q", "doc", "question", retrieval.bounded_k(None), bigrams=False, sublinear=False, max_df=None, strip=False, fill=True)
     return out.select("q", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -127,12 +129,17 @@ def rag_contexts_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three training contexts for every case, never the case itself."""
     rows = answered(spark, sf_dir)
     q, d = rows.select(F.col("conv_id").alias("q"), "question"), rows.filter("split = 'train'").select(F.col("conv_id").alias("doc"), "question", "answer")
-    hits = retrieval.tfidf_search(q, d.select("doc", "question"), "q", "doc", "question", 3, exclude=F.col("q") == F.col("doc"))
+    hits = retrieval.tfidf_search(q, d.select("doc", "question"), "q", "doc", "question", 3, exclude_same=True)
     packed = retrieval.context_arrays(hits, d, "q", "doc", ["question", "answer"])
     return packed.select(F.col("q").alias("conv_id"), F.size("contexts").cast("long").alias("n"), F.array_join(F.transform("contexts", lambda c: c["doc"].cast("string")), ",").alias("docs"), F.sha2(F.array_join(F.transform("contexts", lambda c: c["answer"]), "|"), 256).alias("answers_sha"))
 
 
-@query(None)
+@query(f"""WITH {CASES_SQL},
+train AS (SELECT conv_id, question, answer FROM answered WHERE split = 'train'), ask AS (SELECT conv_id, question FROM answered WHERE split <> 'train'),
+{_tfidf_sql('train', 'ask', 'conv_id', 'question')},
+r AS (SELECT q, d, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM scores),
+c AS (SELECT q, string_agg(rank || '. Pregunta similar: ' || question || chr(10) || '   Respuesta del caso similar: ' || answer, chr(10) ORDER BY rank) AS c FROM r JOIN train ON train.conv_id = d WHERE rank <= 3 GROUP BY q)
+SELECT conv_id, concat_ws(chr(10), '{generation.CURRENT}', trim(regexp_replace(question, '\\s+', ' ', 'g')), '', '{generation.SIMILAR}', c, '', '{generation.ANSWER_NOW}') AS prompt FROM ask JOIN c ON c.q = conv_id""".replace("\\\\s", "\\s"))
 def rag_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts of held-out questions with three contexts."""
     rows = answered(spark, sf_dir)
@@ -152,7 +159,7 @@ def approved_union_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approved reviews rejoin the corpus and are found like other cases."""
     log = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select((F.col("event_id") + 1000000).alias("doc"), F.concat(F.lit("approved case "), "event_type", F.lit(" "), F.col("user_id").cast("string")).alias("question"))
     corpus = answered(spark, sf_dir).select(F.col("conv_id").alias("doc"), "question").unionByName(log)
-    return retrieval.tfidf_search(log.withColumnRenamed("doc", "q"), corpus, "q", "doc", "question", 1, bigrams=False, sublinear=False, max_df=None, exclude=F.col("q") == F.col("doc")).select("q", "doc", "score")
+    return retrieval.tfidf_search(log.withColumnRenamed("doc", "q"), corpus, "q", "doc", "question", 1, bigrams=False, sublinear=False, max_df=None, exclude_same=True).select("q", "doc", "score")
 
 
 # --------------------------------------------------------------------------- dense
@@ -224,13 +231,14 @@ def has_image_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_HELDOUT_SQL}, h AS (SELECT q, d AS doc, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM scores),
-f AS (SELECT ask.conv_id AS q, min(rank) AS first FROM ask LEFT JOIN h ON h.q = ask.conv_id AND h.doc % 7 = ask.conv_id % 7 AND rank <= 10 GROUP BY 1)
-SELECT round(avg(CASE WHEN first <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_10, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM f""")
+n AS (SELECT a.conv_id AS q, CAST(count(*) AS DOUBLE) AS n FROM ask a JOIN train t ON a.conv_id % 7 = t.conv_id % 7 GROUP BY 1),
+f AS (SELECT n.q, any_value(n) AS n, min(rank) AS first, count(*) FILTER (WHERE rank <= 1) AS h1, count(*) FILTER (WHERE rank <= 10) AS h10 FROM n LEFT JOIN h ON h.q = n.q AND h.doc % 7 = n.q % 7 AND rank <= 10 GROUP BY 1)
+SELECT round(avg(h1 / n), 6) AS recall_1, round(avg(h10 / n), 6) AS recall_10, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM f""")
 def ranking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extension: hit rates and reciprocal rank of ten hits, a training case of the same remainder counting as relevant."""
+    """Extension: recall and reciprocal rank of ten hits, training cases of the same remainder counting as relevant."""
     rows = answered(spark, sf_dir)
     q, d = rows.filter("split <> 'train'").select(F.col("conv_id").alias("q"), "question"), rows.filter("split = 'train'").select(F.col("conv_id").alias("doc"), "question")
-    hits = retrieval.tfidf_search(q, d, "q", "doc", "question", 10).filter(F.col("q") % 7 == F.col("doc") % 7)
-    best = q.select("q").join(hits.groupBy("q").agg(F.min("rank").alias("first")), "q", "left")
-    hit = lambda k: F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 6)
-    return best.agg(hit(1).alias("hit_1"), hit(10).alias("hit_10"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    hits = retrieval.tfidf_search(q, d, "q", "doc", "question", 10)
+    relevant = q.select("q", (F.col("q") % 7).alias("_m")).join(d.select("doc", (F.col("doc") % 7).alias("_m")), "_m").select("q", "doc")
+    out = retrieval.ranking_quality(hits, relevant, "q", "doc", (1, 10))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("recall_1", "recall_10", "mrr")])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import fold
 from quillspark.operators import generation, lexicon, safety
 
-from .base import cases, table
+from .base import CASES_SQL, cases, table
 
 FOUND: dict = {}
 
@@ -116,7 +116,15 @@ def risk_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("conv_id", "turn", F.col("verdict.nivel").alias("level"), F.col("verdict.falsa_tranquilizacion").alias("false_reassurance"), F.col("verdict.evidencia_debil").alias("weak"))
 
 
-@query(None)
+_LINES = lambda *parts: " || chr(10) || ".join(parts)
+_STUB = "'[BORRADOR DE PRUEBA — sin VLM]'"
+_HOW = "elegí un generador con modelo."
+
+
+@query(f"""WITH {CASES_SQL}, e AS (SELECT conv_id, trim(question) AS q, len(coalesce(responses, [])) > 0 AS has, trim(coalesce(responses[1], '')) AS a FROM cases)
+SELECT conv_id, {_LINES(f"'{generation.INSTRUCTION}'", "''", "'CONSULTA DEL PACIENTE:'", "q", "''", "CASE WHEN has THEN 'CASOS SIMILARES DE REFERENCIA:' || chr(10) || '[1] (similitud 0.50) ' || a ELSE '(No se encontraron casos similares de referencia.)' END", "''", f"'{generation.CLOSING}'")} AS prompt,
+CASE WHEN has THEN {_LINES(_STUB, "'Basado en 1 caso(s) similar(es).'", "''", "'El caso más parecido sugiere:'", "a", "''", f"'⚠️ Borrador automático preliminar — requiere revisión y aprobación médica. Para generar texto real con el modelo, {_HOW}'")}
+ELSE {_LINES(_STUB, f"'No se encontraron casos similares para fundamentar un borrador. Para usar el modelo real, {_HOW}'")} END AS draft FROM e""")
 def draft_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Service prompt and stub draft of every case, its first response as evidence."""
     c = cases(spark, sf_dir).withColumn("evidence", F.transform(F.slice("responses", 1, 1), lambda a: F.struct(a.alias("answer"), F.lit(0.5).alias("similitud"))))

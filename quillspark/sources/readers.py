@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import zipfile
+from collections.abc import Iterable
 from functools import reduce
 from pathlib import PurePosixPath
 
@@ -33,6 +35,25 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def write_bytes(spark: SparkSession, path: str, chunks: Iterable[bytes]) -> None:
+    """A file on any file system that Spark reaches."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        for c in chunks:
+            out.write(bytearray(c))
+    finally:
+        out.close()
+
+
+def discover(spark: SparkSession, pattern: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """path, parent, name of the files of a glob pattern, in order; excluded names left out. A listing: the driver holds it."""
+    fs, p = _fs(spark, pattern)
+    found = [f.getPath() for f in (fs.globStatus(p) or []) if not f.isDirectory()]
+    rows = sorted((f.toString(), f.getParent().getName(), f.getName()) for f in found if f.getName() not in exclude)
+    return spark.createDataFrame(rows, "path string, parent string, name string")
+
+
 def split_of(path: Column) -> Column:
     """File stem as split name, aliases resolved."""
     return mapped(F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1), SPLIT_LABELS)
@@ -71,11 +92,12 @@ def read_dataset(spark: SparkSession, paths: list[str], unzip_to: str | None = N
         if suffix == ".zip":
             if not unzip_to:
                 raise ValueError("a zip needs a shared folder to unpack to")
-            local = path.removeprefix("file://").removeprefix("file:")
-            with zipfile.ZipFile(local) as z:
+            packed = spark.read.format("binaryFile").load(path).first().content  # one export of bounded size
+            with zipfile.ZipFile(io.BytesIO(packed)) as z:
                 inside = sorted(z.namelist(), key=lambda n: ZIP_ORDER.index(PurePosixPath(n).suffix) if PurePosixPath(n).suffix in ZIP_ORDER else 99)
-                z.extract(inside[0], unzip_to.removeprefix("file://"))
-            return read_dataset(spark, [f"{unzip_to.rstrip('/')}/{inside[0]}"])
+                out = f"{unzip_to.rstrip('/')}/{PurePosixPath(inside[0]).name}"
+                write_bytes(spark, out, [z.read(inside[0])])
+            return read_dataset(spark, [out])
         if suffix == ".jsonl":
             return spark.read.json(path)
         if suffix == ".json":
@@ -91,12 +113,20 @@ def with_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.expr(f"try_cast(nullif(trim(`{c}`), '') AS double)") for c in columns if c in df.columns})
 
 
-def read_scores(df: DataFrame, columns: tuple[str, ...] = SCORE_COLUMNS) -> DataFrame:
-    """`score`: the first score column that a row has."""
+def score_records(df: DataFrame, columns: tuple[str, ...] = SCORE_COLUMNS) -> DataFrame:
+    """Records of a score file: its rows, or the elements of the first list of records that an object holds."""
+    if any(c in df.columns for c in columns):
+        return df
+    lists = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
+    return df.select(F.inline(lists[0])) if lists else df
+
+
+def read_scores(df: DataFrame, columns: tuple[str, ...] = SCORE_COLUMNS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`score`: the first score column that a row has, with the columns to keep; a row without one is left out."""
     there = [c for c in columns if c in df.columns]
     if not there:
         raise ValueError(f"none of {columns} in {df.columns}")
-    return df.select(F.coalesce(*[F.col(c).try_cast("double") for c in there]).alias("score")).filter("score is not null")
+    return df.select(F.coalesce(*[F.col(c).try_cast("double") for c in there]).alias("score"), *keep).filter("score is not null")
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -124,9 +154,9 @@ def image_index(spark: SparkSession, folders: list[str], last_wins: bool = False
 def find_images(rows: DataFrame, index: DataFrame, name: str = "image_id", extensions: tuple[str, ...] = (".jpg", ".jpeg", ".png", ".webp")) -> DataFrame:
     """rows with image_path: by name, else by name and extension where it has no dot."""
     tried = F.when(F.instr(name, ".") > 0, F.array(F.col(name))).otherwise(F.array(F.col(name), *[F.concat(F.col(name), F.lit(e)) for e in extensions]))
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    hits = keyed.select("_row", F.posexplode(tried).alias("_try", "name")).join(index, "name").groupBy("_row").agg(F.min(F.struct("_try", "path")).alias("h"))
-    return keyed.join(hits, "_row", "left").select(*rows.columns, F.col("h.path").alias("image_path"))
+    wanted = rows.select(F.col(name).alias("_id"), tried.alias("_tried")).distinct()
+    hits = wanted.select("_id", F.posexplode("_tried").alias("_try", "name")).join(index, "name").groupBy("_id").agg(F.min(F.struct("_try", "path")).alias("h"))
+    return rows.join(hits, rows[name] == hits["_id"], "left").select(*rows.columns, F.col("h.path").alias("image_path"))
 
 
 def load_corpus(cases: DataFrame, splits: str = "all") -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import json
 import zipfile
-from pathlib import Path
+from collections.abc import Iterator
+from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import three_decimals
 
+from .readers import path_exists, write_bytes
+
 
 def flattened(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, for CSV."""
@@ -27,6 +31,23 @@ def write_dataset(df: DataFrame, path: str, kind: str, overwrite: bool = False,
         {"parquet": writer.parquet, "jsonl": writer.json}[kind](path)
 
 
+def write_json_array(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """One JSON array in one file, for exports; rows stream through the driver and are never held together."""
+    spark = df.sparkSession
+    if not overwrite and path_exists(spark, path):
+        raise FileExistsError(path)
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()
+
+    def chunks() -> Iterator[bytes]:
+        first = True
+        for r in rows:
+            yield (b"[\n" if first else b",\n") + r.j.encode()
+            first = False
+        yield b"[]\n" if first else b"\n]\n"
+
+    write_bytes(spark, path, chunks())
+
+
 def projected(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns in fixed order as text, missing ones and nulls empty, others left out."""
     return df.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")).alias(c) for c in columns])
@@ -54,10 +75,13 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def zip_bundle(files: list[str], out: str) -> None:
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+def zip_bundle(spark: SparkSession, files: list[str], out: str) -> None:
+    """Exports of bounded size in one deflated archive."""
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in files:
-            z.write(f, Path(f).name)
+            z.writestr(PurePosixPath(f).name, spark.read.format("binaryFile").load(f).first().content)
+    write_bytes(spark, out, [packed.getvalue()])
 
 
 def markdown_table(df: DataFrame, limit: int = 200) -> str:
@@ -69,4 +93,5 @@ def markdown_table(df: DataFrame, limit: int = 200) -> str:
 
 def write_manifest(df: DataFrame, path: str) -> None:
     row = manifest(df).first()
-    Path(path).write_text(json.dumps({"row_count": row.row_count, "split_counts": {s.split: s.n for s in row.split_counts}, "columns": list(row.columns)}, indent=2))
+    text = json.dumps({"row_count": row.row_count, "split_counts": {s.split: s.n for s in row.split_counts}, "columns": list(row.columns)}, indent=2)
+    write_bytes(df.sparkSession, path, [text.encode()])
