@@ -85,10 +85,15 @@ def _class(points: list[int]) -> str:
     return f"[{''.join(out)}]"
 
 
+#: Below it are the letters of ASCII and the Latin blocks that most texts stay in.
+LATIN_END = 0x250
+
+
 @cache
-def _decompositions() -> tuple[str, str, str, str, str]:
+def _decompositions() -> tuple:
     """Compatibility decompositions without combining marks, of the first two planes but for Hangul: letters with one base and those
-    bases, the class of letters of several, these as JSON, and the class of combining marks."""
+    bases, the same below LATIN_END, the class of letters of several, these as JSON, the class of combining marks, and the
+    class of what is below LATIN_END and has no several."""
     single, several, marks = {}, {}, []
     for p in range(0x80, 0x20000):
         if 0xAC00 <= p <= 0xD7A3 or 0xD800 <= p < 0xE000:
@@ -100,17 +105,20 @@ def _decompositions() -> tuple[str, str, str, str, str]:
         base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if base != c:
             (single if len(base) == 1 else several)[c] = base
-    return "".join(single), "".join(single.values()), _class(sorted(map(ord, several))), json.dumps(several), _class(marks)
+    latin = {a: b for a, b in single.items() if ord(a) < LATIN_END}
+    simple = _class([p for p in range(LATIN_END) if chr(p) not in several])
+    return ("".join(single), "".join(single.values())), ("".join(latin), "".join(latin.values())), _class(sorted(map(ord, several))), json.dumps(several), _class(marks), simple
 
 
 def fold(c: Column | str) -> Column:
-    """Lower case, compatibility-decomposed, without combining marks. Most letters have one base and go by a table; the few that have
-    several are replaced where a text has any. Hangul stays composed."""
-    single, bases, several, table, marks = _decompositions()
-    low = F.translate(F.lower(F.coalesce(_col(c), F.lit(""))), single, bases)
-    found = F.array_distinct(F.regexp_extract_all(low, F.lit(several), F.lit(0)))
-    spelled = F.aggregate(found, low, lambda t, x: F.replace(t, x, F.element_at(F.from_json(F.lit(table), "map<string,string>"), x)))
-    return F.regexp_replace(F.when(low.rlike(several), spelled).otherwise(low), f"{marks}+", "")
+    """Lower case, compatibility-decomposed, without combining marks. Latin letters of one base go by a small table; only texts with
+    anything else take the whole one. Hangul stays composed."""
+    every, latin, several, table, marks, simple = _decompositions()
+    low = F.lower(F.coalesce(_col(c), F.lit("")))
+    whole = F.translate(low, *every)
+    found = F.array_distinct(F.regexp_extract_all(whole, F.lit(several), F.lit(0)))
+    spelled = F.aggregate(found, whole, lambda t, x: F.replace(t, x, F.element_at(F.from_json(F.lit(table), "map<string,string>"), x)))
+    return F.when(low.rlike(f"\\A{simple}*\\z"), F.translate(low, *latin)).otherwise(F.regexp_replace(spelled, f"{marks}+", ""))
 
 
 def words(c: Column | str) -> Column:

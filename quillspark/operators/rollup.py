@@ -101,6 +101,14 @@ def strata_means(wide: DataFrame, dimensions: dict[str, Column], methods: list[s
 
 def effects(wide: DataFrame, columns: dict[str, str], dimensions: dict[str, Column]) -> DataFrame:
     """effect, dimension, stratum, n, mean, median and positive rate of each paired difference; overall rows besides."""
+    if is_small(wide):
+        out = []
+        for k, c in ({"overall": F.lit("all")} | dimensions).items():
+            told = lambda d: [F.avg(d).alias(f"{d}_a"), F.median(d).alias(f"{d}_m"), F.avg((F.col(d) > 0).cast("double")).alias(f"{d}_r")]
+            per = wide.groupBy(c.cast("string").alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *[x for d in columns.values() for x in told(d)])
+            rows = F.array(*[F.struct(F.lit(e).alias("effect"), F.col(f"{d}_a").alias("mean_delta"), F.col(f"{d}_m").alias("median_delta"), F.col(f"{d}_r").alias("positive_rate")) for e, d in columns.items()])
+            out.append(per.select(F.lit(k).alias("dimension"), "stratum", "n", F.explode(rows).alias("_e")).select("_e.effect", "dimension", "stratum", "n", "_e.mean_delta", "_e.median_delta", "_e.positive_rate"))
+        return reduce(DataFrame.unionByName, out)
     parts = F.array(*[F.struct(F.lit(k).alias("effect"), F.col(c).cast("double").alias("d")) for k, c in columns.items()])
     # differences repeat, so counts of (strata, difference) are few; every dimension is summed from them
     cells = wide.select(*[c.cast("string").alias(f"_{k}") for k, c in dimensions.items()], F.explode(parts).alias("_e")).groupBy(*[f"_{k}" for k in dimensions], F.col("_e.effect").alias("effect"), F.col("_e.d").alias("d")).agg(F.count(F.lit(1)).alias("c"))
@@ -125,13 +133,26 @@ def length_stratum(n: Column) -> Column:
 RANK_BINS, RANK_ACCURACY = 64, 1000
 
 
+#: Estimated bytes up to which a group's values may be held in one aggregate's buffer.
+SMALL_BYTES = 256 << 20
+
+
+def is_small(rows: DataFrame) -> bool:
+    """Whether the planner's estimate of the rows' size is within SMALL_BYTES; joins are estimated high, so a doubt says no."""
+    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL_BYTES
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], how: str = "linear", count: str | None = None) -> DataFrame:
     """by, q: exact quantiles of a group's values (nulls and not-a-numbers left out), interpolated ("linear") or the value of the upper
     rank ("higher"). `count`: rows that a row stands for.
 
-    No task holds a group's values: equal values are counted first, values go to bins with about as many of them each, the
-    counts of the bins give the rank at which each begins, and only the values at the ranks asked for are kept.
+    Small tables take the built-in aggregate. Beyond that no task holds a group's values: equal values are counted first, values
+    go to bins with about as many of them each, the counts of the bins give the rank at which each begins, and only the
+    values at the ranks asked for are kept.
     """
+    if how == "linear" and is_small(rows):
+        known = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+        return rows.groupBy(*by).agg((F.percentile(known, shares, F.col(count)) if count else F.percentile(known, shares)).alias("q"))
     there = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     counted = there.groupBy(*by, F.col(value).cast("double").alias("_v")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("_c"))
     cuts = counted.agg(F.percentile_approx("_v", [k / RANK_BINS for k in range(1, RANK_BINS)], RANK_ACCURACY)).first()[0] or []  # RANK_BINS numbers

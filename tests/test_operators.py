@@ -187,3 +187,86 @@ def test_review_stream(spark, tmp_path):
     run()
     assert [r.id for r in spark.read.parquet(log).collect()] == ["0"]
     assert spark.read.parquet(approved).count() == 1
+
+
+@pytest.mark.parametrize("small", [1 << 40, -1])
+def test_quantiles_of_both_ways(spark, monkeypatch, small):
+    import numpy as np
+
+    monkeypatch.setattr(rollup, "SMALL_BYTES", small)
+    rng = np.random.default_rng(3)
+    rows = [(k % 3, float(v)) for k, v in enumerate(rng.integers(0, 40, 500) / 8)] + [(0, None), (1, float("nan")), (5, 2.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r.g: r.q for r in rollup.quantiles(df, ["g"], "v", [0.0, 0.3, 0.5, 1.0]).collect()}
+    for g in (0, 1, 2, 5):
+        assert got[g] == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None and not math.isnan(v)], [0.0, 0.3, 0.5, 1.0]).tolist())
+    every = sorted(v for _, v in rows if v is not None and not math.isnan(v))
+    assert rollup.quantiles(df, [], "v", [0.5], "higher").first().q[0] == every[len(every) // 2]
+    counted = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    assert {r.g: r.q for r in rollup.quantiles(counted, ["g"], "v", [0.5], count="n").collect()}[0] == pytest.approx([got[0][2]])
+
+
+@pytest.mark.parametrize("small", [1 << 40, -1])
+def test_effects_of_both_ways(spark, monkeypatch, small):
+    monkeypatch.setattr(rollup, "SMALL_BYTES", small)
+    df = spark.createDataFrame([(1, "a", 0.5), (2, "a", -1.0), (3, "b", 0.0), (4, "b", 2.0), (5, "b", 2.0)], "k int, s string, d double")
+    got = {(r.dimension, r.stratum): (r.n, r.mean_delta, r.median_delta, r.positive_rate) for r in rollup.effects(df, {"e": "d"}, {"by": F.col("s")}).collect()}
+    assert got == {("overall", "all"): (5, pytest.approx(0.7), 0.5, 0.6), ("by", "a"): (2, -0.25, -0.25, 0.5), ("by", "b"): (3, pytest.approx(4 / 3), 2.0, pytest.approx(2 / 3))}
+
+
+def test_fallback_and_zero_hits(spark):
+    docs = spark.createDataFrame([(1, "acne"), (2, "psoriasis"), (3, "tinea")], "doc long, t string")
+    q = docs.withColumnRenamed("doc", "q")
+    got = {(r.q, r["rank"]): (r.doc, r.score) for r in retrieval.tfidf_search(q, docs, "q", "doc", "t", 2, bigrams=False, max_df=None, exclude_same=True, fill=True).collect()}
+    assert got == {(1, 1): (2, 0.0), (1, 2): (3, 0.0), (2, 1): (1, 0.0), (2, 2): (3, 0.0), (3, 1): (1, 0.0), (3, 2): (2, 0.0)}
+    none = retrieval.tfidf_search(q, docs, "q", "doc", "t", 1, bigrams=False, max_df=None, exclude_same=True)
+    assert {r.q: r.doc for r in retrieval.with_fallback(none, q, docs, "q", "doc", exclude_same=True).collect()} == {1: 2, 2: 1, 3: 1}
+
+
+def test_dense_blocks_give_one_result(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(k, rng.normal(size=4).tolist()) for k in range(60)], "doc long, v array<double>")
+    q = v.withColumnRenamed("doc", "q")
+    run = lambda: sorted((r.q, r["rank"], r.doc, r.score) for r in retrieval.dense_search(q, v, "q", "doc", "v", 3, exclude_same=True).collect())
+    whole = run()
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "INDEX_BLOCK", 11)
+    assert run() == whole and len(whole) == 180
+    assert retrieval.dense_search(q.limit(0), v, "q", "doc", "v", 3).count() == 0
+
+
+def test_reruns_and_attached_keys_must_be_unique(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
+    with pytest.raises(ValueError):
+        corpus.merge_reruns(old, twice, ["k"])
+    with pytest.raises(Exception, match="unique"):
+        corpus.attach(old, twice, ["k"], {"v": "w"}).collect()
+
+
+def test_bleu_tokens(spark):
+    from quillspark.functions import metrics
+
+    rows = [("Hello, world! It's 3.5-inch.", "Hello , world ! It's 3.5 - inch ."), ("state-of-the-art ¿qué?", "state-of-the-art ¿qué ?"), ("a &amp; b &quot;c&quot; 1,000.", 'a & b " c " 1,000 .'), ("end-\nof line", "endof line"), ("", "")]
+    got = spark.createDataFrame(rows, "t string, w string").select(F.array_join(metrics.tokens_13a("t"), " ").alias("g"), "w").collect()
+    assert [r.g for r in got] == [r.w for r in got]
+
+
+def test_windowed_stream(spark, tmp_path):
+    from quillspark.streaming import reviews
+
+    (tmp_path / "in").mkdir()
+    lines = [{"ts": f"2024-01-01 0{h}:10:00", "kind": k} for h, k in ((1, "a"), (1, "a"), (2, "b"))]
+    (tmp_path / "in" / "x.json").write_text("\n".join(json.dumps(x) for x in lines))
+    stream = spark.readStream.schema("ts timestamp, kind string").json(str(tmp_path / "in"))
+    q = reviews.action_counts(stream, "ts", "kind").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.kind, r.n) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_images_by_name_join_each_row(spark):
+    index = spark.createDataFrame([("x.png", "/a/x.png"), ("y", "/a/y"), ("x", "/a/x")], "name string, path string")
+    rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "z"), (5, None)], "k int, image_id string")
+    assert {r.k: r.image_path for r in readers.find_images(rows, index).collect()} == {1: "/a/x", 2: "/a/x", 3: "/a/y", 4: None, 5: None}
