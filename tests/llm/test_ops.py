@@ -635,6 +635,16 @@ def test_text_that_is_no_prose_is_rejected(spark):
     die Ausgaben für Straßen steigen sollten, während andere Kosten gleich bleiben. Eine kleinere Gruppe wollte zuerst neue Schulen bauen, weil
     die alten am Fluss zu klein sind, seit in der Mühle Wohnungen entstanden. Im Frühjahr wird noch einmal abgestimmt."""
     rows += [(5, prose), (6, german)]
+    rows += [(10 + k, p) for k, p in enumerate((RUSSIAN, POLISH, TURKISH, VIETNAMESE, CHINESE, GREEK))]
+    rows += [(20 + k, soup(sorted({c for c in p.lower() if c.isalpha()}))) for k, p in enumerate((RUSSIAN, POLISH, TURKISH, VIETNAMESE))]
     got = {r.doc_id: r for r in quality.judged(quality.measures(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert not any(r.base_failed for r in got.values())
-    assert {k for k, r in got.items() if r.kept} == {5, 6}
+    assert {k for k, r in got.items() if r.kept} == {5, 6, *range(10, 16)}
+
+
+RUSSIAN = "Комитет собрался в четверг, чтобы обсудить годовой бюджет, и большинство его членов согласилось, что расходы на дороги должны вырасти, а остальные останутся на прежнем уровне ещё на год. Небольшая группа хотела сначала построить новые школы, потому что старые у реки стали тесными с тех пор, как на мельнице сделали квартиры. Весной они проголосуют снова, когда будут известны данные за зиму."
+POLISH = "Komisja zebrała się w czwartek, aby omówić roczny budżet, a większość jej członków zgodziła się, że wydatki na drogi powinny wzrosnąć, podczas gdy inne koszty pozostaną na tym samym poziomie przez kolejny rok. Mniejsza grupa chciała najpierw nowych szkół, ponieważ stare nad rzeką są za małe, odkąd młyn zamieniono na mieszkania."
+TURKISH = "Komite yıllık bütçeyi görüşmek için perşembe günü toplandı ve üyelerin çoğu yol harcamalarının artması, diğer giderlerin ise bir yıl daha aynı düzeyde kalması gerektiği konusunda anlaştı. Daha küçük bir grup önce yeni okullar istedi, çünkü nehir kıyısındaki eski okullar değirmen dairelere dönüştürüldüğünden beri çok küçük kaldı. İlkbaharda kış rakamları belli olunca yeniden oylama yapacaklar."
+VIETNAMESE = "Ủy ban họp vào thứ năm để thảo luận ngân sách hằng năm, và hầu hết các thành viên đồng ý rằng chi tiêu cho đường sá nên tăng trong khi các chi phí khác giữ nguyên thêm một năm nữa. Một nhóm nhỏ hơn muốn xây trường học mới trước, vì những trường cũ gần sông đã quá nhỏ kể từ khi nhà máy xay được chuyển thành căn hộ."
+CHINESE = "委员会 星期四 开会 讨论 年度 预算 大多数 成员 同意 道路 支出 应该 增加 而 其他 费用 再 保持 一年 不变 一个 较小 的 小组 希望 先 建 新 学校 因为 河边 的 旧 学校 自从 磨坊 改成 公寓 以来 已经 太小 了 他们 将 在 春天 再次 投票 那时 冬天 的 数字 就 知道 了"
+GREEK = "Η επιτροπή συνεδρίασε την Πέμπτη για να συζητήσει τον ετήσιο προϋπολογισμό, και τα περισσότερα μέλη συμφώνησαν ότι οι δαπάνες για τους δρόμους πρέπει να αυξηθούν, ενώ τα άλλα έξοδα θα μείνουν στο ίδιο επίπεδο για έναν ακόμη χρόνο. Μια μικρότερη ομάδα ήθελε πρώτα νέα σχολεία, επειδή τα παλιά κοντά στο ποτάμι είναι πολύ μικρά από τότε που ο μύλος έγινε διαμερίσματα."
