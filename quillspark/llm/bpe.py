@@ -53,10 +53,14 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Entries of a table that holds the ids and pieces of its words written out (about 250 bytes each).
+MAX_TOLD = 150_000
+
+
 class Codec:
-    """Encoder and decoder of one worker."""
+    """Encoder and decoder of one worker. `told`: also ids and pieces of each text, written out."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, told: bool = False) -> None:
         tok = load_tokenizer(path)
         model, table, plain = tok.model, str.maketrans({chr(b): c for b, c in byte_characters().items()}), re.compile(f"[{LETTERS}]+").fullmatch
         size = max(tok.get_vocab(with_added_tokens=True).values()) + 1
@@ -76,22 +80,22 @@ class Codec:
                 out[i] = e.ids
             return out
 
-        def told(lists: list[list[int]]) -> list[tuple[str, str]]:
+        def notes(lists: list[list[int]]) -> list[tuple[str, str]]:
             """Ids and pieces of each word, written out."""
             get = self.pieces.__getitem__
             return [(" ".join(map(str, ids)), " ".join(map(get, ids))) for ids in lists]
 
-        self.table = TokenTable(encode)
-        self.told = TokenTable(encode, describe=told)
+        self.told = told
+        self.table = TokenTable(encode, MAX_TOLD, notes) if told else TokenTable(encode)
 
-    def encode(self, texts: list[bytes], told: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list]:
         """(all ids, bounds of each text's ids, (ids, pieces) of each text if told)."""
         words = Block(texts)
         begin, end, at = marks_apart(words.raw, words.begin, words.end)
-        ids, n, notes = (self.told if told else self.table)(words.raw, begin, end)
+        ids, n, notes = self.table(words.raw, begin, end)
         first = at[words.first]
         out = []
-        if told:
+        if self.told:
             for p, q in zip(first[:-1].tolist(), first[1:].tolist()):
                 found = [x for x in notes[p:q] if x[0]]  # a word may have no ids: white space beyond ASCII
                 out.append((" ".join([x[0] for x in found]), " ".join([x[1] for x in found])))
@@ -136,11 +140,11 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_object(("bpe", path), lambda: Codec(path))
+        codec = worker_object(("bpe", path, True), lambda: Codec(path, told=True))
         digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for b in batches:
             for part, texts in text_blocks(b):
-                _, at, told = codec.encode(texts, told=True)
+                _, at, told = codec.encode(texts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array([digest(x) for x, _ in told], pa.string()), pa.array([digest(x) for _, x in told], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

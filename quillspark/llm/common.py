@@ -164,7 +164,10 @@ def map_arrow(df: DataFrame, func: Callable[[Iterator[pa.RecordBatch]], Iterator
     ship_code(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _asked.clear()
         yield from func(batches)
+        if not _asked:  # another kind of stage: what earlier ones kept isn't wanted any more
+            _kept.clear()
         _trim()
 
     return df.mapInArrow(run, schema)
@@ -200,10 +203,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _kept: dict = {}
+_asked: set = set()
 
 
 def worker_object(key: tuple, make: Callable[[], object]) -> object:
-    """An object that a Python worker keeps from task to task, one at a time: tables of encoded words gain from every task."""
+    """An object that a Python worker keeps from task to task, one at a time, until a task asks for another or for none: tables of
+    encoded words gain from every task."""
+    _asked.add(key)
     if key not in _kept:
         _kept.clear()
         _kept[key] = make()

@@ -91,14 +91,14 @@ ODD = ["a", "Bc", "é", "ñz", "×", "÷", " ", "  ", "\n", "\n\n", "\t", "\r\n"
 
 def test_pieces_of_odd_texts_give_the_librarys_ids():
     rng = np.random.default_rng(4)
-    byte, word = token_store.Encoder(token_store.default_path()), bpe.Codec(bpe.default_path())
+    byte, word = token_store.Encoder(token_store.default_path()), bpe.Codec(bpe.default_path(), told=True)
     plain_byte, plain_word = bpe.load_tokenizer(token_store.default_path()), bpe.load_tokenizer(bpe.default_path())
     for _ in range(400):
         texts = ["".join(rng.choice(ODD, rng.integers(0, 14))) for _ in range(rng.integers(1, 6))]
         raw = [t.encode() for t in texts]
         ids, at = byte.encode(raw)
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [plain_byte.encode(t, add_special_tokens=False).ids for t in texts]
-        ids, at, told = word.encode(raw, told=True)
+        ids, at, told = word.encode(raw)
         want = [plain_word.encode(t, add_special_tokens=False).ids for t in texts]
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
         assert told == [(" ".join(map(str, w)), plain_word.decode(w, skip_special_tokens=False)) for w in want]
