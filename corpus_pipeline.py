@@ -8,11 +8,16 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import benchmark_filter, bpe, near_dedup, quality, substring_dedup
-from quillspark.llm.common import drop_tables, write_table, written
+from quillspark.llm.common import BATCH_ROWS, drop_tables, write_table, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +52,28 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _staged(stage: Stage) -> Stage:
+    """The stage in a session of small Arrow batches, where it keeps Spark's default: rows are whole texts, and the result is only
+    computed when it is written. The pipeline is an application with a session of its own; run() puts the setting back."""
+
+    @wraps(stage)
+    def apply(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(ARROW_ROWS) == "10000":
+            spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return apply
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("repeated_passages", repeated_passages),
-    ("benchmark_passages", benchmark_passages),
-    ("bpe_ids", bpe_ids),
+    ("quality_rules", _staged(quality_rules)),
+    ("near_duplicates", _staged(near_duplicates)),
+    ("repeated_passages", _staged(repeated_passages)),
+    ("benchmark_passages", _staged(benchmark_passages)),
+    ("bpe_ids", _staged(bpe_ids)),
 ]
 
 #: Tokeniser measures and BPE ids are beyond SQL.
@@ -61,10 +82,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The encoded documents that are left; of the tables written on the way only the last stays."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, rows = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(ARROW_ROWS)
     for name, stage in STAGES:
         before = set(written(spark))
         out = write_table(spark, stage(spark, docs, sf_dir), name)
         drop_tables(spark, *[t for t in written(spark) if t not in before and t != out._quill_path], *([docs] if hasattr(docs, "_quill_path") else []))
         docs = out
+    spark.conf.set(ARROW_ROWS, rows)
     return docs
