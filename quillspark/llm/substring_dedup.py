@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,10 @@ SHARD_WORDS = 300_000
 HEAVY_RUNS, HEAVY_WORDS, LONG_RUN = 1_000, 150_000, 2_000
 #: Copies of a run from which on they are dealt to several tasks, and the share of all runs that says the same.
 HOT_RUNS, HOT_SHARE = 2_000, 5_000
+#: Windows of a run that are dealt anew at once.
+PIECE = 100_000
+#: Ids that may be broadcast, 8 bytes each; beyond that a shuffled join is used.
+BROADCAST_ROWS = 250_000
 
 
 
@@ -107,30 +112,6 @@ def runs(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.filter("doc_id is not null").select("doc_id", "text"), run, RUN)
 
 
-def finer_runs(docs: DataFrame, coarse: DataFrame, gram: int) -> DataFrame:
-    """The windows of the coarse runs as runs of anchors from longer grams."""
-    lists = coarse.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey")).join(lists, ["doc_id", "tkey"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, texts in text_blocks(b):
-                for key, tkey, text, wanted in zip(part.column("doc_id").to_pylist(), part.column("tkey").to_pylist(), texts, part.column("wanted").to_pylist()):
-                    words = Block([text]).hashes
-                    for w in wanted:
-                        for p in range(0, w["n"], PIECE):
-                            begin = w["start"] + p
-                            cut = words[begin : begin + min(PIECE, w["n"] - p) + WINDOW - 1]
-                            _, start, n, anchor, content = runs_of(cut, np.array([len(cut)]), gram)
-                            yield _run_batch(np.full(len(n), key), np.full(len(n), tkey), begin + start, n, anchor, content)
-
-    return map_arrow(keyed, run, RUN)
-
-
-#: Windows of a run that are dealt anew at once.
-PIECE = 100_000
-
-
 def run_words(docs: DataFrame) -> DataFrame:
     """docs(text, wanted array<struct<anchor, content, least, start, n>>) -> anchor, content, least, words of each wanted run."""
 
@@ -188,40 +169,123 @@ def search(contents: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, spans array<struct<start, n>>: the windows to remove, for the documents that have some."""
     spark = docs.sparkSession
-    limits = HEAVY_RUNS, HEAVY_WORDS, LONG_RUN
-    every, found = write_table(spark, runs(docs), "runs"), []
-    for gram, finer in zip(GRAMS, [*GRAMS[1:], None]):
-        anchors = write_table(spark, every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("copies")).filter("lo < hi").select("anchor", "copies"), "anchors")
-        shared = write_table(spark, join_hot(every, anchors.select("anchor"), ["anchor"], hot_keys(anchors, ["anchor"]), ["doc_id", "start"]), "shared-runs")
-        drop_tables(spark, anchors)
-        drop_tables(spark, every)
-        release(spark)
-        # one row for each distinct run, of its least document
-        distinct = write_table(spark, shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "tkey", "start", "n")).alias("f"), F.count(F.lit(1)).alias("copies")), "distinct-runs")
-        heavy = None
-        if finer:
-            words = F.sum(F.col("f.n").cast("long") + WINDOW - 1)
-            heavy = write_table(spark, distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), words.alias("w"), F.max("f.n").alias("longest")).filter((F.col("c") > limits[0]) | (F.col("w") > limits[1]) | (F.col("longest") > limits[2])).select("anchor"), "heavy-anchors")
-            if heavy.isEmpty():
-                drop_tables(spark, heavy)
-                heavy = None
-        light = (distinct, shared) if heavy is None else tuple(x.join(heavy, "anchor", "left_anti") for x in (distinct, shared))
-        found.append(found_spans(docs, *light))
-        if heavy is not None:
-            every = write_table(spark, finer_runs(docs, shared.join(heavy, "anchor", "left_semi"), finer), "runs")
-            drop_tables(spark, heavy)
-        drop_tables(spark, shared, distinct)
+    every = write_table(spark, runs(docs), "runs")
+    anchors = write_table(spark, every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("copies")).filter("lo < hi").select("anchor", "copies"), "anchors")
+    shared = write_table(spark, join_hot(every, anchors.select("anchor"), ["anchor"], hot_keys(anchors, ["anchor"]), ["doc_id", "start"]), "shared-runs")
+    drop_tables(spark, every, anchors)
+    release(spark)
+    # one row for each distinct run, of its least document
+    distinct = write_table(spark, shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "tkey", "start", "n")).alias("f"), F.count(F.lit(1)).alias("copies")), "distinct-runs")
+    parts = fanout(spark, shared)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
+
+    def words_of(runs: DataFrame, few: bool) -> DataFrame:
+        wanted = runs.groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.tkey").alias("tkey")).agg(F.collect_list(F.struct("anchor", "content", F.col("f.doc_id").alias("least"), F.col("f.start").alias("start"), F.col("f.n").alias("n"))).alias("wanted"))
+        rows = keyed
+        if few:  # texts of few documents: the others stay where they are
+            ids = write_table(spark, wanted.select("doc_id").distinct(), "holders")
+            tables.append(ids)
+            rows = keyed.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+        return run_words(rows.join(wanted, ["doc_id", "tkey"]).select("text", "wanted"))
+
+    tables: list[DataFrame] = []
+    heavy = heavy_anchors(distinct, "anchor", "f.n")
+    light = distinct if heavy is None else distinct.join(heavy, "anchor", "left_anti")
+    found = [searched(words_of(light, False), parts)]
+    release(spark)
+    if heavy is not None:
+        # repeated rows give a run twice
+        contents = write_table(spark, words_of(distinct.join(heavy, "anchor", "left_semi"), True).dropDuplicates(["anchor", "content"]), "heavy-runs")
+        found.append(finer(contents, GRAMS[1:], parts))
+        drop_tables(spark, heavy, contents, *tables)
         release(spark)
-        if heavy is None:
-            break
-    spans = found[0]
-    for more in found[1:]:
-        spans = spans.unionByName(more)
+    least = reduce(DataFrame.unionByName, found)
+    met = join_hot(shared, least, ["anchor", "content"], hot_keys(distinct, ["anchor", "content"]), ["doc_id", "start"]).filter(F.array_min("mins") < F.col("doc_id"))
+    part = F.transform(F.filter(F.sequence(F.lit(0), F.size("mins") - 1), lambda k: F.get("mins", k) < F.col("doc_id")), lambda k: F.struct((F.col("start") + k).alias("start"), F.lit(1).alias("n")))
+    whole = F.array(F.struct(F.col("start").alias("start"), F.col("n").alias("n")))
+    spans = met.select("doc_id", "tkey", F.when(F.array_max("mins") < F.col("doc_id"), whole).otherwise(part).alias("s"))
     out = write_table(spark, spans.groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("s")).alias("spans")), "removals")
-    drop_tables(spark, *found)
+    drop_tables(spark, shared, distinct, *found)
+    release(spark)
     return out
 
 
+def heavy_anchors(distinct: DataFrame, anchor: str, n: str) -> DataFrame | None:
+    """Anchors of distinct(anchor, n) that have more than one index takes; None if there are none."""
+    spark = distinct.sparkSession
+    runs, words, longest = HEAVY_RUNS, HEAVY_WORDS, LONG_RUN
+    per = distinct.groupBy(anchor).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(n).cast("long") + WINDOW - 1).alias("w"), F.max(n).alias("longest"))
+    out = write_table(spark, per.filter((F.col("c") > runs) | (F.col("w") > words) | (F.col("longest") > longest)).select(anchor), "heavy-anchors")
+    if out.isEmpty():
+        drop_tables(spark, out)
+        return None
+    return out
+
+
+def searched(words: DataFrame, parts: int) -> DataFrame:
+    """anchor, content, mins of words(anchor, content, least, words), a written table; repeated rows may give a run twice."""
+    dealt = words.dropDuplicates(["anchor", "content"]).repartition(parts, "anchor").sortWithinPartitions("anchor", "content")
+    return write_table(words.sparkSession, search(dealt), "least-documents")
+
+
+def finer(contents: DataFrame, grams: tuple[int, ...], parts: int) -> DataFrame:
+    """anchor, content, mins of contents(anchor, content, least, words) whose anchors have too many words for an index: their windows are
+    dealt by longer grams, and the least documents of the finer runs are put together again. Works on distinct runs alone,
+    texts aren't read again. With grams as long as a window every anchor has one run."""
+    spark, gram = contents.sparkSession, grams[0]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for anchor, content, least, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "least", "words"))):
+                words = np.frombuffer(raw, U64)
+                for p in range(0, len(words) - WINDOW + 1, PIECE):
+                    cut = words[p : p + PIECE + WINDOW - 1]
+                    _, start, n, a, c = runs_of(cut, np.array([len(cut)]), gram)
+                    same = lambda v: pa.array(np.full(len(n), v), pa.int64())  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same(anchor), same(content), same(least), pa.array(p + start, pa.int32()), pa.array(n, pa.int32()), _signed(a), _signed(c)], names=["anchor", "content", "least", "start", "n", "anchor2", "content2"])
+
+    runs2 = write_table(spark, map_arrow(contents, split, "anchor long, content long, least long, start int, n int, anchor2 long, content2 long"), "finer-runs")
+    distinct = write_table(spark, runs2.groupBy("anchor2", "content2").agg(F.min(F.struct("least", "anchor", "content", "start", "n")).alias("f"), F.count(F.lit(1)).alias("copies")), "distinct-runs")
+    several = distinct.groupBy("anchor2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor2")
+    meet = write_table(spark, distinct.join(several, "anchor2", "left_semi"), "meeting-runs")
+    # the only run of an anchor holds its windows alone
+    alone = distinct.join(several, "anchor2", "left_anti").select("anchor2", "content2", F.array_repeat("f.least", F.col("f.n")).alias("mins"))
+
+    def words_of(rows: DataFrame) -> DataFrame:
+        wanted = rows.groupBy("f.anchor", "f.content").agg(F.collect_list(F.struct("anchor2", "content2", F.col("f.least").alias("least"), F.col("f.start").alias("start"), F.col("f.n").alias("n"))).alias("wanted"))
+        return map_arrow(contents.join(wanted, ["anchor", "content"]).select("words", "wanted"), cut_words, "anchor long, content long, least long, words binary")
+
+    heavy = heavy_anchors(meet, "anchor2", "f.n") if len(grams) > 1 else None
+    named = lambda df: df.select(F.col("anchor").alias("anchor2"), F.col("content").alias("content2"), "mins")
+    found = [searched(words_of(meet if heavy is None else meet.join(heavy, "anchor2", "left_anti")), parts)]
+    if heavy is not None:
+        deeper = write_table(spark, words_of(meet.join(heavy, "anchor2", "left_semi")), "heavy-runs")
+        found.append(finer(deeper, grams[1:], parts))
+        drop_tables(spark, heavy, deeper)
+    mins = reduce(DataFrame.unionByName, [alone, *map(named, found)])
+    met = join_hot(runs2, mins, ["anchor2", "content2"], hot_keys(distinct, ["anchor2", "content2"]), ["content", "start"])
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "mins"))), lambda x: x["mins"]))
+    out = write_table(spark, met.groupBy("anchor", "content").agg(whole.alias("mins")), "least-documents")
+    drop_tables(spark, runs2, distinct, meet, *found)
+    release(spark)
+    return out
+
+
+def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(words, wanted) -> anchor, content, least, words of each wanted run."""
+    for b in batches:
+        for raw, wanted in zip(b.column("words").to_pylist(), b.column("wanted").to_pylist()):
+            words = np.frombuffer(raw, U64)
+            for k in range(0, len(wanted), CUT_ROWS):
+                found = [(w["anchor2"], w["content2"], w["least"], words[w["start"] : w["start"] + w["n"] + WINDOW - 1].tobytes()) for w in wanted[k : k + CUT_ROWS]]
+                anchor, content, least, cut = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(content, pa.int64()), pa.array(least, pa.int64()), pa.array(cut, pa.binary())], names=["anchor", "content", "least", "words"])
+
+
+#: Runs cut out at once.
+CUT_ROWS = 2_000
+
+
 def hot_keys(counted: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with more than HOT_RUNS copies and more than 1 in HOT_SHARE of all, so at most HOT_SHARE of them, with the tasks they are
     dealt to."""
@@ -230,25 +294,6 @@ def hot_keys(counted: DataFrame, keys: list[str]) -> DataFrame:
     return counted.filter(F.col("copies") > per).select(*keys, F.ceil(F.col("copies") / per).cast("int").alias("parts"))
 
 
-def found_spans(docs: DataFrame, distinct: DataFrame, shared: DataFrame) -> DataFrame:
-    """doc_id, tkey, s array<struct<start, n>>: windows of the shared runs that a document of smaller doc_id has."""
-    spark = docs.sparkSession
-    wanted = distinct.groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.tkey").alias("tkey")).agg(F.collect_list(F.struct("anchor", "content", F.col("f.doc_id").alias("least"), F.col("f.start").alias("start"), F.col("f.n").alias("n"))).alias("wanted"))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-    words = run_words(keyed.join(wanted, ["doc_id", "tkey"]).select("text", "wanted"))
-    # repeated rows give a run twice
-    dealt = words.repartition(fanout(spark, shared), "anchor").sortWithinPartitions("anchor", "content")
-    table = write_table(spark, search(dealt), "least-documents")
-    least = table.dropDuplicates(["anchor", "content"])
-    release(spark)
-    met = join_hot(shared, least, ["anchor", "content"], hot_keys(distinct, ["anchor", "content"]), ["doc_id", "start"]).filter(F.array_min("mins") < F.col("doc_id"))
-    part = F.transform(F.filter(F.sequence(F.lit(0), F.size("mins") - 1), lambda k: F.get("mins", k) < F.col("doc_id")), lambda k: F.struct((F.col("start") + k).alias("start"), F.lit(1).alias("n")))
-    whole = F.array(F.struct(F.col("start").alias("start"), F.col("n").alias("n")))
-    out = write_table(spark, met.select("doc_id", "tkey", F.when(F.array_max("mins") < F.col("doc_id"), whole).otherwise(part).alias("s")), "spans")
-    drop_tables(spark, table)
-    return out
-
-
 def _removed(n: int, spans: list[dict]) -> np.ndarray:
     edge = np.zeros(n + 1, np.int32)
     for s in spans:

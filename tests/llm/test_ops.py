@@ -439,7 +439,8 @@ def test_pipeline(spark, docs, tmp_path):
         if n < 50 or 100 * rep > 50 * n:
             continue
         c = np.array(list(Counter(ids).values()))
-        band = quality.BANDS["latin"]
+        marked = 100 * sum(c in "éßñÉÑ" for c in t) / chars
+        band = quality.BANDS["latin_plain" if marked <= 10 else "latin_marked" if marked <= 25 else "latin"]
         ok = band.min_chars_per_token <= chars / len(ids) <= band.max_chars_per_token and -(c / c.sum() * np.log2(c / c.sum())).sum() >= band.min_entropy_bits
         if ok and sum(map(sp.is_byte, ids)) / len(ids) <= band.max_byte_share:
             rows.append((k, t))
