@@ -36,7 +36,7 @@ WINDOW = 50
 GRAMS = (8, 24, WINDOW)
 #: Words of the runs in one index; distinct runs, their words and the windows of one run that an anchor may have.
 SHARD_WORDS = 300_000
-HEAVY_RUNS, HEAVY_WORDS, LONG_RUN = 1_000, 150_000, 2_000
+HEAVY_RUNS, HEAVY_WORDS, LONG_RUN = 5_000, SHARD_WORDS, 2_000
 #: Copies of a run from which on they are dealt to several tasks, and the share of all runs that says the same.
 HOT_RUNS, HOT_SHARE = 2_000, 5_000
 #: Windows of a run that are dealt anew at once.
