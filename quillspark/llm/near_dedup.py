@@ -14,8 +14,8 @@ shingle incidence; only the links that join components leave the task. So a grou
 order, not m * m pairs.
 
 Pairs with a common prefix of DEPTH values that a deeper region, a cut by count or a border of range partitions parts are
-settled exactly (see settled): the classes of such prefixes that still are of several components meet through their
-rarest shingles, without a limit on how many they are.
+settled exactly: such a prefix of few classes is one region more; the classes of the others that still are of several
+components meet through their rarest shingles, without a limit on how many they are (see settled).
 
 Empty and null texts have empty sets and are linked with nothing; texts of fewer words than a shingle are one shingle;
 equal texts and repeated rows are one class; equal doc_ids of different texts are separate members; rows with a null doc_id
@@ -188,7 +188,7 @@ def cut_regions(prefix: np.ndarray, size: np.ndarray, sparse: int = SPARSE_MEMBE
 
 
 def regions(sorted_rows: DataFrame) -> DataFrame:
-    """region, nid, prev (the neighbour before it), shared (values of their common prefix), run: the members of all regions of
+    """region, nid, prev (the neighbour before it), shared (values of their common prefix), run, n_shingles: the members of all regions of
     two or more, and all whose prefix of DEPTH values may be in several regions: it was parted, or is the first or last
     here. Those have that prefix as `run`."""
     limits = SPARSE_MEMBERS, REGION_MEMBERS, REGION_SHINGLES  # workers take them from the driver
@@ -217,7 +217,7 @@ def regions(sorted_rows: DataFrame) -> DataFrame:
             prev, known = np.zeros(len(nid), np.int64), np.zeros(len(nid), bool)
             prev[has], known[has] = nid[has - 1], True
             run = mix64(key.view(U64) + mix64(s1.view(U64) >> U64(32))).view(np.int64)
-            out = pa.RecordBatch.from_arrays([pa.array((part << 40) + names + region), pa.array(nid), pa.array(prev, mask=~known), pa.array(prefix), pa.array(run, mask=~parted)], names=["region", "nid", "prev", "shared", "run"])
+            out = pa.RecordBatch.from_arrays([pa.array((part << 40) + names + region), pa.array(nid), pa.array(prev, mask=~known), pa.array(prefix), pa.array(run, mask=~parted), pa.array(size)], names=["region", "nid", "prev", "shared", "run", "n_shingles"])
             names += int(region[-1]) + 1
             return out.filter(pa.array(wanted))
 
@@ -238,7 +238,7 @@ def regions(sorted_rows: DataFrame) -> DataFrame:
         if rest is not None:
             yield close(rest, True)
 
-    return map_arrow(sorted_rows, run, "region long, nid long, prev long, shared long, run long")
+    return map_arrow(sorted_rows, run, "region long, nid long, prev long, shared long, run long, n_shingles long")
 
 
 # --------------------------------------------------------------------------- links
@@ -376,7 +376,12 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     first = components(pairs.filter(linked(both, F.size("sa"), F.size("sb"))).select("a", "b"))
     release(spark)
     # regions that still hold several components, once for equal members
-    named = write_table(spark, member.select("region", "nid").join(first.withColumnRenamed("node", "nid"), "nid", "left").select("region", "nid", F.coalesce("root", "nid").alias("comp")), "named")
+    # prefixes in several regions that are small enough are regions of their own
+    totals = member.filter("run is not null").groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"), F.min("region").alias("r1"), F.max("region").alias("r2")).filter("r1 <> r2")
+    fits = (F.col("n") <= REGION_MEMBERS) & (F.col("s") <= REGION_SHINGLES)
+    totals = write_table(spark, totals.select("run", fits.alias("fits")), "parted-runs")
+    again = member.filter("run is not null").join(totals.filter("fits").select("run"), "run").select(F.col("run").alias("region"), "nid")
+    named = write_table(spark, member.select("region", "nid").unionByName(again).join(first.withColumnRenamed("node", "nid"), "nid", "left").select("region", "nid", F.coalesce("root", "nid").alias("comp")), "named")
     per = named.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("nid")).alias("h1"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "nid"), 16)).alias("h2"), F.count(F.lit(1)).alias("n"))
     open_regions = per.filter("lo <> hi").groupBy("h1", "h2", "n").agg(F.min("region").alias("region")).select("region")
     members = named.join(open_regions, "region").join(sets, "nid").select("region", "nid", "comp", "shingles")
@@ -386,15 +391,15 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     second = components(joins)
     # classes of the first components, with those that only the second step joined
     out = write_table(spark, joined_up(first, second), "class-roots")
-    # keys of several regions that still hold several components
-    runs = member.filter("run is not null").select("run", "region", "nid").join(out.withColumnRenamed("node", "nid"), "nid", "left").select("run", "region", "nid", F.coalesce("root", "nid").alias("comp"))
+    # large prefixes of several regions that still hold several components
+    runs = member.filter("run is not null").join(totals.filter("not fits").select("run"), "run").select("run", "region", "nid").join(out.withColumnRenamed("node", "nid"), "nid", "left").select("run", "region", "nid", F.coalesce("root", "nid").alias("comp"))
     split = runs.groupBy("run").agg(F.min("region").alias("r1"), F.max("region").alias("r2"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("r1 <> r2 and c1 <> c2").select("run")
     parted = write_table(spark, runs.join(split, "run", "left_semi").select("nid", "comp").distinct(), "parted")
     if not parted.isEmpty():
         across = settled(parted, sets)
         before, out = out, write_table(spark, joined_up(out, components(across)), "class-roots")
         drop_tables(spark, before, across)
-    drop_tables(spark, member, wanted, sets, named, joins, parted)
+    drop_tables(spark, member, wanted, sets, named, joins, parted, totals)
     release(spark)
     return out
 
