@@ -199,7 +199,7 @@ def removals(docs: DataFrame) -> DataFrame:
         found.append(finer(contents, GRAMS[1:], parts))
         drop_tables(spark, heavy, contents, *tables)
         release(spark)
-    least = reduce(DataFrame.unionByName, found)
+    least = reduce(DataFrame.unionByName, found).dropDuplicates(["anchor", "content"])  # repeated rows give a run twice
     met = join_hot(shared, least, ["anchor", "content"], hot_keys(distinct, ["anchor", "content"]), ["doc_id", "start"]).filter(F.array_min("mins") < F.col("doc_id"))
     part = F.transform(F.filter(F.sequence(F.lit(0), F.size("mins") - 1), lambda k: F.get("mins", k) < F.col("doc_id")), lambda k: F.struct((F.col("start") + k).alias("start"), F.lit(1).alias("n")))
     whole = F.array(F.struct(F.col("start").alias("start"), F.col("n").alias("n")))
@@ -223,8 +223,8 @@ def heavy_anchors(distinct: DataFrame, anchor: str, n: str) -> DataFrame | None:
 
 
 def searched(words: DataFrame, parts: int) -> DataFrame:
-    """anchor, content, mins of words(anchor, content, least, words), a written table; repeated rows may give a run twice."""
-    dealt = words.dropDuplicates(["anchor", "content"]).repartition(parts, "anchor").sortWithinPartitions("anchor", "content")
+    """anchor, content, mins of words(anchor, content, least, words), a written table; a run that is there twice is told twice."""
+    dealt = words.repartition(parts, "anchor").sortWithinPartitions("anchor", "content")
     return write_table(words.sparkSession, search(dealt), "least-documents")
 
 
