@@ -256,7 +256,7 @@ def links_in(nid: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> list[
     shared = count[column] > 1  # a shingle of one member adds to no intersection
     number = np.cumsum(count > 1) - 1
     owner, column = owner[shared], number[column[shared]]
-    inter = np.zeros((n, n), np.float32)
+    inter = np.zeros((n, n))
     wide = int((count > 1).sum())
     step = max(256, (8 << 20) // max(n, 1))
     order = np.argsort(column, kind="stable")
@@ -266,7 +266,6 @@ def links_in(nid: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> list[
         m = np.zeros((n, min(step, wide - c)), np.float32)
         m[owner[i:j], column[i:j] - c] = 1
         inter += m @ m.T
-    good = np.triu(100 * inter >= PERCENT * (size[:, None] + size[None, :] - inter), 1) & (comp[:, None] != comp[None, :])
     root = {int(c): int(c) for c in comp}
 
     def find(x: int) -> int:
@@ -276,11 +275,14 @@ def links_in(nid: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> list[
         return x
 
     out = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(good))):
-        a, b = find(int(comp[i])), find(int(comp[j]))
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((int(comp[i]), int(comp[j])))
+    for at in range(0, n, 256):
+        both = inter[at : at + 256].astype(np.int64)
+        good = np.triu(100 * both >= PERCENT * (size[at : at + 256, None] + size - both), at + 1) & (comp[at : at + 256, None] != comp)
+        for i, j in zip(*(x.tolist() for x in np.nonzero(good))):
+            a, b = find(int(comp[at + i])), find(int(comp[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(comp[at + i]), int(comp[j])))
     return out
 
 
@@ -372,7 +374,7 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     either = seen.unionByName(seen.select(F.col("y").alias("x"), F.col("x").alias("y"), "c"))
     best = either.groupBy("x").agg(F.max(F.struct("c", "y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).filter("a <> b").distinct()
     pairs = best.join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
+    both = F.size(F.array_intersect("sa", "sb")).cast("long")
     first = components(pairs.filter(linked(both, F.size("sa"), F.size("sb"))).select("a", "b"))
     release(spark)
     # regions that still hold several components, once for equal members

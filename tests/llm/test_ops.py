@@ -580,6 +580,14 @@ def test_pairs_parted_by_cuts_are_found(spark, monkeypatch):
     assert near_kept(spark, rows) == brute_kept(rows)
 
 
+def test_links_of_very_large_sets_are_exact():
+    """Intersections times 100 that single precision can't tell apart."""
+    a, b = np.arange(816_672, dtype=np.uint64), np.arange(116_667, 933_340, dtype=np.uint64)
+    ids = np.array([1, 2])
+    assert near_dedup.links_in(ids, ids, [a, b]) == [(1, 2)]
+    assert near_dedup.links_in(ids, ids, [a, b[1:]]) == []
+
+
 def test_long_near_copies_stay_together(spark):
     # three sets of 800,000 shingles are more than a region may hold
     rng = np.random.default_rng(5)
