@@ -310,6 +310,8 @@ def _read(raw: bytes, clusters: bool) -> Media:
                     _TABLES[k](out, raw, a, b)
                 elif k == CLUSTER and clusters:
                     _cluster(out, raw, place, a, b)
+        if not out.segment:
+            raise Damage(len(raw))
     except Damage as e:
         out.damage = int(e.args[0])
     return out
