@@ -252,8 +252,10 @@ class Encoder:
     """Ids of one worker's texts: every distinct piece is encoded once. Plain words, with the space before them, are one
     pre-token and go to the library's BPE model; any other piece goes through its whole pipeline."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = True) -> None:
+        """special: strings of special tokens inside texts are those tokens; else they are plain text."""
         tok = load_tokenizer(path)
+        tok.encode_special_tokens = not special
         self.vocab = tok.get_vocab_size(with_added_tokens=True)
         model, written = tok.model, {chr(b): c for b, c in byte_characters().items()}
         plain, table, space = re.compile(f" ?[{LATIN}]+").fullmatch, str.maketrans(written), written[" "]
