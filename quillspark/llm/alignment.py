@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import quality, token_store
 from .bpe import byte_characters, load_tokenizer
-from .common import TokenTable, bounds, documents, drop_tables, fanout, join_hot, map_arrow, open_folder, release, small_batches, text_blocks, text_key, worker_object, write_table
+from .common import TokenTable, bounds, documents, fanout, join_hot, map_arrow, open_folder, release, small_batches, text_blocks, text_key, worker_object, write_table
 
 #: Tokens of one event block.
 BLOCK_TOKENS = 1 << 16

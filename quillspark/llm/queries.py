@@ -16,6 +16,7 @@ MODULES = {
     "op8_fertility_quality": "quality",
     "op9_token_store": "token_store",
     "op10_label_sharding": "sharding",
+    "op11_lexical_search": "lexical_search",
     "op12_token_alignment": "alignment",
     "op13_matroska_media": "matroska",
 }
