@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as pads
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ FLUSH_TOKENS = 1 << 17
 MAX_PAIRS = 4_000_000
 #: Distinct pairs and links that a task sums up before it merges them.
 MERGE_PAIRS = 1_000_000
+#: Slices of B ids, each of whose pairs are summed by one task.
+SLICES = 256
 #: A pair of more than a share of 1 in so many links is dealt to several tasks.
 HOT_SHARE = 1000
 #: U+2581, which stands for a space in pieces.
@@ -378,12 +381,28 @@ def align(a: DataFrame, b: DataFrame, sizes: tuple[int, int]) -> DataFrame:
     return alignments(cut(a, 0).unionByName(cut(b, 1)), sizes)
 
 
-def pair_counts(aligned: DataFrame, size_b: int) -> DataFrame:
-    """pair, n (links corpus-wide that hold it) and best (no pair of its B id has more)."""
+SUMS = "slice int, pairs array<long>, n array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _packed(number: int, *values: np.ndarray) -> list[pa.Array]:
+    return [pa.array([number], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in values)]
+
+
+def pair_counts(aligned: DataFrame, size_b: int) -> DataFrame:
+    """A row for each slice of B ids: its pairs in order, n (links corpus-wide that hold each) and best (no pair of the same B id has
+    more). Tasks pass on their own sums, an array for each slice; a slice's pairs are bounded by the vocabularies."""
+
+    def told(pairs: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        k, n = _merged(pairs, counts)
+        number = k % size_b % SLICES
+        order = np.argsort(number, kind="stable")
+        first = np.searchsorted(number[order], np.arange(SLICES + 1)).tolist()
+        for i, (p, q) in enumerate(zip(first[:-1], first[1:])):
+            if q > p:
+                yield pa.RecordBatch.from_arrays(_packed(i, k[order[p:q]], n[order[p:q]]), names=["slice", "pairs", "n"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, counts, held = [], [], 0
-        told = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _merged(pairs, counts)], names=["pair", "n"])
         for b in batches:
             lists, weight = b.column("pairs"), np.repeat(b.column("copies").to_numpy(), b.column("pairs").value_lengths().to_numpy())
             pairs.append(lists.flatten().to_numpy())
@@ -393,14 +412,37 @@ def pair_counts(aligned: DataFrame, size_b: int) -> DataFrame:
                 k, c = _merged(pairs, counts)
                 pairs, counts, held = [k], [c], 0
                 if len(k) > MERGE_PAIRS:
-                    yield told()
+                    yield from told(pairs, counts)
                     pairs, counts = [], []
         if pairs:
-            yield told()
+            yield from told(pairs, counts)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pairs, counts = None, [], []
+
+        def out() -> pa.RecordBatch:
+            k, n = _merged(pairs, counts)
+            b = k % size_b
+            most = np.zeros(size_b, np.int64)
+            np.maximum.at(most, b, n)
+            return pa.RecordBatch.from_arrays(_packed(at, k, n, n == most[b]), names=["slice", "pairs", "n", "best"])
+
+        for b in batches:
+            for i, number in enumerate(b.column("slice").to_pylist()):
+                if number != at:
+                    if pairs:
+                        yield out()
+                    at, pairs, counts = number, [], []
+                pairs.append(b.column("pairs")[i].values.to_numpy())
+                counts.append(b.column("n")[i].values.to_numpy())
+                if len(pairs) > 64:
+                    k, n = _merged(pairs, counts)
+                    pairs, counts = [k], [n]
+        if pairs:
+            yield out()
 
-    summed = map_arrow(aligned.select("copies", "pairs", "links"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    most = summed.groupBy((F.col("pair") % size_b).alias("b")).agg(F.max("n").alias("most"))
-    return summed.join(most, F.col("pair") % size_b == F.col("b")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
+    sums = map_arrow(aligned.select("copies", "pairs", "links"), summed, SUMS)
+    return map_arrow(sums.repartition(SLICES, "slice").sortWithinPartitions("slice"), merged, SUMS + ", best array<boolean>")
 
 
 class Lookup:
@@ -408,10 +450,10 @@ class Lookup:
 
     def __init__(self, root: str) -> None:
         fs, folder = open_folder(root)
-        table = pads.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["pair", "n", "best"])
-        pair = table["pair"].to_numpy()
+        table = pads.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["pairs", "n", "best"])
+        pair, n, best = (pc.list_flatten(table[c]).to_numpy() for c in ("pairs", "n", "best"))
         order = np.argsort(pair)
-        self.pair, self.n, self.best = pair[order], table["n"].to_numpy()[order], table["best"].to_numpy()[order]
+        self.pair, self.n, self.best = pair[order], n[order], best[order]
 
 
 def _told(aligned: DataFrame, root: str) -> DataFrame:
@@ -433,6 +475,7 @@ def _told(aligned: DataFrame, root: str) -> DataFrame:
 
 def _joined(aligned: DataFrame, counts: DataFrame) -> DataFrame:
     """The same by a join: pairs of a large share of all links are dealt to several tasks."""
+    counts = counts.select(F.explode(F.arrays_zip("pairs", "n", "best")).alias("x")).select(F.col("x.pairs").alias("pair"), "x.n", "x.best")
     rows = aligned.withColumn("_row", F.monotonically_increasing_id())
     each = rows.select("_row", F.explode(F.arrays_zip("pairs", "links")).alias("x")).select("_row", F.col("x.pairs").alias("pair"), F.col("x.links").alias("links"))
     total = counts.agg(F.sum("n").alias("total"))
@@ -453,7 +496,8 @@ def alignment(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
         aligned = write_table(spark, alignments(token_events(docs, path_a, path_b), sizes, dealt=False), "aligned")
         counts = write_table(spark, pair_counts(aligned, sizes[1]), "pairs")
     release(spark)
-    return _told(aligned, counts._quill_path) if counts.count() <= MAX_PAIRS else _joined(aligned, counts)
+    n_pairs = counts.agg(F.sum(F.size("pairs"))).first()[0] or 0
+    return _told(aligned, counts._quill_path) if n_pairs <= MAX_PAIRS else _joined(aligned, counts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
