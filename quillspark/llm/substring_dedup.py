@@ -3,10 +3,12 @@
 A window is WINDOW consecutive words; every word of a window that also starts in a document of smaller doc_id goes. Text is
 dealt to index shards by content: the least hash among the grams of a window (of GRAMS[0] words) is its anchor, and a run is a
 maximal row of windows of one anchor. Equal windows have equal anchors, so they meet in one shard, and anchors of one
-document alone (most of all text) leave before anything is indexed. Each shard indexes the distinct runs of its anchors
-(see fm_index) and streams the runs of the documents through by backward search: the matching statistics say where a
-match reaches WINDOW words, and its interval of rows gives the least doc_id that holds the window. Copies of a run,
-thousands of them or a third of the corpus, are one run.
+document alone (most of all text) leave before anything is indexed, and so do runs that no other run shares an anchor with: their
+copies have one least document. Each shard indexes runs of earlier documents (see fm_index) and streams the runs of later
+ones through by backward search: the matching statistics say where a match reaches WINDOW words, and its interval of rows gives
+the least doc_id that holds the window. No run is searched in an index that holds it: the runs of an anchor are numbered
+in order of their least documents, and for each binary digit of the numbers those with a 1 are streamed through an index of
+those with a 0, so each run meets every earlier one. Copies of a run, thousands of them or a third of the corpus, are one run.
 
 An index takes a bounded number of words. Where an anchor has more (a passage edited in ever so many ways, one word
 repeated for ever), its windows are dealt anew by longer grams, at last by themselves: then an anchor is one window.
@@ -138,6 +140,27 @@ def run_words(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "anchor long, content long, least long, words binary")
 
 
+def least_documents(anchors: list[int], least: list[int], streams: list[np.ndarray]) -> list[np.ndarray]:
+    """The least document that holds each window of each run, among the runs of the same anchor. A digit of the runs' numbers at a time,
+    runs are streamed through an index of earlier ones."""
+    order = sorted(range(len(streams)), key=lambda k: (anchors[k], least[k]))
+    mins = [np.full(len(s) - WINDOW + 1, v, np.int64) for s, v in zip(streams, least)]
+    number, size, first = {}, {}, 0
+    for i, k in enumerate(order):
+        if anchors[k] != anchors[order[first]]:
+            first = i
+        number[k] = i - first
+        size[anchors[k]] = i - first + 1
+    for digit in range((max(size.values()) - 1).bit_length()):
+        several = [k for k in order if size[anchors[k]] > 1 << digit]
+        held = [k for k in several if not number[k] >> digit & 1]
+        asked = [k for k in several if number[k] >> digit & 1]
+        index = FMIndex([streams[k] for k in held], np.array([least[k] for k in held], np.int64), WINDOW)
+        for k, found in zip(asked, index.least_values([streams[k] for k in asked])):
+            np.minimum(mins[k], found, out=mins[k])
+    return mins
+
+
 def search(contents: DataFrame) -> DataFrame:
     """contents(anchor, content, least, words), sorted by anchor in each partition -> anchor, content, mins: least doc_id of each window."""
 
@@ -146,10 +169,8 @@ def search(contents: DataFrame) -> DataFrame:
         size, last = 0, None
 
         def close() -> pa.RecordBatch:
-            streams = [h[3] for h in held]
-            mins = FMIndex(streams, np.array([h[2] for h in held], np.int64), WINDOW).least_values(streams)
-            flat = np.concatenate(mins)
-            lists = pa.ListArray.from_arrays(pa.array(bounds([len(m) for m in mins]), pa.int32()), pa.array(flat, pa.int64()))
+            mins = least_documents([h[0] for h in held], [h[2] for h in held], [h[3] for h in held])
+            lists = pa.ListArray.from_arrays(pa.array(bounds([len(m) for m in mins]), pa.int32()), pa.array(np.concatenate(mins), pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), lists], names=["anchor", "content", "mins"])
 
         for b in batches:
@@ -189,33 +210,41 @@ def removals(docs: DataFrame) -> DataFrame:
         return run_words(rows.join(wanted, ["doc_id", "tkey"]).select("text", "wanted"))
 
     tables: list[DataFrame] = []
-    heavy = heavy_anchors(distinct, "anchor", "f.n")
-    light = distinct if heavy is None else distinct.join(heavy, "anchor", "left_anti")
-    found = [searched(words_of(light, False), parts)]
+    several = write_table(spark, sizes_of(distinct, "anchor", "f.n"), "anchor-sizes")
+    heavy = several.filter("heavy").select("anchor")
+    heavy = None if heavy.isEmpty() else heavy
+    # the only run of an anchor: all its windows have one least document, told once
+    alone = distinct.join(several, "anchor", "left_anti").select("anchor", "content", F.array("f.doc_id").alias("mins"))
+    found = [searched(words_of(distinct.join(several.filter("not heavy"), "anchor", "left_semi"), True), parts)]
     release(spark)
     if heavy is not None:
         # repeated rows give a run twice
         contents = write_table(spark, words_of(distinct.join(heavy, "anchor", "left_semi"), True).dropDuplicates(["anchor", "content"]), "heavy-runs")
         found.append(finer(contents, GRAMS[1:], parts))
-        drop_tables(spark, heavy, contents, *tables)
+        drop_tables(spark, contents)
         release(spark)
-    least = reduce(DataFrame.unionByName, found).dropDuplicates(["anchor", "content"])  # repeated rows give a run twice
+    told = reduce(DataFrame.unionByName, found).select("anchor", "content", F.when(F.array_min("mins") == F.array_max("mins"), F.array(F.array_min("mins"))).otherwise(F.col("mins")).alias("mins"))
+    least = told.unionByName(alone).dropDuplicates(["anchor", "content"])  # repeated rows give a run twice
     met = join_hot(shared, least, ["anchor", "content"], hot_keys(distinct, ["anchor", "content"]), ["doc_id", "start"]).filter(F.array_min("mins") < F.col("doc_id"))
     part = F.transform(F.filter(F.sequence(F.lit(0), F.size("mins") - 1), lambda k: F.get("mins", k) < F.col("doc_id")), lambda k: F.struct((F.col("start") + k).alias("start"), F.lit(1).alias("n")))
     whole = F.array(F.struct(F.col("start").alias("start"), F.col("n").alias("n")))
     spans = met.select("doc_id", "tkey", F.when(F.array_max("mins") < F.col("doc_id"), whole).otherwise(part).alias("s"))
     out = write_table(spark, spans.groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("s")).alias("spans")), "removals")
-    drop_tables(spark, shared, distinct, *found)
+    drop_tables(spark, shared, distinct, several, *found, *tables)
     release(spark)
     return out
 
 
+def sizes_of(distinct: DataFrame, anchor: str, n: str) -> DataFrame:
+    """Anchors of distinct(anchor, n) with more than one run, and whether they have more than one index takes (heavy)."""
+    per = distinct.groupBy(anchor).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(n).cast("long") + WINDOW - 1).alias("w"), F.max(n).alias("longest"))
+    return per.filter("c > 1").select(anchor, ((F.col("c") > HEAVY_RUNS) | (F.col("w") > HEAVY_WORDS) | (F.col("longest") > LONG_RUN)).alias("heavy"))
+
+
 def heavy_anchors(distinct: DataFrame, anchor: str, n: str) -> DataFrame | None:
-    """Anchors of distinct(anchor, n) that have more than one index takes; None if there are none."""
+    """The heavy anchors of distinct(anchor, n); None if there are none."""
     spark = distinct.sparkSession
-    runs, words, longest = HEAVY_RUNS, HEAVY_WORDS, LONG_RUN
-    per = distinct.groupBy(anchor).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(n).cast("long") + WINDOW - 1).alias("w"), F.max(n).alias("longest"))
-    out = write_table(spark, per.filter((F.col("c") > runs) | (F.col("w") > words) | (F.col("longest") > longest)).select(anchor), "heavy-anchors")
+    out = write_table(spark, sizes_of(distinct, anchor, n).filter("heavy").select(anchor), "heavy-anchors")
     if out.isEmpty():
         drop_tables(spark, out)
         return None

@@ -183,6 +183,45 @@ def test_passage_edited_in_many_ways(spark, monkeypatch):
     assert plain(substring_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed").collect()) == plain(want)
 
 
+def test_runs_are_searched_in_indexes_without_them(monkeypatch):
+    """Edited copies of passages under several anchors: least documents by brute force; no index holds a run that is streamed through it,
+    matches end short of a window, and are shortened on the way."""
+    rng = np.random.default_rng(8)
+    runs = []
+    for anchor in range(6):
+        base = rng.integers(0, 1 << 60, 130).astype(np.uint64)
+        for k in range(int(rng.integers(1, 12))):
+            own = base.copy()
+            own[rng.integers(0, 130, k % 4)] += np.uint64(1 + k)
+            cut = int(rng.integers(0, 40))
+            runs.append((anchor, int(rng.integers(0, 30)), own[cut : cut + int(rng.integers(50, 91))]))
+    rng.shuffle(runs)
+    streams = [np.asarray(r[2], np.uint64) for r in runs]
+    searched, statistics, shortened = [], [], []
+    least, at_depth = FMIndex.least_values, FMIndex._at_depth
+
+    def spy(index, queries):
+        searched.append(({q.tobytes() for q in index.held}, [q.tobytes() for q in queries]))
+        statistics.extend(np.concatenate(index.match_lengths(queries)).tolist())
+        return least(index, queries)
+
+    build = FMIndex.__init__
+    monkeypatch.setattr(FMIndex, "__init__", lambda self, sequences, *a: (setattr(self, "held", sequences), build(self, sequences, *a))[1])
+    monkeypatch.setattr(FMIndex, "least_values", spy)
+    monkeypatch.setattr(FMIndex, "_at_depth", lambda *a: (shortened.append(1), at_depth(*a))[1])
+    got = substring_dedup.least_documents([int(r[0]) for r in runs], [int(r[1]) for r in runs], streams)
+    first: dict = {}
+    for (a, d, _), w in zip(runs, streams):
+        for i in range(len(w) - 49):
+            g = (a, w[i : i + 50].tobytes())
+            first[g] = min(int(d), first.get(g, 99))
+    for (a, d, _), w, m in zip(runs, streams, got):
+        want = [first[a, w[i : i + 50].tobytes()] for i in range(len(w) - 49)]
+        assert [min(x, int(d)) for x in m.tolist()] == [x if x < d else int(d) for x in want]
+    assert searched and all(not held & set(queries) or len(queries) > len(set(queries)) for held, queries in searched)
+    assert any(x < 50 for x in statistics) and any(x == 50 for x in statistics) and shortened
+
+
 def test_fm_index_matches_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(40):
