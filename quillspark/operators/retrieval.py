@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 
 from quillspark.functions.text import folded_tokens
 from quillspark.functions.vectors import dot
+from quillspark.storage import stored
 
-#: Queries and index rows of one block of a dense search: what a task holds, whatever their numbers.
-QUERY_BLOCK, INDEX_BLOCK = 2048, 16_384
+#: Queries and index rows of one block of a dense search: what a task holds, whatever their numbers; queries that are scored at once
+#: (with a block, 33 MB); pivots, which the driver holds.
+QUERY_BLOCK, INDEX_BLOCK, QUERY_ROWS, MAX_PIVOTS = 2048, 16_384, 256, 4096
 #: Service bounds of k.
 DEFAULT_K, MAX_K = 5, 50
 
@@ -59,6 +61,73 @@ def sparse_scores(queries: DataFrame, index: DataFrame, query: str, doc: str) ->
     return q.join(d, "term").groupBy(query, doc).agg(F.sum(F.col("_q") * F.col("_d")).alias("score"))
 
 
+#: Index rows of a block of postings; terms of a query whose best documents give its floor.
+POSTING_BLOCK, SEED_TERMS = 4096, 4
+#: Scores are compared to six digits, so a document this much below another may still tie with it.
+TIE = 1.1e-6
+
+
+def postings(index: DataFrame, doc: str, n_docs: int) -> DataFrame:
+    """doc, term, w of an index with the block that a document is dealt to."""
+    return index.withColumn("block", F.pmod(F.xxhash64(doc), F.lit(max(1, -(-n_docs // POSTING_BLOCK)))).cast("int"))
+
+
+def block_maxima(index: DataFrame) -> DataFrame:
+    """term, block, high: the greatest weight of a term among the documents of a block."""
+    return index.groupBy("term", "block").agg(F.max("w").alias("high"))
+
+
+def floors(queries: DataFrame, index: DataFrame, maxima: DataFrame, query: str, doc: str, k: int, exclude_same: bool = False) -> DataFrame:
+    """query, floor: the k-th best score among the best documents of the query's strongest terms, so no k-th best is below it; 0 where
+    these are fewer."""
+    high = maxima.groupBy("term").agg(F.max("high").alias("high"))
+    strong = Window.partitionBy(query).orderBy(F.desc(F.col("w") * F.col("high")), "term")
+    asked = queries.join(high, "term").withColumn("_n", F.row_number().over(strong)).filter(F.col("_n") <= SEED_TERMS).select(query, "term")
+    best = Window.partitionBy("term").orderBy(F.desc("w"), doc)
+    champions = index.join(asked.select("term").distinct(), "term", "left_semi").withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + int(exclude_same)).select("term", doc)
+    seeds = asked.join(champions, "term").select(query, doc).distinct()
+    if exclude_same:
+        seeds = seeds.filter(F.col(query) != F.col(doc))
+    scores = seeds.join(index.select(doc, "term", F.col("w").alias("_d")), doc).join(queries.select(query, "term", F.col("w").alias("_q")), [query, "term"]).groupBy(query, doc).agg(F.sum(F.col("_q") * F.col("_d")).alias("score"))
+    kth = scores.withColumn("_n", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score")))).filter(F.col("_n") == k).select(query, F.col("score").alias("floor"))
+    return queries.select(query).distinct().join(kth, query, "left").select(query, F.coalesce("floor", F.lit(0.0)).alias("floor"))
+
+
+def needed_terms(queries: DataFrame, maxima: DataFrame, floor: DataFrame, query: str) -> DataFrame:
+    """query, block, term, w, needed, rest, floor for the blocks whose summed maxima reach the query's floor. The terms of the least
+    maxima that together stay below the floor aren't needed to find a document: one that has no other can't be among the best.
+    rest: what they add at most."""
+    both = queries.select(query, "term", "w").join(maxima, "term").withColumn("_u", F.col("w") * F.col("high"))
+    per = Window.partitionBy(query, "block")
+    held = both.withColumn("_sum", F.sum("_u").over(per)).withColumn("_upto", F.sum("_u").over(per.orderBy("_u", "term").rowsBetween(Window.unboundedPreceding, 0)))
+    kept = held.join(floor, query).filter(F.col("_sum") >= F.col("floor") - TIE)
+    needed = F.col("_upto") >= F.col("floor") - TIE
+    return kept.withColumn("needed", needed).withColumn("rest", F.coalesce(F.max(F.when(~needed, F.col("_upto"))).over(per), F.lit(0.0))).select(query, "block", "term", "w", "needed", "rest", "floor")
+
+
+def candidates(needed: DataFrame, index: DataFrame, query: str, doc: str) -> DataFrame:
+    """query, block, doc, part: documents with a needed term, and their score over the needed terms, where that and the rest reach the
+    floor. The join is by term and block, so a term of most documents goes over many tasks."""
+    q = needed.filter("needed").select(query, "block", "term", F.col("w").alias("_q"), "rest", "floor")
+    met = q.join(index.select(doc, "block", "term", F.col("w").alias("_d")), ["block", "term"])
+    per = met.groupBy(query, "block", doc).agg(F.sum(F.col("_q") * F.col("_d")).alias("part"), F.first("rest").alias("rest"), F.first("floor").alias("floor"))
+    return per.filter(F.col("part") + F.col("rest") >= F.col("floor") - TIE).select(query, "block", doc, "part")
+
+
+def pruned_scores(queries: DataFrame, index: DataFrame, query: str, doc: str, k: int, n_docs: int, exclude_same: bool = False) -> DataFrame:
+    """query, doc, score as sparse_scores() for all documents that may be among the k best of a query, without the product of all
+    postings: maxima by block bound what a document can reach."""
+    index = postings(index, doc, n_docs)
+    maxima = block_maxima(index)
+    needed = needed_terms(queries, maxima, floors(queries, index, maxima, query, doc, k, exclude_same), query)
+    found = candidates(needed, index, query, doc)
+    if exclude_same:
+        found = found.filter(F.col(query) != F.col(doc))
+    others = needed.filter("not needed").select(query, "block", "term", F.col("w").alias("_q"))
+    more = found.select(query, "block", doc).join(others, [query, "block"]).join(index.select(doc, "term", F.col("w").alias("_d")), [doc, "term"]).groupBy(query, doc).agg(F.sum(F.col("_q") * F.col("_d")).alias("_more"))
+    return found.join(more, [query, doc], "left").select(query, doc, (F.col("part") + F.coalesce("_more", F.lit(0.0))).alias("score"))
+
+
 def top_k(scores: DataFrame, query: str, doc: str, k: int, score: str = "score", digits: int | None = 6) -> DataFrame:
     """k best per query by (rounded) score, then least doc; rank from 1."""
     ranked = scores.withColumn(score, F.round(score, digits)) if digits is not None else scores
@@ -89,44 +158,125 @@ def fill_up(hits: DataFrame, queries: DataFrame, index: DataFrame, query: str, d
 def tfidf_search(queries: DataFrame, index: DataFrame, query: str, doc: str, text: str, k: int = 1, bigrams: bool = True, sublinear: bool = True, max_df: float | None = 0.95, strip: bool = True, exclude_same: bool = False, fill: bool = False) -> DataFrame:
     """query, doc, score, rank of the k best index texts; weights come from the index alone. exclude_same: no pairs of equal ids. fill:
     every query gets k rows, those without a shared term with score 0."""
+    spark = index.sparkSession
     both = index.select(F.lit(True).alias("_index"), F.col(doc).alias("_id"), F.col(text).alias("_text")).unionByName(queries.select(F.lit(False).alias("_index"), F.col(query).alias("_id"), F.col(text).alias("_text")))
-    counted = terms(both, ["_index", "_id"], "_text", bigrams, strip)
-    table = idf(counted.filter("_index"), index.agg(F.count(F.lit(1)).alias("n")), max_df)
-    weighted = weights(counted, table, ["_index", "_id"], sublinear)
-    scores = sparse_scores(weighted.filter("not _index").select(F.col("_id").alias(query), "term", "w"), weighted.filter("_index").select(F.col("_id").alias(doc), "term", "w"), query, doc)
-    if exclude_same:
-        scores = scores.filter(F.col(query) != F.col(doc))
+    counted = stored(terms(both, ["_index", "_id"], "_text", bigrams, strip), "terms")
+    n_docs = index.count()
+    table = idf(counted.filter("_index"), spark.range(1).select(F.lit(n_docs).alias("n")), max_df)
+    weighted = stored(weights(counted, table, ["_index", "_id"], sublinear), "weights")
+    scores = pruned_scores(weighted.filter("not _index").select(F.col("_id").alias(query), "term", "w"), weighted.filter("_index").select(F.col("_id").alias(doc), "term", "w"), query, doc, k, n_docs, exclude_same)
     hits = top_k(scores, query, doc, k).select(query, doc, "score", "rank")
     return fill_up(hits, queries, index, query, doc, k, exclude_same) if fill else hits
 
 
 # --------------------------------------------------------------------------- dense
-def dense_search(queries: DataFrame, index: DataFrame, query: str, doc: str, vector: str, k: int, exclude_same: bool = False, digits: int | None = 6) -> DataFrame:
-    """query, doc, score, rank by inner product: a block join. Queries and index rows are dealt to blocks by hash, each pair of blocks is
-    one task's product, and a task answers with its k best a query; nothing passes through the driver."""
-    parallel = index.sparkSession.sparkContext.defaultParallelism
-    n_queries, n_docs = queries.count(), index.count()
-    rows, columns = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_docs // INDEX_BLOCK), min(parallel, n_docs // 500))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(query, F.col(vector).alias("_v"), block(query, rows).alias("_r"), every(columns).alias("_c"))
-    right = index.select(doc, F.col(vector).alias("_v"), every(rows).alias("_r"), block(doc, columns).alias("_c"))
-    schema = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField(doc, index.schema[doc].dataType), T.StructField("score", T.DoubleType())])
+class Pivots:
+    """Index vectors that stand for the index rows nearest to them. No inner product of a query with a row of a pivot is above the one
+    with the pivot by more than the query's length times the radius, the greatest distance of such a row."""
+
+    def __init__(self, centers: np.ndarray) -> None:
+        self.centers, self.square = centers, (centers * centers).sum(1)
+        self.radius, self.parts = np.zeros(len(centers)), np.zeros(len(centers), np.int64)
+
+    def nearest(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pivot, distance to it) of each row."""
+        apart = self.square - 2 * (v @ self.centers.T)
+        at = apart.argmin(1)
+        return at, np.sqrt(((v - self.centers[at]) ** 2).sum(1))
+
+    def bounds(self, v: np.ndarray) -> np.ndarray:
+        """What each row's inner products with the index rows of each pivot can't exceed; minus infinity for a pivot without rows."""
+        most = v @ self.centers.T + np.sqrt((v * v).sum(1))[:, None] * self.radius
+        return np.where(self.parts > 0, most + 1e-9 * (1 + np.abs(most)), -np.inf)
+
+
+def _matrix(s: pd.Series) -> np.ndarray:
+    return np.stack(s.to_numpy()).astype(np.float64)
+
+
+def placed(index: DataFrame, doc: str, vector: str, n_docs: int) -> tuple[DataFrame, Pivots]:
+    """(doc, vector, pivot, part of each index row; the pivots). Pivots are the rows of the least hashes, MAX_PIVOTS at most; the rows of
+    a pivot, however many, are dealt to parts of INDEX_BLOCK."""
+    spark = index.sparkSession
+    n = min(MAX_PIVOTS, max(-(-n_docs // INDEX_BLOCK), min(spark.sparkContext.defaultParallelism, n_docs // 100), 1))
+    pivots = Pivots(_matrix(pd.Series([r._v for r in index.select(F.col(vector).alias("_v"), F.xxhash64(doc).alias("_h")).orderBy("_h").limit(n).collect()])))
+
+    @F.pandas_udf("pivot int, distance double")
+    def near(v: pd.Series) -> pd.DataFrame:
+        at, apart = pivots.nearest(_matrix(v)) if len(v) else (np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame({"pivot": at.astype(np.int32), "distance": apart})
+
+    rows = stored(index.select(doc, F.col(vector).alias("_v")).withColumn("_p", near("_v")).select(doc, "_v", "_p.*"), "placed")
+    for r in rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius")).collect():  # a row a pivot
+        pivots.radius[r.pivot], pivots.parts[r.pivot] = r.radius, -(-r.n // INDEX_BLOCK)
+    part = F.pmod(F.xxhash64(doc), F.get(F.lit(pivots.parts.tolist()), F.col("pivot"))).cast("int")
+    return rows.select(doc, "_v", "pivot", part.alias("part")), pivots
+
+
+def wanted_pivots(queries: DataFrame, pivots: Pivots, first: bool) -> DataFrame:
+    """queries(_v, floor) with a row for each pivot to search: the one of the highest bound if `first`, else all others that reach the
+    floor."""
+
+    @F.pandas_udf("array<int>")
+    def chosen(v: pd.Series, floor: pd.Series) -> pd.Series:
+        out = []
+        for k in range(0, len(v), QUERY_ROWS):
+            most = pivots.bounds(_matrix(v[k : k + QUERY_ROWS]))
+            best = most.argmax(1)
+            for row, b, low in zip(most, best, floor[k : k + QUERY_ROWS]):
+                out.append([int(b)] if first else [int(p) for p in np.flatnonzero(row >= low - TIE) if p != b])
+        return pd.Series(out, dtype=object)
+
+    return queries.withColumn("pivot", F.explode(chosen("_v", "floor")))
+
+
+def _block_search(left: DataFrame, right: DataFrame, pivots: Pivots, n_queries: int, query: str, doc: str, k: int, exclude_same: bool, digits: int | None) -> DataFrame:
+    """query, doc, score: the k best of each block of index rows for each query that wants its pivot."""
+    schema = T.StructType([T.StructField(query, left.schema[query].dataType), T.StructField(doc, right.schema[doc].dataType), T.StructField("score", T.DoubleType())])
+    groups = max(1, -(-n_queries // QUERY_BLOCK))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.get(F.lit(pivots.parts.tolist()), F.col("pivot")).cast("int") - 1))).withColumn("_r", F.pmod(F.xxhash64(query), F.lit(groups)).cast("int"))
+    right = right.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({query: q[query][:0], doc: d[doc][:0], "score": np.zeros(0)})]
         if not len(q) or not len(d):
-            return pd.DataFrame({query: q[query][:0], doc: d[doc][:0], "score": np.zeros(0)})
-        score = np.stack(q["_v"].to_numpy()).astype(np.float64) @ np.stack(d["_v"].to_numpy()).astype(np.float64).T
-        names, docs = q[query].to_numpy(), d[doc].to_numpy()
-        if exclude_same:
-            score[names[:, None] == docs[None, :]] = -np.inf
-        keep = score if digits is None else np.round(score, digits)
-        order = np.lexsort((np.broadcast_to(docs, keep.shape), -keep), axis=1)[:, :k]
-        out = pd.DataFrame({query: np.repeat(names, order.shape[1]), doc: docs[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
-        return out[np.isfinite(out.score)]
-
-    best = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInPandas(run, schema)
-    return top_k(best, query, doc, k, digits=digits)
+            return out[0]
+        docs, matrix = d[doc].to_numpy(), _matrix(d["_v"]).T
+        for p in range(0, len(q), QUERY_ROWS):
+            names = q[query].to_numpy()[p : p + QUERY_ROWS]
+            score = _matrix(q["_v"][p : p + QUERY_ROWS]) @ matrix
+            if exclude_same:
+                score[names[:, None] == docs[None, :]] = -np.inf
+            keep = score if digits is None else np.round(score, digits)
+            # the k-th best of each row, then only what reaches it is sorted
+            least = np.partition(keep, keep.shape[1] - k, axis=1)[:, keep.shape[1] - k] if k < keep.shape[1] else np.full(len(keep), -np.inf)
+            row, column = np.nonzero((keep >= least[:, None]) & np.isfinite(keep))
+            order = np.lexsort((docs[column], -keep[row, column], row))
+            row, column = row[order], column[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, column = row[place < k], column[place < k]
+            out.append(pd.DataFrame({query: names[row], doc: docs[column], "score": score[row, column]}))
+        return pd.concat(out)
+
+    by = ("pivot", "part", "_r")
+    return left.select(query, "_v", *by).groupBy(*by).cogroup(right.select(doc, "_v", *by).groupBy(*by)).applyInPandas(run, schema)
+
+
+def dense_search(queries: DataFrame, index: DataFrame, query: str, doc: str, vector: str, k: int, exclude_same: bool = False, digits: int | None = 6) -> DataFrame:
+    """query, doc, score, rank by inner product, exact: index rows lie in blocks by their nearest pivot. Each query is searched in the
+    block of its highest bound, which gives a floor for its k-th best, and then only in the blocks whose bounds reach that; a task
+    holds one block of both sides. Rows without a vector are left out."""
+    queries, index = queries.filter(F.col(vector).isNotNull()), index.filter(F.col(vector).isNotNull())
+    n_queries, n_docs = queries.count(), index.count()
+    if not n_queries or not n_docs:
+        schema = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField(doc, index.schema[doc].dataType), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+        return index.sparkSession.createDataFrame([], schema)
+    rows, pivots = placed(index, doc, vector, n_docs)
+    asked = queries.select(query, F.col(vector).alias("_v"))
+    found = stored(_block_search(wanted_pivots(asked.withColumn("floor", F.lit(0.0)), pivots, True), rows, pivots, n_queries, query, doc, k, exclude_same, digits), "first-blocks")
+    kth = top_k(found, query, doc, k, digits=None).filter(F.col("rank") == k).select(query, F.col("score").alias("floor"))
+    low = asked.join(kth, query, "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    return top_k(found.unionByName(_block_search(wanted_pivots(low, pivots, False), rows, pivots, n_queries, query, doc, k, exclude_same, digits)), query, doc, k, digits=digits)
 
 
 def dense_scores(queries: DataFrame, index: DataFrame, query: str, doc: str, vector: str, pairs: DataFrame) -> DataFrame:

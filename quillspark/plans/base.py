@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.storage import scratch  # noqa: F401
+
 TRAIN, VALID, TEST = "train", "valid", "test"
 
 
@@ -36,17 +35,6 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_longest_answer(cases(spark, sf_dir)).select("conv_id", "split", "question", "answer")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, for queries that write and read back: below spark.checkpoint.dir, which a
-    cluster must name."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quill-scratch-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as the image rows of cases: key columns, an ordinal, and four scores for each of four methods."""
     line = table(spark, sf_dir, "lineitem")

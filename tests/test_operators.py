@@ -237,6 +237,57 @@ def test_dense_blocks_give_one_result(spark, monkeypatch):
     assert retrieval.dense_search(q.limit(0), v, "q", "doc", "v", 3).count() == 0
 
 
+def test_far_blocks_are_skipped(spark, monkeypatch):
+    """Clustered vectors: exact results, though most blocks are never joined with a query; a cluster of copies goes over several parts."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(12, 8))
+    centers /= np.linalg.norm(centers, axis=1)[:, None]
+    x = np.concatenate([centers[rng.integers(0, 12, 1500)] + rng.normal(scale=0.02, size=(1500, 8)), np.repeat(centers[:1], 700, 0)])
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)] + [(9999, None)], "doc long, v array<double>")
+    q = v.filter("doc % 40 = 0 or doc = 9999").withColumnRenamed("doc", "q")
+    monkeypatch.setattr(retrieval, "INDEX_BLOCK", 100)
+    got = {(r.q, r["rank"]): (r.doc, round(r.score, 6)) for r in retrieval.dense_search(q, v, "q", "doc", "v", 4, exclude_same=True).collect()}
+    want = {}
+    for k in range(0, len(x), 40):
+        order = sorted((-round(float(s), 6), d) for d, s in enumerate(x @ x[k]) if d != k)[:4]
+        want |= {(k, r): (d, -s) for r, (s, d) in enumerate(order, 1)}
+    assert got.keys() == want.keys() and all(got[k] == want[k] or got[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want)
+    rows, pivots = retrieval.placed(v.filter("v is not null"), "doc", "v", len(x))
+    assert max(pivots.parts) > 1
+    low = q.filter("v is not null").select("q", F.col("v").alias("_v"), F.lit(0.9).alias("floor"))
+    assert retrieval.wanted_pivots(low, pivots, False).count() + low.count() < low.count() * (pivots.parts > 0).sum() / 2
+
+
+def test_heavy_terms_are_not_joined(spark, monkeypatch):
+    """A term of nine texts in ten: the best are those of the whole product of postings, though few postings are joined."""
+    import random
+
+    monkeypatch.setattr(retrieval, "POSTING_BLOCK", 100)
+    rng = random.Random(7)
+    text = lambda: " ".join((["common"] if rng.random() < 0.9 else []) + ["often"] * (rng.random() < 0.5) + [f"w{int(rng.paretovariate(0.7))}" for _ in range(6)])
+    docs = spark.createDataFrame([(k, text()) for k in range(1200)], "doc long, t string")
+    q = docs.filter("doc % 20 = 0").withColumnRenamed("doc", "q")
+    counted = retrieval.terms(docs, "doc", "t", bigrams=False)
+    n = docs.count()
+    w = retrieval.weights(counted, retrieval.idf(counted, docs.agg(F.count(F.lit(1)).alias("n")), None), "doc").cache()
+    asked = w.join(q.select(F.col("q").alias("doc")), "doc", "left_semi").withColumnRenamed("doc", "q")
+    for same in (False, True):
+        every = retrieval.sparse_scores(asked, w, "q", "doc")
+        want = retrieval.top_k(every.filter("q <> doc") if same else every, "q", "doc", 5)
+        got = retrieval.top_k(retrieval.pruned_scores(asked, w, "q", "doc", 5, n, same), "q", "doc", 5)
+        told = lambda df: sorted((r.q, r["rank"], r.doc, round(r.score, 6)) for r in df.collect())
+        assert told(got) == told(want)
+    index = retrieval.postings(w, "doc", n)
+    high = retrieval.block_maxima(index)
+    needed = retrieval.needed_terms(asked, high, retrieval.floors(asked, index, high, "q", "doc", 5), "q")
+    joined = needed.filter("needed").join(index, ["block", "term"]).count()
+    product = asked.join(w.withColumnRenamed("w", "d"), "term").count()
+    assert joined < product / 4
+    assert needed.filter("needed and term = 'common'").count() == 0
+
+
 def test_reruns_and_attached_keys_must_be_unique(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     twice = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
