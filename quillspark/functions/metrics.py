@@ -1,11 +1,14 @@
-"""Text-pair metrics. Overlaps, subsequences and n-grams are Arrow UDFs of linear or bit-parallel cost; all statistics sum, so
-corpus scores are partial aggregates and a last formula."""
+"""Text-pair metrics. Multiset overlaps are folds in the JVM; n-gram statistics are Arrow UDFs that count a whole batch in arrays;
+subsequences are bit-parallel. All statistics sum, so corpus scores are partial aggregates and a last formula."""
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,16 +19,20 @@ CHRF_ORDER, CHRF_BETA = 6, 2
 BLEU_ORDER = 4
 
 
-@F.pandas_udf(T.LongType())
-def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Size of the multiset intersection of two arrays, in linear time."""
-    return pd.Series([sum((Counter(x) & Counter(y)).values()) if x is not None and y is not None else 0 for x, y in zip(a, b)], dtype="int64")
+def overlap(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two arrays (null: empty): one pass over both, sorted together, that pairs each element of the
+    second with one of the first that is still free."""
+    row = lambda free: lambda t: F.struct(t.alias("t"), F.lit(free).alias("second"))
+    none = F.array().cast("array<string>")
+    both = F.array_sort(F.concat(F.transform(F.coalesce(a, none), row(False)), F.transform(F.coalesce(b, none), row(True))))
+    state = lambda t, free, n: F.struct(t.alias("t"), free.cast("int").alias("free"), n.cast("long").alias("n"))
 
+    def step(s: Column, x: Column) -> Column:
+        free = F.when(s["t"] == x["t"], s["free"]).otherwise(0)
+        met = x["second"] & (free > 0)
+        return state(x["t"], F.when(met, free - 1).when(x["second"], free).otherwise(free + 1), s["n"] + met.cast("long"))
 
-def overlap_native(a: Column, b: Column) -> Column:
-    """The same as a fold; quadratic, for short arrays and as a cross-check."""
-    count = lambda c, t: F.size(F.filter(c, lambda x: x == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
+    return F.aggregate(both, state(F.lit(""), F.lit(0), F.lit(0)), step, lambda s: s["n"])
 
 
 def f1(common: Column, n: Column, m: Column, both_empty: float = 0.0) -> Column:
@@ -59,21 +66,6 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs(list(x), list(y)) if x is not None and y is not None else 0 for x, y in zip(a, b)])
 
 
-def lcs_length_native(a: Column, b: Column) -> Column:
-    """The same as a nested fold; a cross-check for short arrays."""
-
-    def row(old: Column, w: Column) -> Column:
-        step = F.aggregate(
-            F.sequence(F.lit(1), F.size(b)),
-            F.array(F.lit(0)),
-            lambda new, j: F.concat(new, F.array(F.when(F.get(b, j - 1) == w, F.get(old, j - 1) + 1).otherwise(F.greatest(F.get(new, F.size(new) - 1), F.get(old, j))))),
-        )
-        return step
-
-    empty = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, empty, row), -1)).cast("long")
-
-
 def rouge_l(pred: Column | str, ref: Column | str, variant: str = "whitespace") -> Column:
     """Variants: whitespace; ascii (tokens [a-z0-9]+); notebook (whitespace, both empty 1)."""
     if variant == "ascii":
@@ -84,21 +76,86 @@ def rouge_l(pred: Column | str, ref: Column | str, variant: str = "whitespace")
     return f1(lcs_length(a, b).cast("double"), F.size(a), F.size(b), 1.0 if variant == "notebook" else 0.0)
 
 
-def _grams(t: str | list[str], n: int) -> Counter:
-    return Counter(tuple(t[i : i + n]) if isinstance(t, list) else t[i : i + n] for i in range(len(t) - n + 1))
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def chrf_stats(pred: pd.Series, ref: pd.Series) -> pd.Series:
+# --------------------------------------------------------------------------- n-grams of a batch
+#: Pairs of texts, and symbols of both sides, that are counted at once. A key holds the pair's number above the n-gram.
+BATCH_PAIRS, BATCH_SYMBOLS, GRAM_BITS = 1 << 12, 1 << 20, 52
+#: White characters that a text is split at.
+_WHITE = np.array([chr(c).isspace() for c in range(0x3001)])
+
+
+def _gram_keys(symbols: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """Sorted keys of the n-grams of order 1, 2, ... of texts laid end to end. One or two symbols (below 2**26 each) are the key as they
+    are, longer n-grams a hash of GRAM_BITS bits."""
+    ends, row = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    left = ends[row] - np.arange(len(symbols))
+    high, h = row.astype(np.uint64) << np.uint64(GRAM_BITS), symbols.astype(np.uint64)
+    for n in range(1, order + 1):
+        if n > 1:
+            h = h[:-1] * np.uint64(1 << 26 if n == 2 else 0x9E3779B97F4A7C15) + symbols[n - 1 :].astype(np.uint64) if len(h) else h
+        there = left[: len(h)] >= n
+        key = h[there]
+        if n > 2:
+            key = (key ^ key >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            key = (key ^ key >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            key >>= np.uint64(64 - GRAM_BITS)
+        yield np.sort(high[: len(h)][there] | key)
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _in_both(a: np.ndarray, b: np.ndarray, pairs: int) -> np.ndarray:
+    """Size of the multiset intersection of each pair's n-grams."""
+    (ka, na), (kb, nb) = _counted(a), _counted(b)
+    if not len(kb):
+        return np.zeros(pairs, np.int64)
+    at = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
+    hit = kb[at] == ka
+    return np.bincount((ka[hit] >> np.uint64(GRAM_BITS)).astype(np.int64), np.minimum(na[hit], nb[at[hit]]), pairs).astype(np.int64)
+
+
+def _gram_table(p: tuple[np.ndarray, np.ndarray], r: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
+    """A row a pair; for each order its n-grams of the prediction, of the reference, and of both."""
+    sizes = [np.asarray(x[1], np.int64) for x in (p, r)]
+    out = np.zeros((len(sizes[0]), 3 * order), np.int64)
+    for n, (a, b) in enumerate(zip(_gram_keys(p[0], sizes[0], order), _gram_keys(r[0], sizes[1], order))):
+        out[:, 3 * n], out[:, 3 * n + 1] = (np.maximum(s - n, 0) for s in sizes)
+        out[:, 3 * n + 2] = _in_both(a, b, len(out))
+    return out
+
+
+def _in_blocks(p: pa.Array, r: pa.Array, sizes: np.ndarray, told: Callable[[pa.Array, pa.Array], np.ndarray]) -> pa.Array:
+    """An array<long> for each pair, counted in blocks of bounded size."""
+    begin, out = 0, []
+    upto = np.cumsum(sizes)
+    while begin < len(p):
+        done = upto[begin - 1] if begin else 0
+        end = min(len(p), begin + BATCH_PAIRS, max(begin + 1, int(np.searchsorted(upto, done + BATCH_SYMBOLS, side="right"))))
+        out.append(told(p.slice(begin, end - begin), r.slice(begin, end - begin)))
+        begin = end
+    rows = np.concatenate(out) if out else np.zeros((0, 1), np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts laid end to end without their white space, and how many each has."""
+    every = [t or "" for t in texts.to_pylist()]
+    points = np.frombuffer("".join(every).encode("utf-32-le"), np.uint32)
+    row = np.repeat(np.arange(len(every)), [len(t) for t in every])
+    kept = ~_WHITE[np.minimum(points, len(_WHITE) - 1)] | (points >= len(_WHITE))
+    return points[kept], np.bincount(row[kept], minlength=len(every))
+
+
+def _lengths(a: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(a) if pa.types.is_string(a.type) or pa.types.is_large_string(a.type) else pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def chrf_stats(pred: pa.Array, ref: pa.Array) -> pa.Array:
     """For each order: n-grams of the prediction, of the reference, and in both; white space left out."""
-    out = []
-    for p, r in zip(pred.fillna(""), ref.fillna("")):
-        p, r, row = "".join(p.split()), "".join(r.split()), []
-        for n in range(1, CHRF_ORDER + 1):
-            a, b = _grams(p, n), _grams(r, n)
-            row += [sum(a.values()), sum(b.values()), sum((a & b).values())]
-        out.append(row)
-    return pd.Series(out)
+    return _in_blocks(pred, ref, _lengths(pred) + _lengths(ref), lambda p, r: _gram_table(_points(p), _points(r), CHRF_ORDER))
 
 
 def sum_arrays(c: Column | str, size: int) -> Column:
@@ -151,17 +208,21 @@ def bleu_stats(pred: Column | str, ref: Column | str) -> Column:
     return _bleu_stats(tokens_13a(pred), tokens_13a(ref))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _bleu_stats(pred: pd.Series, ref: pd.Series) -> pd.Series:
-    out = []
-    for p, r in zip(pred, ref):
-        p, r = list(p), list(r)
-        row = [len(p), len(r)]
-        for n in range(1, BLEU_ORDER + 1):
-            a = _grams(p, n)
-            row += [sum((a & _grams(r, n)).values()), sum(a.values())]
-        out.append(row)
-    return pd.Series(out)
+def _words(p: pa.Array, r: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the words of both sides, laid end to end, and how many each text has."""
+    flat = [x.flatten() for x in (p, r)]
+    number = pa.concat_arrays([x.cast(pa.string()) for x in flat]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return [(number[: len(flat[0])], _lengths(p)), (number[len(flat[0]) :], _lengths(r))]
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _bleu_stats(pred: pa.Array, ref: pa.Array) -> pa.Array:
+    def told(p: pa.Array, r: pa.Array) -> np.ndarray:
+        (a, n), (b, m) = _words(p, r)
+        found = _gram_table((a, n), (b, m), BLEU_ORDER)
+        return np.column_stack([n, m, *(x for k in range(BLEU_ORDER) for x in (found[:, 3 * k + 2], found[:, 3 * k]))])
+
+    return _in_blocks(pred, ref, _lengths(pred) + _lengths(ref), told)
 
 
 def bleu_score(stats: Column | str) -> Column:

@@ -52,8 +52,9 @@ def strip(c: Column | str) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
-    """Whether a text is null, empty or nothing but white space."""
-    return ~F.coalesce(_col(c), F.lit("")).rlike(rf"(?U)[^{BLANK}]")
+    """Whether a text is null, empty or nothing but white space; most texts tell by their first character."""
+    t = F.coalesce(_col(c), F.lit(""))
+    return F.when(F.ascii(t).between(33, 126), False).otherwise(~t.rlike(rf"(?U)[^{BLANK}]"))
 
 
 def clean_text(c: Column | str) -> Column:
@@ -92,7 +93,7 @@ LATIN_END = 0x250
 @cache
 def _decompositions() -> tuple:
     """Compatibility decompositions without combining marks, of the first two planes but for Hangul: letters with one base and those
-    bases, the same below LATIN_END, the class of letters of several, these as JSON, the class of combining marks, and the
+    bases, the same below LATIN_END, the class of letters of several, these as text, the class of combining marks, and the
     class of what is below LATIN_END and has no several."""
     single, several, marks = {}, {}, []
     for p in range(0x80, 0x20000):
@@ -107,7 +108,7 @@ def _decompositions() -> tuple:
             (single if len(base) == 1 else several)[c] = base
     latin = {a: b for a, b in single.items() if ord(a) < LATIN_END}
     simple = _class([p for p in range(LATIN_END) if chr(p) not in several])
-    return ("".join(single), "".join(single.values())), ("".join(latin), "".join(latin.values())), _class(sorted(map(ord, several))), json.dumps(several), _class(marks), simple
+    return ("".join(single), "".join(single.values())), ("".join(latin), "".join(latin.values())), _class(sorted(map(ord, several))), "\x02".join(f"{a}\x01{b}" for a, b in several.items()), _class(marks), simple
 
 
 def fold(c: Column | str) -> Column:
@@ -117,7 +118,7 @@ def fold(c: Column | str) -> Column:
     low = F.lower(F.coalesce(_col(c), F.lit("")))
     whole = F.translate(low, *every)
     found = F.array_distinct(F.regexp_extract_all(whole, F.lit(several), F.lit(0)))
-    spelled = F.aggregate(found, whole, lambda t, x: F.replace(t, x, F.element_at(F.from_json(F.lit(table), "map<string,string>"), x)))
+    spelled = F.aggregate(found, whole, lambda t, x: F.replace(t, x, F.element_at(F.str_to_map(F.lit(table), F.lit("\x02"), F.lit("\x01")), x)))
     return F.when(low.rlike(f"\\A{simple}*\\z"), F.translate(low, *latin)).otherwise(F.regexp_replace(spelled, f"{marks}+", ""))
 
 

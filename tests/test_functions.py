@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,10 +91,31 @@ def test_overlap_and_lcs_forms_agree(spark):
 
     df = spark.createDataFrame(rows, "a array<string>, b array<string>")
     a, b = F.col("a"), F.col("b")
-    got = df.select("a", "b", metrics.overlap(a, b).alias("o"), metrics.overlap_native(a, b).alias("on"), metrics.lcs_length(a, b).alias("l"), metrics.lcs_length_native(a, b).alias("ln")).collect()
+    got = df.select("a", "b", metrics.overlap(a, b).alias("o"), metrics.lcs_length(a, b).alias("l")).collect()
     for r in got:
-        assert r.o == r.on == sum((Counter(r.a) & Counter(r.b)).values())
-        assert r.l == r.ln == lcs(r.a, r.b)
+        assert r.o == sum((Counter(r.a) & Counter(r.b)).values())
+        assert r.l == lcs(r.a, r.b)
+    assert df.select(metrics.overlap(a, F.lit(None).cast("array<string>")).alias("o")).filter("o <> 0").count() == 0
+
+
+def test_ngrams_of_batches_against_counters(spark, monkeypatch):
+    """Odd texts (marks, planes beyond the first, white space of Unicode, nulls) in blocks of a few pairs."""
+    rng = random.Random(5)
+    text = lambda: None if rng.random() < 0.1 else "".join(rng.choice("ab cd\u00a0é\u3000😀\x1c1.,'") for _ in range(rng.choice([0, 1, 5, 40, 400])))
+    rows = [(k, text(), text()) for k in range(150)] + [(200, "la " * 900, "la la"), (201, "x", None)]
+    gram = lambda t, n: Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
+    df = spark.createDataFrame(rows, "k int, p string, r string").coalesce(1)
+    for pairs, symbols in ((1 << 12, 1 << 20), (7, 100)):
+        monkeypatch.setattr(metrics, "BATCH_PAIRS", pairs)
+        monkeypatch.setattr(metrics, "BATCH_SYMBOLS", symbols)
+        p, r = ([x[i] for x in rows] for i in (1, 2))
+        got = metrics.chrf_stats.func(pa.array(p, pa.string()), pa.array(r, pa.string())).to_pylist()
+        for x, y, s in zip(p, r, got):
+            a, b = ["".join((t or "").split()) for t in (x, y)]
+            assert s == [v for n in range(1, 7) for v in (sum(gram(a, n).values()), sum(gram(b, n).values()), sum((gram(a, n) & gram(b, n)).values()))]
+    for q in df.select("p", "r", metrics.chrf_stats("p", "r").alias("c"), metrics.tokens_13a("p").alias("a"), metrics.tokens_13a("r").alias("b"), metrics.bleu_stats("p", "r").alias("s")).collect():
+        assert q.s == [len(q.a), len(q.b), *(v for n in range(1, 5) for v in (sum((gram(q.a, n) & gram(q.b, n)).values()), sum(gram(q.a, n).values())))]
+        assert q.c[0] == len("".join((q.p or "").split()))
 
 
 def test_rouge_chrf_bleu(spark):
