@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _split_files(spark: SparkSession, sf_dir: str) -> str:
-    """Cases as one JSON array a split."""
+    """Cases as JSON arrays, a folder of parts a split, written by the executors."""
     folder = scratch(spark, "splits")
     c = cases(spark, sf_dir)
     rows = c.select(F.col("conv_id").cast("string").alias("encounter_id"), "split", F.col("question").alias("query_content_es"), F.transform(F.coalesce("responses", F.array().cast("array<string>")), lambda a: F.struct(a.alias("content_es"))).alias("responses"))
@@ -59,13 +59,13 @@ def corpus_of_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _loaded(readers.load_corpus(readers.load_splits(spark, _split_files(spark, sf_dir), list(FILES.values())), "valid, test"))
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON array written and read whole."""
-    path = f"{scratch(spark, 'array')}/nation.json"
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    writers.write_json_array(n, path)
-    return readers.read_json_array(spark, path, "n_nationkey long, n_name string, n_regionkey long").select(*[F.col(c).cast(t) for c, t in n.dtypes])
+    """JSON arrays written and read by the executors."""
+    path = f"{scratch(spark, 'array')}/orders.json"
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    writers.write_json_array(o.repartition(4), path)
+    return readers.read_records(spark, path, "o_orderkey long, o_orderstatus string, o_totalprice double").select(*[F.col(c).cast(t) for c, t in o.dtypes])
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || chr(10) || '"quoted", ' || c_custkey AS note, CASE WHEN c_custkey % 3 > 0 THEN round(c_acctbal, 2) END AS balance, NULL::VARCHAR AS missing FROM customer""")
@@ -77,15 +77,31 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.with_numbers(readers.read_csv_text(spark, path), ["balance"])
 
 
-@query("SELECT r_regionkey, r_name FROM region")
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def zipped_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first path that exists, here an archive; of its files the JSON array goes before the table."""
+    """The first path that exists, here an archive; of its members the JSON array goes before the table, and its records say their
+    types."""
     folder = scratch(spark, "zip")
-    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    writers.write_json_array(r, f"{folder}/region.json")
-    readers.write_bytes(spark, f"{folder}/region.csv", [b"r_regionkey,r_name\n99,wrong\n"])
-    writers.zip_bundle(spark, [f"{folder}/region.csv", f"{folder}/region.json"], f"{folder}/region.zip")
-    return readers.read_dataset(spark, [f"{folder}/none.jsonl", f"{folder}/region.zip"], f"{folder}/unpacked").select(*[F.col(c).cast(t) for c, t in r.dtypes])
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    writers.write_json_array(c, f"{folder}/customer.json", single_file=True)
+    writers.write_dataset(c.limit(1).withColumn("c_name", F.lit("wrong")), f"{folder}/customer.csv", "csv", single_file=True)  # not to be read
+    writers.zip_bundle(spark, [f"{folder}/customer.csv", f"{folder}/customer.json"], f"{folder}/customer.zip")
+    return readers.read_dataset(spark, [f"{folder}/none.jsonl", f"{folder}/customer.zip"]).select(*[F.col(x).cast(t) for x, t in c.dtypes])
+
+
+@query("SELECT event_type, 'events-' || event_type || '.zip' AS archive, event_id, user_id FROM events")
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of several members each, read a task a member: JSON arrays of one event type go in one archive."""
+    folder = scratch(spark, "archives")
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", "user_id")
+    kinds = sorted(r.event_type for r in e.select("event_type").distinct().collect())  # a handful
+    for kind in kinds:
+        writers.write_json_array(e.filter(F.col("event_type") == kind).drop("event_type").repartition(3), f"{folder}/{kind}.json")
+        writers.zip_bundle(spark, [f"{folder}/{kind}.json"], f"{folder}/zips/events-{kind}.zip")
+    readers.members.register(spark)
+    found = spark.read.format("quill_members").load(f"{folder}/zips")
+    rows = found.select(F.regexp_extract("member", r"^(.*)-\d+\.json$", 1).alias("event_type"), F.regexp_extract("path", r"([^/]+)$", 1).alias("archive"), F.from_json("record", "event_id long, user_id long").alias("r"))
+    return rows.select("event_type", "archive", "r.*")
 
 
 @query("SELECT event_id, event_type FROM events")
@@ -107,13 +123,18 @@ def flat_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_flat_json(spark, path)
 
 
-@query("SELECT 'a/' || k || '.csv' AS found FROM (SELECT unnest(['metrics', 'scores']) AS k) UNION ALL SELECT 'b/scores.csv'")
+@query("SELECT 'o_orderstatus=' || o_orderstatus AS found, count(*) AS n, sum(o_orderkey) AS keys FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
 def discovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of a glob pattern by folder, without excluded names."""
+    """Files of a glob pattern by folder, without excluded names, and what is in them: a table written by status, its summaries and
+    one status left out."""
     folder = scratch(spark, "found")
-    for name in ("a/metrics.csv", "a/scores.csv", "b/scores.csv", "b/summary.csv"):
-        readers.write_bytes(spark, f"{folder}/{name}", [b"x\n"])
-    return readers.discover(spark, f"{folder}/*/*.csv", ("summary.csv",)).select(F.concat("parent", F.lit("/"), "name").alias("found"))
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").write.partitionBy("o_orderstatus").csv(folder, header=True)
+    for status in ("F", "O"):
+        readers.write_bytes(spark, f"{folder}/o_orderstatus={status}/summary.csv", [b"o_orderkey\n1\n"])
+    found = readers.discover(spark, f"{folder}/*/*.csv", ("summary.csv",)).filter("parent <> 'o_orderstatus=P'")
+    rows = spark.read.csv([r.path for r in found.collect()], header=True, schema="o_orderkey long")  # paths of a listing
+    parent = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
+    return rows.select(parent.alias("found"), "o_orderkey").groupBy("found").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'img' || c_custkey || '.jpg' WHEN 1 THEN 'img' || c_custkey || '.png' END AS file FROM customer")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterable
 from functools import reduce
 from pathlib import PurePosixPath
@@ -15,13 +13,14 @@ from pyspark.sql import types as T
 from quillspark.functions.text import SPLIT_LABELS, mapped
 from quillspark.functions.vectors import l2_normalize
 
+from . import members
+
 ENCOUNTER = (
     "encounter_id string, author_id string, image_ids array<string>, query_title_es string, query_content_es string, query_title_en string, "
     "query_content_en string, responses array<struct<content_es:string,content_en:string,author_id:string>>"
 )
 #: Score columns in order of preference.
 SCORE_COLUMNS = ("similarity_score", "score", "similarity")
-ZIP_ORDER = (".jsonl", ".json", ".csv")
 IMAGE_GLOB = "*.{jpg,jpeg,png,webp,JPG,JPEG,PNG,WEBP}"
 
 
@@ -55,8 +54,9 @@ def discover(spark: SparkSession, pattern: str, exclude: tuple[str, ...] = ()) -
 
 
 def split_of(path: Column) -> Column:
-    """File stem as split name, aliases resolved."""
-    return mapped(F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1), SPLIT_LABELS)
+    """File stem as split name, aliases resolved; of a folder of parts the folder's."""
+    whole = F.regexp_replace(path, r"/part-[^/]*$", "")
+    return mapped(F.regexp_extract(whole, r"([^/]+?)(?:\.[^./]*)?$", 1), SPLIT_LABELS)
 
 
 def load_splits(spark: SparkSession, folder: str, names: list[str], schema: str = ENCOUNTER, strict: bool = False) -> DataFrame:
@@ -83,25 +83,31 @@ def read_csv_text(spark: SparkSession, path: str, missing_ok: bool = False) -> D
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 
-def read_dataset(spark: SparkSession, paths: list[str], unzip_to: str | None = None) -> DataFrame:
+def read_records(spark: SparkSession, paths: str | list[str], schema: str | None = None, first: bool = False) -> DataFrame:
+    """Records of JSON, JSON-lines and CSV files, of folders of them and of the members of zip archives, a partition each (see members).
+    Without a schema it is told from all records."""
+    members.register(spark)
+    found = spark.read.format("quill_members").option("first", str(first)).load("\n".join([paths] if isinstance(paths, str) else paths))
+    if schema is None:
+        schema = found.agg(F.schema_of_variant_agg(F.try_parse_json("record"))).first()[0]
+        if not schema.startswith("OBJECT<"):
+            return spark.createDataFrame([], T.StructType([]))
+        schema = schema.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+    return found.select(F.from_json("record", schema).alias("r")).select("r.*")
+
+
+def read_dataset(spark: SparkSession, paths: list[str], schema: str | None = None) -> DataFrame:
     """The first path that exists, by its suffix: .jsonl, .json, .csv, or a .zip that holds one of them."""
     for path in paths:
         if not path_exists(spark, path):
             continue
         suffix = PurePosixPath(path).suffix
         if suffix == ".zip":
-            if not unzip_to:
-                raise ValueError("a zip needs a shared folder to unpack to")
-            packed = spark.read.format("binaryFile").load(path).first().content  # one export of bounded size
-            with zipfile.ZipFile(io.BytesIO(packed)) as z:
-                inside = sorted(z.namelist(), key=lambda n: ZIP_ORDER.index(PurePosixPath(n).suffix) if PurePosixPath(n).suffix in ZIP_ORDER else 99)
-                out = f"{unzip_to.rstrip('/')}/{PurePosixPath(inside[0]).name}"
-                write_bytes(spark, out, [z.read(inside[0])])
-            return read_dataset(spark, [out])
+            return read_records(spark, path, schema, first=True)
         if suffix == ".jsonl":
-            return spark.read.json(path)
+            return spark.read.schema(schema).json(path) if schema else spark.read.json(path)
         if suffix == ".json":
-            return read_json_array(spark, path)
+            return read_json_array(spark, path, schema)
         if suffix == ".csv":
             return read_csv_text(spark, path)
         raise ValueError(f"no reader for {path}")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import io
 import json
+import shutil
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import three_decimals
+from quillspark.shipping import ship_code
 
-from .readers import path_exists, write_bytes
+from .members import open_store
+from .readers import write_bytes
 
 
 def flattened(df: DataFrame) -> DataFrame:
@@ -31,21 +35,43 @@ def write_dataset(df: DataFrame, path: str, kind: str, overwrite: bool = False,
         {"parquet": writer.parquet, "jsonl": writer.json}[kind](path)
 
 
-def write_json_array(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """One JSON array in one file, for exports; rows stream through the driver and are never held together."""
-    spark = df.sparkSession
-    if not overwrite and path_exists(spark, path):
-        raise FileExistsError(path)
-    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()
+def write_json_array(df: DataFrame, path: str, overwrite: bool = False, single_file: bool = False) -> None:
+    """JSON arrays that executors write: a folder of files, one array a partition, committed as any table is; a table without
+    rows may have files without an array. single_file is for exports of bounded size."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
 
-    def chunks() -> Iterator[bytes]:
-        first = True
-        for r in rows:
-            yield (b"[\n" if first else b",\n") + r.j.encode()
-            first = False
-        yield b"[]\n" if first else b"\n]\n"
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines of an array: a row waits until it is known whether another follows."""
+        last, opened = None, "["
+        for b in batches:
+            lines = ([] if last is None else [last]) + b.column(0).to_pylist()
+            if lines:
+                last = lines.pop()
+                yield pa.RecordBatch.from_arrays([pa.array([*([opened] if opened else []), *(x + "," for x in lines)], pa.string())], names=["value"])
+                opened = ""
+        yield pa.RecordBatch.from_arrays([pa.array([x for x in (opened, last, "]") if x], pa.string())], names=["value"])
 
-    write_bytes(spark, path, chunks())
+    ship_code(df.sparkSession)
+    (rows.coalesce(1) if single_file else rows).mapInArrow(bracketed, "value string").write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
+def write_files(df: DataFrame, folder: str, name: str, content: str) -> int:
+    """A file for each row, written by the tasks that hold the rows; how many there are. Names are below the folder."""
+    ship_code(df.sparkSession)
+    root = folder.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            for at, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                fs, path = open_store(f"{root}/{at}")
+                fs.create_dir(str(PurePosixPath(path).parent), recursive=True)
+                with fs.open_output_stream(path) as out:  # the same bytes if a task is run again
+                    out.write(raw or b"")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return df.select(name, content).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def projected(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -76,12 +102,31 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def zip_bundle(spark: SparkSession, files: list[str], out: str) -> None:
-    """Exports of bounded size in one deflated archive."""
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in files:
-            z.writestr(PurePosixPath(f).name, spark.read.format("binaryFile").load(f).first().content)
-    write_bytes(spark, out, [packed.getvalue()])
+    """Files, or folders of parts, in one deflated archive that a task of an executor writes; parts go in under their folder's name and
+    number. The archive has another name until it is whole."""
+    ship_code(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        fs, target = open_store(out)
+        fs.create_dir(str(PurePosixPath(target).parent), recursive=True)
+        with fs.open_output_stream(f"{target}.open") as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                store, at = open_store(f)
+                if store.get_file_info(at).type == pafs.FileType.File:
+                    named = [(PurePosixPath(f).name, at)]
+                else:
+                    parts = sorted(x.path for x in store.get_file_info(pafs.FileSelector(at)) if x.base_name.startswith("part-"))
+                    stem, suffix = PurePosixPath(f).stem, PurePosixPath(f).suffix
+                    named = [(f"{stem}{suffix}" if len(parts) == 1 else f"{stem}-{k:05d}{suffix}", p) for k, p in enumerate(parts)]
+                for name, p in named:
+                    with store.open_input_stream(p) as source, z.open(name, "w", force_zip64=True) as inside:
+                        shutil.copyfileobj(source, inside, 1 << 20)
+        fs.move(f"{target}.open", target)
+        yield pa.RecordBatch.from_arrays([pa.array([len(files)], pa.int64())], names=["n"])
+
+    spark.range(1, numPartitions=1).mapInArrow(run, "n long").collect()  # a count
 
 
 def markdown_table(df: DataFrame, limit: int = 200) -> str:
