@@ -8,6 +8,8 @@ from collections.abc import Callable
 import numpy as np
 
 U64 = np.uint64
+#: Windows of a query that are streamed as one piece.
+PIECE_WINDOWS = 100
 #: Value of a window that no indexed sequence holds.
 NOWHERE = np.iinfo(np.int64).max
 
@@ -78,7 +80,15 @@ class FMIndex:
         self.opens, self.least = Bits(opens), np.minimum.reduceat(values[owner[sa]], np.flatnonzero(opens))
         wider = self.lcp < window - 1
         self.wider, self.wider_at = Bits(wider), np.append(np.flatnonzero(wider), n)
-        self._mins: list[np.ndarray] = []
+        # what each row shares with the one before, none at the ends, and the nearest rows on either side that share less
+        self.depth = np.append(self.lcp, 0).astype(np.int64)
+        self.depth[0] = 0
+        self.left, self.right = np.zeros(n + 1, np.int64), np.full(n + 1, n)
+        for d in np.unique(self.depth)[1:].tolist():
+            own, less = np.flatnonzero(self.depth == d), self.depth < d
+            near = np.flatnonzero(less)
+            k = np.searchsorted(near, own)
+            self.left[own], self.right[own] = near[k - 1], near[np.minimum(k, len(near) - 1)]
 
     @staticmethod
     def _suffixes(text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,22 +131,11 @@ class FMIndex:
         a, b = self.before[s] + both[: len(s)], self.before[s] + both[len(s) :]
         return np.where(known, a, 0), np.where(known, b, 0)
 
-    def _at_depth(self, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the rows that share `depth` words with those of [lo, hi)."""
-        if not self._mins:  # least common prefix of each power-of-two run of rows
-            now, step = self.lcp, 1
-            while step <= self.n:
-                self._mins.append(now)
-                now, step = np.minimum(now[:-step], now[step:]) if step < len(now) else now[:0], step * 2
-        lo, hi = lo.copy(), hi.copy()
-        for k in range(len(self._mins) - 1, -1, -1):
-            step, m = 1 << k, self._mins[k]
-            if not len(m):
-                continue
-            p = lo - step + 1
-            lo -= step * ((p >= 0) & (m[np.clip(p, 0, len(m) - 1)] >= depth))
-            hi += step * ((hi + step <= self.n) & (m[np.clip(hi, 0, len(m) - 1)] >= depth))
-        return lo, hi
+    def _parents(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lo, hi, length) of the intervals of the longest shorter matches that hold more rows: up to the nearest row on either side that
+        shares less than the nearer of the two neighbours does."""
+        at = np.where(self.depth[lo] >= self.depth[hi], lo, hi)
+        return self.left[at], self.right[at], self.depth[at]
 
     def _extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The longest matches, `window` words at most, that begin one word further left. A match that the word doesn't extend
@@ -148,17 +147,12 @@ class FMIndex:
         a, b = self.backward(symbol, lo, hi)
         bad = np.flatnonzero(a >= b)
         while len(bad):
-            l, h = lo[bad], hi[bad]
-            depth = np.maximum(self.lcp[l], np.where(h < self.n, self.lcp[np.minimum(h, self.n - 1)], 0)).astype(np.int64)
             none = size[bad] == 0
             some = bad[~none]
             a[bad[none]], b[bad[none]], size[bad[none]] = 0, self.n, -1  # the word isn't there
             if not len(some):
                 break
-            depth = depth[~none]
-            lo[some], hi[some] = self._at_depth(lo[some], hi[some], depth)
-            lo[some[depth == 0]], hi[some[depth == 0]] = 0, self.n
-            size[some] = depth
+            lo[some], hi[some], size[some] = self._parents(lo[some], hi[some])
             a[some], b[some] = self.backward(symbol[some], lo[some], hi[some])
             bad = some[a[some] >= b[some]]
         return a, b, size + 1
@@ -189,7 +183,14 @@ class FMIndex:
         return [out[b : b + len(q)] for b, q in zip(self._stream(queries, told), queries)]
 
     def least_values(self, queries: list[np.ndarray]) -> list[np.ndarray]:
-        """For each window of each query the least value among the indexed sequences that hold it; NOWHERE if none does."""
+        """For each window of each query the least value among the indexed sequences that hold it; NOWHERE if none does. Long queries are
+        streamed in pieces that share what a window needs, so that all end at about the same time."""
+        cuts = [range(0, max(1, len(q) - self.window + 1), PIECE_WINDOWS) for q in queries]
+        found = self._least([q[k : k + PIECE_WINDOWS + self.window - 1] for q, c in zip(queries, cuts) for k in c])
+        at = np.cumsum([0, *map(len, cuts)]).tolist()
+        return [np.concatenate(found[i:j]) if j - i > 1 else found[i] for i, j in zip(at[:-1], at[1:])]
+
+    def _least(self, queries: list[np.ndarray]) -> list[np.ndarray]:
         out = np.full(sum(map(len, queries)), NOWHERE, np.int64)
 
         def told(at: np.ndarray, row: np.ndarray, size: np.ndarray) -> None:

@@ -198,7 +198,7 @@ def test_runs_are_searched_in_indexes_without_them(monkeypatch):
     rng.shuffle(runs)
     streams = [np.asarray(r[2], np.uint64) for r in runs]
     searched, statistics, shortened = [], [], []
-    least, at_depth = FMIndex.least_values, FMIndex._at_depth
+    least, parents = FMIndex.least_values, FMIndex._parents
 
     def spy(index, queries):
         searched.append(({q.tobytes() for q in index.held}, [q.tobytes() for q in queries]))
@@ -208,7 +208,7 @@ def test_runs_are_searched_in_indexes_without_them(monkeypatch):
     build = FMIndex.__init__
     monkeypatch.setattr(FMIndex, "__init__", lambda self, sequences, *a: (setattr(self, "held", sequences), build(self, sequences, *a))[1])
     monkeypatch.setattr(FMIndex, "least_values", spy)
-    monkeypatch.setattr(FMIndex, "_at_depth", lambda *a: (shortened.append(1), at_depth(*a))[1])
+    monkeypatch.setattr(FMIndex, "_parents", lambda *a: (shortened.append(1), parents(*a))[1])
     got = substring_dedup.least_documents([int(r[0]) for r in runs], [int(r[1]) for r in runs], streams)
     first: dict = {}
     for (a, d, _), w in zip(runs, streams):
