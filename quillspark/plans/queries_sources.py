@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import corpus
-from quillspark.sources import readers, writers
+from quillspark.sources import commits, readers, writers
+from quillspark.streaming import reviews
 
 from .base import CASES_SQL, SPLIT_SQL, cases, scratch, split_by, table
 
@@ -169,3 +172,40 @@ def guarded_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise
     writers.write_dataset(n.withColumn("version", F.lit("new")), path, "jsonl", overwrite=True)
     return spark.read.schema("n_nationkey long, version string").json(path).withColumn("n_nationkey", F.col("n_nationkey").cast(dict(n.dtypes)["n_nationkey"]))
+
+
+# --------------------------------------------------------------------------- several writers, and a stream
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -1, 'new'")
+def bucket_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in buckets, then changed and new rows; versions tell which folders hold the rows."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    kept = commits.Table(spark, scratch(spark, "buckets"), "o_orderkey long, o_orderstatus string", ["o_orderkey"])
+    kept.upsert(o)
+    kept.upsert(o.filter("o_orderkey % 50 = 0").withColumn("o_orderstatus", F.lit("X")).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("o_orderkey"), F.lit("new").alias("o_orderstatus"))))
+    return kept.read()
+
+
+@query("SELECT user_id, count(DISTINCT user_id) AS reviews FROM events GROUP BY user_id")
+def concurrent_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three writers append reviews of the same jobs at once: every job has one review."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    path = scratch(spark, "reviews")
+
+    def write(k: int) -> None:
+        commits.Table(spark, path, "user_id long, event_id long, ts timestamp", ["user_id"]).append_first(e.filter(F.col("event_id") % 3 == k), ["ts", "event_id"])
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(3)))
+    return commits.Table(spark, path, "user_id long, event_id long, ts timestamp", ["user_id"]).read().groupBy("user_id").agg(F.count(F.lit(1)).alias("reviews"))
+
+
+@query("""WITH e AS (SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS job_id, event_id % 2 AS batch, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t, CASE WHEN event_type = 'purchase' THEN 'aprobar' ELSE 'rechazar' END AS accion FROM events)
+SELECT job_id, id, accion FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY batch, t, id) AS r FROM e) WHERE r = 1""")
+def review_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews replayed as a stream in two batches with a restart between: of each job the first review of the batch that it came in."""
+    folder = scratch(spark, "replay")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("user_id").cast("string").alias("job_id"), F.when(F.col("event_type") == "purchase", "aprobar").otherwise("rechazar").alias("accion"), F.lit("x").alias("borrador_original"), F.col("event_id"))
+    for batch in (0, 1):
+        e.filter(F.col("event_id") % 2 == batch).drop("event_id").write.json(f"{folder}/in/{batch}")
+        reviews.write_reviews(reviews.review_stream(spark, f"{folder}/in/*"), f"{folder}/log", f"{folder}/approved", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/log").select("job_id", "id", "accion")

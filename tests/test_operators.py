@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,17 +231,87 @@ def test_prompts(spark):
 
 
 def test_review_stream(spark, tmp_path):
+    """Repeated reviews within a batch, in a later batch and after a restart; the log is moved away between runs, so it isn't read."""
     from quillspark.streaming import reviews
 
     source, log, approved = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "approved")
     source.mkdir()
-    (source / "1.json").write_text("\n".join(json.dumps({"id": str(i), "timestamp": str(i), "job_id": "j", "accion": "aprobar", "borrador_original": "t", "consulta": "c"}) for i in range(2)))
-    run = lambda: reviews.write_reviews(reviews.review_stream(spark, str(source)), log, approved, str(tmp_path / "ckpt")).awaitTermination()
+    entry = lambda i, t, job, what="aprobar": json.dumps({"id": i, "timestamp": t, "job_id": job, "accion": what, "borrador_original": "t", "consulta": "c"})
+    (source / "1.json").write_text("\n".join([entry("b", "2024-01-02", "j"), entry("a", "2024-01-01", "j"), entry("z", "2024-01-01", "k", "rechazar"), entry("x", "2024-01-01", "k", "nothing")]))
+    run = lambda: reviews.write_reviews(reviews.review_stream(spark, str(source), files_at_once=1), log, approved, str(tmp_path / "ckpt")).awaitTermination()
     run()
-    (source / "2.json").write_text(json.dumps({"id": "9", "timestamp": "9", "job_id": "j", "accion": "aprobar", "borrador_original": "t", "consulta": "c"}))
+    assert sorted(r.id for r in spark.read.parquet(log).collect()) == ["a", "z"]
+    assert [r.job_id for r in spark.read.parquet(approved).collect()] == ["j"]
+    (tmp_path / "log").rename(tmp_path / "elsewhere")
+    (source / "2.json").write_text("\n".join([entry("0", "2023-01-01", "j"), entry("n", "2024-02-01", "new")]))  # earlier, but it came later
+    (source / "3.json").write_text("\n".join([entry("m", "2024-01-15", "new"), entry("y", "2024-02-01", "k")]))
+    os.utime(source / "2.json", (time.time() - 60,) * 2)  # files go by their time
     run()
-    assert [r.id for r in spark.read.parquet(log).collect()] == ["0"]
-    assert spark.read.parquet(approved).count() == 1
+    assert [r.id for r in spark.read.parquet(log).collect()] == ["n"]
+
+
+def test_review_stream_forgets_old_jobs(spark, tmp_path):
+    """With a watermark late reviews are left out, and a job may be reviewed again once it is forgotten."""
+    from quillspark.streaming import reviews
+
+    source = tmp_path / "in"
+    source.mkdir()
+    entry = lambda i, t, job: json.dumps({"id": i, "timestamp": t, "job_id": job, "accion": "aprobar", "borrador_original": "t", "consulta": "c"})
+    days = [[("1", "2024-01-01", "j")], [("2", "2024-01-10", "other")], [("3", "2024-01-01", "late"), ("4", "2024-01-10", "j"), ("5", "2024-01-11", "other")], [("6", "2024-03-01", "x")]]
+    for k, rows in enumerate(days):
+        (source / f"{k}.json").write_text("\n".join(entry(*r) for r in rows))
+        reviews.write_reviews(reviews.review_stream(spark, str(source)), str(tmp_path / "log"), str(tmp_path / "approved"), str(tmp_path / "ckpt"), late="1 day", keep_hours=48).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "log")).collect()) == ["1", "2", "4", "6"]
+
+
+def test_two_writers_lose_and_double_nothing(spark, tmp_path):
+    """Appends of the same jobs at once, and a writer that others overtake between its reading and its commit."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quillspark.sources import commits
+
+    entries = lambda who, ids: spark.createDataFrame([(f"{who}{k}", str(k % 7), k) for k in ids], "id string, job_id string, at int")
+    table = lambda: commits.Table(spark, str(tmp_path / "log"), "id string, job_id string, at int", ["job_id"], 4)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda w: table().append_first(entries(w, range(10)), ["at"]), "abcd"))
+    rows = table().read().collect()
+    assert sorted(r.job_id for r in rows) == [str(k) for k in range(7)]
+    overtaken = []
+
+    def other(attempt: int) -> None:
+        if attempt < 2:
+            overtaken.append(attempt)
+            table().append_first(spark.createDataFrame([(f"o{attempt}", f"job{attempt}", 0)], "id string, job_id string, at int"), ["at"])
+
+    mine = spark.createDataFrame([("m0", "job0", 1), ("m1", "job1", 1), ("m2", "job2", 1), ("m3", "job2", 2), ("m4", "3", 0)], "id string, job_id string, at int")
+    table().append_first(mine, ["at"], other)
+    got = {r.job_id: r.id for r in table().read().filter("job_id like 'job%'").collect()}
+    assert overtaken == [0, 1] and got == {"job0": "o0", "job1": "o1", "job2": "m2"}
+    assert table().read().groupBy("job_id").count().filter("count > 1").count() == 0
+    before = table().snapshot()
+    assert table().append_first(mine, ["at"]).version == before.version  # nothing new, no version
+
+
+def test_upserts_rewrite_touched_buckets_alone(spark, tmp_path, monkeypatch):
+    from quillspark.sources import commits
+
+    monkeypatch.setattr(commits, "WHOLE_EVERY", 3)
+    table = commits.Table(spark, str(tmp_path / "t"), "method string, v int", ["method"], 8)
+    rows = lambda names, v: spark.createDataFrame([(n, v) for n in names], "method string, v int")
+    first = table.upsert(rows([f"m{k}" for k in range(40)], 1))
+    second = table.upsert(rows(["m3", "new"], 2))
+    changed = [b for b in first.folders if first.folders[b] != second.folders[b]]
+    assert 1 <= len(changed) <= 2 and len(first.folders) == 8
+
+    def other(attempt: int) -> None:
+        if attempt == 0:  # in the same bucket, and in another
+            table.upsert(rows(["m3", "m5"], 9))
+
+    table.upsert(rows(["m3"], 3), other)
+    got = {r.method: r.v for r in table.read().collect()}
+    assert got == {f"m{k}": 1 for k in range(40)} | {"new": 2, "m3": 3, "m5": 9} and table.read().count() == 41
+    assert table.read(first).count() == 40 and table.snapshot(first).folders == table.snapshot().folders
+    assert commits.Table(spark, str(tmp_path / "none"), "k int", ["k"]).read().count() == 0
 
 
 @pytest.mark.parametrize("small", [1 << 40, -1])
