@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -238,3 +238,60 @@ def bleu_score(stats: Column | str) -> Column:
         dead = dead | (t == 0)
     brevity = F.when(get(0) >= get(1), 1.0).when(get(0) == 0, 0.0).otherwise(F.exp(1 - get(1) / F.when(get(0) > 0, get(0))))
     return F.when(dead | (get(0) == 0), 0.0).otherwise(brevity * F.exp(log_sum / BLEU_ORDER))
+
+
+# --------------------------------------------------------------------------- vectors of tokens
+MATCH = T.StructType([T.StructField(k, T.DoubleType()) for k in ("precision", "recall", "f1")])
+
+
+def _greedy(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
+    """Weighted means of each row's best cosine on the other side, in blocks of rows."""
+    unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
+    a, b = unit(a), unit(b)
+    best_a, best_b = np.empty(len(a)), np.full(len(b), -np.inf)
+    for k in range(0, len(a), 1024):
+        cosine = a[k : k + 1024] @ b.T
+        best_a[k : k + 1024] = cosine.max(1)
+        np.maximum(best_b, cosine.max(0), out=best_b)
+    mean = lambda x, w: float((x * w).sum() / w.sum()) if w.sum() > 0 else 0.0
+    return mean(best_a, wa), mean(best_b, wb)
+
+
+def _vectors_of(lists: pa.Array, k: int) -> np.ndarray:
+    rows = lists[k].values
+    if rows is None or not len(rows):
+        return np.zeros((0, 0))
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+
+
+@F.arrow_udf(MATCH)
+def _token_match(a: pa.Array, b: pa.Array, wa: pa.Array, wb: pa.Array) -> pa.Array:
+    out = []
+    for k in range(len(a)):
+        x, y = _vectors_of(a, k), _vectors_of(b, k)
+        if not len(x) or not len(y):
+            out.append((0.0, 0.0, 0.0))
+            continue
+        weight = lambda w, n: np.ones(n) if w[k].values is None else w[k].values.to_numpy(zero_copy_only=False).astype(np.float64)  # noqa: B023, E731
+        p, r = _greedy(x, y, weight(wa, len(x)), weight(wb, len(y)))
+        out.append((p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0))
+    p, r, f = zip(*out) if out else ((), (), ())
+    return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in (p, r, f)], names=["precision", "recall", "f1"])
+
+
+def token_match(pred: Column | str, ref: Column | str, pred_weights: Column | str | None = None, ref_weights: Column | str | None = None, baseline: float = 0.0) -> Column:
+    """precision, recall, f1 by greedy matching of token vectors (array<array>), as models score texts: each token counts with its best
+    cosine on the other side, weighted (by idf, say; none: alike). baseline: scores are scaled so that it becomes 0. A side without
+    tokens scores 0."""
+    none = F.lit(None).cast("array<double>")
+    col = lambda c: none if c is None else F.col(c) if isinstance(c, str) else c
+    found = _token_match(col(pred), col(ref), col(pred_weights), col(ref_weights))
+    if not baseline:
+        return found
+    return F.struct(*[((found[k] - baseline) / (1 - baseline)).alias(k) for k in ("precision", "recall", "f1")])
+
+
+def idf_weights(tokens: DataFrame, key: str, token: str) -> DataFrame:
+    """token, idf over a corpus of references: log((n + 1) / (df + 1))."""
+    n = tokens.agg(F.count_distinct(key).alias("_n"))
+    return tokens.select(key, token).distinct().groupBy(token).agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(n)).select(token, F.log((F.col("_n") + 1) / (F.col("_df") + 1)).alias("idf"))  # one row

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.payloads import valid_synthesis
 from quillspark.functions.text import clean_text, strip
+from quillspark.sources import readers
 
 # The texts of the prompts.
 INSTRUCTION = (
@@ -46,6 +50,33 @@ def encoded(df: DataFrame, make: Callable[[], Encoder], column: str, out: str, p
     return df.withColumn(out, run(column))
 
 
+#: Image paths that may be broadcast to the scan.
+BROADCAST_PATHS = 100_000
+
+
+def image_vectors(rows: DataFrame, folders: list[str], make: Callable[[], Encoder], name: str = "image_id", out: str = "vector", batch: int = 64) -> DataFrame:
+    """rows with image_path, the vector of the image and has_image. Image files below the folders are scanned once, those that rows
+    name are encoded in batches by an injected encoder of bytes, once each, and vectors, not images, are joined to the rows; a row
+    whose image is missing or can't be read has none."""
+    spark = rows.sparkSession
+    named = readers.find_images(rows, readers.image_index(spark, folders), name)
+    wanted = named.select(F.col("image_path").alias("path")).filter("path is not null").distinct()
+    parts = [spark.read.format("binaryFile").option("pathGlobFilter", readers.IMAGE_GLOB).option("recursiveFileLookup", "true").load(f).select("path", "content") for f in folders]
+    scanned = reduce(DataFrame.unionByName, parts).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_PATHS else wanted, "path", "left_semi")
+
+    def predictor() -> Callable:
+        encoder = make()
+
+        def predict(content: np.ndarray) -> np.ndarray:
+            return np.asarray(encoder([bytes(x) for x in content]), np.float32)
+
+        return predict
+
+    encode = predict_batch_udf(predictor, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
+    vectors = scanned.filter(F.octet_length("content") > 0).select(F.col("path").alias("image_path"), encode("content").alias(out))
+    return named.join(vectors, "image_path", "left").select(*rows.columns, "image_path", out, F.col(out).isNotNull().alias("has_image"))
+
+
 class Transient(Exception):
     """What a client raises when the same call may work later."""
 

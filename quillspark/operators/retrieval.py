@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -155,16 +157,20 @@ def fill_up(hits: DataFrame, queries: DataFrame, index: DataFrame, query: str, d
     return hits.unionByName(more.select(query, doc, F.lit(0.0).alias("score"), (F.col("_n") + F.col("_at") + 1).cast(dict(hits.dtypes)["rank"]).alias("rank")))
 
 
-def tfidf_search(queries: DataFrame, index: DataFrame, query: str, doc: str, text: str, k: int = 1, bigrams: bool = True, sublinear: bool = True, max_df: float | None = 0.95, strip: bool = True, exclude_same: bool = False, fill: bool = False) -> DataFrame:
+def tfidf_search(queries: DataFrame, index: DataFrame, query: str, doc: str, text: str, k: int | None = 1, bigrams: bool = True, sublinear: bool = True, max_df: float | None = 0.95, strip: bool = True, exclude_same: bool = False, fill: bool = False) -> DataFrame:
     """query, doc, score, rank of the k best index texts; weights come from the index alone. exclude_same: no pairs of equal ids. fill:
-    every query gets k rows, those without a shared term with score 0."""
+    every query gets k rows, those without a shared term with score 0. k None: the scores of all pairs that share a term."""
     spark = index.sparkSession
     both = index.select(F.lit(True).alias("_index"), F.col(doc).alias("_id"), F.col(text).alias("_text")).unionByName(queries.select(F.lit(False).alias("_index"), F.col(query).alias("_id"), F.col(text).alias("_text")))
     counted = stored(terms(both, ["_index", "_id"], "_text", bigrams, strip), "terms")
     n_docs = index.count()
     table = idf(counted.filter("_index"), spark.range(1).select(F.lit(n_docs).alias("n")), max_df)
     weighted = stored(weights(counted, table, ["_index", "_id"], sublinear), "weights")
-    scores = pruned_scores(weighted.filter("not _index").select(F.col("_id").alias(query), "term", "w"), weighted.filter("_index").select(F.col("_id").alias(doc), "term", "w"), query, doc, k, n_docs, exclude_same)
+    sides = weighted.filter("not _index").select(F.col("_id").alias(query), "term", "w"), weighted.filter("_index").select(F.col("_id").alias(doc), "term", "w")
+    if k is None:
+        every = sparse_scores(*sides, query, doc)
+        return every.filter(F.col(query) != F.col(doc)) if exclude_same else every
+    scores = pruned_scores(*sides, query, doc, k, n_docs, exclude_same)
     hits = top_k(scores, query, doc, k).select(query, doc, "score", "rank")
     return fill_up(hits, queries, index, query, doc, k, exclude_same) if fill else hits
 
@@ -312,6 +318,66 @@ def fuse(scores: DataFrame, text: str, visual: str, scope: list[str], alpha: flo
     return both.withColumn("score", fused if query_has_image is None else F.when(query_has_image, fused).otherwise(F.col("_t01"))).drop("_v", "_t01", "_v01")
 
 
+#: Parts of a query's documents whose envelopes are found apart.
+ENVELOPE_PARTS = 64
+
+
+def _envelope(t: np.ndarray, v: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Rows whose line v + alpha * (t - v) is on top of all for some alpha from 0 to 1; of equal lines the one of the least doc."""
+    slope = t - v
+    order = np.lexsort((doc, -v, slope))
+    order = order[np.concatenate([[True], slope[order][1:] != slope[order][:-1]])] if len(order) else order
+    top: list[int] = []
+    from_ = []
+    for i in order.tolist():
+        while top:
+            # where line i comes to the line on top
+            x = (v[top[-1]] - v[i]) / (slope[i] - slope[top[-1]])
+            if x > from_[-1]:
+                break
+            top.pop()
+            from_.pop()
+        if not top:
+            top.append(i)
+            from_.append(0.0)
+        elif x <= 1:
+            top.append(i)
+            from_.append(x)
+    return np.array(top, np.int64)
+
+
+def best_at_any_alpha(scores: DataFrame, query: str, doc: str, text: str, visual: str) -> DataFrame:
+    """query, doc, text, visual: the few documents of each query that win at some alpha of alpha * text + (1 - alpha) * visual, so that
+    every alpha comes from one pass over the scores. The upper envelope of the documents' lines is found by parts, then of the parts."""
+    kept = scores.select(query, doc, F.coalesce(text, F.lit(0.0)).cast("double").alias(text), F.coalesce(visual, F.lit(0.0)).cast("double").alias(visual))
+
+    names = kept.columns
+
+    def tops(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.iloc[_envelope(rows[text].to_numpy(), rows[visual].to_numpy(), rows[doc].to_numpy())] if len(rows) else rows
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.concat([tops(g) for _, g in f.groupby(query, sort=False, dropna=False)]) if len(f) else f
+
+    few = kept.mapInPandas(partial, kept.schema)
+    parts = few.groupBy(query, F.pmod(F.xxhash64(doc), F.lit(ENVELOPE_PARTS)).alias("_part")).applyInPandas(lambda g: tops(g[names]), kept.schema)
+    return parts.groupBy(query).applyInPandas(tops, kept.schema)
+
+
+def alpha_sweep(scores: DataFrame, query: str, doc: str, text: str, visual: str, alphas: list[float]) -> DataFrame:
+    """query, alpha, doc, score: the winner of each query at each alpha, of equal scores the least doc. At 0 and 1 whole rows of documents
+    may tie, so their winners are taken from the scores themselves."""
+    tops = best_at_any_alpha(scores, query, doc, text, visual)
+    for end, column in ((0.0, visual), (1.0, text)):
+        if end in alphas:
+            tops = tops.unionByName(top_k(scores.select(query, doc, F.coalesce(text, F.lit(0.0)).cast("double").alias(text), F.coalesce(visual, F.lit(0.0)).cast("double").alias(visual)), query, doc, 1, column, None).select(tops.columns))
+    tops = tops.distinct().withColumn("alpha", F.explode(F.lit(alphas)))
+    told = tops.withColumn("score", F.col("alpha") * F.col(text) + (1 - F.col("alpha")) * F.col(visual))
+    first = Window.partitionBy(query, "alpha").orderBy(F.desc("score"), doc)
+    return told.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(query, "alpha", doc, "score")
+
+
 # --------------------------------------------------------------------------- uses
 def context_arrays(hits: DataFrame, index: DataFrame, query: str, doc: str, fields: list[str]) -> DataFrame:
     """query, contexts: hits in rank order with fields of the index."""
@@ -336,3 +402,20 @@ def enriched_hits(hits: DataFrame, cases: DataFrame, query: str, doc: str, field
 def point_lookup(cases: DataFrame, key: str, value: object, order: str) -> DataFrame:
     """The case of the id, the last one of several."""
     return cases.filter(F.col(key) == F.lit(value)).orderBy(F.desc(order)).limit(1)
+
+
+# --------------------------------------------------------------------------- backends
+#: Search by name: queries and index with columns query, doc, text, vector; more may be put in.
+BACKENDS: dict[str, Callable[..., DataFrame]] = {
+    "tfidf": lambda queries, index, k: tfidf_search(queries, index, "query", "doc", "text", k),
+    "tfidf_service": lambda queries, index, k: tfidf_search(queries, index, "query", "doc", "text", k, bigrams=False, sublinear=False, max_df=None, strip=False, fill=True),
+    "dense": lambda queries, index, k: dense_search(queries, index, "query", "doc", "vector", k),
+}
+
+
+def backend(name: str, default: str = "tfidf") -> Callable[..., DataFrame]:
+    """The search of a name (empty: the default); an unknown one raises."""
+    wanted = name or default
+    if wanted not in BACKENDS:
+        raise ValueError(f"no backend {wanted!r}; there are {', '.join(sorted(BACKENDS))}")
+    return BACKENDS[wanted]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import clean_text, length_bucket, normalize_text
+from quillspark.functions.text import clean_text, length_bucket, normalize_text, word_count
 
 
 def means(rows: DataFrame, by: list[str], metrics: list[str], total: str | None = None) -> DataFrame:
@@ -221,3 +221,26 @@ def winner(rows: DataFrame, split: str, metric: str, tie: str) -> DataFrame:
 def latency(rows: DataFrame, by: list[str], seconds: str) -> DataFrame:
     q = quantiles(rows, by, seconds, [0.5, 0.95])
     return rows.groupBy(*by).agg(F.avg(seconds).alias("mean_s"), F.sum(seconds).alias("total_s")).join(q, by, "left").select(*by, "mean_s", "total_s", F.get("q", F.lit(0)).alias("p50_s"), F.get("q", F.lit(1)).alias("p95_s"))
+
+
+# --------------------------------------------------------------------------- tables behind charts
+def trade_off(wide: DataFrame, by: str, methods: list[str], x: str, y: str, digits: int) -> DataFrame:
+    """by, method, n, x, y, correlation: mean of two metrics a method, and how they go together over its rows."""
+    points = F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"{m}_{x}").cast("double").alias("x"), F.col(f"{m}_{y}").cast("double").alias("y")) for m in methods])
+    long = wide.select(by, F.explode(points).alias("p")).select(by, "p.*")
+    return long.groupBy(by, "method").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), digits).alias("x"), F.round(F.avg("y"), digits).alias("y"), F.round(F.corr("x", "y"), digits).alias("correlation"))
+
+
+def length_alignment(rows: DataFrame, by: str, predicted: str, reference: str, digits: int) -> DataFrame:
+    """by, n, mean lengths in words, mean ratio (references without words left out), and how many are shorter and longer."""
+    a, b = word_count(predicted), word_count(reference)
+    long = rows.select(by, a.alias("a"), b.alias("b"))
+    return long.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a"), digits).alias("mean_pred"), F.round(F.avg("b"), digits).alias("mean_ref"), F.round(F.avg(F.when(F.col("b") > 0, F.col("a") / F.col("b"))), digits).alias("mean_ratio"), F.count_if(F.col("a") < F.col("b")).alias("shorter"), F.count_if(F.col("a") > F.col("b")).alias("longer"))
+
+
+def training_curve(log: DataFrame, run: str, step: str, value: str, width: int, digits: int) -> DataFrame:
+    """run, bin, first_step, last_step, n, value, best: means over bins of `width` steps, and the least mean so far. The window goes over
+    bins, which a run has few of."""
+    bins = log.groupBy(run, F.floor(F.col(step) / width).cast("long").alias("bin")).agg(F.min(step).alias("first_step"), F.max(step).alias("last_step"), F.count(F.lit(1)).alias("n"), F.avg(value).alias(value))
+    best = F.min(value).over(Window.partitionBy(run).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    return bins.withColumn("best", F.round(best, digits)).withColumn(value, F.round(value, digits))

@@ -169,7 +169,7 @@ def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text and image search fused over the whole matrix of a small index: every question against every training case."""
     rows = answered(spark, sf_dir)
     q, d = rows.filter("split <> 'train'").select(F.col("conv_id").alias("q"), "question"), rows.filter("split = 'train'").select(F.col("conv_id").alias("doc"), "question")
-    hits = retrieval.tfidf_search(q, d, "q", "doc", "question", 1 << 30).select("q", "doc", F.col("score").alias("t"))
+    hits = retrieval.tfidf_search(q, d, "q", "doc", "question", None).select("q", "doc", F.round("score", 6).alias("t"))
     seen = table(spark, sf_dir, "embeddings").filter("vec_id % 3 <> 0")
     pairs = q.select("q").crossJoin(d.select("doc")).join(hits, ["q", "doc"], "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
     scored = retrieval.dense_scores(seen.withColumnRenamed("vec_id", "q"), seen.withColumnRenamed("vec_id", "doc"), "q", "doc", "embedding", pairs).withColumnRenamed("score", "v")
@@ -177,14 +177,14 @@ def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(fused, "q", "doc", 1).select("q", "doc", "score")
 
 
-_MEAN = ", ".join(f"round(coalesce(avg(CASE WHEN vec_id % 4 <> 3 AND vec_id < 400 THEN CAST(embedding[{i + 1}] AS DOUBLE) END), 0), 6) AS v{i}" for i in (0, 9, 63))
+_MEAN = ", ".join(f"round(coalesce(avg(CASE WHEN vec_id % 4 <> 3 AND vec_id // 5 % 6 <> 0 THEN CAST(embedding[{i + 1}] AS DOUBLE) END), 0), 6) AS v{i}" for i in (0, 9, 63))
 
 
-@query(f"SELECT vec_id // 5 AS conv, count(CASE WHEN vec_id % 4 <> 3 AND vec_id < 400 THEN 1 END) > 0 AS has_image, {_MEAN} FROM embeddings GROUP BY 1")
+@query(f"SELECT vec_id // 5 AS conv, count(CASE WHEN vec_id % 4 <> 3 AND vec_id // 5 % 6 <> 0 THEN 1 END) > 0 AS has_image, {_MEAN} FROM embeddings GROUP BY 1")
 def case_mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean vector of a case's images; zeros and a flag where none has one."""
     k = F.col("vec_id")
-    e = table(spark, sf_dir, "embeddings").select(F.floor(k / 5).cast("long").alias("conv"), F.when((k % 4 != 3) & (k < 400), F.col("embedding")).alias("embedding"))
+    e = table(spark, sf_dir, "embeddings").select(F.floor(k / 5).cast("long").alias("conv"), F.when((k % 4 != 3) & (F.floor(k / 5) % 6 != 0), F.col("embedding")).alias("embedding"))
     out = retrieval.case_mean_vectors(e, "conv", "embedding", 64)
     return out.select("conv", "has_image", *[F.round(F.get("embedding", F.lit(i)), 6).alias(f"v{i}") for i in (0, 9, 63)])
 

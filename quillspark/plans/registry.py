@@ -6,9 +6,9 @@ from functools import wraps
 
 from quillspark.shipping import ship_code
 
-from . import queries_corpus, queries_metrics, queries_retrieval, queries_rules, queries_service, queries_sources
+from . import queries_corpus, queries_metrics, queries_models, queries_retrieval, queries_rules, queries_service, queries_sources
 
-_MODULES = (queries_retrieval, queries_corpus, queries_metrics, queries_rules, queries_service, queries_sources)
+_MODULES = (queries_retrieval, queries_corpus, queries_metrics, queries_rules, queries_service, queries_sources, queries_models)
 
 
 def _shipped(f):

@@ -413,6 +413,74 @@ def test_heavy_terms_are_not_joined(spark, monkeypatch):
     assert needed.filter("needed and term = 'common'").count() == 0
 
 
+def test_alpha_sweep_against_all_scores(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    rows = [(k % 5, k, rng.choice([None, 0.0, 0.5, rng.random()]), rng.choice([None, 1.0, rng.random()])) for k in range(600)]
+    alphas = [0.0, 0.1, 0.33, 0.5, 0.77, 1.0]
+    df = spark.createDataFrame(rows, "q int, d int, t double, v double").repartition(3)
+    want = {}
+    for q, d, t, v in rows:
+        for a in alphas:
+            want[q, a] = min(want.get((q, a), (9, 0)), (-(a * (t or 0.0) + (1 - a) * (v or 0.0)), d))
+    assert {(r.q, r.alpha): (-r.score, r.d) for r in retrieval.alpha_sweep(df, "q", "d", "t", "v", alphas).collect()} == want
+    assert retrieval.best_at_any_alpha(df, "q", "d", "t", "v").count() < 100
+    with pytest.raises(ValueError, match="no backend"):
+        retrieval.backend("none")
+
+
+def test_token_match(spark):
+    import numpy as np
+
+    from quillspark.functions import metrics
+
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=(int(rng.integers(0, 6)), 3)).tolist(), rng.normal(size=(int(rng.integers(0, 2000 if k == 0 else 6)), 3)).tolist()) for k in range(20)]
+    df = spark.createDataFrame(rows, "k int, a array<array<double>>, b array<array<double>>")
+    got = {r.k: r.m for r in df.select("k", metrics.token_match("a", "b").alias("m")).collect()}
+    for k, a, b in rows:
+        if not a or not b:
+            assert got[k].f1 == 0
+            continue
+        x, y = (np.array(v) / np.linalg.norm(v, axis=1)[:, None] for v in (a, b))
+        p, r = (x @ y.T).max(1).mean(), (x @ y.T).max(0).mean()
+        assert (got[k].precision, got[k].recall) == pytest.approx((p, r))
+    one = df.filter("k = 3").select(metrics.token_match("a", "a", F.transform("a", lambda _: F.lit(2.0)), baseline=0.5).alias("m")).first().m
+    assert not rows[3][1] or one.f1 == pytest.approx(1)
+    tokens = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b")], "k int, t string")
+    assert {r.t: round(r.idf, 6) for r in metrics.idf_weights(tokens, "k", "t").collect()} == {"a": 0.0, "b": round(math.log(3 / 2), 6)}
+
+
+def test_table_functions(spark):
+    from quillspark.functions import tables
+
+    class Longest:
+        def __init__(self):
+            self.n = []
+
+        def add(self, text, vector):
+            self.n.append(len(text or ""))
+
+        def scores(self, text, vector):
+            import numpy as np
+
+            return np.array(self.n, float)
+
+    tables.register(spark, {"longest": Longest})
+    spark.createDataFrame([("index", 1, "red blue", [1.0, 0.0]), ("index", 2, "red", None), ("index", 3, None, [0.0, 1.0]), ("query", 9, "RED sky", [0.5, 2.0])], "side string, id long, text string, vector array<float>").createOrReplaceTempView("rows_here")
+    ask = lambda k, b: [tuple(r) for r in spark.sql(f"SELECT * FROM quill_search(TABLE(SELECT * FROM rows_here) WITH SINGLE PARTITION ORDER BY (side), k => {k}, backend => '{b}')").collect()]
+    assert ask(2, "dense") == [(9, 3, 2.0, 1), (9, 1, 0.5, 2)]
+    assert ask(2, "tokens") == [(9, 1, 0.5, 1), (9, 2, 0.5, 2)] and ask(1, "longest") == [(9, 1, 8.0, 1)]
+    for bad in ("k => 0, backend => 'dense'", "k => 1, backend => 'none'"):
+        with pytest.raises(Exception, match="k must|no backend"):
+            spark.sql(f"SELECT * FROM quill_search(TABLE(SELECT * FROM rows_here) WITH SINGLE PARTITION ORDER BY (side), {bad})").collect()
+    spark.createDataFrame([(1, ["a", None]), (2, []), (3, None)], "k int, xs array<string>").createOrReplaceTempView("lists_here")
+    assert sorted(map(tuple, spark.sql("SELECT * FROM quill_expand(TABLE(lists_here), 'xs', 'x')").collect()), key=str) == [(1, 0, "a"), (1, 1, None), (2, None, None), (3, None, None)]
+    with pytest.raises(Exception, match="no array"):
+        spark.sql("SELECT * FROM quill_expand(TABLE(lists_here), 'k')").collect()
+
+
 def test_reruns_and_attached_keys_must_be_unique(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     twice = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
