@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import clean_text, length_bucket, normalize_text, word_count
+from quillspark.storage import stored
 
 
 def means(rows: DataFrame, by: list[str], metrics: list[str], total: str | None = None) -> DataFrame:
@@ -88,30 +89,34 @@ def stratified(rows: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
     return rows.withColumn("_d", F.explode(pairs)).select("_d.*", *rows.columns)
 
 
+def by_dimension(rows: DataFrame, dimensions: dict[str, Column], aggregates: list[Column], overall: bool = False) -> DataFrame:
+    """dimension, stratum and aggregates for every stratum of every dimension (and over all rows), by grouping sets: the rows are
+    computed and read once."""
+    named = {f"_{k}": c.cast("string") for k, c in dimensions.items()}
+    sets = [[F.col(k)] for k in named] + ([[]] if overall else [])
+    grouped = rows.withColumns(named).groupingSets(sets, *[F.col(k) for k in named]).agg(*aggregates, *[F.grouping(k).alias(f"{k}_off") for k in named])
+    dimension = F.coalesce(*[F.when(F.col(f"_{k}_off") == 0, F.lit(k)) for k in dimensions], F.lit("overall"))
+    stratum = F.when(F.lit(False), F.lit(""))
+    for k in dimensions:
+        stratum = stratum.when(F.col(f"_{k}_off") == 0, F.col(f"_{k}"))
+    return grouped.withColumns({"dimension": dimension, "stratum": stratum.otherwise(F.lit("all"))}).drop(*named, *[f"{k}_off" for k in named])
+
+
 def strata_means(wide: DataFrame, dimensions: dict[str, Column], methods: list[str], metrics: list[str]) -> DataFrame:
     """dimension, stratum, method, n, mean of each metric and of the mean score."""
     names = [*metrics, "mean_score"]
-    out = []
-    for k, c in dimensions.items():  # one aggregate a dimension, a column for each method and metric, turned into rows after it
-        per = wide.groupBy(c.cast("string").alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"{m}_{x}").alias(f"{m}_{x}") for m in methods for x in names])
-        rows = F.array(*[F.struct(F.lit(m).alias("method"), *[F.col(f"{m}_{x}").alias(x) for x in names]) for m in methods])
-        out.append(per.select(F.lit(k).alias("dimension"), "stratum", "n", F.explode(rows).alias("_m")).select("dimension", "stratum", "_m.method", "n", *[f"_m.{x}" for x in names]))
-    return reduce(DataFrame.unionByName, out)
+    # a column for each method and metric, turned into rows after the aggregate
+    per = by_dimension(wide, dimensions, [F.count(F.lit(1)).alias("n"), *[F.avg(f"{m}_{x}").alias(f"{m}_{x}") for m in methods for x in names]])
+    rows = F.array(*[F.struct(F.lit(m).alias("method"), *[F.col(f"{m}_{x}").alias(x) for x in names]) for m in methods])
+    return per.select("dimension", "stratum", "n", F.explode(rows).alias("_m")).select("dimension", "stratum", "_m.method", "n", *[f"_m.{x}" for x in names])
 
 
 def effects(wide: DataFrame, columns: dict[str, str], dimensions: dict[str, Column]) -> DataFrame:
     """effect, dimension, stratum, n, mean, median and positive rate of each paired difference; overall rows besides."""
-    if is_small(wide):
-        out = []
-        for k, c in ({"overall": F.lit("all")} | dimensions).items():
-            told = lambda d: [F.avg(d).alias(f"{d}_a"), F.median(d).alias(f"{d}_m"), F.avg((F.col(d) > 0).cast("double")).alias(f"{d}_r")]
-            per = wide.groupBy(c.cast("string").alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *[x for d in columns.values() for x in told(d)])
-            rows = F.array(*[F.struct(F.lit(e).alias("effect"), F.col(f"{d}_a").alias("mean_delta"), F.col(f"{d}_m").alias("median_delta"), F.col(f"{d}_r").alias("positive_rate")) for e, d in columns.items()])
-            out.append(per.select(F.lit(k).alias("dimension"), "stratum", "n", F.explode(rows).alias("_e")).select("_e.effect", "dimension", "stratum", "n", "_e.mean_delta", "_e.median_delta", "_e.positive_rate"))
-        return reduce(DataFrame.unionByName, out)
     parts = F.array(*[F.struct(F.lit(k).alias("effect"), F.col(c).cast("double").alias("d")) for k, c in columns.items()])
-    # differences repeat, so counts of (strata, difference) are few; every dimension is summed from them
-    cells = wide.select(*[c.cast("string").alias(f"_{k}") for k, c in dimensions.items()], F.explode(parts).alias("_e")).groupBy(*[f"_{k}" for k in dimensions], F.col("_e.effect").alias("effect"), F.col("_e.d").alias("d")).agg(F.count(F.lit(1)).alias("c"))
+    strata = wide.select(*[c.cast("string").alias(f"_{k}") for k, c in dimensions.items()], F.explode(parts).alias("_e"))
+    # differences repeat, so (strata, difference) are counted once, and every dimension is summed from the counts
+    cells = stored(strata.groupBy(*[f"_{k}" for k in dimensions], F.col("_e.effect").alias("effect"), F.col("_e.d").alias("d")).agg(F.count(F.lit(1)).alias("c")), "cells")
     long = stratified(cells, {"overall": F.lit("all")} | {k: F.col(f"_{k}") for k in dimensions}).groupBy("effect", "dimension", "stratum", "d").agg(F.sum("c").alias("c"))
     by = ["effect", "dimension", "stratum"]
     n = F.sum("c")
@@ -133,37 +138,28 @@ def length_stratum(n: Column) -> Column:
 RANK_BINS, RANK_ACCURACY = 64, 1000
 
 
-#: Estimated bytes up to which a group's values may be held in one aggregate's buffer.
-SMALL_BYTES = 256 << 20
-
-
-def is_small(rows: DataFrame) -> bool:
-    """Whether the planner's estimate of the rows' size is within SMALL_BYTES; joins are estimated high, so a doubt says no."""
-    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL_BYTES
-
-
 def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], how: str = "linear", count: str | None = None) -> DataFrame:
     """by, q: exact quantiles of a group's values (nulls and not-a-numbers left out), interpolated ("linear") or the value of the upper
     rank ("higher"). `count`: rows that a row stands for.
 
-    Small tables take the built-in aggregate. Beyond that no task holds a group's values: equal values are counted first, values
-    go to bins with about as many of them each, the counts of the bins give the rank at which each begins, and only the
-    values at the ranks asked for are kept.
+    No task holds a group's values: equal values are counted first, values go to bins with about as many of them each, the counts of
+    the bins give the rank at which each begins, and only the bins that hold a rank asked for are sorted. A group without
+    values has a null.
     """
-    if how == "linear" and is_small(rows):
-        known = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
-        return rows.groupBy(*by).agg((F.percentile(known, shares, F.col(count)) if count else F.percentile(known, shares)).alias("q"))
     there = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counted = there.groupBy(*by, F.col(value).cast("double").alias("_v")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("_c"))
+    counted = stored(there.groupBy(*by, F.col(value).cast("double").alias("_v")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("_c")), "values")
     cuts = counted.agg(F.percentile_approx("_v", [k / RANK_BINS for k in range(1, RANK_BINS)], RANK_ACCURACY)).first()[0] or []  # RANK_BINS numbers
     bounds = sorted(set(cuts))
     placed = counted.withColumn("_bin", F.size(F.filter(F.lit(bounds), lambda c: c < F.col("_v"))) if bounds else F.lit(0))
     bins = placed.groupBy(*by, "_bin").agg(F.sum("_c").alias("_s"))
     before = F.sum("_s").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))  # RANK_BINS rows a group
-    starts = bins.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_n", F.sum("_s").over(Window.partitionBy(*by))).drop("_s")
-    inside = F.sum("_c").over(Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = placed.withColumn("_upto", inside).join(starts, [*by, "_bin"]).withColumn("_last", F.col("_before") + F.col("_upto") - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    starts = bins.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_n", F.sum("_s").over(Window.partitionBy(*by)))
     place = (lambda s: F.lit(s) * (F.col("_n") - 1)) if how == "linear" else (lambda s: F.floor(F.lit(s) * F.col("_n")).cast("double"))
+    holds = reduce(lambda a, b: a | b, [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_s")) for s in shares for r in (F.floor(place(s)), F.ceil(place(s)))])
+    starts = starts.filter(holds).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_at"), "_before", "_n")
+    same = reduce(lambda a, b: a & b, [F.col("_bin") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]])
+    inside = F.sum("_c").over(Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.join(starts, same).withColumn("_upto", inside).withColumn("_last", F.col("_before") + F.col("_upto") - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
     at = lambda rank: (F.col("_first") <= rank) & (rank <= F.col("_last"))
     picked = []
     for i, s in enumerate(shares):

@@ -314,16 +314,16 @@ def test_upserts_rewrite_touched_buckets_alone(spark, tmp_path, monkeypatch):
     assert commits.Table(spark, str(tmp_path / "none"), "k int", ["k"]).read().count() == 0
 
 
-@pytest.mark.parametrize("small", [1 << 40, -1])
-def test_quantiles_of_both_ways(spark, monkeypatch, small):
+@pytest.mark.parametrize("bins", [64, 3, 1])
+def test_quantiles(spark, monkeypatch, bins):
     import numpy as np
 
-    monkeypatch.setattr(rollup, "SMALL_BYTES", small)
+    monkeypatch.setattr(rollup, "RANK_BINS", bins)
     rng = np.random.default_rng(3)
-    rows = [(k % 3, float(v)) for k, v in enumerate(rng.integers(0, 40, 500) / 8)] + [(0, None), (1, float("nan")), (5, 2.0)]
+    rows = [(k % 3, float(v)) for k, v in enumerate(rng.integers(0, 40, 500) / 8)] + [(0, None), (1, float("nan")), (5, 2.0), (None, 3.0), (None, 4.0)]
     df = spark.createDataFrame(rows, "g int, v double")
     got = {r.g: r.q for r in rollup.quantiles(df, ["g"], "v", [0.0, 0.3, 0.5, 1.0]).collect()}
-    for g in (0, 1, 2, 5):
+    for g in (0, 1, 2, 5, None):
         assert got[g] == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None and not math.isnan(v)], [0.0, 0.3, 0.5, 1.0]).tolist())
     every = sorted(v for _, v in rows if v is not None and not math.isnan(v))
     assert rollup.quantiles(df, [], "v", [0.5], "higher").first().q[0] == every[len(every) // 2]
@@ -331,10 +331,11 @@ def test_quantiles_of_both_ways(spark, monkeypatch, small):
     assert {r.g: r.q for r in rollup.quantiles(counted, ["g"], "v", [0.5], count="n").collect()}[0] == pytest.approx([got[0][2]])
 
 
-@pytest.mark.parametrize("small", [1 << 40, -1])
-def test_effects_of_both_ways(spark, monkeypatch, small):
-    monkeypatch.setattr(rollup, "SMALL_BYTES", small)
+def test_effects_and_strata(spark):
     df = spark.createDataFrame([(1, "a", 0.5), (2, "a", -1.0), (3, "b", 0.0), (4, "b", 2.0), (5, "b", 2.0)], "k int, s string, d double")
+    wide = df.select("k", "s", F.col("d").alias("m_x"), (F.col("d") * 2).alias("m_mean_score")).unionByName(spark.createDataFrame([(6, None, 1.0, 3.0)], "k int, s string, m_x double, m_mean_score double"))
+    rows = {(r.dimension, r.stratum): (r.method, r.n, r.x, r.mean_score) for r in rollup.strata_means(wide, {"by": F.col("s"), "odd": F.col("k") % 2}, ["m"], ["x"]).collect()}
+    assert rows == {("by", "a"): ("m", 2, -0.25, -0.5), ("by", "b"): ("m", 3, pytest.approx(4 / 3), pytest.approx(8 / 3)), ("by", None): ("m", 1, 1.0, 3.0), ("odd", "1"): ("m", 3, pytest.approx(2.5 / 3), pytest.approx(5 / 3)), ("odd", "0"): ("m", 3, pytest.approx(2 / 3), pytest.approx(5 / 3))}
     got = {(r.dimension, r.stratum): (r.n, r.mean_delta, r.median_delta, r.positive_rate) for r in rollup.effects(df, {"e": "d"}, {"by": F.col("s")}).collect()}
     assert got == {("overall", "all"): (5, pytest.approx(0.7), 0.5, 0.6), ("by", "a"): (2, -0.25, -0.25, 0.5), ("by", "b"): (3, pytest.approx(4 / 3), 2.0, pytest.approx(2 / 3))}
 
