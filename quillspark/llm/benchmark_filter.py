@@ -5,8 +5,9 @@ keeping the longest match that ends at the word. A match of `window` words is an
 shorter than that matches as a whole. The spans so hit are removed where they pass a length or coverage limit.
 
 The automaton's size is linear in the items' words. Over MAX_ITEM_BYTES of text the items are dealt into parts by a hash of
-their id, and the documents meet one part's automaton after the other, with a written table between. Each automaton is
-built once, in a task, and read from the shared folder; items never pass through the driver.
+their id; a task then holds HELD_BYTES of its documents and streams them through one part's automaton after the other, so
+the documents are read once, and nothing is written between, whatever the number of parts. Each automaton is built once,
+in a task, and read from the shared folder; items never pass through the driver.
 
 Nulls and empty texts have no words; an item without words is ignored; items with equal texts are all reported; repeated
 rows and extra columns of documents are carried through; a very long text is streamed in parts, whole; an empty table of
@@ -19,16 +20,19 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, drop_tables, map_arrow, new_path, open_folder, raw_texts, set_aside, text_blocks, worker_object, write_table
+from .common import blocks, documents, map_arrow, new_path, open_folder, raw_texts, set_aside, worker_object, written
 
 WINDOW = 10
 #: Bytes of item text in one automaton (about 100 MB of a worker).
 MAX_ITEM_BYTES = 1 << 20
+#: Text that a task holds while the automata of several parts take turns.
+HELD_BYTES = 32 << 20
 #: Over this share of hit words a document holds little else, and its whole text goes.
 MAX_COVERAGE = 0.8
 #: A-Z to a-z; bytes that are no part of a word to a space. Every byte stays one byte, so positions are kept.
@@ -163,6 +167,7 @@ def write_automata(benchmark: DataFrame, window: int = WINDOW) -> tuple[str, lis
     """(folder, parts): one automaton for each part of the items, built in a task of its own."""
     spark = benchmark.sparkSession
     root = new_path(spark, "automata")
+    written(spark).append(root)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // MAX_ITEM_BYTES) + 1
     part = F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")
@@ -215,40 +220,42 @@ MINE = {"n_words": T.LongType(), "n_hit": T.LongType(), "spans": T.ArrayType(T.L
 Told = Callable[[pa.RecordBatch, list[bytes], list[int], list[list[tuple[int, int]]], list[list[str]]], list[pa.Array]]
 
 
+def _held(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Blocks of rows whose texts sum to about `limit` bytes."""
+    held, size = [], 0
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
+        for i, j in blocks(lengths):
+            held.append(b.slice(i, j - i))
+            size += sum(lengths[i:j])
+            if size >= limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _scan(docs: DataFrame, benchmark: DataFrame, window: int, schema: T.StructType, told: Told) -> DataFrame:
-    """docs through every part's automaton; told(rows, texts, n_words, spans, items) gives the columns of `schema` at the end."""
-    spark = docs.sparkSession
+    """docs through every part's automaton in one pass; told(rows, texts, n_words, spans, items) gives the columns of `schema`."""
     root, parts = write_automata(benchmark, window)
-    names = docs.columns
-    between = T.StructType([*docs.schema, *[T.StructField(k, t) for k, t in MINE.items()]])
-    for at, part in enumerate(parts or [None]):
-        final = at == max(len(parts) - 1, 0)
-
-        def run(batches: Iterator[pa.RecordBatch], part: int | None = part, first: bool = at == 0, final: bool = final) -> Iterator[pa.RecordBatch]:
-            auto = ItemAutomaton([], window) if part is None else worker_object(("items", root, part), lambda: read_automaton(root, part))
-            for b in batches:
-                for rows, texts in text_blocks(b):
-                    before = [((), ())] * len(texts) if first else zip(rows.column("spans").to_pylist(), rows.column("items").to_pylist())
-                    n_words, runs, ids = [], [], []
-                    for text, (old_spans, old_items) in zip(texts, before):
+    limit = HELD_BYTES if len(parts) > 1 else 1  # one automaton: block by block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches, limit):
+            found: list[list[tuple[int, list, set]]] = [[] for _ in held]
+            for part in parts or [None]:
+                auto = ItemAutomaton([], window) if part is None else worker_object(("items", root, part), lambda: read_automaton(root, part))  # noqa: B023
+                for k, rows in enumerate(held):
+                    new = []
+                    for text in raw_texts(rows.column("text")):
                         words = words_of(text)
-                        spans, found = auto.matches(words)
-                        if old_spans:
-                            spans = _merged([*spans, *zip(old_spans[::2], old_spans[1::2])])
-                        n_words.append(len(words))
-                        runs.append(spans)
-                        ids.append(sorted(found.union(old_items)))
-                    if final:
-                        yield pa.RecordBatch.from_arrays(told(rows, texts, n_words, runs, ids), names=schema.names)
-                    else:
-                        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *_columns(n_words, runs, ids)], names=between.names)
-
-        out = map_arrow(docs, run, schema if final else between)
-        if not final:
-            last, docs = docs, write_table(spark, out, "scanned")
-            if at:
-                drop_tables(spark, last)
-    return out
+                        new.append((len(words), *auto.matches(words)))
+                    found[k] = [(n, _merged([*x, *y]) if x and y else x or y, a | b) for (n, x, a), (_, y, b) in zip(found[k], new)] if found[k] else new
+            for rows, of in zip(held, found):
+                n_words, spans, items = zip(*of)
+                yield pa.RecordBatch.from_arrays(told(rows, raw_texts(rows.column("text")), list(n_words), list(spans), [sorted(x) for x in items]), names=schema.names)
+
+    return map_arrow(docs, run, schema)
 
 
 def _columns(n_words: list[int], spans: list, items: list[list[str]]) -> list[pa.Array]:
