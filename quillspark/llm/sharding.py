@@ -1,10 +1,10 @@
 """Balanced label propagation: put documents into equal shards and keep linked documents together. Native DataFrame code only.
 
 Links join documents with equal keys (here: equal texts). All members of a group stand for each other, so the graph is held
-as cells, (group, slice of doc_id hashes, size), and never as pairs: a group of a third of all rows is SLICES cells, not
-one row and not a square. Labels start from a hash; each round sums the cells of a group by shard, which is what a cell
+as cells, (group, slice of doc_id hashes, size), and never as pairs: a group of a third of all rows is thousands of cells, not
+one row and not a square, and as many more as the input has rows, so that a cell stays far smaller than a lane's room. Labels start from a hash; each round sums the cells of a group by shard, which is what a cell
 sees of its neighbours, and a group's cells move to the shard that holds most of it among those with room, until no cell
-moves any more. The room of a shard, its quota less what it holds when the round begins, is dealt to LANES lanes by hash, so
+moves any more or a round brings no more pairs together (pairs in one shard grow each round, so rounds end). The room of a shard, its quota less what it holds when the round begins, is dealt to LANES lanes by hash, so
 that the running sums which decide who still fits are over one lane each, and no shard passes its quota by moves. After
 the last round rows are counted out exactly: shards over their quota hand on their last rows, unlinked rows first, and
 shards under it take them, so counts differ by one at most (law "rows").
@@ -18,15 +18,16 @@ is read for its digest alone. Only doc_id and text are read, so extra columns do
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, drop_tables, release, write_table
 
 SHARDS = 16
-SLICES = 4096
-#: Rounds at most; propagation ends before where nothing moves.
-ROUNDS = 12
+#: Slices of a group: so many at least, and so many more that a cell of a group of all rows has CELL_ROWS.
+SLICES, CELL_ROWS = 4096, 2_500
 ROWS_PER_LANE = 20_000
 
 
@@ -45,15 +46,22 @@ def _slot_of(cells: DataFrame, lanes: int) -> DataFrame:
     return cells.withColumn("lane", F.pmod(F.xxhash64("group", "slice"), F.lit(lanes)))
 
 
-def propagate(cells: DataFrame, shards: int, total: int, rounds: int = ROUNDS) -> DataFrame:
-    """cells(group, slice, n) with their shard once nothing moves, or after the given rounds; no shard passes its quota by moves."""
+def slices_of(total: int) -> int:
+    return max(SLICES, -(-total // CELL_ROWS))
+
+
+def propagate(cells: DataFrame, shards: int, total: int, rounds: int | None = None) -> DataFrame:
+    """cells(group, slice, n) with their shard once nothing moves or no more pairs come together, or after the given rounds; no shard
+    passes its quota by moves."""
     spark = cells.sparkSession
     quota = total // shards
     lanes = max(1, total // (ROWS_PER_LANE * shards))
     names = ["group", "slice", "n", "lane", "shard"]
     state = write_table(spark, _slot_of(cells, lanes).withColumn("shard", F.pmod(F.xxhash64(F.lit(17), "group", "slice"), F.lit(shards)).cast("int")).select(*names), "labels")
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
-    for r in range(rounds):
+    together = lambda df: df.groupBy("group", "shard").agg(F.sum("n").cast("double").alias("w")).agg(F.coalesce(F.sum(F.col("w") * F.col("w")), F.lit(0.0))).first()[0]
+    score = together(state)
+    for r in count() if rounds is None else range(rounds):
         held = state.groupBy("shard").agg(F.sum("n").alias("held"))
         room = F.broadcast(every.join(held, "shard", "left").select("shard", (F.lit(quota) - F.coalesce("held", F.lit(0))).alias("free")))  # one row a shard
         # what each group holds in each shard, at most `shards` rows a group, as a cell sees its neighbours: ties by a hash that turns
@@ -72,8 +80,12 @@ def propagate(cells: DataFrame, shards: int, total: int, rounds: int = ROUNDS) -
             drop_tables(spark, moves)
             break
         new = write_table(spark, state.join(moves, ["group", "slice"], "left").withColumn("shard", F.coalesce("to", "shard")).select(*names), "labels")
+        now = together(new)
+        if now <= score:
+            drop_tables(spark, new, moves)
+            break
         drop_tables(spark, state, moves)
-        state = new
+        state, score = new, now
     return state
 
 
@@ -93,12 +105,13 @@ def _numbered(rows: DataFrame, lanes: int, order: list, by: str = "shard") -> Da
     return inside.join(before, [by, "band", "lane"]).withColumn("rank", F.col("before") + F.col("r") - 1).drop("before", "r", "lane")
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: law "rows")."""
     spark = docs.sparkSession
-    rows = write_table(spark, measured(docs).withColumn("slice", F.pmod("spread", F.lit(SLICES))), "rows")
-    cells = rows.groupBy("group", "slice").agg(F.count(F.lit(1)).alias("n"))
+    rows = write_table(spark, measured(docs), "rows")
     total = rows.count()
+    rows = rows.withColumn("slice", F.pmod("spread", F.lit(slices_of(total))))
+    cells = rows.groupBy("group", "slice").agg(F.count(F.lit(1)).alias("n"))
     if total == 0:
         return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     # unlinked rows have no neighbours to move to and give way at the end, so only linked ones count against the quotas
