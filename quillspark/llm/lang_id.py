@@ -31,7 +31,7 @@ MIN_COUNT = 5
 #: Words are no independent witnesses: a page's text counts as this many at most.
 EFFECTIVE_WORDS = 40
 #: Pages of a host from which on they are dealt to several tasks, and the share of all pages that says the same.
-HOT_PAGES, HOT_SHARE = 2_000, 5_000
+HOT_PAGES, HOT_HOSTS, HOT_SHARE = 2_000, 2_000, 5_000
 SMOOTH, HOST_WEIGHT, DOMAIN_WEIGHT = 0.5, 5.0, 20.0
 
 _CUT = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)|<[^>]*>", re.S | re.I)
@@ -118,8 +118,11 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     by_suffix = likely(suffixes, "by_suffix")
     by_declared = likely(rows.groupBy("declared").agg(*sums("p")), "by_declared")
-    prior = hosts.join(domains, "domain").crossJoin(F.broadcast(total)).select("host", "n", F.array(*[f"s{i}" for i in k]).alias("hs"), F.array(*[smooth(F.col(f"d{i}"), F.col("dn"), share(i), DOMAIN_WEIGHT) for i in k]).alias("up"), "suffix")
-    prior = write_table(spark, prior.join(by_suffix, "suffix").drop("suffix"), "host-priors")
+    # a domain or a suffix may have a large share of all hosts
+    n_hosts = hosts.count()
+    often = lambda c: hosts.groupBy(c).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > max(HOT_HOSTS, n_hosts // HOT_SHARE)).select(c, F.ceil(F.col("c") / max(HOT_HOSTS, n_hosts // HOT_SHARE)).cast("int").alias("parts"))
+    prior = join_hot(hosts, domains, ["domain"], often("domain"), ["host"]).crossJoin(F.broadcast(total)).select("host", "n", F.array(*[f"s{i}" for i in k]).alias("hs"), F.array(*[smooth(F.col(f"d{i}"), F.col("dn"), share(i), DOMAIN_WEIGHT) for i in k]).alias("up"), "suffix")
+    prior = write_table(spark, join_hot(prior, by_suffix, ["suffix"], often("suffix"), ["host"]).drop("suffix"), "host-priors")
     per = max(HOT_PAGES, (total.first().gn or 0) // HOT_SHARE)
     hot = hosts.filter(F.col("n") > per).select("host", F.ceil(F.col("n") / per).cast("int").alias("parts"))
     joined = join_hot(rows, prior, ["host"], hot, ["page_id", "url"]).join(F.broadcast(by_declared), "declared")
