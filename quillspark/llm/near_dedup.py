@@ -45,6 +45,8 @@ ORDERS = HASHES // DEPTH
 SPARSE_DEPTH, SPARSE_MEMBERS, MOST_DEPTH = 3, 64, 7
 #: Members and shingles of a region at most; larger ones are cut at greater depth.
 REGION_MEMBERS, REGION_SHINGLES = 4096, 1 << 21
+#: Sets that a shingle may head to bring them together one by one.
+HOT_OWNERS = 512
 #: Rows of one run of equal keys that a task holds before it cuts them into regions.
 RUN_ROWS = 1 << 16
 #: Classes of a component from which on they are dealt to several tasks, and the share of all classes that says the same.
@@ -340,11 +342,21 @@ def settled(parted: DataFrame, sets: DataFrame) -> DataFrame:
 
     small = side("x").filter((100 + PERCENT) * (F.col("nx") - F.col("leftx")) <= (100 - PERCENT) * F.col("nx"))
     enough = (100 + PERCENT) * F.least("leftx", "lefty") >= PERCENT * (F.col("nx") + F.col("ny"))
-    met = small.join(side("y"), "s").filter((F.col("cx") != F.col("cy")) & (F.col("ox") < F.col("oy")) & (100 * F.col("nx") >= PERCENT * F.col("ny")) & enough)
+    # a shingle that heads many sets brings together buckets of them rather than the sets one by one
+    hot = heads.groupBy("s").agg(F.count(F.lit(1)).alias("owners")).filter(F.col("owners") > HOT_OWNERS).select("s")
+    hot = write_table(spark, hot, "hot-heads")
+    few = lambda df: df.join(hot, "s", "left_anti")
+    met = few(small).join(few(side("y")), "s").filter((F.col("cx") != F.col("cy")) & (F.col("ox") < F.col("oy")) & (100 * F.col("nx") >= PERCENT * F.col("ny")) & enough)
     block = F.xxhash64(F.least("bx", "by"), F.greatest("bx", "by"))
-    members = met.select(block.alias("region"), F.explode(F.array(F.col("x"), F.col("y"))).alias("nid")).distinct().join(own, "nid").select("region", "nid", "comp", "shingles")
+    pairs = met.select(block.alias("region"), F.explode(F.array(F.col("x"), F.col("y"))).alias("nid"))
+    many = lambda df: df.join(hot, "s", "left_semi")
+    held = lambda k, df: many(df).groupBy("s", f"b{k}").agg(F.min(f"n{k}").alias(f"lo{k}"), F.max(f"n{k}").alias(f"hi{k}"), F.min(f"c{k}").alias(f"c0{k}"), F.max(f"c{k}").alias(f"c1{k}"))
+    apart = (F.col("c0x") != F.col("c1x")) | (F.col("c0y") != F.col("c1y")) | (F.col("c0x") != F.col("c0y"))
+    meet = held("x", small).join(held("y", side("y")), "s").filter(apart & (100 * F.col("hix") >= PERCENT * F.col("loy")) & (F.col("lox") <= F.col("hiy"))).select("s", "bx", "by")
+    sides = [many(df).join(meet, ["s", f"b{k}"]).select(block.alias("region"), F.col(k).alias("nid")) for k, df in (("x", small), ("y", side("y")))]
+    members = pairs.unionByName(sides[0]).unionByName(sides[1]).distinct().join(own, "nid").select("region", "nid", "comp", "shingles")
     out = write_table(spark, region_links(members.repartition(fanout(spark, own), "region").sortWithinPartitions("region")).distinct(), "joins")
-    drop_tables(spark, own, heads)
+    drop_tables(spark, own, heads, hot)
     release(spark)
     return out
 

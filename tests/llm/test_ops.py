@@ -259,6 +259,20 @@ def test_item_parts_give_one_result(docs, benchmark, monkeypatch):
     assert plain(benchmark_filter.decontaminate(docs, benchmark).select("doc_id", "text").collect()) == texts
 
 
+def test_many_item_parts_write_nothing_between(spark, docs, monkeypatch):
+    """Twenty automata: one pass over the documents, held a few texts at a time, and no written table but the automata themselves."""
+    items = [(k, " ".join(ROWS[10 + k % 20][1].split()[k : k + 12])) for k in range(25)] + list(ITEMS)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len((t or "").encode()) for _, t in items)
+    monkeypatch.setattr(benchmark_filter, "MAX_ITEM_BYTES", size // 19)
+    monkeypatch.setattr(benchmark_filter, "HELD_BYTES", 20_000)
+    before = list(common.written(spark))
+    got = benchmark_filter.find_items(docs.select("doc_id", "text"), table).select("doc_id", "n_words", "n_hit", "items").collect()
+    new = [t for t in common.written(spark) if t not in before]
+    assert len(new) == 1 and "/automata-" in new[0]
+    assert plain((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got) == plain((k, n, h, tuple(x)) for k, n, h, x in brute.hits(ROWS, items))
+
+
 def test_coverage_limit(docs, benchmark):
     words = dict(ROWS)[20].split()
     rows = docs.filter("doc_id = 20").limit(1)
@@ -316,7 +330,7 @@ def test_cut_edges_fall_and_quotas_hold(spark):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(text)], "doc_id long, text string")
     cells = rows.groupBy(F.col("text").alias("group"), F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("slice")).agg(F.count(F.lit(1)).alias("n"))
     cuts = []
-    for rounds in (0, 1, sharding.ROUNDS):
+    for rounds in (0, 1, None):
         state = sharding.propagate(cells, 4, 3000, rounds)
         by: dict = {}
         for r in state.collect():
@@ -333,6 +347,13 @@ def test_cut_edges_fall_and_quotas_hold(spark):
     assert cuts[2] <= cuts[1] < cuts[0]
 
 
+def test_cells_stay_below_a_lanes_share():
+    """A group of a third of ever so many rows: its cells are far smaller than the rows a lane takes."""
+    for total in (10_000, 246_000_000, 10**9, 10**12):
+        lanes = max(1, total // (sharding.ROWS_PER_LANE * 16))
+        assert total / 3 / sharding.slices_of(total) < max(total / 16 / lanes / 8, 2)
+
+
 def test_group_larger_than_a_shard_is_split_evenly(spark):
     rows = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 150, "same").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
     got = sharding.assign(rows, 4).collect()
@@ -573,6 +594,7 @@ def test_evidence_against_plain_loops(spark, monkeypatch, hot):
     from quillspark.llm import lang_id
 
     monkeypatch.setattr(lang_id, "HOT_PAGES", hot)
+    monkeypatch.setattr(lang_id, "HOT_HOSTS", hot)
     rng = np.random.default_rng(1)
     words = {"en": "the of and to in is that for", "de": "der die und das nicht mit ist von"}
     docs = spark.createDataFrame([(i, words[k], k) for i, k in enumerate(["en", "de"] * 20)], "doc_id long, text string, lang string")
@@ -613,9 +635,11 @@ def templated(n, seed, own=18):
     return rows
 
 
-def test_pairs_parted_by_cuts_are_found(spark, monkeypatch):
+@pytest.mark.parametrize("owners", [512, 0])
+def test_pairs_parted_by_cuts_are_found(spark, monkeypatch, owners):
     rows = templated(300, 3)
     monkeypatch.setattr(near_dedup, "REGION_MEMBERS", 2)
+    monkeypatch.setattr(near_dedup, "HOT_OWNERS", owners)
     assert near_kept(spark, rows) == brute_kept(rows)
 
 
