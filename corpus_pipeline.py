@@ -2,8 +2,10 @@
 
 quality rules -> MinHash near-duplicates -> repeated passages -> benchmark passages -> BPE ids. Each stage works on all its
 predecessor kept and returns the columns of documents, but the last, which returns the encoded documents. Null and empty
-texts and those under 50 words end in the first stage; texts that later stages empty stay as rows without words; an empty
-table gives an empty result.
+texts and those under 50 words end in the first stage; texts that later stages empty stay as rows without words; of rows
+that tie as near copies the least doc_id stays, with rows that repeat it whole; a very long text goes through whole, in
+parts; extra columns are carried up to the last stage, also those named like a stage's own, which give way inside it and
+are named back; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,8 +58,8 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _staged(stage: Stage) -> Stage:
-    """The stage in a session of small Arrow batches, where it keeps Spark's default: rows are whole texts, and the result is only
-    computed when it is written. The pipeline is an application with a session of its own; run() puts the setting back."""
+    """The stage in a session of small Arrow batches, where it keeps Spark's default: rows are whole texts. A stage's result is only
+    computed when its caller writes it, so a stage that is called alone leaves the setting to its caller; run() puts it back."""
 
     @wraps(stage)
     def apply(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,10 +85,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The encoded documents that are left; of the tables written on the way only the last stays."""
     docs, rows = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(ARROW_ROWS)
-    for name, stage in STAGES:
-        before = set(written(spark))
-        out = write_table(spark, stage(spark, docs, sf_dir), name)
-        drop_tables(spark, *[t for t in written(spark) if t not in before and t != out._quill_path], *([docs] if hasattr(docs, "_quill_path") else []))
-        docs = out
-    spark.conf.set(ARROW_ROWS, rows)
+    try:
+        for name, stage in STAGES:
+            before = set(written(spark))
+            out = write_table(spark, stage(spark, docs, sf_dir), name)
+            drop_tables(spark, *[t for t in written(spark) if t not in before and t != out._quill_path], *([docs] if hasattr(docs, "_quill_path") else []))
+            docs = out
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
     return docs

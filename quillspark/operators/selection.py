@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.storage import stored
+
 from .rollup import quantiles
 
 
@@ -19,7 +21,8 @@ def ranked(rows: DataFrame, bucket: str, order: int, score: str, n: int, largest
 
 def contrastive(wide: DataFrame, specs: list[tuple[str, str, bool]], keys: list[str], n: int, case: str, spread: str, count: str) -> DataFrame:
     """Rows that any bucket picked, with their buckets and reasons in order. The last bucket takes all rows of the n multi-row cases of
-    greatest spread."""
+    greatest spread. The rows are computed once; each bucket is a top-k over its columns of the written table."""
+    wide = stored(wide, "selection")
     parts = [ranked(wide, b, i, s, n, largest, keys) for i, (b, s, largest) in enumerate(specs)]
     multi = wide.filter(F.col(count) > 1)
     cases = multi.select(case, spread).distinct().orderBy(F.desc(spread), case).limit(n).select(case)
