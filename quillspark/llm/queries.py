@@ -22,10 +22,16 @@ MODULES = {
 }
 
 
+def _base() -> dict:
+    """The base columns of the quality rules, beside op8, whose verdict SQL can't tell."""
+    quality = importlib.import_module(".quality", __package__)
+    return {"quality_base": (quality.base_query, quality.BASE_SQL)}
+
+
 def queries() -> dict:
-    return {k: importlib.import_module(f".{m}", __package__).query for k, m in MODULES.items()}
+    return {k: q for k, (q, _) in _base().items()} | {k: importlib.import_module(f".{m}", __package__).query for k, m in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {k: getattr(importlib.import_module(f".{m}", __package__), "ORACLE_SQL", None) for k, m in MODULES.items()}
-    return {k: v for k, v in found.items() if v}
+    return {k: sql for k, (_, sql) in _base().items()} | {k: v for k, v in found.items() if v}

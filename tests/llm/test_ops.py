@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import time
 import zlib
 from collections import Counter
 
@@ -397,6 +399,47 @@ def test_html_of_many_kinds(page):
     assert html_text.main_text(page.format(ARTICLE)) == TOLD
 
 
+LAYOUTS = [  # what stands around the article; every page also has a menu, a footer and reader comments
+    "{}", "<article>{}</article>", "<main>{}</main>", "<form action=/x method=post>{}</form>", "<form><div id=wrapper><div class=row>{}</div></div></form>",
+    "<div class='post comments-open'>{}</div>", "<div class='layout ad-free'>{}</div>", "<div class='col related-enabled'>{}</div>", "<div id=promo-wrapper>{}</div>",
+    "<div aria-hidden=true>{}</div>", "<div hidden>{}</div>", "<div style='display: none'>{}</div>", "<aside>{}</aside>", "<dialog open>{}</dialog>",
+    "<div class='subscribe-closed has-sidebar'><section>{}</section></div>", "<div class='sidebar'><div>{}</div></div>", "<table><tr><td>{}</td></tr></table>",
+    "<div class='widget'><form><div class='promo'>{}</div></form></div>", "<section class=content><header><p>By an author</p></header>{}</section>", "<div class='newsletter-disabled'>{}<div class='ad'>Buy this</div></div>",
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("heading", ["<h1>Head</h1>", ""])
+def test_article_of_many_layouts(layout, heading):
+    comments = "<div id=comments><h2>3 comments</h2>" + "<div class=comment><p>A reader writes at length, and then some more, about this.</p></div>" * 12 + "</div>"
+    page = "<!doctype html><html><head><title>T</title></head><body><header><a href=/>Site</a></header><nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav>" + layout.format(heading + ARTICLE) + f"{comments}<div class='cookie-bar'><p>We use cookies, as you may know, to make this site better for all of you.</p></div><footer>Copyright of this site, all rights reserved</footer></body></html>"
+    got = html_text.main_text(page)
+    want = TOLD if heading else TOLD.removeprefix("Head ")
+    assert got == want or "By an author" in layout and got == f"By an author {want}"
+
+
+def test_pages_without_an_article_stay_empty():
+    for page in ("<form><label>Name of the user</label><input><p>Password</p><button>Go</button></form>", "<nav>Menu text that goes on and on, with commas, for far more than sixty characters of it.</nav>", "<div class=cookie-notice><p>We use cookies, and so on, on this site, for far more than sixty characters.</p></div>", "<div id=comments><p>A reader writes at length, and then some more, about all of this, and that.</p></div>"):
+        assert html_text.main_text(f"<body>{page}</body>") == ""
+
+
+@pytest.mark.parametrize("part", ["<ul><li>a, b", "<div><p>", "</section><div>", "<b><i>x", "<h1><b>x", "<script", "<form><div class=ad>t", "<table><tr><td>x, y", "<dl><dd>a", "<p><span>x</b>", "<title>", "<!--", "<a href='", "</p>", "<p><b>"])
+def test_time_grows_with_length_however_deep(part):
+    took = []
+    for n in (4_000, 16_000):
+        page = "<div>" + part * n
+        began = time.process_time()
+        html_text.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.3 and took[1] < 3
+
+
+def test_repeated_pages_and_clashing_columns(spark):
+    rows = [(1, "u", PAGE, "x", "y"), (1, "u", PAGE, "x", "y"), (1, "v", "<p>other</p>", "x", "y")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, Text string, N_Chars string")).collect()
+    assert len(got) == 3 and got[0] == got[1] and got[2].text == "other"
+
+
 def test_long_flat_html(spark):
     text = "long text, " * 60_000
     assert html_text.main_text(f"<body><div><p>{text}</p></div></body>") == " ".join(text.split())
@@ -433,6 +476,49 @@ def test_first_split_is_the_best_of_all():
             assert value[at] == pytest.approx(0.15 * (y[rows] - p).sum() / (rows.sum() * p * (1 - p) + 1.0))
 
 
+def plain_booster(x, y, trees, depth, rate=0.15, bins=32, penalty=1.0, least=5):
+    """Margins of gradient-boosted trees by plain loops: every cut of every feature is tried by summing over the rows."""
+    n, width = len(y), len(x[0])
+    base = math.log(sum(y) / n / (1 - sum(y) / n))
+    margin = [base] * n
+    cuts = [sorted({float(v) for v in np.quantile([r[f] for r in x], np.linspace(0, 1, bins + 1)[1:-1])}) for f in range(width)]
+    for _ in range(trees):
+        q = [1 / (1 + math.exp(-m)) for m in margin]
+        g, h = [a - b for a, b in zip(q, y)], [a * (1 - a) for a in q]
+
+        def grow(rows, level):
+            gs, hs = sum(g[i] for i in rows), sum(h[i] for i in rows)
+            best = (1e-6, None, None)
+            for f in range(width) if level < depth and len(rows) >= 2 * least else ():
+                for c in cuts[f]:
+                    left = [i for i in rows if x[i][f] <= c]
+                    if min(len(left), len(rows) - len(left)) < least:
+                        continue
+                    gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                    gain = gl**2 / (hl + penalty) + (gs - gl) ** 2 / (hs - hl + penalty) - gs**2 / (hs + penalty)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, f, c)
+            if best[1] is None:
+                for i in rows:
+                    margin[i] -= rate * gs / (hs + penalty)
+                return
+            _, f, c = best
+            grow([i for i in rows if x[i][f] <= c], level + 1)
+            grow([i for i in rows if x[i][f] > c], level + 1)
+
+        grow(list(range(n)), 0)
+    return margin
+
+
+def test_whole_ensemble_against_plain_loops():
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(150, 4)), 2)
+    y = (rng.random(150) < 1 / (1 + np.exp(-(2 * x[:, 0] * (x[:, 1] > 0) + x[:, 2])))).astype(float)
+    model = toxicity.fit_booster(x, y, trees=20, depth=3)
+    assert len(model.trees) == 20
+    assert model.margin(x).tolist() == pytest.approx(plain_booster(x.tolist(), y.tolist(), 20, 3), abs=1e-9)
+
+
 def test_toxicity_of_long_and_repeated_texts(spark):
     long = "calm words " * 60_000
     docs = spark.createDataFrame([(1, long), (1, long), (2, "vile rat you"), (2, "vile rat you"), (3, "x")], "doc_id long, text string")
