@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text
+from .text import clean_text, strip
 
 LEVELS = ("low", "medium", "high")
 MIN_SYNTHESIS_WORDS = 5
@@ -18,12 +18,12 @@ CONTEXTS = "array<struct<encounter_id:string,question_es:string,answer_es:string
 
 def _object(c: Column) -> Column:
     """The text if it is one JSON object."""
-    return F.when(F.try_parse_json(c).isNotNull() & F.ltrim(c).startswith("{"), c)
+    return F.when(F.try_parse_json(c).isNotNull() & strip(c).startswith("{"), c)
 
 
 def repair_json(c: Column | str) -> Column:
     """JSON object text of a payload: as it is, without a code fence, or from the first { to the last }; null if none parses."""
-    raw = F.trim(F.col(c) if isinstance(c, str) else c)
+    raw = strip(c)
     plain = F.regexp_replace(F.regexp_replace(raw, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
     inner = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
     return F.coalesce(_object(raw), _object(plain), _object(inner))
@@ -33,32 +33,39 @@ def synthesis(c: Column | str) -> Column:
     """Struct of a synthesis payload: unwrapped from final, output or result, support level defaulted, null where it has no answer of
     MIN_SYNTHESIS_WORDS words or misses a field."""
     outer = F.from_json(repair_json(c), FIELDS)
-    inner = F.from_json(F.coalesce(*[F.when(F.from_json(outer[k], FIELDS).isNotNull() & F.ltrim(outer[k]).startswith("{"), outer[k]) for k in ("final", "output", "result")]), FIELDS)
+    inner = F.from_json(F.coalesce(*[F.when(F.try_parse_json(outer[k]).isNotNull() & strip(outer[k]).startswith("{"), outer[k]) for k in ("final", "output", "result")]), FIELDS)
     pick = lambda k: F.coalesce(inner[k], outer[k])
     level = pick("source_support_level")
     level = F.when(level.isin(*LEVELS), level).when(level.isNotNull(), "medium")
-    answer = F.trim(pick("synthesized_answer_es"))
+    answer = strip(pick("synthesized_answer_es"))
     long_enough = F.size(F.regexp_extract_all(answer, F.lit(r"(?U)\w+"), F.lit(0))) >= MIN_SYNTHESIS_WORDS
-    found = F.struct(answer.alias("synthesized_answer_es"), pick("has_conflict").alias("has_conflict"), F.trim(F.coalesce(pick("conflict_note"), F.lit(""))).alias("conflict_note"), level.alias("source_support_level"))
+    found = F.struct(answer.alias("synthesized_answer_es"), pick("has_conflict").alias("has_conflict"), strip(F.coalesce(pick("conflict_note"), F.lit(""))).alias("conflict_note"), level.alias("source_support_level"))
     return F.when(long_enough & pick("has_conflict").isNotNull() & level.isNotNull(), found)
 
 
-def valid_synthesis(raw: str | None) -> bool:
-    """Whether a client's answer is a synthesis, told on the spot: the rules of synthesis() for one text."""
-    for text in (raw or "", re.sub(r"\s*```$", "", re.sub(r"(?i)^```(?:json)?\s*", "", (raw or "").strip())), "".join(re.findall(r"(?s)\{.*\}", raw or ""))):
+def _loaded(text: object) -> dict | None:
+    """A JSON object, or that of a text that begins with one; what follows it is left out, as the JVM's parser does."""
+    if isinstance(text, str):
         try:
-            found = json.loads(text)
+            text = json.JSONDecoder().raw_decode(text.strip())[0]
         except ValueError:
-            continue
-        if not isinstance(found, dict):
-            continue
-        for k in ("final", "output", "result"):
-            if isinstance(found.get(k), dict):
-                found = found | found[k]
-                break
-        words = re.findall(r"\w+", str(found.get("synthesized_answer_es") or ""))
-        return len(words) >= MIN_SYNTHESIS_WORDS and isinstance(found.get("has_conflict"), bool) and found.get("source_support_level") is not None
-    return False
+            return None
+    return text if isinstance(text, dict) else None
+
+
+def valid_synthesis(raw: str | None) -> bool:
+    """Whether a client's answer is a synthesis, told on the spot: the rules of synthesis() for one text."""
+    text = (raw or "").strip()
+    plain = re.sub(r"\s*```$", "", re.sub(r"(?i)^```(?:json)?\s*", "", text))
+    inner = re.search(r"(?s)\{.*\}", plain)
+    outer = next((x for t in (text, plain, inner[0] if inner else "") if (x := _loaded(t)) is not None), None)
+    if outer is None:
+        return False
+    wrapped = next((x for k in ("final", "output", "result") if (x := _loaded(outer.get(k))) is not None), {})
+    pick = lambda k: outer.get(k) if wrapped.get(k) is None else wrapped[k]
+    answer = pick("synthesized_answer_es")
+    words = re.findall(r"\w+", answer if isinstance(answer, str) else json.dumps(answer) if answer is not None else "")
+    return len(words) >= MIN_SYNTHESIS_WORDS and isinstance(pick("has_conflict"), bool) and pick("source_support_level") is not None
 
 
 def contexts(c: Column | str) -> Column:

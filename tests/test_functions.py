@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections import Counter
 
@@ -137,6 +138,19 @@ def test_payloads(spark):
     assert [one(spark, payloads.mock_synthesis("a")["source_support_level"], a=["x"] * n) for n in (0, 1, 4, 5)] == ["low", "low", "medium", "high"]
 
 
+def test_both_forms_of_the_synthesis_rules_agree(spark):
+    five = "una dos tres cuatro cinco"
+    good = {"synthesized_answer_es": five, "has_conflict": False, "source_support_level": "low"}
+    less = lambda **x: {k: v for k, v in (good | x).items() if v is not ...}
+    raw = [json.dumps(x) for x in (good, less(has_conflict=...), less(has_conflict=None), less(has_conflict="no"), less(source_support_level=None), less(source_support_level=3), less(synthesized_answer_es="corta"), less(synthesized_answer_es=None), less(synthesized_answer_es=f"\u00a0{five}\u2003"), {"final": good}, {"output": json.dumps(good)}, {"result": good, "final": "x"}, {"final": {}, "output": good}, {"output": less(source_support_level=...), "source_support_level": "high"}, [good], {})]
+    raw += [f"```json\n{raw[0]}\n```", f"\n\t {raw[0]} \u00a0", f"Respuesta: {raw[0]} fin", f"```{raw[0]}```", "", "{", "null", "{broken", raw[0] + raw[0], "texto sin objeto", "```json\n[1]\n```"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(raw)] + [(99, None)], "k int, t string")
+    for r in df.select("k", "t", payloads.synthesis("t").alias("s")).collect():
+        assert (r.s is not None) == payloads.valid_synthesis(r.t), r.t
+        if r.s is not None:
+            assert r.s.synthesized_answer_es == five and r.s.source_support_level in ("low", "medium", "high")
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "v array<float>, z array<float>")
     r = df.select(vectors.norm("v").alias("n"), vectors.l2_normalize("v").alias("u"), vectors.l2_normalize("z").alias("z"), vectors.dot("v", "v").alias("d")).first()
