@@ -318,6 +318,89 @@ def fuse(scores: DataFrame, text: str, visual: str, scope: list[str], alpha: flo
     return both.withColumn("score", fused if query_has_image is None else F.when(query_has_image, fused).otherwise(F.col("_t01"))).drop("_v", "_t01", "_v01")
 
 
+def _sparse_rows(weighted: DataFrame, key: str) -> DataFrame:
+    """key, _t, _w: the terms of a text by 64-bit hash, in order, and their weights."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")))
+    return weighted.groupBy(F.col("_id").alias(key)).agg(pairs.alias("_p")).select(key, F.transform("_p", lambda x: x["t"]).alias("_t"), F.transform("_p", lambda x: x["w"]).alias("_w"))
+
+
+class _Block:
+    """Index rows of one block: postings by term, and vectors."""
+
+    def __init__(self, d: pd.DataFrame, doc: str) -> None:
+        self.docs = d[doc].to_numpy()
+        sizes = [0 if x is None else len(x) for x in d["_t"]]
+        flat = lambda c, kind: np.concatenate([x for x in d[c] if x is not None and len(x)]).astype(kind) if any(sizes) else np.zeros(0, kind)
+        term, weight, row = flat("_t", np.int64), flat("_w", np.float64), np.repeat(np.arange(len(d)), sizes)
+        order = np.argsort(term, kind="stable")
+        self.term, self.weight, self.row = term[order], weight[order], row[order]
+        self.seen = np.array([v is not None for v in d["_v"]], bool)
+        self.matrix = np.stack([np.asarray(v, np.float64) for v in d["_v"] if v is not None]) if self.seen.any() else None
+
+    def text(self, terms: np.ndarray | None, weights: np.ndarray | None) -> np.ndarray:
+        out = np.zeros(len(self.docs))
+        if terms is not None and len(terms):
+            lo, hi = np.searchsorted(self.term, terms), np.searchsorted(self.term, terms, side="right")
+            for a, b, w in zip(lo.tolist(), hi.tolist(), weights):
+                np.add.at(out, self.row[a:b], w * self.weight[a:b])
+        return out
+
+    def visual(self, vector: np.ndarray | None) -> np.ndarray:
+        out = np.full(len(self.docs), np.nan)
+        if vector is not None and self.matrix is not None:
+            out[self.seen] = self.matrix @ np.asarray(vector, np.float64)
+        return out
+
+
+def fused_search(queries: DataFrame, index: DataFrame, query: str, doc: str, text: str, vector: str, k: int = 1, alpha: float = 0.6, digits: int = 6) -> DataFrame:
+    """query, doc, score, rank of the k best of alpha * text + (1 - alpha) * visual, each scaled to 0..1 over a query's whole row of the
+    matrix; a row without vector has no visual part, a query without one the text part alone. The matrix is never rows: blocks of
+    the index meet the queries, first for the bounds of both scores, then for the best; a task answers with a row, then k rows, a
+    query."""
+    spark = index.sparkSession
+    n_queries, n_docs = queries.count(), index.count()
+    both = index.select(F.lit(True).alias("_index"), F.col(doc).alias("_id"), F.col(text).alias("_text")).unionByName(queries.select(F.lit(False).alias("_index"), F.col(query).alias("_id"), F.col(text).alias("_text")))
+    counted = stored(terms(both, ["_index", "_id"], "_text"), "terms")
+    table = idf(counted.filter("_index"), spark.range(1).select(F.lit(n_docs).alias("n")))
+    weighted = weights(counted, table, ["_index", "_id"])
+    blocks, groups = max(1, -(-n_docs // INDEX_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = stored(queries.select(query, F.col(vector).alias("_v")).join(_sparse_rows(weighted.filter("not _index"), query), query, "left"), "queries")
+    right = stored(index.select(doc, F.col(vector).alias("_v")).join(_sparse_rows(weighted.filter("_index"), doc), doc, "left").withColumn("_c", part(doc, blocks)), "index")
+    left, right = left.withColumn("_r", part(query, groups)).withColumn("_c", every(blocks)), right.withColumn("_r", every(groups))
+    met = lambda l, f, schema: l.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInPandas(f, schema)
+    key, kind = queries.schema[query].dataType, T.DoubleType()
+
+    def bounds(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        rows, block = [], _Block(d, doc) if len(q) and len(d) else None
+        for name, t, w, v in zip(q[query], q["_t"], q["_w"], q["_v"]) if block else ():
+            a, b = block.text(t, w), block.visual(v)
+            there = b[~np.isnan(b)]
+            rows.append((name, a.min(), a.max(), there.min() if len(there) else None, there.max() if len(there) else None))
+        return pd.DataFrame(rows, columns=[query, "t0", "t1", "v0", "v1"])
+
+    ends = met(left, bounds, T.StructType([T.StructField(query, key), *[T.StructField(c, kind) for c in ("t0", "t1", "v0", "v1")]]))
+    ends = ends.groupBy(query).agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.min("v0").alias("v0"), F.max("v1").alias("v1"))
+    scaled = lambda x, lo, hi: np.zeros(len(x)) if lo is None or np.isnan(lo) or hi == lo else np.nan_to_num((x - lo) / (hi - lo))
+
+    def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        out, block = [pd.DataFrame({query: q[query][:0], doc: d[doc][:0], "score": np.zeros(0)})], _Block(d, doc) if len(q) and len(d) else None
+        for name, t, w, v, t0, t1, v0, v1 in zip(*(q[c] for c in (query, "_t", "_w", "_v", "t0", "t1", "v0", "v1"))) if block else ():
+            score = scaled(block.text(t, w), t0, t1)
+            if v is not None:
+                score = alpha * score + (1 - alpha) * scaled(block.visual(v), v0, v1)
+            score = np.round(score, digits)
+            least = np.partition(score, len(score) - k)[len(score) - k] if k < len(score) else -np.inf
+            at = np.flatnonzero(score >= least)
+            at = at[np.lexsort((block.docs[at], -score[at]))][:k]
+            out.append(pd.DataFrame({query: [name] * len(at), doc: block.docs[at], "score": score[at]}))
+        return pd.concat(out)
+
+    found = met(left.join(ends, query, "left"), best, T.StructType([T.StructField(query, key), T.StructField(doc, index.schema[doc].dataType), T.StructField("score", kind)]))
+    return top_k(found, query, doc, k, digits=None)
+
+
 #: Parts of a query's documents whose envelopes are found apart.
 ENVELOPE_PARTS = 64
 

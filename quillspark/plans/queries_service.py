@@ -166,15 +166,11 @@ s AS (SELECT q, d, seen, CASE WHEN max(t) OVER w = min(t) OVER w THEN 0 ELSE (t
 f AS (SELECT q, d, round(CASE WHEN seen THEN 0.6::DOUBLE * a + 0.4::DOUBLE * b ELSE a END, 6) AS score FROM s)
 SELECT q, d AS doc, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS r FROM f) WHERE r = 1""")
 def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text and image search fused over the whole matrix of a small index: every question against every training case."""
-    rows = answered(spark, sf_dir)
-    q, d = rows.filter("split <> 'train'").select(F.col("conv_id").alias("q"), "question"), rows.filter("split = 'train'").select(F.col("conv_id").alias("doc"), "question")
-    hits = retrieval.tfidf_search(q, d, "q", "doc", "question", None).select("q", "doc", F.round("score", 6).alias("t"))
-    seen = table(spark, sf_dir, "embeddings").filter("vec_id % 3 <> 0")
-    pairs = q.select("q").crossJoin(d.select("doc")).join(hits, ["q", "doc"], "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
-    scored = retrieval.dense_scores(seen.withColumnRenamed("vec_id", "q"), seen.withColumnRenamed("vec_id", "doc"), "q", "doc", "embedding", pairs).withColumnRenamed("score", "v")
-    fused = retrieval.fuse(scored.join(seen.select(F.col("vec_id").alias("q"), F.lit(True).alias("_i")), "q", "left"), "t", "v", ["q"], 0.6, query_has_image=F.coalesce("_i", F.lit(False)), doc_has_image=F.col("v").isNotNull())
-    return retrieval.top_k(fused, "q", "doc", 1).select("q", "doc", "score")
+    """Text and image search fused over the whole matrix of questions and training cases, in blocks."""
+    seen = table(spark, sf_dir, "embeddings").filter("vec_id % 3 <> 0").select(F.col("vec_id").alias("conv_id"), "embedding")
+    rows = answered(spark, sf_dir).join(seen, "conv_id", "left")
+    q, d = rows.filter("split <> 'train'").select(F.col("conv_id").alias("q"), "question", "embedding"), rows.filter("split = 'train'").select(F.col("conv_id").alias("doc"), "question", "embedding")
+    return retrieval.fused_search(q, d, "q", "doc", "question", "embedding").select("q", "doc", "score")
 
 
 _MEAN = ", ".join(f"round(coalesce(avg(CASE WHEN vec_id % 4 <> 3 AND vec_id // 5 % 6 <> 0 THEN CAST(embedding[{i + 1}] AS DOUBLE) END), 0), 6) AS v{i}" for i in (0, 9, 63))

@@ -431,6 +431,18 @@ def test_alpha_sweep_against_all_scores(spark, monkeypatch):
         retrieval.backend("none")
 
 
+def test_fused_blocks_give_one_result(spark, monkeypatch):
+    rows = [(k, f"w{k % 5} w{k % 7} common x{k}" if k % 6 else None, [float(k % 4), 1.0] if k % 3 else None) for k in range(80)]
+    d = spark.createDataFrame(rows, "doc long, t string, v array<double>")
+    q = d.filter("doc < 12").withColumnRenamed("doc", "q")
+    run = lambda: sorted(map(tuple, retrieval.fused_search(q, d, "q", "doc", "t", "v", k=3).collect()))
+    whole = run()
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(retrieval, "INDEX_BLOCK", 9)
+    assert run() == whole and len(whole) == 36
+    assert retrieval.fused_search(q.limit(0), d, "q", "doc", "t", "v").count() == retrieval.fused_search(q, d.limit(0), "q", "doc", "t", "v").count() == 0
+
+
 def test_token_match(spark):
     import numpy as np
 
