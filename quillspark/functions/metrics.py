@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import folded_tokens, normalize, words
+from .text import folded_tokens, let, normalize, words
 
 CHRF_ORDER, CHRF_BETA = 6, 2
 BLEU_ORDER = 4
@@ -24,7 +24,7 @@ def overlap(a: Column, b: Column) -> Column:
     second with one of the first that is still free."""
     row = lambda free: lambda t: F.struct(t.alias("t"), F.lit(free).alias("second"))
     none = F.array().cast("array<string>")
-    both = F.array_sort(F.concat(F.transform(F.coalesce(a, none), row(False)), F.transform(F.coalesce(b, none), row(True))))
+    both = F.sort_array(F.concat(F.transform(F.coalesce(a, none), row(False)), F.transform(F.coalesce(b, none), row(True))))
     state = lambda t, free, n: F.struct(t.alias("t"), free.cast("int").alias("free"), n.cast("long").alias("n"))
 
     def step(s: Column, x: Column) -> Column:
@@ -43,9 +43,10 @@ def token_f1(pred: Column | str, ref: Column | str, variant: str = "multiset") -
     """Variants: multiset; set (distinct overlap over list lengths); service (accent-free word runs, both empty 1); notebook (multiset,
     both empty 1)."""
     tokens = folded_tokens if variant == "service" else lambda c: words(normalize(c))
-    a, b = tokens(pred), tokens(ref)
-    common = F.size(F.array_intersect(a, b)) if variant == "set" else overlap(a, b)
-    return f1(common.cast("double"), F.size(a), F.size(b), 1.0 if variant in ("service", "notebook") else 0.0)
+    common = (lambda a, b: F.size(F.array_intersect(a, b))) if variant == "set" else overlap
+    counted = lambda x: F.struct(common(x["a"], x["b"]).cast("double").alias("c"), F.size(x["a"]).alias("n"), F.size(x["b"]).alias("m"))
+    found = let(F.struct(tokens(pred).alias("a"), tokens(ref).alias("b")), counted)
+    return let(found, lambda x: f1(x["c"], x["n"], x["m"], 1.0 if variant in ("service", "notebook") else 0.0))
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -73,7 +74,7 @@ def rouge_l(pred: Column | str, ref: Column | str, variant: str = "whitespace")
     else:
         tokens = lambda c: words(normalize(c))
     a, b = tokens(pred), tokens(ref)
-    return f1(lcs_length(a, b).cast("double"), F.size(a), F.size(b), 1.0 if variant == "notebook" else 0.0)
+    return let(F.struct(lcs_length(a, b).cast("double").alias("c"), F.size(a).alias("n"), F.size(b).alias("m")), lambda x: f1(x["c"], x["n"], x["m"], 1.0 if variant == "notebook" else 0.0))
 
 
 # --------------------------------------------------------------------------- n-grams of a batch

@@ -113,17 +113,17 @@ def strata_means(wide: DataFrame, dimensions: dict[str, Column], methods: list[s
 
 def effects(wide: DataFrame, columns: dict[str, str], dimensions: dict[str, Column]) -> DataFrame:
     """effect, dimension, stratum, n, mean, median and positive rate of each paired difference; overall rows besides."""
-    parts = F.array(*[F.struct(F.lit(k).alias("effect"), F.col(c).cast("double").alias("d")) for k, c in columns.items()])
-    strata = wide.select(*[c.cast("string").alias(f"_{k}") for k, c in dimensions.items()], F.explode(parts).alias("_e"))
-    # differences repeat, so (strata, difference) are counted once, and every dimension is summed from the counts
-    cells = stored(strata.groupBy(*[f"_{k}" for k in dimensions], F.col("_e.effect").alias("effect"), F.col("_e.d").alias("d")).agg(F.count(F.lit(1)).alias("c")), "cells")
-    long = stratified(cells, {"overall": F.lit("all")} | {k: F.col(f"_{k}") for k in dimensions}).groupBy("effect", "dimension", "stratum", "d").agg(F.sum("c").alias("c"))
+    base = stored(wide.select(*[c.cast("string").alias(f"s_{k}") for k, c in dimensions.items()], *[F.col(c).cast("double").alias(f"e_{k}") for k, c in columns.items()]), "effects")
+    told = [x for k in columns for x in (F.avg(f"e_{k}").alias(f"{k}_a"), F.avg((F.col(f"e_{k}") > 0).cast("double")).alias(f"{k}_r"))]
+    per = by_dimension(base, {k: F.col(f"s_{k}") for k in dimensions}, [F.count(F.lit(1)).alias("n"), *told], overall=True)
+    rows = F.array(*[F.struct(F.lit(k).alias("effect"), F.col(f"{k}_a").alias("mean_delta"), F.col(f"{k}_r").alias("positive_rate")) for k in columns])
+    sums = per.select("dimension", "stratum", "n", F.explode(rows).alias("_e")).select("_e.effect", "dimension", "stratum", "n", "_e.mean_delta", "_e.positive_rate")
+    parts = F.array(*[F.struct(F.lit(k).alias("effect"), F.col(f"e_{k}").alias("d")) for k in columns])
+    long = stratified(base, {"overall": F.lit("all")} | {k: F.col(f"s_{k}") for k in dimensions}).select("dimension", "stratum", F.explode(parts).alias("_e")).select("_e.effect", "dimension", "stratum", "_e.d")
     by = ["effect", "dimension", "stratum"]
-    n = F.sum("c")
-    known = F.sum(F.when(F.col("d").isNotNull(), F.col("c")))
-    sums = long.groupBy(*by).agg(n.alias("n"), (F.sum(F.col("d") * F.col("c")) / known).alias("mean_delta"), (F.sum(F.when(F.col("d") > 0, F.col("c")).when(F.col("d").isNotNull(), F.lit(0))) / known).alias("positive_rate"))
-    middle = quantiles(long, by, "d", [0.5], count="c").select(*by, F.get("q", F.lit(0)).alias("median_delta"))
-    return sums.join(middle, by, "left").select(*by, "n", "mean_delta", "median_delta", "positive_rate")
+    middle = quantiles(long, by, "d", [0.5]).select(*[F.col(c).alias(f"_{c}") for c in by], F.get("q", F.lit(0)).alias("median_delta"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return sums.join(middle, same, "left").select(*by, "n", "mean_delta", "median_delta", "positive_rate")
 
 
 def image_count_stratum(n: Column) -> Column:
@@ -134,37 +134,41 @@ def length_stratum(n: Column) -> Column:
     return length_bucket(n)
 
 
-#: Bins of values that ranks are counted in, and how closely their bounds are told.
-RANK_BINS, RANK_ACCURACY = 64, 1000
+#: How closely ranks are told at first (as a share of a group's rows), and groups whose bounds may be broadcast.
+RANK_ACCURACY, BROADCAST_GROUPS = 10_000, 50_000
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], how: str = "linear", count: str | None = None) -> DataFrame:
-    """by, q: exact quantiles of a group's values (nulls and not-a-numbers left out), interpolated ("linear") or the value of the upper
-    rank ("higher"). `count`: rows that a row stands for.
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], how: str = "linear") -> DataFrame:
+    """by, q: exact quantiles of a group's values (nulls and not-a-numbers left out; a group without values has no row), interpolated
+    ("linear") or the value of the upper rank ("higher").
 
-    No task holds a group's values: equal values are counted first, values go to bins with about as many of them each, the counts of
-    the bins give the rank at which each begins, and only the bins that hold a rank asked for are sorted. A group without
-    values has a null.
+    No task holds a group's values. Sketches give bounds on either side of each rank asked for; then values between two bounds are
+    counted one by one, and what lies outside only as so many values with a least and a greatest. The ranks asked for are
+    between the bounds, or next to them.
     """
-    there = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counted = stored(there.groupBy(*by, F.col(value).cast("double").alias("_v")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("_c")), "values")
-    cuts = counted.agg(F.percentile_approx("_v", [k / RANK_BINS for k in range(1, RANK_BINS)], RANK_ACCURACY)).first()[0] or []  # RANK_BINS numbers
-    bounds = sorted(set(cuts))
-    placed = counted.withColumn("_bin", F.size(F.filter(F.lit(bounds), lambda c: c < F.col("_v"))) if bounds else F.lit(0))
-    bins = placed.groupBy(*by, "_bin").agg(F.sum("_c").alias("_s"))
-    before = F.sum("_s").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))  # RANK_BINS rows a group
-    starts = bins.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_n", F.sum("_s").over(Window.partitionBy(*by)))
+    number = F.col(value).cast("double")
+    there = rows.filter(number.isNotNull() & ~F.isnan(number)).select(*by, number.alias("_v"))
+    near = 2 / RANK_ACCURACY
+    ends = [x for s in shares for x in (max(0.0, s - near), min(1.0, s + near))]
+    bounds = there.groupBy(*by).agg(F.percentile_approx("_v", ends, RANK_ACCURACY).alias("_ends"))
+    bounds = stored(bounds.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_ends"), "bounds")
+    if by:
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+        placed = there.join(F.broadcast(bounds) if bounds.count() <= BROADCAST_GROUPS else bounds, same)
+    else:
+        placed = there.crossJoin(F.broadcast(bounds))  # one row
+    end = lambda i: F.get("_ends", F.lit(i))
+    inside = reduce(lambda a, b: a | b, [F.col("_v").between(end(2 * i), end(2 * i + 1)) for i in range(len(shares))])
+    below = sum((F.when(end(i) < F.col("_v"), 1).otherwise(0) for i in range(len(ends))), F.lit(0))
+    cells = placed.groupBy(*by, F.when(~inside, below).alias("_gap"), F.when(inside, F.col("_v")).alias("_at")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    order = Window.partitionBy(*by).orderBy("_lo")
+    ranked = cells.withColumn("_last", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by))).withColumn("_first", F.col("_last") - F.col("_c") + 1)
     place = (lambda s: F.lit(s) * (F.col("_n") - 1)) if how == "linear" else (lambda s: F.floor(F.lit(s) * F.col("_n")).cast("double"))
-    holds = reduce(lambda a, b: a | b, [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_s")) for s in shares for r in (F.floor(place(s)), F.ceil(place(s)))])
-    starts = starts.filter(holds).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_at"), "_before", "_n")
-    same = reduce(lambda a, b: a & b, [F.col("_bin") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]])
-    inside = F.sum("_c").over(Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = placed.join(starts, same).withColumn("_upto", inside).withColumn("_last", F.col("_before") + F.col("_upto") - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
-    at = lambda rank: (F.col("_first") <= rank) & (rank <= F.col("_last"))
+    lost = F.raise_error(F.lit("a sketch of ranks was further off than it says")).cast("double")
+    at = lambda rank: F.when(rank == F.col("_first"), F.col("_lo")).when((F.col("_first") < rank) & (rank <= F.col("_last")), F.when((rank == F.col("_last")) | (F.col("_lo") == F.col("_hi")), F.col("_hi")).otherwise(lost))
     picked = []
     for i, s in enumerate(shares):
-        low, high = F.floor(place(s)), F.ceil(place(s))
-        picked += [F.max(F.when(at(low), F.col("_v"))).alias(f"_l{i}"), F.max(F.when(at(high), F.col("_v"))).alias(f"_h{i}"), F.max(place(s) - low).alias(f"_f{i}")]
+        picked += [F.max(at(F.floor(place(s)))).alias(f"_l{i}"), F.max(at(F.ceil(place(s)))).alias(f"_h{i}"), F.max(place(s) - F.floor(place(s))).alias(f"_f{i}")]
     q = F.array(*[F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}") for i in range(len(shares))])
     return ranked.groupBy(*by).agg(*picked).select(*by, q.alias("q"))
 

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import fold, strip
+from quillspark.functions.text import fold, let, strip
 
 from . import lexicon
 
@@ -21,11 +19,6 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 _WORD = r"[\p{L}\p{N}_]"
 
 
@@ -66,7 +59,7 @@ class Matcher:
             out = F.array_distinct(F.regexp_extract_all(folded, F.lit(f"(?<!{_WORD})(?=({_automaton(self.plain)}))"), F.lit(1)))
         if self.begins:
             pairs = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in self.begins])
-            out = _let(out, lambda x: F.when(F.size(x) == 0, x).otherwise(F.array_union(x, F.transform(F.filter(pairs, lambda r: F.array_contains(x, r["t"])), lambda r: r["p"]))))
+            out = let(out, lambda x: F.when(F.size(x) == 0, x).otherwise(F.array_union(x, F.transform(F.filter(pairs, lambda r: F.array_contains(x, r["t"])), lambda r: r["p"]))))
         if self.odd:  # terms that begin or end with a mark
             out = F.concat(out, F.filter(F.lit(self.odd), lambda t: folded.contains(t)))
         return out
@@ -78,7 +71,7 @@ class Matcher:
     def hits(self, folded: Column) -> Column:
         """array<struct<list, ordinal, term>>: every hit with its list and its place there, in the order of the lists."""
         table = F.array(*[F.struct(F.lit(name).alias("list"), F.lit(k).alias("ordinal"), F.lit(t).alias("term")) for name, terms in self.lists.items() for k, t in enumerate(terms)])
-        return _let(self.found(folded), lambda x: F.filter(table, lambda r: F.array_contains(x, r["term"])))
+        return let(self.found(folded), lambda x: F.filter(table, lambda r: F.array_contains(x, r["term"])))
 
 
 def terms_in(folded: Column, terms: list[str]) -> Column:
@@ -91,7 +84,7 @@ def draft_flags(text: Column | str, min_words: int = MIN_WORDS) -> Column:
     t = strip(F.coalesce(_col(text), F.lit("")))
     few = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")) < min_words
     sentences = F.transform(F.filter(F.split(t, r"[.\n]"), lambda s: F.length(strip(s)) > MIN_SENTENCE), lambda s: F.lower(strip(s)))
-    again = _let(sentences, lambda all_: (F.size(all_) >= REPEATS) & F.exists(F.array_distinct(all_), lambda s: F.size(F.filter(all_, lambda x: x == s)) >= REPEATS))
+    again = let(sentences, lambda all_: (F.size(all_) >= REPEATS) & F.exists(F.array_distinct(all_), lambda s: F.size(F.filter(all_, lambda x: x == s)) >= REPEATS))
     return F.when(t == "", F.array(F.lit("vacio"))).otherwise(F.array_compact(F.array(F.when(few, F.lit("muy_corto")), F.when(again, F.lit("repetitivo")))))
 
 
@@ -115,7 +108,7 @@ def _risk_rows(found: Column, table: dict[str, list[str]]) -> Column:
 
 
 def risk_terms(draft: Column | str, table: dict[str, list[str]] = lexicon.RISK_TERMS) -> Column:
-    return _let(Matcher(table).found(fold(draft)), lambda x: _risk_rows(x, table))
+    return let(Matcher(table).found(fold(draft)), lambda x: _risk_rows(x, table))
 
 
 def _entity_changed(a: Column, b: Column) -> Column:
@@ -124,7 +117,7 @@ def _entity_changed(a: Column, b: Column) -> Column:
 
 def entity_changed(draft: Column | str, evidence: Column | str, terms: list[str] = lexicon.CONDITIONS) -> Column:
     """Draft and first evidence both name diagnoses and share none."""
-    return _let(F.struct(terms_in(fold(draft), terms).alias("d"), terms_in(fold(F.get(_col(evidence), F.lit(0))), terms).alias("e")), lambda x: _entity_changed(x["d"], x["e"]))
+    return let(F.struct(terms_in(fold(draft), terms).alias("d"), terms_in(fold(F.get(_col(evidence), F.lit(0))), terms).alias("e")), lambda x: _entity_changed(x["d"], x["e"]))
 
 
 def _flag_terms(rules: list) -> dict[str, list[str]]:
@@ -138,7 +131,7 @@ def _red_flags(found: Column, rules: list) -> Column:
 
 
 def red_flags(query: Column | str, rules: list = lexicon.RED_FLAGS) -> Column:
-    return _let(Matcher(_flag_terms(rules)).found(fold(query)), lambda x: _red_flags(x, rules))
+    return let(Matcher(_flag_terms(rules)).found(fold(query)), lambda x: _red_flags(x, rules))
 
 
 def reassures(draft: Column | str, phrases: list[str] = lexicon.REASSURING) -> Column:

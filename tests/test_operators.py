@@ -314,11 +314,12 @@ def test_upserts_rewrite_touched_buckets_alone(spark, tmp_path, monkeypatch):
     assert commits.Table(spark, str(tmp_path / "none"), "k int", ["k"]).read().count() == 0
 
 
-@pytest.mark.parametrize("bins", [64, 3, 1])
-def test_quantiles(spark, monkeypatch, bins):
+@pytest.mark.parametrize("accuracy", [10_000, 50, 5])
+def test_quantiles(spark, monkeypatch, accuracy):
     import numpy as np
 
-    monkeypatch.setattr(rollup, "RANK_BINS", bins)
+    monkeypatch.setattr(rollup, "RANK_ACCURACY", accuracy)
+    monkeypatch.setattr(rollup, "BROADCAST_GROUPS", accuracy - 50)
     rng = np.random.default_rng(3)
     rows = [(k % 3, float(v)) for k, v in enumerate(rng.integers(0, 40, 500) / 8)] + [(0, None), (1, float("nan")), (5, 2.0), (None, 3.0), (None, 4.0)]
     df = spark.createDataFrame(rows, "g int, v double")
@@ -327,8 +328,13 @@ def test_quantiles(spark, monkeypatch, bins):
         assert got[g] == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None and not math.isnan(v)], [0.0, 0.3, 0.5, 1.0]).tolist())
     every = sorted(v for _, v in rows if v is not None and not math.isnan(v))
     assert rollup.quantiles(df, [], "v", [0.5], "higher").first().q[0] == every[len(every) // 2]
-    counted = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    assert {r.g: r.q for r in rollup.quantiles(counted, ["g"], "v", [0.5], count="n").collect()}[0] == pytest.approx([got[0][2]])
+    values = rng.normal(size=20_000)
+    long = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(5)
+    for shares in ([0.0, 0.25, 0.5, 0.75, 1.0], [0.95, 0.123456]):
+        assert rollup.quantiles(long, [], "v", shares).first().q == pytest.approx(np.quantile(values, shares).tolist(), abs=1e-12)
+    for n in range(1, 12):
+        few = spark.createDataFrame([(float(v),) for v in values[:n]], "v double")
+        assert rollup.quantiles(few, [], "v", [0.1, 0.3, 0.5, 0.95]).first().q == pytest.approx(np.quantile(values[:n], [0.1, 0.3, 0.5, 0.95]).tolist(), abs=1e-12)
 
 
 def test_effects_and_strata(spark):
