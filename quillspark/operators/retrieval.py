@@ -160,16 +160,15 @@ def fill_up(hits: DataFrame, queries: DataFrame, index: DataFrame, query: str, d
 def tfidf_search(queries: DataFrame, index: DataFrame, query: str, doc: str, text: str, k: int | None = 1, bigrams: bool = True, sublinear: bool = True, max_df: float | None = 0.95, strip: bool = True, exclude_same: bool = False, fill: bool = False) -> DataFrame:
     """query, doc, score, rank of the k best index texts; weights come from the index alone. exclude_same: no pairs of equal ids. fill:
     every query gets k rows, those without a shared term with score 0. k None: the scores of all pairs that share a term."""
-    spark = index.sparkSession
     both = index.select(F.lit(True).alias("_index"), F.col(doc).alias("_id"), F.col(text).alias("_text")).unionByName(queries.select(F.lit(False).alias("_index"), F.col(query).alias("_id"), F.col(text).alias("_text")))
     counted = stored(terms(both, ["_index", "_id"], "_text", bigrams, strip), "terms")
-    n_docs = index.count()
-    table = idf(counted.filter("_index"), spark.range(1).select(F.lit(n_docs).alias("n")), max_df)
+    table = idf(counted.filter("_index"), index.agg(F.count(F.lit(1)).alias("n")), max_df)
     weighted = stored(weights(counted, table, ["_index", "_id"], sublinear), "weights")
     sides = weighted.filter("not _index").select(F.col("_id").alias(query), "term", "w"), weighted.filter("_index").select(F.col("_id").alias(doc), "term", "w")
     if k is None:
         every = sparse_scores(*sides, query, doc)
         return every.filter(F.col(query) != F.col(doc)) if exclude_same else every
+    n_docs = weighted.filter("_index").agg(F.approx_count_distinct("_id")).first()[0]  # for the number of blocks
     scores = pruned_scores(*sides, query, doc, k, n_docs, exclude_same)
     hits = top_k(scores, query, doc, k).select(query, doc, "score", "rank")
     return fill_up(hits, queries, index, query, doc, k, exclude_same) if fill else hits

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import clean_text, length_bucket, normalize_text, word_count
+from quillspark.functions.text import clean_text, length_bucket, let, normalize_text, word_count
 from quillspark.storage import stored
 
 
@@ -47,9 +47,8 @@ def case_text(rows: DataFrame, case: str, order: str, prediction: str, reference
 
 def row_mean(columns: list[str]) -> Column:
     """Mean of the values that are there."""
-    there = [F.when(F.col(c).isNotNull() & ~F.isnan(c), F.col(c)) for c in columns]
-    n = reduce(lambda a, b: a + b, [t.isNotNull().cast("int") for t in there])
-    return F.when(n > 0, reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0.0)) for t in there]) / n)
+    there = F.array_compact(F.array(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns]))
+    return let(there, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / F.size(v)))
 
 
 def wide_methods(frames: dict[str, DataFrame], keys: list[str], metrics: list[str]) -> DataFrame:

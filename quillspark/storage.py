@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,10 +14,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which a cluster must name; a local session without one takes a folder of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
+        sc = spark.sparkContext
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quill-scratch-")
+        if not hasattr(sc, "_quill_scratch"):
+            sc._quill_scratch = tempfile.mkdtemp(prefix="quill-scratch-")
+            atexit.register(shutil.rmtree, sc._quill_scratch, ignore_errors=True)
+        root = f"file://{sc._quill_scratch}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
