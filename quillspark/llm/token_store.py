@@ -217,10 +217,6 @@ class Shard:
 
 
 # --------------------------------------------------------------------------- operators
-#: Letters of the common Latin ranges.
-LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01bf"
-
-
 _WHITE_BYTE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 
 
