@@ -43,8 +43,8 @@ HEAVY_RUNS, HEAVY_WORDS, LONG_RUN = 5_000, SHARD_WORDS, 2_000
 HOT_RUNS, HOT_SHARE = 2_000, 5_000
 #: Windows of a run that are dealt anew at once.
 PIECE = 100_000
-#: Ids that may be broadcast, 8 bytes each; beyond that a shuffled join is used.
-BROADCAST_ROWS = 250_000
+#: Ids of documents, and anchors, that may be broadcast, 8 bytes each; beyond that a shuffled join is used.
+BROADCAST_ROWS, BROADCAST_ANCHORS = 250_000, 1_000_000
 
 
 
@@ -192,7 +192,9 @@ def removals(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     every = write_table(spark, runs(docs), "runs")
     anchors = write_table(spark, every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("copies")).filter("lo < hi").select("anchor", "copies"), "anchors")
-    shared = write_table(spark, join_hot(every, anchors.select("anchor"), ["anchor"], hot_keys(anchors, ["anchor"]), ["doc_id", "start"]), "shared-runs")
+    # few enough anchors go to the runs; else both are dealt by anchor
+    met = every.join(F.broadcast(anchors.select("anchor")), "anchor", "left_semi") if anchors.count() <= BROADCAST_ANCHORS else join_hot(every, anchors.select("anchor"), ["anchor"], hot_keys(anchors, ["anchor"]), ["doc_id", "start"])
+    shared = write_table(spark, met, "shared-runs")
     drop_tables(spark, every, anchors)
     release(spark)
     # one row for each distinct run, of its least document
@@ -332,12 +334,17 @@ def _removed(n: int, spans: list[dict]) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with `spans` (null where nothing is removed)."""
+    """docs with `spans` (null where nothing is removed). Texts of documents that stay whole aren't shuffled where the ids of the others
+    are few enough to broadcast."""
     spark = docs.sparkSession
     spans = removals(docs)
     own = docs.columns
     keyed = docs.withColumn("tkey", F.xxhash64("text"))
-    return keyed.join(spans, ["doc_id", "tkey"], "left").select(*own, "spans")
+    ids = write_table(spark, spans.select("doc_id").distinct(), "shortened")
+    if ids.count() > BROADCAST_ROWS:
+        return keyed.join(spans, ["doc_id", "tkey"], "left").select(*own, "spans")
+    cut = keyed.join(F.broadcast(ids), "doc_id", "left_semi").join(spans, ["doc_id", "tkey"], "left").select(*own, "spans")
+    return cut.unionByName(docs.join(F.broadcast(ids), "doc_id", "left_anti").select(*own, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -164,8 +164,10 @@ def test_heavy_anchors_give_the_same(docs, monkeypatch, name):
     assert plain(substring_dedup.digests(docs).select("doc_id", "n_removed").collect()) == plain(want)
 
 
-def test_hot_runs_are_dealt_out(docs, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HOT_RUNS", 2)
+@pytest.mark.parametrize("change", [{"HOT_RUNS": 2, "BROADCAST_ANCHORS": 0}, {"HOT_RUNS": 2, "BROADCAST_ANCHORS": 0, "BROADCAST_ROWS": 0}])
+def test_hot_runs_are_dealt_out(docs, monkeypatch, change):
+    for name, to in change.items():
+        monkeypatch.setattr(substring_dedup, name, to)
     want = [(k, sum(g)) for (k, _), g in zip(ROWS, brute.repeated(ROWS))]
     assert plain(substring_dedup.digests(docs).select("doc_id", "n_removed").collect()) == plain(want)
 
