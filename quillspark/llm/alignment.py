@@ -62,20 +62,27 @@ class Vocabulary:
         return self.flat[np.arange(total) + np.repeat(self.start[ids] - (np.cumsum(width) - width), width)]
 
 
+def vocabularies(path_a: str, path_b: str) -> tuple[Vocabulary, Vocabulary]:
+    """Bytes of the tokens of a byte-level vocabulary and of one of pieces."""
+    import sentencepiece
+
+    tok, back = load_tokenizer(path_a), {c: b for b, c in byte_characters().items()}
+    names = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size(with_added_tokens=True))]
+    sp = sentencepiece.SentencePieceProcessor(model_file=path_b)
+    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+    a = Vocabulary([bytes(back[c] for c in x) if all(c in back for c in x) else x.encode() for x in names])
+    return a, Vocabulary([bytes([int(x[1:-1], 16)]) if sp.is_byte(i) else x.replace(SPACE_PIECE, " ").encode() for i, x in enumerate(pieces)])
+
+
 class PairEncoder:
     """Ids of both sides of one worker's texts, each text with a space before it; every distinct piece is encoded once a side."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         import sentencepiece
 
-        tok = load_tokenizer(path_a)
-        back = {c: b for b, c in byte_characters().items()}
-        names = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size(with_added_tokens=True))]
         self.a = token_store.Encoder(path_a, special=False)
-        self.bytes_a = Vocabulary([bytes(back[c] for c in x) if all(c in back for c in x) else x.encode() for x in names])
+        self.bytes_a, self.bytes_b = vocabularies(path_a, path_b)
         sp = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
-        self.bytes_b = Vocabulary([bytes([int(x[1:-1], 16)]) if sp.is_byte(i) else x.replace(SPACE_PIECE, " ").encode() for i, x in enumerate(pieces)])
         space = sp.piece_to_id(SPACE_PIECE)
 
         def encode(parts: list[bytes]) -> list[list[int]]:
@@ -112,37 +119,44 @@ def piece_cuts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-EVENTS = "tkey long, side int, begin long, ids binary, widths binary"
+EVENTS = "tkey long, side int, begin long, ids binary"
+Widths = tuple[np.ndarray, np.ndarray]
+
+
+def id_type(widths: Widths) -> str:
+    """How blocks hold ids: two bytes each where both vocabularies allow it."""
+    return "<u2" if max(map(len, widths)) <= 1 << 16 else "<u4"
 
 
 def token_events(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
-    """Event blocks of docs(doc_id, text): side (0: A, 1: B), byte offset at which the block begins, ids (int32) and widths in bytes
-    (int32) of its tokens. Both sides of a document lie in one partition. A document without tokens has one empty block."""
+    """Event blocks of docs(doc_id, text): side (0: A, 1: B), byte offset at which the block begins, ids of its tokens (see id_type), whose
+    widths in bytes tell their ends. Both sides of a document lie in one partition. A document without tokens has one empty
+    block."""
     path_a, path_b = path_a or token_store.default_path(), path_b or quality.default_path()
     key = docs.schema["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             encoder = worker_object(("pair", path_a, path_b), lambda: PairEncoder(path_a, path_b))
+            kind = id_type((encoder.bytes_a.width, encoder.bytes_b.width))
             for part, texts in text_blocks(b):
                 sides, out = None, []
                 *sides, good = encoder.encode(texts)
                 for k, t in enumerate(texts):
                     tkey = text_key(t)
                     if not good[k]:
-                        out.append((k, tkey, 0, 0, b"", b""))
+                        out.append((k, tkey, 0, 0, b""))
                         continue
                     for side, (ids, at) in enumerate(sides):
                         width = (encoder.bytes_b if side else encoder.bytes_a).width
                         begin, last = 0, int(at[k + 1])
                         for p in range(int(at[k]), last, BLOCK_TOKENS):
                             own = ids[p : min(p + BLOCK_TOKENS, last)]
-                            w = width[own].astype(np.int32)
-                            out.append((k, tkey, side, begin, own.astype(np.int32).tobytes(), w.tobytes()))
-                            begin += int(w.sum())
+                            out.append((k, tkey, side, begin, own.astype(kind).tobytes()))
+                            begin += int(width[own].sum())
                 row, *rest = zip(*out)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(x, t) for x, t in zip(rest, kinds))], names=["doc_id", "tkey", "side", "begin", "ids", "widths"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(x, t) for x, t in zip(rest, kinds))], names=["doc_id", "tkey", "side", "begin", "ids"])
 
     return map_arrow(docs.select("doc_id", "text"), run, T.StructType([key, *T._parse_datatype_string(EVENTS).fields]))
 
@@ -201,11 +215,11 @@ class Machine:
         return Groups((a_ids[:na], a_ends[:na]), (b_ids[:nb], b_ends[:nb]), shared)
 
 
-def swept(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, Groups | None, int]]:
+def swept(batches: Iterable[pa.RecordBatch], widths: Widths) -> Iterator[tuple[tuple, Groups | None, int]]:
     """((doc_id, tkey), groups, 0) as they close, then (key, None, copies) at the document's end: how many rows repeat it. copies is
     negative where the two sides don't end together."""
     key = machine = None
-    copies, last = 0, None
+    copies, last, kind = 0, None, id_type(widths)
 
     def finish() -> Iterator[tuple[tuple, Groups | None, int]]:
         if found := machine.closed():
@@ -213,7 +227,7 @@ def swept(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, Groups | N
         yield key, None, -copies if machine.pending else copies
 
     for b in batches:
-        for doc, tkey, side, begin, ids, widths in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tkey", "side", "begin", "ids", "widths"))):
+        for doc, tkey, side, begin, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tkey", "side", "begin", "ids"))):
             if key != (doc, tkey) or machine is None:
                 if machine is not None:
                     yield from finish()
@@ -225,7 +239,8 @@ def swept(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, Groups | N
             last = (side, begin)
             if machine.pending > FLUSH_TOKENS and (found := machine.closed(begin)):
                 yield key, found, 0
-            machine.add(side, np.frombuffer(ids, np.int32), np.frombuffer(widths, np.int32))
+            own = np.frombuffer(ids, kind).astype(np.int64)
+            machine.add(side, own, widths[side][own])
     if machine is not None:
         yield from finish()
 
@@ -237,13 +252,13 @@ def sorted_events(events: DataFrame, dealt: bool = True) -> DataFrame:
     return events.sortWithinPartitions("doc_id", "tkey", "begin", "side")
 
 
-def links(events: DataFrame, dealt: bool = True) -> DataFrame:
+def links(events: DataFrame, widths: Widths, dealt: bool = True) -> DataFrame:
     """A row for each linked pair of tokens: their numbers in the document, ids, and the byte range that both cover."""
     schema = T.StructType([events.schema["doc_id"], *T._parse_datatype_string("tkey long, a int, b int, a_id int, b_id int, begin long, end long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, before, held = [0, 0], 0, []
-        for key, g, copies in swept(batches):
+        for key, g, copies in swept(batches, widths):
             if g is None:
                 if copies > 0:
                     yield from held * copies
@@ -259,13 +274,13 @@ def links(events: DataFrame, dealt: bool = True) -> DataFrame:
     return map_arrow(sorted_events(events, dealt), run, schema)
 
 
-def groups(events: DataFrame, dealt: bool = True) -> DataFrame:
+def groups(events: DataFrame, widths: Widths, dealt: bool = True) -> DataFrame:
     """A row for each group: its number, ids of both sides, and byte range."""
     schema = T.StructType([events.schema["doc_id"], *T._parse_datatype_string("tkey long, number int, a_ids array<int>, b_ids array<int>, begin long, end long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, before, held = 0, 0, []
-        for key, g, copies in swept(batches):
+        for key, g, copies in swept(batches, widths):
             if g is None:
                 if copies > 0:
                     yield from held * copies
@@ -327,9 +342,10 @@ def _merged(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 ALIGNED = "tkey long, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, links array<long>"
 
 
-def alignments(events: DataFrame, sizes: tuple[int, int], dealt: bool = True) -> DataFrame:
+def alignments(events: DataFrame, widths: Widths, dealt: bool = True) -> DataFrame:
     """A row for each document: token, group and link counts, the digest of its groups, and its distinct linked id pairs (a * size of
-    B + b, in order) with their numbers of links. sizes: of the two vocabularies."""
+    B + b, in order) with their numbers of links. widths: bytes of each id's token in the two vocabularies."""
+    sizes = len(widths[0]), len(widths[1])
     schema = T.StructType([events.schema["doc_id"], *T._parse_datatype_string(ALIGNED).fields])
     arrow = _arrow_schema(schema)
 
@@ -344,7 +360,7 @@ def alignments(events: DataFrame, sizes: tuple[int, int], dealt: bool = True) ->
             return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns[:-2], arrow.types)), *lists], schema=arrow)
 
         n, digest, pairs, counts = [0, 0, 0, 0], None, [], []
-        for key, g, copies in swept(batches):
+        for key, g, copies in swept(batches, widths):
             if g is not None:
                 a, b, ends = g.links()
                 k, c = np.unique(g.a_ids[a].astype(np.int64) * sizes[1] + g.b_ids[b], return_counts=True)
@@ -375,10 +391,10 @@ def alignments(events: DataFrame, sizes: tuple[int, int], dealt: bool = True) ->
     return map_arrow(sorted_events(events, dealt), run, schema)
 
 
-def align(a: DataFrame, b: DataFrame, sizes: tuple[int, int]) -> DataFrame:
-    """alignments() of two tables of event blocks (doc_id, tkey, begin, ids, widths), one for each tokenizer."""
-    cut = lambda df, side: df.select("doc_id", "tkey", F.lit(side).alias("side"), "begin", "ids", "widths")
-    return alignments(cut(a, 0).unionByName(cut(b, 1)), sizes)
+def align(a: DataFrame, b: DataFrame, widths: Widths) -> DataFrame:
+    """alignments() of two tables of event blocks (doc_id, tkey, begin, ids), one for each tokenizer."""
+    cut = lambda df, side: df.select("doc_id", "tkey", F.lit(side).alias("side"), "begin", "ids")
+    return alignments(cut(a, 0).unionByName(cut(b, 1)), widths)
 
 
 SUMS = "slice int, pairs array<long>, n array<long>"
@@ -487,14 +503,12 @@ def _joined(aligned: DataFrame, counts: DataFrame) -> DataFrame:
 
 def alignment(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
     """A row for each row of docs: doc_id, tkey, n_a, n_b, n_groups, n_links, groups_sha256, n_best and count_sum."""
-    import sentencepiece
-
     spark = docs.sparkSession
     path_a, path_b = path_a or token_store.default_path(), path_b or quality.default_path()
-    sizes = load_tokenizer(path_a).get_vocab_size(with_added_tokens=True), sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size()
+    widths = tuple(v.width.astype(np.int32) for v in vocabularies(path_a, path_b))
     with small_batches(spark):
-        aligned = write_table(spark, alignments(token_events(docs, path_a, path_b), sizes, dealt=False), "aligned")
-        counts = write_table(spark, pair_counts(aligned, sizes[1]), "pairs")
+        aligned = write_table(spark, alignments(token_events(docs, path_a, path_b), widths, dealt=False), "aligned")
+        counts = write_table(spark, pair_counts(aligned, len(widths[1])), "pairs")
     release(spark)
     n_pairs = counts.agg(F.sum(F.size("pairs"))).first()[0] or 0
     return _told(aligned, counts._quill_path) if n_pairs <= MAX_PAIRS else _joined(aligned, counts)

@@ -89,27 +89,31 @@ def test_small_blocks_give_the_same(texts, rows, monkeypatch):
 def test_events_of_two_tables(texts, rows):
     """Blocks dealt by document from two tables give what blocks made in one place give; links and groups of the parts agree."""
     events = alignment.token_events(texts).cache()
-    sizes = (50_257, 32_000)
+    sizes = tuple(v.width for v in alignment.vocabularies(token_store.default_path(), quality.default_path()))
     here = alignment.alignments(events, sizes, dealt=False)
     there = alignment.align(events.filter("side = 0"), events.filter("side = 1").repartition(5), sizes)
     total = lambda df: Counter(tuple(r) for r in df.groupBy("doc_id", "tkey", "n_a", "n_b", "n_groups", "n_links", "groups_sha256").agg(F.sum("copies")).collect())
     assert total(here) == total(there)
     n = sum(r.copies * r.n_links for r in here.collect())
-    every = alignment.links(events)
+    every = alignment.links(events, sizes)
     assert every.count() == n and every.filter("begin >= end").count() == 0
-    own = alignment.groups(events).filter("doc_id = 1006").orderBy("number").collect()
+    own = alignment.groups(events, sizes).filter("doc_id = 1006").orderBy("number").collect()
     assert len(own) == 0
-    own = alignment.groups(events).filter("doc_id = 1001").orderBy("number").collect()
+    own = alignment.groups(events, sizes).filter("doc_id = 1001").orderBy("number").collect()
     text = ";".join(",".join(map(str, g.a_ids)) + "|" + ",".join(map(str, g.b_ids)) for g in own)
     assert {hashlib.sha256(text.encode()).hexdigest()} == {r.groups_sha256 for r in here.filter("doc_id = 1001").collect()}
     assert [g.begin for g in own[1:]] == [g.end for g in own[:-1]]
 
 
 def test_sides_that_end_apart_have_no_tokens(spark):
-    pack = lambda *x: np.array(x, np.int32).tobytes()
-    a = spark.createDataFrame([(1, 5, 0, pack(3, 4), pack(2, 2))], "doc_id long, tkey long, begin long, ids binary, widths binary")
-    b = spark.createDataFrame([(1, 5, 0, pack(7), pack(3))], a.schema)
-    assert [(r.n_a, r.n_links, r.groups_sha256, r.copies) for r in alignment.align(a, b, (10, 10)).collect()] == [(0, 0, "", 1)]
+    widths = np.array([1, 1, 1, 2, 2, 1, 1, 3, 4, 1]), np.array([1, 1, 1, 1, 1, 1, 1, 3, 4, 1])
+    for extra in (0, 1 << 16):  # ids of two bytes, and of four
+        both = tuple(np.append(w, np.ones(extra, np.int64)) for w in widths)
+        pack = lambda *x: np.array(x, alignment.id_type(both)).tobytes()  # noqa: B023, E731
+        a = spark.createDataFrame([(1, 5, 0, pack(3, 4)), (2, 5, 0, pack(3, 4))], "doc_id long, tkey long, begin long, ids binary")
+        b = spark.createDataFrame([(1, 5, 0, pack(7)), (2, 5, 0, pack(8))], a.schema)
+        got = {r.doc_id: (r.n_a, r.n_links, r.groups_sha256 != "", r.copies) for r in alignment.align(a, b, both).collect()}
+        assert got == {1: (0, 0, False, 1), 2: (2, 2, True, 1)}
 
 
 def test_machine_against_overlaps():
