@@ -353,7 +353,7 @@ class _Block:
 
 def fused_search(queries: DataFrame, index: DataFrame, query: str, doc: str, text: str, vector: str, k: int = 1, alpha: float = 0.6, digits: int = 6) -> DataFrame:
     """query, doc, score, rank of the k best of alpha * text + (1 - alpha) * visual, each scaled to 0..1 over a query's whole row of the
-    matrix; a row without vector has no visual part, a query without one the text part alone. The matrix is never rows: blocks of
+    matrix, text scores to `digits` as in the other searches; a row without vector has no visual part, a query without one the text part alone. The matrix is never rows: blocks of
     the index meet the queries, first for the bounds of both scores, then for the best; a task answers with a row, then k rows, a
     query."""
     spark = index.sparkSession
@@ -374,7 +374,7 @@ def fused_search(queries: DataFrame, index: DataFrame, query: str, doc: str, tex
     def bounds(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         rows, block = [], _Block(d, doc) if len(q) and len(d) else None
         for name, t, w, v in zip(q[query], q["_t"], q["_w"], q["_v"]) if block else ():
-            a, b = block.text(t, w), block.visual(v)
+            a, b = np.round(block.text(t, w), digits), block.visual(v)
             there = b[~np.isnan(b)]
             rows.append((name, a.min(), a.max(), there.min() if len(there) else None, there.max() if len(there) else None))
         return pd.DataFrame(rows, columns=[query, "t0", "t1", "v0", "v1"])
@@ -386,7 +386,7 @@ def fused_search(queries: DataFrame, index: DataFrame, query: str, doc: str, tex
     def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         out, block = [pd.DataFrame({query: q[query][:0], doc: d[doc][:0], "score": np.zeros(0)})], _Block(d, doc) if len(q) and len(d) else None
         for name, t, w, v, t0, t1, v0, v1 in zip(*(q[c] for c in (query, "_t", "_w", "_v", "t0", "t1", "v0", "v1"))) if block else ():
-            score = scaled(block.text(t, w), t0, t1)
+            score = scaled(np.round(block.text(t, w), digits), t0, t1)
             if v is not None:
                 score = alpha * score + (1 - alpha) * scaled(block.visual(v), v0, v1)
             score = np.round(score, digits)
