@@ -43,9 +43,7 @@ def one_review_a_job(stream: DataFrame, late: str | None = None, keep_hours: flo
             f = f.copy()
             f["accepted"] = False
             if held is None and len(f):
-                both = f if best is None else pd.concat([best, f])
-                first = both.sort_values(["timestamp", "id"], kind="stable", na_position="last").index
-                both = both.loc[first].reset_index(drop=True)
+                both = (f if best is None else pd.concat([best, f])).sort_values(["timestamp", "id"], kind="stable", na_position="last", ignore_index=True)
                 best, f = both.iloc[:1], both.iloc[1:]
             if len(f):
                 yield f[[*kept, "accepted"]]

@@ -250,6 +250,22 @@ def test_review_stream(spark, tmp_path):
     assert [r.id for r in spark.read.parquet(log).collect()] == ["n"]
 
 
+def test_review_stream_takes_jobs_in_pieces(spark, tmp_path):
+    """A job that comes in several Arrow batches, the first row of a later one being the first review."""
+    from quillspark.streaming import reviews
+
+    (tmp_path / "in").mkdir()
+    entry = lambda k: json.dumps({"id": str(k), "timestamp": f"2024-01-{k:02}", "job_id": "j", "accion": "rechazar"})
+    (tmp_path / "in" / "0.json").write_text("\n".join(entry(k) for k in (5, 6, 3, 4, 1, 2, 7, 8)))
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        reviews.write_reviews(reviews.review_stream(spark, str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "approved"), str(tmp_path / "ckpt")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "log")).collect()] == ["1"]
+
+
 def test_review_stream_forgets_old_jobs(spark, tmp_path):
     """With a watermark late reviews are left out, and a job may be reviewed again once it is forgotten."""
     from quillspark.streaming import reviews
