@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text, strip
+from .text import clean_text, let, strip
 
 LEVELS = ("low", "medium", "high")
 MIN_SYNTHESIS_WORDS = 5
@@ -16,31 +16,43 @@ FIELDS = "struct<synthesized_answer_es:string,has_conflict:boolean,conflict_note
 CONTEXTS = "array<struct<encounter_id:string,question_es:string,answer_es:string,score:double>>"
 
 
-def _object(c: Column) -> Column:
-    """The text if it is one JSON object."""
-    return F.when(F.try_parse_json(c).isNotNull() & strip(c).startswith("{"), c)
+def _parses(c: Column) -> Column:
+    """Whether the text is one JSON object; what doesn't begin like one isn't parsed."""
+    return strip(c).startswith("{") & F.try_parse_json(c).isNotNull()
 
 
 def repair_json(c: Column | str) -> Column:
-    """JSON object text of a payload: as it is, without a code fence, or from the first { to the last }; null if none parses."""
-    raw = strip(c)
-    plain = F.regexp_replace(F.regexp_replace(raw, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
-    inner = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
-    return F.coalesce(_object(raw), _object(plain), _object(inner))
+    """JSON object text of a payload: as it is, without a code fence, or from the first { to the last }; null if none parses. Each form is
+    made once, and parsed where it is another one than that before."""
+
+    def repaired(raw: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(raw, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
+        embedded = lambda plain: let(F.regexp_extract(plain, r"(?s)\{.*\}", 0), lambda inner: F.when((inner != plain) & _parses(inner), inner))
+        return F.when(_parses(raw), raw).otherwise(let(plain, lambda plain: F.when((plain != raw) & _parses(plain), plain).otherwise(embedded(plain))))
+
+    return let(strip(c), repaired)
 
 
 def synthesis(c: Column | str) -> Column:
     """Struct of a synthesis payload: unwrapped from final, output or result, support level defaulted, null where it has no answer of
-    MIN_SYNTHESIS_WORDS words or misses a field."""
-    outer = F.from_json(repair_json(c), FIELDS)
-    inner = F.from_json(F.coalesce(*[F.when(F.try_parse_json(outer[k]).isNotNull() & strip(outer[k]).startswith("{"), outer[k]) for k in ("final", "output", "result")]), FIELDS)
-    pick = lambda k: F.coalesce(inner[k], outer[k])
-    level = pick("source_support_level")
-    level = F.when(level.isin(*LEVELS), level).when(level.isNotNull(), "medium")
-    answer = strip(pick("synthesized_answer_es"))
-    long_enough = F.size(F.regexp_extract_all(answer, F.lit(r"(?U)\w+"), F.lit(0))) >= MIN_SYNTHESIS_WORDS
-    found = F.struct(answer.alias("synthesized_answer_es"), pick("has_conflict").alias("has_conflict"), strip(F.coalesce(pick("conflict_note"), F.lit(""))).alias("conflict_note"), level.alias("source_support_level"))
-    return F.when(long_enough & pick("has_conflict").isNotNull() & level.isNotNull(), found)
+    MIN_SYNTHESIS_WORDS words or misses a field. A payload is repaired and parsed once."""
+
+    def picked(outer: Column, inner: Column) -> Column:
+        pick = lambda k: F.coalesce(inner[k], outer[k])
+        level = F.when(pick("source_support_level").isin(*LEVELS), pick("source_support_level")).when(pick("source_support_level").isNotNull(), "medium")
+
+        def checked(answer: Column) -> Column:
+            long_enough = F.size(F.regexp_extract_all(answer, F.lit(r"(?U)\w+"), F.lit(0))) >= MIN_SYNTHESIS_WORDS
+            found = F.struct(answer.alias("synthesized_answer_es"), pick("has_conflict").alias("has_conflict"), strip(F.coalesce(pick("conflict_note"), F.lit(""))).alias("conflict_note"), level.alias("source_support_level"))
+            return F.when(pick("has_conflict").isNotNull() & level.isNotNull() & long_enough, found)
+
+        return let(strip(pick("synthesized_answer_es")), checked)
+
+    def unwrapped(outer: Column) -> Column:
+        wrapped = F.coalesce(*[F.when(outer[k].isNotNull() & _parses(outer[k]), outer[k]) for k in ("final", "output", "result")])
+        return let(F.from_json(wrapped, FIELDS), lambda inner: picked(outer, inner))
+
+    return let(F.from_json(repair_json(c), FIELDS), unwrapped)
 
 
 def _loaded(text: object) -> dict | None:
@@ -86,7 +98,10 @@ def mock_synthesis(answers: Column | str) -> Column:
 
 
 def explanation_payload(c: Column | str) -> Column:
-    """Struct of an explanation payload, lists made of scalars, blanks dropped."""
-    p = F.from_json(repair_json(c), "struct<answer:string,evidence:string,explanation:string>")
-    listed = F.coalesce(F.from_json(p["evidence"], "array<string>"), F.array(p["evidence"]))
-    return F.struct(clean_text(p["answer"]).alias("answer"), F.filter(F.transform(listed, clean_text), lambda x: x != "").alias("evidence"), clean_text(p["explanation"]).alias("explanation"), repair_json(c).isNull().alias("parse_error"))
+    """Struct of an explanation payload, lists made of scalars, blanks dropped. A payload is repaired and parsed once."""
+
+    def told(p: Column, body: Column) -> Column:
+        listed = let(p["evidence"], lambda e: F.coalesce(F.when(F.ltrim(e, F.lit(" \t\r\n")).startswith("["), F.from_json(e, "array<string>")), F.array(e)))
+        return F.struct(clean_text(p["answer"]).alias("answer"), F.filter(F.transform(listed, clean_text), lambda x: x != "").alias("evidence"), clean_text(p["explanation"]).alias("explanation"), body.isNull().alias("parse_error"))
+
+    return let(repair_json(c), lambda body: let(F.from_json(body, "struct<answer:string,evidence:string,explanation:string>"), lambda p: told(p, body)))

@@ -138,6 +138,18 @@ def test_payloads(spark):
     assert [one(spark, payloads.mock_synthesis("a")["source_support_level"], a=["x"] * n) for n in (0, 1, 4, 5)] == ["low", "low", "medium", "high"]
 
 
+def test_payloads_are_parsed_once(spark):
+    """However many fields are read, each form of a payload is named once in the plan."""
+    df = spark.createDataFrame([('{"final": {"synthesized_answer_es": "uno dos tres cuatro cinco", "has_conflict": false, "source_support_level": "high"}}',), ('x {"answer": "a", "evidence": [" b ", ""], "explanation": "c"} y',), ("{oops",), ("",), (None,)], "t string")
+    s, e = payloads.synthesis("t"), payloads.explanation_payload("t")
+    for c, most in ((s, 2), (e, 2)):
+        plan = df.select(c.alias("c"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("from_json") <= most and plan.count("try_parse_json") <= 6
+    rows = df.select(s["source_support_level"].alias("l"), e.alias("e")).collect()
+    assert [r.l for r in rows] == ["high", None, None, None, None]
+    assert [(r.e.answer, r.e.evidence, r.e.explanation, r.e.parse_error) for r in rows] == [("", [], "", False), ("a", ["b"], "c", False), ("", [], "", True), ("", [], "", True), ("", [], "", True)]
+
+
 def test_both_forms_of_the_synthesis_rules_agree(spark):
     five = "una dos tres cuatro cinco"
     good = {"synthesized_answer_es": five, "has_conflict": False, "source_support_level": "low"}
